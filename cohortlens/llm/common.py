@@ -85,11 +85,11 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data[off[0] : off[-1]], off - off[0]
 
 
-def token_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all white-space separated tokens, and n + 1 token offsets by document."""
+def token_bounds(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all tokens, separated by the bytes marked in between, and n + 1 token offsets by document."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~SPACE[data]
+    word = ~between[data]
     first = np.empty(len(word), dtype=bool)
     first[0] = True
     first[1:] = ~word[:-1]

@@ -13,7 +13,7 @@ broadcast and asked of all segments; a segment returns its best k and the best k
 all segments are merged. Candidates wanted (``share`` of a segment, ``least`` at least)
 is a level to ascend to, not a cap: the level that reaches it is taken whole.
 
-Cases: vectors that are null, zero, of another length than most_common ``dim`` or hold null or non-finite
+Cases: vectors that are null, zero, of another length than most or hold null or non-finite
 components take no part. Ties go to the smaller id. Repeated vectors are rows of their
 own. A query never finds a row with its own id. Extra columns are ignored. No rows: no result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 K = 5
 TREES = 16
 SEGMENT = 8192
-SHARE = 0.25
+SHARE = 0.4
 LEAST = 400
 #: Queries broadcast at a time.
 QUERY_BLOCK = 16_384

@@ -5,17 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontam, jaccard_join, langid, mixing, secret_scan
+from cohortlens.llm import chat_format, decontam, hmm_lm, jaccard_join, langid, license_scan, lsh_forest, mixing, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of a document is source/lang/doc_id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan.scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), "text")).withColumnRenamed("id", "doc_id")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return lsh_forest.search(rows, rows.filter("id % 50 = 0"), k=5)
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.digests(chat_format.examples(turns.unionByName(more)))
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm_lm.score(docs.withColumn("held", langid.fold(docs, 5) == 1))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.draw(docs, mixing.make_plan(spark, docs))
@@ -29,6 +52,14 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = langid.fold(docs, 5) == 0
+    model = toxicity.fit(toxicity.training_rows(docs.filter(~held), table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs.withColumn("held_out", held), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(langid.fold(docs, 4) != 2))
@@ -39,5 +70,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op6_mixing_sources, op7_secret_scans, op9_language_id, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scans,
+        op2_ngram_jaccard_join,
+        op3_nearest_neighbours,
+        op4_chat_formatting,
+        op5_language_model,
+        op6_mixing_sources,
+        op7_secret_scans,
+        op8_toxicity,
+        op9_language_id,
+        op10_benchmark_decontamination,
+    )
+}
 ORACLE: dict[str, str] = {}
