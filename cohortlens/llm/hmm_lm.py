@@ -25,11 +25,11 @@ equals the base score (0). Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import materialize, pieces
 
 STATES = 8
-ITERATIONS = 8
+ITERATIONS = 6
 FREQUENT = 512
 FORMS = 512
 STRETCH = 128
@@ -81,17 +81,20 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch, "text", block_bytes):
-                texts = [t.encode().lower().split() if t else [] for t in piece.column(1).to_pylist()]
                 held = np.asarray(piece.column(2).to_pylist(), dtype=bool)
-                count: Counter = Counter()
-                for t in texts:
-                    count.update(t)
-                words = sorted(count, key=lambda w: (-count[w], w))
-                index = {w: i for i, w in enumerate(words)}
-                lens = np.array([len(t) for t in texts], dtype=np.int64)
-                ids = np.fromiter((index[w] for t in texts for w in t), dtype=np.uint32, count=int(lens.sum()))
-                trained = np.repeat(~held, lens)
-                tf = np.bincount(ids[trained], minlength=len(words)).astype("<i8")
+                split = pc.ascii_split_whitespace(pc.ascii_lower(piece.column(1).fill_null("")))
+                flat, owner = split.flatten(), pc.list_parent_indices(split)
+                real = pc.greater(pc.binary_length(flat), 0)  # outer white space gives empty pieces
+                coded = flat.filter(real).dictionary_encode()
+                owner = np.asarray(owner.filter(real))
+                lens = np.bincount(owner, minlength=piece.num_rows)
+                ids = np.asarray(coded.indices).astype(np.int64)
+                order = np.argsort(-np.bincount(ids, minlength=len(coded.dictionary)), kind="stable")
+                words = [w.encode() for w in coded.dictionary.take(pa.array(order)).to_pylist()]
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                ids = rank[ids]
+                tf = np.bincount(ids[~held[owner]], minlength=len(words)).astype("<i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(part << 32) | n], pa.int64()), pa.array([piece.column(0).to_pylist()], pa.list_(piece.schema.field(0).type)), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([lens.tolist()], pa.list_(pa.int64()))]
                     + [pa.array([v], pa.binary()) for v in (_pack(b" ".join(words)), _pack(tf), _pack_ids(ids))],
@@ -255,8 +258,21 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
     if not n:
         return model
     model.emit = smoothed(share * rng.gamma(1.0, size=(states, c)) * 100)
-    learn = blocks.select("words", "ids", "lens", "held")
     k = states
+    first = spark.sparkContext.broadcast(model)
+
+    def sequences(batches):
+        m = first.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                seq, _, off, _ = _sequences(row, m)
+                learned = ~np.asarray(row["held"], dtype=bool)
+                lens = np.diff(off)
+                seq = seq[np.repeat(learned, lens)]
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(seq.astype("<u2"))], pa.binary()), pa.array([_pack(lens[learned].astype("<i8"))], pa.binary())], names=["seq", "lens"])
+
+    learn = materialize(blocks.select("words", "ids", "lens", "held").mapInArrow(sequences, "seq binary, lens binary"), "sequences")
     for _ in range(iterations):
         shared = spark.sparkContext.broadcast(model)
 
@@ -266,14 +282,10 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
-                    seq, _, off, _ = _sequences(row, m)
-                    x, length = [], []
-                    for d in np.flatnonzero(~np.asarray(row["held"], dtype=bool)).tolist():
-                        x.append(seq[off[d] : off[d + 1]])
-                    if not x:
+                    seq, lens = _unpack(row["seq"], "<u2").astype(np.int32), _unpack(row["lens"], "<i8")
+                    if not len(seq):
                         continue
-                    doc_off = np.concatenate([[0], np.cumsum([len(y) for y in x])])
-                    x, length = _stretches(np.concatenate(x), doc_off, STRETCH)
+                    x, length = _stretches(seq, np.concatenate([[0], np.cumsum(lens)]), STRETCH)
                     for j in range(0, len(x), 4096):
                         total += np.concatenate([y.ravel() for y in expected_counts(x[j : j + 4096], length[j : j + 4096], m.start, m.move, m.emit)])
             units = np.round(total / UNIT).astype(np.int64)
