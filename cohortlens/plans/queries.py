@@ -205,10 +205,10 @@ def mad_outliers(t):
 @query("""
 with m as (select o_custkey, strftime(o_orderdate, '%Y-%m') as month, sum(o_totalprice) as v from orders group by 1, 2),
 i as (select o_custkey, v, row_number() over (partition by o_custkey order by month) - 1 as i from m)
-select o_custkey, count(*) as n, case when count(*) > 1 then round(regr_slope(v, i), 2) end as slope, round(stddev_pop(v) / avg(v), 4) as cv from i group by 1""")
+select o_custkey, count(*) as n, case when count(*) > 1 then round(regr_slope(v, i), 4) end as slope, round(stddev_pop(v) / avg(v), 4) as cv from i group by 1""")
 def trajectory(t):
     m = t("orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("o_totalprice").alias("v"))
-    return stats.trend(m, ["o_custkey"], "month", "v").select("o_custkey", "n", r("slope", 2).alias("slope"), r("cv").alias("cv"))
+    return stats.trend(m, ["o_custkey"], "month", "v").select("o_custkey", "n", r("slope", 4).alias("slope"), r("cv").alias("cv"))
 
 
 @query("""
