@@ -42,7 +42,9 @@ ITERATIONS = 6
 FREQUENT = 512
 FORMS = 512
 STRETCH = 128
-BLOCK_BYTES = 16 << 20
+#: Stretches of one forward-backward pass; bounds its memory.
+STEP = 1024
+BLOCK_BYTES = 10 << 20
 #: Expected counts are summed as multiples of this.
 UNIT = 2.0**-16
 
@@ -101,6 +103,7 @@ def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     names=["block", "doc_ids", "held", "lens", "words", "tf", "ids"],
                 )
                 n += 1
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(apply, f"block bigint, doc_ids array<{id_type}>, held array<boolean>, lens array<bigint>, words binary, tf binary, ids binary")
 
@@ -286,8 +289,8 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
                     if not len(seq):
                         continue
                     x, length = _stretches(seq, np.concatenate([[0], np.cumsum(lens)]), STRETCH)
-                    for j in range(0, len(x), 4096):
-                        total += np.concatenate([y.ravel() for y in expected_counts(x[j : j + 4096], length[j : j + 4096], m.start, m.move, m.emit)])
+                    for j in range(0, len(x), STEP):
+                        total += np.concatenate([y.ravel() for y in expected_counts(x[j : j + STEP], length[j : j + STEP], m.start, m.move, m.emit)])
             units = np.round(total / UNIT).astype(np.int64)
             at = np.flatnonzero(units)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(units[at], pa.int64())], names=["i", "x"])
