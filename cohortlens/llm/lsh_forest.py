@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 K = 5
 TREES = 16
 SEGMENT = 8192
-SHARE = 0.4
+SHARE = 0.5
 LEAST = 400
 #: Queries broadcast at a time.
 QUERY_BLOCK = 16_384
@@ -55,12 +55,8 @@ class Planes:
         return np.packbits(bits.reshape(len(x), self.trees, 64), axis=2).view(">u8")[..., 0].astype(np.uint64)
 
 
-def _prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Bits that a and b share from the top."""
-    x = a ^ b
-    _, e = np.frexp((x >> np.uint64(11)).astype(np.float64))
-    high = np.where(x >> np.uint64(11) > 0, 53 - e, 64 - np.frexp((x & np.uint64(2047)).astype(np.float64))[1])
-    return np.where(x == 0, 64, high).astype(np.int16)
+#: Masks of the highest 0 to 64 bits.
+_HIGH = np.array([(2**64 - 1) >> (64 - n) << (64 - n) for n in range(65)], dtype=np.uint64)
 
 
 class Forest:
@@ -76,31 +72,38 @@ class Forest:
         depth = np.zeros(n, dtype=np.int16)
         for t in range(trees):
             s = self.sorted[:, t]
-            at = int(np.searchsorted(s, query[t]))
-            # Descend to the longest prefix, then widen the run level by level.
-            near = [int(_prefix(s[i : i + 1], query[t : t + 1])[0]) for i in (at - 1, at) if 0 <= i < n]
-            level = max(near)
-            lo, hi = at, at
-            while level >= 0:
-                low = query[t] >> np.uint64(64 - level) << np.uint64(64 - level) if level else np.uint64(0)
-                top = low | np.uint64((1 << (64 - level)) - 1)
-                a, b = int(np.searchsorted(s, low, "left")), int(np.searchsorted(s, top, "right"))
-                for i, j in ((a, lo), (hi, b)):
-                    rows = self.order[i:j, t]
-                    depth[rows] = np.maximum(depth[rows], level)
-                lo, hi = a, b
-                if hi - lo >= want:
+            # The run that shares each prefix length with the query, from none to all bits.
+            low = query[t] & _HIGH
+            a, b = np.searchsorted(s, low, "left"), np.searchsorted(s, low | ~_HIGH, "right")
+            size = b - a
+            level = int(np.flatnonzero(size >= want)[-1])  # ascended to here, the tree alone has enough
+            lo, hi = int(a[level]), int(b[level])
+            own = np.full(hi - lo, level, dtype=np.int16)
+            for deeper in range(level + 1, 65):
+                if not size[deeper]:
                     break
-                level -= 1
+                if deeper == 64 or size[deeper + 1] < size[deeper]:  # the longest prefix of this run
+                    own[a[deeper] - lo : b[deeper] - lo] = deeper
+            rows = self.order[lo:hi, t]
+            depth[rows] = np.maximum(depth[rows], own)
         counts = np.bincount(depth, minlength=65)[::-1].cumsum()
         level = 64 - int(np.searchsorted(counts, want))
         return np.flatnonzero(depth >= level)
 
 
-def _cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of q with each row of x in double precision; equal rows give equal values."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+def _nearest(x: np.ndarray, norm: np.ndarray, ids: np.ndarray, c: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows c the k with the highest cosine to q, ties to the smaller id, and their cosines.
+
+    A matrix product, whose rounding depends on a row's place, only narrows the choice;
+    values come from one sum for each row, so equal rows get equal values.
+    """
+    size = np.sqrt((q * q).sum())
+    rough = (x @ q)[c] / (norm[c] * size)
+    if len(c) > k:
+        c = c[rough >= np.partition(rough, len(c) - k)[len(c) - k] - 1e-9]
+    score = (x[c] * q).sum(axis=1) / (norm[c] * size)
+    best = np.lexsort((ids[c], -score))[:k]
+    return c[best], score[best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, share: float = SHARE, least: int = LEAST, segment: int = SEGMENT, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -127,15 +130,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
                 def answer(ids: np.ndarray, x: np.ndarray):
                     forest = Forest(planes.strings(x))
                     want = max(least, int(share * len(x)))
+                    norm = np.sqrt((x * x).sum(axis=1))
                     out: tuple[list, list, list] = ([], [], [])
                     for i in range(len(qid)):
                         c = forest.candidates(qs[i], want)
-                        c = c[ids[c] != qid[i]]
-                        score = _cosine(x[c], q[i])
-                        best = np.lexsort((ids[c], -score))[:k]
+                        best, score = _nearest(x, norm, ids, c[ids[c] != qid[i]], q[i], k)
                         out[0].append(np.full(len(best), qid[i]))
-                        out[1].append(ids[c][best])
-                        out[2].append(score[best])
+                        out[1].append(ids[best])
+                        out[2].append(score)
                     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "vec_id", "score"])
 
                 held: list[tuple[np.ndarray, np.ndarray]] = []

@@ -185,11 +185,16 @@ def test_forest_recall_and_edges(spark):
     assert lsh_forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_prefix_bits():
-    a = np.array([0, 1, 1 << 63, 2**64 - 1, 5], dtype=np.uint64)
-    for x in a:
-        want = [64 if x == y else 64 - (int(x) ^ int(y)).bit_length() for y in a]
-        assert lsh_forest._prefix(a, np.full(5, x)).tolist() == want
+def test_synchronous_ascent_equals_brute_force():
+    rng = np.random.default_rng(2)
+    strings = rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
+    strings[:40, 1] = strings[0, 1]
+    forest = lsh_forest.Forest(strings)
+    for query in (strings[0], strings[250], rng.integers(0, 2**64, 4, dtype=np.uint64)):
+        share = np.array([max(64 - (int(a) ^ int(b)).bit_length() for a, b in zip(row, query)) for row in strings])
+        for want in (1, 5, 60, 299):
+            level = max(n for n in range(65) if (share >= n).sum() >= want)
+            assert set(forest.candidates(query, want).tolist()) == set(np.flatnonzero(share >= level).tolist())
 
 
 def test_language_model_base_and_likelihood(spark):
