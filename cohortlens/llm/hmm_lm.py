@@ -45,6 +45,8 @@ STRETCH = 128
 #: Stretches of one forward-backward pass; bounds its memory.
 STEP = 1024
 BLOCK_BYTES = 10 << 20
+#: Tokens whose base probabilities are summed at a time.
+RUN = 1 << 18
 #: Expected counts are summed as multiples of this.
 UNIT = 2.0**-16
 
@@ -71,6 +73,13 @@ def _words(b: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(b).split()
 
 
+def _rows(table: pa.RecordBatch | pa.Table):
+    """Rows as dicts, one at a time: a row is a whole block."""
+    for i in range(table.num_rows):
+        yield table.slice(i, 1).to_pylist()[0]
+        pa.default_memory_pool().release_unused()
+
+
 def form_class(w: bytes, forms: int = FORMS) -> int:
     return zlib.crc32(b"%c%b%d" % (w[0], w[-2:], min(len(w), 12) // 3)) % forms
 
@@ -113,7 +122,7 @@ def word_counts(blocks: DataFrame) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words, tf = _words(row["words"]), _unpack(row["tf"], "<i8")
                 at = np.flatnonzero(tf)
                 for i in range(0, len(at), 100_000):
@@ -207,12 +216,21 @@ def expected_counts(x: np.ndarray, length: np.ndarray, start: np.ndarray, move:
     return gammas[-1].sum(axis=0) if gammas else np.zeros(k), moves, emits
 
 
+def _runs(off: np.ndarray, size: int):
+    """Ranges of texts of about ``size`` tokens each; every text has a token at least."""
+    i = 0
+    while i < len(off) - 1:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def _sequences(row: dict, model: HMM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class and word index (-1 at ends) of each token of a block, ends included, with offsets, and the class of each word."""
     cls = model.classes(_words(row["words"]))
-    ids, lens = _unpack_ids(row["ids"]).astype(np.int64), np.asarray(row["lens"], dtype=np.int64)
+    ids, lens = _unpack_ids(row["ids"]).astype(np.int32), np.asarray(row["lens"], dtype=np.int64)
     off = np.concatenate([[0], np.cumsum(lens + 1)])
-    word = np.full(off[-1], -1, dtype=np.int64)
+    word = np.full(off[-1], -1, dtype=np.int32)
     is_end = np.zeros(off[-1], dtype=bool)
     is_end[off[1:] - 1] = True
     word[~is_end] = ids
@@ -267,8 +285,7 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
     def sequences(batches):
         m = first.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in _rows(batch):
                 seq, _, off, _ = _sequences(row, m)
                 learned = ~np.asarray(row["held"], dtype=bool)
                 lens = np.diff(off)
@@ -283,8 +300,7 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
             m = shared.value
             total = np.zeros(k + k * k + k * c)
             for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
+                for row in _rows(batch):
                     seq, lens = _unpack(row["seq"], "<u2").astype(np.int32), _unpack(row["lens"], "<i8")
                     if not len(seq):
                         continue
@@ -315,7 +331,7 @@ def score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, b
     def wanted(batches):
         m = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words = _words(row["words"])
                 at = np.array([i for i, w in enumerate(words) if w not in m.frequent], dtype=np.int32)
                 for i in range(0, len(at), 100_000):
@@ -329,7 +345,7 @@ def score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, b
         m = shared.value
         out = []
         counts = (np.asarray(right.column("pos")), np.asarray(right.column("c")))
-        for row in left.to_pylist():
+        for row in _rows(left):
             words = _words(row["words"])
             c = np.zeros(len(words) + 1)
             c[counts[0]] = counts[1]
@@ -338,18 +354,16 @@ def score(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, b
                     c[i] = m.counts[w]
             c[-1] = m.ends
             seq, word, off, _ = _sequences(row, m)
-            ct = c[word]  # -1, the end, is last
-            base = np.log10((ct + 0.5) / m.total)
-            seen = ct > 0
-            sums = lambda x: np.add.reduceat(x, off[:-1]) if len(off) > 1 else np.zeros(0)
-            base_score = sums(base)
-            if m.n:
-                inside = np.where(seen, base - m.log_class[seq], 0.0)
-                model_score = m.forward(seq, seen, off) + sums(inside)
-            else:
-                model_score = base_score
+            seen = c[word] > 0  # -1, the end, is last
+            n_known, base_score, inside = (np.zeros(len(off) - 1) for _ in range(3))
+            for i, j in _runs(off, RUN):
+                at = slice(off[i], off[j])
+                base = np.log10((c[word[at]] + 0.5) / m.total)
+                for into, x in ((n_known, seen[at]), (base_score, base), (inside, np.where(seen[at], base - m.log_class[seq[at]], 0.0))):
+                    into[i:j] = np.add.reduceat(x.astype(np.float64), off[i:j] - off[i])
+            model_score = m.forward(seq, seen, off) + inside if m.n else base_score
             n = np.diff(off)
-            out.append(pa.table([pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(sums(seen.astype(np.int64)).astype(np.int64)), pa.array(np.full(len(n), m.n)), pa.array(base_score), pa.array(model_score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            out.append(pa.table([pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(n), m.n)), pa.array(base_score), pa.array(model_score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         schema = pa.schema([("doc_id", left.schema.field("doc_ids").type.value_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
