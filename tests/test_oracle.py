@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cohortlens.plans.queries import ORACLE, QUERIES
+from cohortlens.plans.catalog import ORACLE, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
