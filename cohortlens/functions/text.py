@@ -90,3 +90,36 @@ def glob_regex(glob: str) -> str:
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-|-$", "")
+
+
+# Words that say nothing about a title's subject.
+STOP_WORDS = ("a", "an", "and", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+
+
+def title_tokens(title: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-case ASCII words and numbers of two or more characters that are no stop words, in order."""
+    return F.filter(F.split(F.lower(title), "[^a-z0-9]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*stop))
+
+
+def strip_comments(source: Column) -> Column:
+    """Without block and line comments; a cheap form that does not look into strings (the scanner of sources.code does)."""
+    return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
+
+
+def finding_id(tool: Column, rule: Column, path: Column, line: Column, message: Column) -> Column:
+    """SHA-1 of the parts joined by bars; nulls count as empty and 120 characters of the message count."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (tool, rule, path, line, F.left(message, F.lit(120)))]
+    return F.sha1(F.array_join(F.array(*parts), "|"))
+
+
+def append_json(existing: Column, kind: Column, detail: Column, most: int = 20) -> Column:
+    """A JSON array of {kind, detail} with one more at the end and the oldest beyond ``most`` gone; what is no such array counts as empty."""
+    shape = "array<struct<kind:string,detail:string>>"
+    old = F.coalesce(F.from_json(existing, shape), F.array().cast(shape))
+    new = F.concat(old, F.array(F.struct(kind.alias("kind"), detail.alias("detail"))))
+    return F.to_json(F.slice(new, F.greatest(F.size(new) - most + 1, F.lit(1)), F.lit(most)))
+
+
+def coordinates(build: Column) -> Column:
+    """Distinct group:artifact pairs of quoted dependency strings, in order of name."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(build, F.lit(r"""["']([A-Za-z][\w.-]*:[\w.-]+)(?::[^"']*)?["']"""), F.lit(1))))

@@ -108,3 +108,27 @@ def betweenness(edges: DataFrame, by: str, a: str, b: str) -> DataFrame:
     kind = {f.name: f.dataType.simpleString() for f in edges.schema}
     e = edges.filter(F.col(a) != F.col(b)).select(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     return e.groupBy("g").applyInPandas(one, f"g {kind[by]}, node {kind[a]}, betweenness double").withColumnRenamed("g", by)
+
+
+def classify_by_prefix(df: DataFrame, value: str, catalog: DataFrame) -> DataFrame:
+    """df with name and category of the longest catalog prefix of ``value``, null without one. catalog: prefix, name, category, one row for each prefix. Values meet prefixes of the catalog's lengths by equality, never by comparing all pairs; the lengths are few, whatever the catalog's size."""
+    lengths = F.broadcast(catalog.filter("prefix is not null").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("__lengths")))
+    v = df.select(F.col(value).alias("__v")).filter("__v is not null").distinct().join(lengths)
+    v = v.select("__v", F.explode(F.filter("__lengths", lambda n: n <= F.length("__v"))).alias("__n")).withColumn("prefix", F.expr("left(__v, __n)"))
+    best = v.join(catalog, "prefix").groupBy("__v").agg(F.max_by(F.struct("name", "category"), "__n").alias("__b"))
+    out = df.join(best, F.col(value) == F.col("__v"), "left")
+    return out.select(*df.columns, F.col("__b.name").alias("name"), F.col("__b.category").alias("category"))
+
+
+def resolve_author(prs: DataFrame, links: DataFrame, identities: DataFrame) -> DataFrame:
+    """pr, author, strategy, ambiguous. In order: the assignee with most points among the pull request's tasks (ties to the smaller name, which makes it ambiguous), the owner of the login or of the e-mail address (without case), else the last known author. prs: pr, login, email, author; links: pr, assignee, points; identities: kind (login, email), value, member."""
+    p = links.filter("assignee is not null").groupBy("pr", "assignee").agg(F.sum(F.coalesce("points", F.lit(0))).alias("points"))
+    w = Window.partitionBy("pr").orderBy(F.desc("points"), "assignee")
+    p = p.withColumns({"i": F.row_number().over(w), "second": F.lead("points").over(w)}).filter("i = 1").select("pr", F.col("assignee").alias("by_task"), F.coalesce(F.col("second") == F.col("points"), F.lit(False)).alias("tie"))
+    out = prs.join(p, "pr", "left")
+    for kind in ("login", "email"):
+        known = identities.filter(F.col("kind") == kind).groupBy(F.lower("value").alias("__v")).agg(F.min("member").alias(f"by_{kind}"))
+        out = out.join(known, F.lower(kind) == F.col("__v"), "left").drop("__v")
+    order = {"task": "by_task", "login": "by_login", "email": "by_email", "kept": "author"}
+    strategy = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(name)) for name, c in order.items()])
+    return out.select("pr", F.coalesce(*order.values()).alias("author"), strategy.alias("strategy"), F.coalesce("tie", F.lit(False)).alias("ambiguous"))

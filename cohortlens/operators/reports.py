@@ -40,14 +40,14 @@ def version_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> Data
     return x.select(F.coalesce("k0", "k1").alias(key), status.alias("status"))
 
 
-def commit_rhythm(commits: DataFrame, key: str, at: str, size: str) -> DataFrame:
-    """By key: n, span_minutes, longest_gap_minutes, size_per_minute (null without a span), largest_share, fixup (a first commit of 100 or more, all later ones of at most 30). Equal times are ordered by size."""
+def commit_rhythm(commits: DataFrame, key: str, at: str, size: str, later: Column | None = None) -> DataFrame:
+    """By key: n, span_minutes, longest_gap_minutes, size_per_minute (null without a span), largest_share, fixup (a first commit of 100 or more, all later ones of at most 30 and, if given, under the condition ``later``, such as a word in the message). Equal times are ordered by size."""
     w = Window.partitionBy(key).orderBy(at, size)
     micros = F.unix_micros(F.col(at).cast("timestamp")) / 60e6
     x = commits.withColumn("__m", micros).withColumns({"__gap": F.col("__m") - F.lag("__m").over(w), "__i": F.row_number().over(w)})
     g = x.groupBy(key).agg(
         F.count("*").alias("n"), (F.max("__m") - F.min("__m")).alias("span_minutes"), F.coalesce(F.max("__gap"), F.lit(0.0)).alias("longest_gap_minutes"), F.sum(size).alias("__sum"), F.max(size).alias("__max"),
-        F.bool_and(F.when(F.col("__i") == 1, F.col(size) >= 100).otherwise(F.col(size) <= 30)).alias("__fix"),
+        F.bool_and(F.when(F.col("__i") == 1, F.col(size) >= 100).otherwise((F.col(size) <= 30) & F.coalesce(later if later is not None else F.lit(True), F.lit(False)))).alias("__fix"),
     )
     per = F.when(F.col("span_minutes") > 0, F.col("__sum") / F.when(F.col("span_minutes") > 0, F.col("span_minutes")))
     share = F.when(F.col("__sum") > 0, F.col("__max") / F.when(F.col("__sum") > 0, F.col("__sum")))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortlens.functions.scalar import safe_divide
 
@@ -95,3 +100,111 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     """Sum of w x over sum of w, weight 1 if null and at least 0, over rows with a value."""
     w = F.when(value.isNotNull(), F.greatest(F.coalesce(weight, F.lit(1.0)), F.lit(0.0)))
     return safe_divide(F.sum(value * w), F.sum(w), None)
+
+
+def _beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, on the side where that converges."""
+    swap = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    tiny = 1e-300
+    f = c = np.ones_like(x)
+    d = np.zeros_like(x)
+    for i in range(300):
+        m = i // 2
+        if i == 0:
+            term = np.ones_like(x)
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 + term * d
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        c = 1 + term / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        f = f * c * d
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / a
+    part = np.where(x <= 0, 0.0, front * (f - 1))
+    return np.where(swap, 1 - part, part)
+
+
+@F.pandas_udf(DoubleType())
+def slope_p_value(r2: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p-value of a least-squares slope, from R^2 and the number of points; null under three points or without R^2, 0 for a perfect fit."""
+    df = n.astype(float) - 2
+    ok = (df > 0) & r2.notna()
+    x = np.clip(1 - r2[ok].to_numpy(float), 0, 1)
+    out = pd.Series(np.nan, index=r2.index)
+    if ok.any():
+        out[ok] = _beta_tail(x, df[ok].to_numpy() / 2, np.full(int(ok.sum()), 0.5))
+    return out
+
+
+def trajectory(df: DataFrame, by: list[str], order: str, value: str, low: float = 0.20, high: float = 0.40, p: float = 0.15) -> DataFrame:
+    """trend() with p_value and class: insufficient_data under two points, steady under a variation of ``low``, growing or declining by a slope with a p-value under ``p``, sporadic over ``high``, else steady."""
+    t = trend(df, by, order, value).withColumn("p_value", slope_p_value("r2", "n"))
+    t = t.withColumn("p_value", F.nanvl("p_value", F.lit(None).cast("double")))
+    sure = F.coalesce(F.col("p_value") < p, F.lit(False))
+    kind = F.when(F.col("n") < 2, "insufficient_data").when(F.col("cv") < low, "steady").when((F.col("slope") > 0) & sure, "growing").when((F.col("slope") < 0) & sure, "declining").when(F.col("cv") > high, "sporadic").otherwise("steady")
+    return t.withColumn("class", kind)
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Ranks from 1, ties sharing their mean, without a window over all rows: distinct values are counted, range-partitioned and their counts summed up in two levels."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
+    width = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096)).otherwise(0)
+    counts = counts.join(F.broadcast(width)).withColumn("__cell", cell).drop("lo", "hi")  # one row of bounds
+    cells = counts.groupBy("__cell").agg(F.sum("__c").alias("__n"))  # at most 4097 rows
+    cells = cells.select("__cell", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__cell")) - F.col("__n")).alias("__before"))
+    inside = F.sum("__c").over(Window.partitionBy("__cell").orderBy(value))
+    ranks = counts.join(F.broadcast(cells), "__cell").withColumn("__up", inside)
+    ranks = ranks.select(F.col(value).alias("__v"), (F.col("__before") + F.col("__up") - (F.col("__c") - 1) / 2).alias(name))
+    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+
+
+def agreement(df: DataFrame, a: str, b: str, step: float = 0.25) -> DataFrame:
+    """One row over rows with both values: n, spearman, mean absolute difference, and the share of rows that agree on a grid of ``step``."""
+    x = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    x = average_ranks(average_ranks(x, a, "__ra"), b, "__rb")
+    grid = lambda c: F.floor(F.col(c) / step + 0.5)
+    return x.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("spearman"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.avg((grid(a) == grid(b)).cast("double")).alias("on_grid"))
+
+
+def fit_ridge(df: DataFrame, features: str, label: str, alphas: tuple[float, ...] = (0.1, 1.0, 10.0), folds: int = 5, key: str | None = None) -> dict:
+    """Ridge regression with an unpenalised intercept: alpha (least squared error over folds dealt by a hash of ``key`` or the features), intercept, coefficients, n.
+
+    One pass: each task adds up the Gram matrices of its rows by fold; the driver gets folds x (width + 2)^2 numbers for each task.
+    Rows whose features are null or not of the most frequent length, or hold null or NaN, or have no label, take no part."""
+    x = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(F.col(key or features)), F.lit(folds)).cast("int").alias("fold"))
+    x = x.filter("x is not null and y is not null and not exists(x, v -> v is null or isnan(v))")
+    size = x.select(F.size("x").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    if size is None:
+        raise ValueError("no rows to fit")
+    d = int(size[0])
+
+    def grams(batches):
+        total = np.zeros((folds, d + 2, d + 2))
+        for pdf in batches:
+            for f, g in pdf.groupby("fold"):
+                m = np.column_stack([np.ones(len(g)), np.stack(g["x"].to_numpy()), g["y"].to_numpy()])
+                total[f] += m.T @ m
+        yield pd.DataFrame({"fold": range(folds), "g": [t.ravel().tolist() for t in total]})
+
+    g = np.zeros((folds, d + 2, d + 2))
+    cells = x.filter(F.size("x") == d).mapInPandas(grams, "fold int, g array<double>").select("fold", F.posexplode("g").alias("i", "v")).groupBy("fold", "i").agg(F.sum("v").alias("v"))
+    for row in cells.collect():
+        g[row["fold"]].ravel()[row["i"]] = row["v"]
+
+    def solve(m: np.ndarray, alpha: float) -> np.ndarray:
+        return np.linalg.solve(m[:-1, :-1] + alpha * np.diag([1e-12, *[1.0] * d]), m[:-1, -1])
+
+    def error(m: np.ndarray, w: np.ndarray) -> float:
+        v = np.append(w, -1.0)
+        return float(v @ m @ v)
+
+    whole = g.sum(axis=0)
+    best = min(alphas, key=lambda a: sum(error(g[f], solve(whole - g[f], a)) for f in range(folds) if g[f][0, 0]))
+    w = solve(whole, best)
+    return {"alpha": best, "intercept": float(w[0]), "coefficients": w[1:].tolist(), "n": int(whole[0, 0])}

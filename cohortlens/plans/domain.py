@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import banded, safe_divide
-from cohortlens.operators import detectors, reports
+from cohortlens.functions import text as T
+from cohortlens.operators import detectors, relational, reports, stats
 from cohortlens.plans.queries import query, r
 
 TH = detectors.Thresholds(carrying=0.045, mismatch=0.01, dump_lines=30, survival_z=1.2, cosmetic=0.5)
@@ -214,3 +215,60 @@ select user_id, n, round(span, 3) as span_minutes, round(gap, 3) as longest_gap_
 def commit_rhythm(t):
     c = reports.commit_rhythm(t("events").select("user_id", "ts", "value"), "user_id", "ts", "value")
     return c.select("user_id", "n", *[r(k, d).alias(k) for k, d in (("span_minutes", 3), ("longest_gap_minutes", 3), ("size_per_minute", 6), ("largest_share", 6))], "fixup")
+
+
+# Scores, text and resolution
+
+
+@query()
+def trajectory_class(t):
+    m = t("orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("o_totalprice").alias("v"))
+    return stats.trajectory(m, ["o_custkey"], "month", "v").select("o_custkey", "n", "class", r("p_value", 6).alias("p_value"))
+
+
+@query("""
+with x as (select l_quantity as a, l_discount * 500 as b from lineitem),
+y as (select *, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2 as rb from x)
+select count(*) as n, round(corr(ra, rb), 6) as spearman, round(avg(abs(a - b)), 6) as mae, round(avg(case when floor(a / 5 + 0.5) = floor(b / 5 + 0.5) then 1.0 else 0.0 end), 6) as on_grid from y""")
+def score_agreement(t):
+    x = stats.agreement(t("lineitem").select(F.col("l_quantity").alias("a"), (F.col("l_discount") * 500).alias("b")), "a", "b", 5.0)
+    return x.select("n", *[r(c, 6).alias(c) for c in ("spearman", "mae", "on_grid")])
+
+
+@query(r"""
+with w as (select doc_id, list_filter(string_split_regex(lower(left(text, 200)), '[^a-z0-9]+'), lambda x: length(x) >= 2 and x not in ('a', 'an', 'and', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with')) as w from documents)
+select doc_id, array_to_string(w, ' ') as title, cast(len(w) as bigint) as n from w""")
+def title_tokens(t):
+    w = T.title_tokens(F.left("text", F.lit(200)))
+    return t("documents").select("doc_id", F.array_join(w, " ").alias("title"), F.size(w).cast("bigint").alias("n"))
+
+
+@query("""
+select l_orderkey, l_linenumber, sha1('tool|' || l_returnflag || '|' || l_partkey || '|' || l_linenumber || '|' || coalesce(l_linestatus, '')) as id from lineitem""")
+def finding_fingerprints(t):
+    i = T.finding_id(F.lit("tool"), F.col("l_returnflag"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_linestatus"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", i.alias("id"))
+
+
+@query("""
+with c as (select distinct split_part(p_type, ' ', 1) as prefix from part where p_size > 0 union select distinct p_type from part where p_size % 3 = 0),
+m as (select p_partkey, prefix, row_number() over (partition by p_partkey order by length(prefix) desc) as i from part join c on starts_with(p_type, prefix))
+select p_partkey, upper(prefix) as name, cast(length(prefix) % 3 as bigint) as category from part left join (select * from m where i = 1) using (p_partkey)""")
+def technology_catalog(t):
+    p = t("part")
+    c = p.filter("p_size > 0").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("prefix")).union(p.filter("p_size % 3 = 0").select("p_type")).distinct()
+    c = c.select("prefix", F.upper("prefix").alias("name"), (F.length("prefix") % 3).cast("bigint").alias("category"))
+    return relational.classify_by_prefix(p.select("p_partkey", "p_type"), "p_type", c).select("p_partkey", "name", "category")
+
+
+@query("""
+with l as (select l_orderkey as pr, 'm' || l_suppkey as assignee, sum(l_quantity) as points from lineitem where l_returnflag = 'A' group by 1, 2),
+b as (select pr, assignee, points, row_number() over w as i, lead(points) over w as second from l window w as (partition by pr order by points desc, assignee))
+select o_orderkey as pr, coalesce(assignee, 'c' || c_custkey, 'kept') as author, case when assignee is not null then 'task' when c_custkey is not null then 'login' else 'kept' end as strategy, coalesce(second = points, false) as ambiguous
+from orders left join (select * from b where i = 1) b on pr = o_orderkey left join customer on c_custkey = o_custkey and c_acctbal > 0""")
+def author_resolution(t):
+    login = lambda key: F.concat(F.lit("Login"), F.col(key).cast("string"))
+    p = t("orders").select(F.col("o_orderkey").alias("pr"), login("o_custkey").alias("login"), F.lit(None).cast("string").alias("email"), F.lit("kept").alias("author"))
+    links = t("lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("pr"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("assignee"), F.col("l_quantity").alias("points"))
+    known = t("customer").filter("c_acctbal > 0").select(F.lit("login").alias("kind"), F.upper(login("c_custkey")).alias("value"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("member"))
+    return relational.resolve_author(p, links, known)

@@ -1,10 +1,16 @@
 """Detectors and report datasets on small hand-made frames."""
 
 import datetime as dt
+import json
+import math
+
+import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import detectors, reports
+from cohortlens.functions import text as T
+from cohortlens.operators import detectors, relational, reports, stats
 
 
 def rows(df, *cols):
@@ -87,3 +93,48 @@ def test_reports(spark):
     assert (got["q"]["size_per_minute"], got["q"]["longest_gap_minutes"], got["q"]["fixup"]) == (None, 0.0, False)
     v = reports.version_diff(spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, c string"), spark.createDataFrame([(1, "y"), (2, None), (4, "w")], "k int, c string"), "k", "c")
     assert rows(v, "k", "status") == [(1, "modified"), (2, "unchanged"), (3, "removed"), (4, "added")]
+
+
+def test_p_values(spark):
+    # Two-sided Student t: (t, degrees of freedom, p) of printed tables; R^2 = t^2 / (t^2 + df).
+    known = [(2.228, 10, 0.05), (12.706, 1, 0.05), (1.960, 100000, 0.05), (3.169, 10, 0.01), (0.0, 5, 1.0)]
+    df = spark.createDataFrame([(i, t * t / (t * t + d), d + 2) for i, (t, d, _) in enumerate(known)] + [(9, None, 9), (10, 0.5, 2), (11, 1.0, 5)], "i int, r2 double, n long")
+    got = {r["i"]: r["p"] for r in df.select("i", stats.slope_p_value("r2", "n").alias("p")).collect()}
+    assert all(abs(got[i] - p) < 2e-4 for i, (_, _, p) in enumerate(known))
+    assert all(got[i] is None or math.isnan(got[i]) for i in (9, 10)) and got[11] == 0
+
+
+def test_trajectory(spark):
+    series = {"up": [1.0, 2.0, 3.1, 4.0], "down": [4.0, 3.0, 2.1, 1.0], "flat": [5.0, 5.0, 5.1, 5.0], "wild": [1.0, 9.0, 1.0, 8.0], "one": [3.0]}
+    df = spark.createDataFrame([(k, i, v) for k, x in series.items() for i, v in enumerate(x)], "k string, i int, v double")
+    got = {r["k"]: r["class"] for r in stats.trajectory(df, ["k"], "i", "v").collect()}
+    assert got == {"up": "growing", "down": "declining", "flat": "steady", "wild": "sporadic", "one": "insufficient_data"}
+
+
+def test_ridge(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    y = 2 + x @ [1.0, -2.0, 0.5]
+    rows_ = [(i, v.tolist(), float(w)) for i, (v, w) in enumerate(zip(x, y))] + [(900, None, 1.0), (901, [1.0], 1.0), (902, [1.0, None, 2.0], 1.0), (903, [1.0, 2.0, 3.0], None)]
+    got = stats.fit_ridge(spark.createDataFrame(rows_, "id int, x array<double>, y double"), "x", "y", key="id")
+    m = np.column_stack([np.ones(300), x])
+    want = np.linalg.solve(m.T @ m + got["alpha"] * np.diag([0, 1, 1, 1]), m.T @ y)
+    assert got["n"] == 300 and got["alpha"] == 0.1
+    assert np.allclose([got["intercept"], *got["coefficients"]], want)
+    with pytest.raises(ValueError):
+        stats.fit_ridge(spark.createDataFrame([], "x array<double>, y double"), "x", "y")
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([("[]",), (None,), ("{broken",), (json.dumps([{"kind": str(i), "detail": "d"} for i in range(20)]),)], "j string")
+    got = [json.loads(r[0]) for r in df.select(T.append_json(F.col("j"), F.lit("new"), F.lit("x"))).collect()]
+    assert [len(g) for g in got] == [1, 1, 1, 20] and got[3][0]["kind"] == "1" and got[3][-1]["kind"] == "new"
+    build = spark.createDataFrame([("implementation 'com.a:lib:1.0'\napi \"org.b:core\" x 'com.a:lib:2'", "int a; /* no\n*/ b(); // c\nd")], "g string, s string")
+    r = build.select(T.coordinates(F.col("g")).alias("c"), T.strip_comments(F.col("s")).alias("s")).first()
+    assert r["c"] == ["com.a:lib", "org.b:core"] and r["s"] == "int a;  b(); \nd"
+
+
+def test_prefix_catalog(spark):
+    df = spark.createDataFrame([("com.a:x",), ("com.a.b:y",), ("zzz",), (None,)], "v string")
+    c = spark.createDataFrame([("com.a", "A", "one"), ("com.a.b", "B", "two")], "prefix string, name string, category string")
+    assert sorted((r["v"] or "", r["name"] or "") for r in relational.classify_by_prefix(df, "v", c).collect()) == [("", ""), ("com.a.b:y", "B"), ("com.a:x", "A"), ("zzz", "")]
