@@ -26,6 +26,10 @@ class Thresholds:
     low: tuple[float, float] = (0.10, 0.20)
     builds: int = 3
     failure: float = 0.5
+    cramming: float = 0.70
+    documentation: float = 2.0
+    late: float = 0.20
+    mutation: tuple[float, float] = (0.30, 0.50)
 
 
 def team_context(members: DataFrame) -> DataFrame:
@@ -80,6 +84,43 @@ def pr_rules(th: Thresholds = Thresholds()) -> list[Rule]:
     ]
 
 
+def process_rules(th: Thresholds = Thresholds()) -> list[Rule]:
+    """Over members: cramming (share of work at the end), documentation (mean score), review (signal), punctuality (mean) with timed_prs, mutation (score). A null measure raises nothing."""
+    c = F.col
+    low, severity = banded(c("review"), th.low)
+    return [
+        Rule("CRAMMING", c("cramming") > th.cramming, "WARNING", {"cramming": F.round("cramming", 4)}),
+        Rule("LOW_DOC_SCORE", c("documentation") < th.documentation, "INFO", {"documentation": F.round("documentation", 4)}),
+        Rule("LOW_REVIEWS", low, severity, {"review": F.round("review", 4)}),
+        Rule("ALL_PRS_LATE", (c("timed_prs") >= 2) & (c("punctuality") < th.late), "WARNING", {"punctuality": F.round("punctuality", 4)}),
+        Rule("LOW_MUTATION_SCORE", c("mutation") < th.mutation[1], F.when(c("mutation") < th.mutation[0], "WARNING").otherwise("INFO"), {"mutation": F.round("mutation", 4)}),
+    ]
+
+
+def process_flags(members: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
+    return raise_flags(members, ["member"], process_rules(th))
+
+
+def foreign_merges(prs: DataFrame, links: DataFrame) -> DataFrame:
+    """Merged pull requests that a finished task links to whose assignee is not their author: pr, author, assignee, one row for each pair. Nulls raise nothing."""
+    x = links.filter("done").select("pr", "assignee").distinct().join(prs.filter("merged").select("pr", "author"), "pr")
+    return x.filter("author != assignee").select("pr", "author", "assignee")
+
+
+def rewrite_flags(found: DataFrame) -> DataFrame:
+    """Flags of rewrites(): the actor's, and the victim's only where the actor is unknown. subject, flag, severity, file, n."""
+    side = lambda who, name, severity: F.struct(F.col(who).alias("subject"), F.lit(name).alias("flag"), F.lit(severity).alias("severity"))
+    both = F.array(F.when(F.col("actor").isNotNull(), side("actor", "COSMETIC_REWRITE_ACTOR", "WARNING")), F.when(F.col("actor").isNull(), side("victim", "COSMETIC_REWRITE_VICTIM", "INFO")))
+    return found.select("file", "n", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select("x.*", "file", "n")
+
+
+def similarity_flags(pairs: DataFrame) -> DataFrame:
+    """Two rows for each pair of teams that share methods: subject PROJECT_<team>, other, shared. pairs: a, b, shared."""
+    name = lambda c: F.concat(F.lit("PROJECT_"), F.col(c).cast("string"))
+    sides = F.array(F.struct(name("a").alias("subject"), name("b").alias("other")), F.struct(name("b").alias("subject"), name("a").alias("other")))
+    return pairs.select(F.explode(sides).alias("x"), "shared").select("x.subject", F.lit("CROSS_TEAM_SIMILARITY").alias("flag"), F.lit("CRITICAL").alias("severity"), "x.other", "shared")
+
+
 def member_flags(members: DataFrame, th: Thresholds = Thresholds()) -> DataFrame:
     return raise_flags(team_context(members), ["member"], member_rules(th))
 
@@ -143,7 +184,7 @@ def hotspots(shares: DataFrame, weights: Column, least: float) -> DataFrame:
 def rewrites(before: DataFrame, now: DataFrame) -> DataFrame:
     """Statements at the same place with the same normalised and another raw hash by another author: file, victim, actor, n. Both: file, position, raw, normalized, author."""
     old = before.select("file", "position", "normalized", F.col("raw").alias("raw0"), F.col("author").alias("victim"))
-    x = now.join(old, ["file", "position", "normalized"]).filter("raw != raw0 and author != victim")
+    x = now.join(old, ["file", "position", "normalized"]).filter("raw != raw0 and not (author <=> victim)")
     return x.groupBy("file", "victim", F.col("author").alias("actor")).agg(F.count("*").alias("n"))
 
 

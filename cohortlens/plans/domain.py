@@ -272,3 +272,34 @@ def author_resolution(t):
     links = t("lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("pr"), F.concat(F.lit("m"), F.col("l_suppkey").cast("string")).alias("assignee"), F.col("l_quantity").alias("points"))
     known = t("customer").filter("c_acctbal > 0").select(F.lit("login").alias("kind"), F.upper(login("c_custkey")).alias("value"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("member"))
     return relational.resolve_author(p, links, known)
+
+
+@query("""
+with m as (select user_id as member, count(*) as n, count(case when hour(ts) >= 17 then 1 end) / cast(count(*) as double) as cramming, avg(value) / 12 as documentation, count(case when event_type = 'purchase' then 1 end) / cast(count(*) as double) as review,
+  count(case when hour(ts) < 5 then 1 end) / cast(count(*) as double) as punctuality, max(value) / 400 as mutation from events group by 1)
+select member, 'CRAMMING' as flag, 'WARNING' as severity from m where cramming > 0.3
+union all select member, 'LOW_DOC_SCORE', 'INFO' from m where documentation < 2
+union all select member, 'LOW_REVIEWS', case when review < 0.1 then 'CRITICAL' else 'WARNING' end from m where review < 0.2
+union all select member, 'ALL_PRS_LATE', 'WARNING' from m where n >= 2 and punctuality < 0.2
+union all select member, 'LOW_MUTATION_SCORE', case when mutation < 0.3 then 'WARNING' else 'INFO' end from m where mutation < 0.5""")
+def process_detectors(t):
+    h, share = F.hour("ts"), lambda c: F.avg(c.cast("double"))
+    m = t("events").groupBy(F.col("user_id").alias("member")).agg(
+        F.count("*").alias("timed_prs"), share(h >= 17).alias("cramming"), (F.avg("value") / 12).alias("documentation"), share(F.col("event_type") == "purchase").alias("review"),
+        share(h < 5).alias("punctuality"), (F.max("value") / 400).alias("mutation"),
+    )
+    return detectors.process_flags(m, detectors.Thresholds(cramming=0.3)).drop("details")
+
+
+@query("""
+select distinct l_orderkey as pr, o_custkey % 100 + 1 as author, l_suppkey as assignee from lineitem join orders on l_orderkey = o_orderkey where l_linestatus = 'F' and o_orderstatus = 'F' and l_suppkey <> o_custkey % 100 + 1""")
+def foreign_merges(t):
+    p = t("orders").select(F.col("o_orderkey").alias("pr"), (F.col("o_custkey") % 100 + 1).alias("author"), (F.col("o_orderstatus") == "F").alias("merged"))
+    return detectors.foreign_merges(p, t("lineitem").select(F.col("l_orderkey").alias("pr"), F.col("l_suppkey").alias("assignee"), (F.col("l_linestatus") == "F").alias("done")))
+
+
+@query("""
+with h as (select distinct sha256(text) as h, source from documents where text is not null), p as (select x.source as a, y.source as b, count(*) as shared from h x join h y on x.h = y.h and x.source < y.source group by 1, 2)
+select 'PROJECT_' || a as subject, 'CROSS_TEAM_SIMILARITY' as flag, 'CRITICAL' as severity, 'PROJECT_' || b as other, shared from p union all select 'PROJECT_' || b, 'CROSS_TEAM_SIMILARITY', 'CRITICAL', 'PROJECT_' || a, shared from p""")
+def cross_team_flags(t):
+    return detectors.similarity_flags(relational.shared_pairs(t("documents").filter("text is not null").select(F.sha2("text", 256).alias("h"), "source"), "h", "source"))

@@ -75,9 +75,9 @@ def test_layers(spark):
 
 def test_rewrites_and_declining(spark):
     cols = "file string, position int, raw string, normalized string, author string"
-    old = spark.createDataFrame([("f", 1, "r1", "n", "x"), ("f", 2, "r2", "n", "x"), ("f", 3, "r3", "n", None)], cols)
+    old = spark.createDataFrame([("f", 1, "r1", "n", "x"), ("f", 2, "r2", "n", "x"), ("f", 3, "r3", "n", "y")], cols)
     new = spark.createDataFrame([("f", 1, "q1", "n", "y"), ("f", 2, "r2", "n", "y"), ("f", 3, "q", "n", "y")], cols)
-    assert rows(detectors.rewrites(old, new), "victim", "actor", "n") == [("x", "y", 1)]
+    assert rows(detectors.rewrites(old, new), "victim", "actor", "n", "file") == [("x", "y", 1, "f")]
     s = spark.createDataFrame([("m", p, v) for p, v in ((1, 0.9), (1, 0.9), (1, 0.9), (2, 0.1), (2, 0.1), (2, 0.1), (3, 0.0))], "member string, period int, score double")
     assert [(m, p, round(d, 3)) for m, p, d in rows(detectors.declining(s), "member", "period", "delta")] == [("m", 2, -0.8)]
 
@@ -138,3 +138,18 @@ def test_prefix_catalog(spark):
     df = spark.createDataFrame([("com.a:x",), ("com.a.b:y",), ("zzz",), (None,)], "v string")
     c = spark.createDataFrame([("com.a", "A", "one"), ("com.a.b", "B", "two")], "prefix string, name string, category string")
     assert sorted((r["v"] or "", r["name"] or "") for r in relational.classify_by_prefix(df, "v", c).collect()) == [("", ""), ("com.a.b:y", "B"), ("com.a:x", "A"), ("zzz", "")]
+
+
+def test_process_flags(spark):
+    df = spark.createDataFrame([("a", 0.8, 1.0, 0.05, 2, 0.1, 0.2), ("b", 0.7, 2.0, 0.2, 1, 0.1, 0.5), ("c", None, None, None, None, None, None), ("d", 0.1, 3.0, 0.15, 3, 0.5, 0.4)], "member string, cramming double, documentation double, review double, timed_prs int, punctuality double, mutation double")
+    assert rows(detectors.process_flags(df), "member", "flag", "severity") == [
+        ("a", "ALL_PRS_LATE", "WARNING"), ("a", "CRAMMING", "WARNING"), ("a", "LOW_DOC_SCORE", "INFO"), ("a", "LOW_MUTATION_SCORE", "WARNING"), ("a", "LOW_REVIEWS", "CRITICAL"),
+        ("d", "LOW_MUTATION_SCORE", "INFO"), ("d", "LOW_REVIEWS", "WARNING"),
+    ]
+
+
+def test_rewrite_and_similarity_flags(spark):
+    found = spark.createDataFrame([("f", "x", "y", 2), ("g", "x", None, 1)], "file string, victim string, actor string, n long")
+    assert rows(detectors.rewrite_flags(found), "subject", "flag") == [("x", "COSMETIC_REWRITE_VICTIM"), ("y", "COSMETIC_REWRITE_ACTOR")]
+    pairs = spark.createDataFrame([(1, 2, 5)], "a int, b int, shared long")
+    assert rows(detectors.similarity_flags(pairs), "subject", "other", "shared") == [("PROJECT_1", "PROJECT_2", 5), ("PROJECT_2", "PROJECT_1", 5)]
