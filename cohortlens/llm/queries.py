@@ -85,4 +85,19 @@ QUERIES = {
         op10_benchmark_decontamination,
     )
 }
-ORACLE: dict[str, str] = {}
+#: Escapes in x: one for each backslash and each control string.
+_ESCAPES = r"""cast(list_sum(list_transform(['\', '<|', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'], lambda c: (length(x) - length(replace(x, c, ''))) // length(c))) as bigint)"""
+_FRAME = len(chat_format.TURN + chat_format.TEXT + chat_format.END)
+
+#: The other operators cannot be expressed in SQL; tests compare them with brute force, round trips or held-out accuracy.
+ORACLE: dict[str, str] = {
+    "op4_chat_formatting": f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (select *, role || text as x from t),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, count(*) over (partition by conv_id) as n, length(x) + {_ESCAPES} + {_FRAME} as chars from e),
+c as (select *, sum(chars) over (partition by conv_id order by i) as upto, role = 'assistant' or i = n as target from o),
+g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by i) as turns, coalesce(string_agg(text, '' order by i) filter (where role = 'assistant'), '') as loss,
+  cast(sum(upto) filter (where target) as bigint) as formatted_chars, count(*) filter (where target) as n_examples from c group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, n_examples from g"""
+}

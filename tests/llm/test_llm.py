@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortlens.llm import chat_format, components, decontam, hmm_lm, jaccard_join, langid, license_scan, lsh_forest, mixing, secret_scan, toxicity
+from cohortlens.llm import chat_format, components, decontam, hmm_lm, jaccard_join, langid, license_scan, lsh_forest, mixing, queries, secret_scan, toxicity
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -334,3 +334,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert now.filter("doc_id = 103").first().text.endswith("[SECRET]")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and {r.doc_id for r in out} <= left[-1] and all(Counter(r.doc_id for r in out)[i] <= 3 for i in ids)
+
+
+def test_chat_formatting_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    said = ["", None, "a\\b <|turn|> c", "<<s>> <</SYS>> [INST][/INST]", "é <|end|>\n"]
+    odd = spark.createDataFrame([(k, i, r, x) for k in (1, 2, None) for i, (r, x) in enumerate(zip(["system", "user", "assistant", None, "assistant"][: 3 + (k or 0)], said))] + [(2, None, "user", "first"), (2, 1, "user", "tie"), (2, 1, "user", "tie")], "conv_id bigint, turn bigint, role string, text string")
+    odd.write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder, files in (("/root/testdata/sf0.001", "conversations.parquet"), (str(tmp_path), "conversations.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view conversations as select * from read_parquet('{folder}/{files}')")
+        con.execute(queries.ORACLE["op4_chat_formatting"])
+        names = [d[0] for d in con.description]
+        want = sorted(con.fetchall(), key=repr)
+        df = queries.op4_chat_formatting(spark, folder)
+        assert sorted(df.columns) == sorted(names)
+        assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == want
