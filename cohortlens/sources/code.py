@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import xml.etree.ElementTree as ET
 from dataclasses import dataclass
 
 import pandas as pd
@@ -219,6 +220,34 @@ def comments(df: DataFrame, text: str) -> DataFrame:
     return _explode(df, text, lambda source: ((x.line, x.text) for x in scan(source) if x.kind == "comment"), "line int, comment string")
 
 
+def xml_elements(df: DataFrame, text: str) -> DataFrame:
+    """A row for each element of XML layouts, in document order: position, depth, path (tags from the root), element (tag and attributes by name, without name spaces), normalized (ids and sizes masked) and its SHA-256. Malformed, null and empty texts give none."""
+
+    def bare(name: str) -> str:
+        return name.rsplit("}", 1)[-1]
+
+    def masked(value: str) -> str:
+        value = re.sub(r"^@\+?id/.*", "@id/_ID_", value, flags=re.S)
+        return re.sub(r"^-?\d+(?:\.\d+)?(?:dp|sp|px|dip|pt)$", "_DIM_", value)
+
+    def rows(source: str):
+        try:
+            root = ET.fromstring(source)
+        except ET.ParseError:
+            return
+        stack, i = [(root, ())], 0
+        while stack:
+            node, above = stack.pop()
+            path = (*above, bare(node.tag))
+            attributes = sorted((bare(k), v) for k, v in node.attrib.items())
+            raw, norm = (" ".join([path[-1], *[f'{k}="{f(v)}"' for k, v in attributes]]) for f in (str, masked))
+            yield i, len(above), "/".join(path), raw, norm, sha(norm)
+            i += 1
+            stack += [(child, path) for child in reversed(node) if isinstance(child.tag, str)]
+
+    return _explode(df, text, rows, "position int, depth int, path string, element string, normalized string, fingerprint string")
+
+
 def complexity_findings(metrics: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """A row for each measure above its warning limit: kind, severity, value; critical above the second limit. Both limits are strict."""
 

@@ -67,3 +67,12 @@ def test_nesting_of_loops():
 def test_halstead():
     h = code.halstead([x for x in code.scan("a = b + b;")])
     assert h["volume"] == pytest.approx(6 * 2.321928094887362) and h["difficulty"] == pytest.approx(3 / 2 * 3 / 2)
+
+
+def test_xml_layouts(spark):
+    layout = '<L xmlns:a="urn:x"><!-- c --><T a:width="12dp" a:id="@+id/name" a:alpha="0.5"/><B><T a:id="@id/other" a:alpha="0.5" a:width="7.5sp"/></B></L>'
+    df = spark.createDataFrame([(1, layout), (2, "<broken"), (3, None), (4, "")], "id int, src string")
+    got = code.xml_elements(df, "src").orderBy("id", "position").collect()
+    assert [(r["id"], r["depth"], r["path"]) for r in got] == [(1, 0, "L"), (1, 1, "L/T"), (1, 1, "L/B"), (1, 2, "L/B/T")]
+    assert got[1]["normalized"] == got[3]["normalized"] == 'T alpha="0.5" id="@id/_ID_" width="_DIM_"'
+    assert got[1]["fingerprint"] == got[3]["fingerprint"] and got[1]["element"] != got[3]["element"]
