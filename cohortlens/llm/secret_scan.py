@@ -35,7 +35,7 @@ CLASSES = {"entropy_hex": ("0123456789abcdefABCDEF", 3.0), "entropy_base64": ("A
 ALLOW = (
     r"^[0-9=+/_-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[0-9]*([/_=+-]*[A-Za-z][a-z]*)+[/_=+-]*[0-9]{0,4}$",
+    r"^[0-9]*[/_=+-]*[A-Za-z][A-Za-z/_=+-]*[0-9]{0,4}$",
     r"(?i)0123456789|abcdefghij|(.)\1{7}",
 )
 
