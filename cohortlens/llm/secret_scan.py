@@ -40,21 +40,55 @@ ALLOW = (
 )
 
 
-def _placed(text: Column, pattern: str, kind: str, ok=None) -> Column:
+_SPAN = "start:int,k:int,end:int,kind:string"
+#: Items of an array folded together; an append copies no more than one chunk and the list of chunks.
+CHUNK = 256
+
+
+def _pairs(text: Column, pattern: str) -> Column:
+    """array<struct<gap, value>>: each match and what lies before it, then the rest of the text; null without a match."""
+    return F.when(text.rlike(pattern), F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")))
+
+
+def _append_fold(items: Column, item: str, step) -> Column:
+    """array<struct<item>> built by a left fold over items from position 0: step(at, x) gives the next position, whether to append, and what. Null items give an empty array."""
+    none = f"array<struct<{item}>>"
+
+    def one(acc: Column, x: Column) -> Column:
+        at, keep, value = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.when(keep, F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"))
+
+    def chunk(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), F.expr(f"cast(array() as {none})").alias("out")), one)
+        # The one-item array names the result, so that it is computed once.
+        return F.get(F.transform(F.array(done), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / CHUNK).cast("int")), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{none}>)").alias("out"))
+    folded = F.flatten(F.aggregate(parts, zero, chunk, lambda acc: acc["out"]))
+    return F.when(items.isNull() | (F.size(items) == 0), F.expr(f"cast(array() as {none})")).otherwise(folded)
+
+
+def _placed(pairs: Column, kind: str, ok=None) -> Column:
     """array<struct<start, k, end, kind, value>> of all matches that satisfy ok, in order."""
-    k = KINDS.index(kind)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,k:int,end:int,kind:string,value:string>>)")
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        span = F.struct(start.alias("start"), F.lit(k).alias("k"), (start + F.length(x["value"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        keep = x["value"].isNotNull() & (ok(x["value"]) if ok else F.lit(True))
-        return F.struct((start + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column):
+        start = at + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+        return end, x["value"].isNotNull() & (ok(x["value"]) if ok else F.lit(True)), span
+
+    return _append_fold(pairs, f"{_SPAN},value:string", step)
+
+
+def _uncovered(spans: Column) -> Column:
+    """spans, in order, without the entropy spans that lie inside a base span; at holds the furthest end of base spans so far."""
+
+    def step(at: Column, s: Column):
+        base = s["k"] < 3
+        return F.when(base, F.greatest(at, s["end"])).otherwise(at), base | (s["end"] > at), s
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), placed).otherwise(empty)
+    return _append_fold(spans, _SPAN, step)
 
 
 def _hot_windows(value: Column, alphabet: str, least: float, window: int) -> Column:
@@ -91,12 +125,13 @@ def _hot_windows(value: Column, alphabet: str, least: float, window: int) -> Col
 def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, float]] = CLASSES, allow: tuple[str, ...] = ALLOW, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """docs with two arrays of struct<start, k, end, kind> added or replaced: base spans, and all spans, by start, then kind in the order of KINDS."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    work = docs.withColumns(
+    work = docs.withColumns({f"__pairs_{name}": _pairs(t, pattern) for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))})
+    work = work.withColumns(
         {
-            "__assign": _placed(t, ASSIGN, "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6),
-            "__access": _placed(t, ACCESS, "access"),
-            "__hex": _placed(t, HEX, "hex"),
-            "__cand": _placed(t, CANDIDATE, "entropy_base64", lambda v: ~F.greatest(*[v.rlike(a) for a in allow]) if len(allow) > 1 else (~v.rlike(allow[0]) if allow else F.lit(True))),
+            "__assign": _placed(F.col("__pairs_assign"), "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6),
+            "__access": _placed(F.col("__pairs_access"), "access"),
+            "__hex": _placed(F.col("__pairs_hex"), "hex"),
+            "__cand": _placed(F.col("__pairs_cand"), "entropy_base64", lambda v: ~F.greatest(*[v.rlike(a) for a in allow]) if len(allow) > 1 else (~v.rlike(allow[0]) if allow else F.lit(True))),
         }
     )
     strip = lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
@@ -113,8 +148,8 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, fl
             )
         )
         hot.append(spans)
-    added = F.filter(F.concat(*hot), lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-    every = F.when(F.size("__cand") > 0, F.array_sort(F.concat(F.col("__base"), added))).otherwise(F.col("__base"))
+    work = work.withColumn("__found", F.when(F.size("__cand") > 0, F.array_sort(F.concat(F.col("__base"), *hot))))
+    every = F.when(F.col("__found").isNotNull(), _uncovered(F.col("__found"))).otherwise(F.col("__base"))
     work = work.withColumn("__all", every)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return work.select(*kept, F.col("__base").alias(names[0]), F.col("__all").alias(names[1]))

@@ -147,6 +147,18 @@ def test_secret_scan_equals_brute_force(spark):
     assert red[0] == "" and red[1] is None and red[6] == "key [SECRET] end" and len(red) == len(texts)
 
 
+def test_secret_scan_of_long_texts(spark):
+    rng = random.Random(9)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    dense = " ".join(rng.choice([some("0123456789abcdef", 30), "token: " + some("abc123", 8), "é" * rng.randint(1, 9)]) for _ in range(1500))
+    texts = [dense, "abzd" * 10_000 + "12345678x1", "AKIA" + "B7" * 5_000, " ".join(["deadbeef" * 4] * secret_scan.CHUNK), "x " * 20_000 + "token=abcdef"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        base, every = secret_brute(texts[r.doc_id])
+        assert [tuple(s) for s in r.base_spans] == base
+        assert [tuple(s) for s in r.spans] == every
+
+
 def test_chat_round_trip(spark):
     bad = "<|end|>\\<|text|> </s>[INST] a [/INST] \\\\<<SYS>>\n<"
     rows = [(1, 0, "system", bad), (1, 1, "user", None), (1, 2, "assistant", bad + "\\"), (1, 3, "assistant", "\U0001f600"), (1, 4, "user", "tail"), (2, 0, "user", "only"), (None, 0, "a\n<|text|>", "x"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, None, None, "first")]
