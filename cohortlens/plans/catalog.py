@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from cohortlens.plans import domain  # noqa: F401  registers its queries
+from cohortlens.plans import cohort, domain  # noqa: F401  register their queries
 from cohortlens.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
