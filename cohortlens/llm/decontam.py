@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cohortlens.llm.common import pieces, reduced, text_bytes, token_bounds, token_hashes
 
@@ -158,12 +159,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     spark = docs.sparkSession
     docs = reduced(docs, "doc_id", "text")
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), reduced(benchmark, "item_id").schema["item_id"].dataType.simpleString()
+    item_arrow = to_arrow_type(reduced(benchmark, "item_id").schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, matched bigint, first_token bigint, n_tokens bigint"
     out = None
     for index in index_blocks(benchmark, window, block_tokens):
         shared = spark.sparkContext.broadcast(index)
 
-        def scan(batches, shared=shared):
+        def scan(batches, shared=shared, item_arrow=item_arrow):
             ix = shared.value
             for batch in batches:
                 for piece in pieces(batch, "text"):
@@ -171,7 +173,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     found = _scan(ix, piece)
                     if found:
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([d for d, _ in found])), pa.array([ix.ids[i] for _, i in found])] + [pa.array([v[k] for v in found.values()], pa.int64()) for k in range(3)],
+                            [ids.take(pa.array([d for d, _ in found])), pa.array([ix.ids[i] for _, i in found], item_arrow)] + [pa.array([v[k] for v in found.values()], pa.int64()) for k in range(3)],
                             names=["doc_id", "item_id", "matched", "first_token", "n_tokens"],
                         )
 

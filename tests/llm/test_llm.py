@@ -106,6 +106,13 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.find_overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two three four five six seven eight"), (None, None), (None, "")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so ONE two three four five six seven eight"), (None, "one two three four five six seven eight"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted((tuple(r)[:2] for r in decontam.find_overlaps(df, bench).collect()), key=repr) == [(1, None), (None, None)]
+    assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [3, 4]
+
+
 def secret_brute(text):
     base = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
