@@ -1,16 +1,18 @@
 """License scan: sparse TF-IDF cosine of notices to templates, then inheritance along directories.
 
-Words are runs of ASCII letters, digits and non-ASCII bytes, in lower case. The inverse document
-frequency of each template word is counted over all texts. Words of the templates that occur
-in under ``ANCHOR_SHARE`` of the texts are anchors; anchors at most ``GAP`` words apart
-bound a passage anywhere in the text (a header, a footer, a whole licence file); where
-such a passage fits no template, windows of the templates' lengths from each of its anchors are
-tried too. A passage is compared with each template by cosine; words that no template has weigh
-as much as the median template word. The best passage at ``THRESHOLD`` or more names the
-text's licence.
+Words are runs of ASCII letters, digits and non-ASCII bytes, in lower case. A template word weighs
+its inverse document frequency, counted over all texts, plus its inverse frequency among the
+licences, which still tells licences apart where one notice is in most texts. Which passages
+are compared does not depend on frequencies: windows of the templates' lengths from every
+template word, and stretches of template words at most ``GAP`` words apart, with and without
+``FUNCTION_WORDS`` (a header, a footer, a whole licence file). A passage is compared with
+each template by cosine, where a bound on the cosine from running sums reaches
+``THRESHOLD``; words that no template has weigh as much as the median template word. The best
+passage at ``THRESHOLD`` or more names the text's licence.
 
 A licence file is a text named like one (LICENSE, LICENCE, COPYING, NOTICE, with any
-extension) or one whose passage holds four fifths of its words or more. It licenses its
+extension) or one where the passage, or a stretch between content words that fits the same
+licence, holds four fifths of its words or more. It licenses its
 directory: a text without a licence of its own takes that of its nearest ancestor
 directory that has one, its own directory first. Several files in a directory: the highest cosine,
 then the first by path.
@@ -22,7 +24,6 @@ an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -56,7 +57,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 THRESHOLD = 0.7
 GAP = 8
-ANCHOR_SHARE = 0.2
+# Words too common in prose to bound a stretch of a notice.
+FUNCTION_WORDS = frozenset("a an and any are as at by for from if in is it not of on or that the this to with you your".split())
+# Words of passages compared at once.
+_BLOCK = 1 << 16
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$"
 _BETWEEN = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
@@ -81,28 +85,70 @@ class Templates:
         self.hash = h[self.order]
         self.tf = np.array([[b[w] for w in self.words] for b in bags], dtype=float)
         self.lengths = sorted({sum(b.values()) for b in bags})
-        self.idf = np.ones(len(self.words))
-        self.anchor = np.ones(len(self.words), dtype=bool)
+        named = [set().union(*(b for b, m in zip(bags, self.names) if m == n)) for n in sorted(templates)]
+        self.rare = np.log((1 + len(named)) / np.array([1 + sum(w in x for x in named) for w in self.words]))
+        self.content = np.array([w not in FUNCTION_WORDS for w in self.words])
 
     def index(self, th: np.ndarray) -> np.ndarray:
         """Index of each hashed word among the template words, -1 for others."""
         at = np.minimum(np.searchsorted(self.hash, th), len(self.hash) - 1)
         return np.where(self.hash[at] == th, self.order[at], -1)
 
-    def weigh(self, df: dict[int, int], n: int, share: float) -> None:
+    def weigh(self, df: dict[int, int], n: int) -> None:
         count = np.array([df.get(i, 0) for i in range(len(self.words))])
-        self.idf = np.log((1 + n) / (1 + count)) + 1e-3
-        self.anchor = count <= share * n if n else self.anchor
+        self.idf = np.log((1 + n) / (1 + count)) + self.rare + 1e-3
         self.other = float(np.median(self.idf))
         x = self.tf * self.idf
         self.unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-    def best(self, index: np.ndarray) -> tuple[float, int]:
-        """Highest cosine of a passage (template word indexes) and its template."""
-        known = index[index >= 0]
-        x = np.bincount(known, minlength=len(self.words)) * self.idf
-        cos = self.unit @ x / math.sqrt((x * x).sum() + (len(index) - len(known)) * self.other**2)
-        return float(cos.max()), int(cos.argmax())
+    def best(self, index: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Highest cosine of each passage index[begin:end] (template word indexes, -1 for others) and its template."""
+        score, which = np.zeros(len(begin)), np.zeros(len(begin), np.int64)
+        cost = np.cumsum(end - begin + len(self.words))
+        i = 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(cost, (cost[i - 1] if i else 0) + _BLOCK * 16, side="right")))
+            size = end[i:j] - begin[i:j]
+            row = np.repeat(np.arange(j - i), size)
+            at = np.arange(len(row)) + np.repeat(begin[i:j] - np.cumsum(size) + size, size)
+            width = len(self.words) + 1
+            n = np.bincount(row * width + np.where(index[at] >= 0, index[at], width - 1), minlength=(j - i) * width).reshape(-1, width)
+            x = n[:, :-1] * self.idf
+            cos = x @ self.unit.T / np.sqrt((x * x).sum(axis=1) + n[:, -1] * self.other**2)[:, None]
+            score[i:j], which[i:j] = cos.max(axis=1), cos.argmax(axis=1)
+            i = j
+        return score, which
+
+    def passages(self, index: np.ndarray, tok_off: np.ndarray, threshold: float, gap: int) -> tuple[np.ndarray, ...]:
+        """Document, begin, end, cosine and template of every passage at threshold or more, and whether it is a stretch between content words."""
+        at = np.flatnonzero(index >= 0)
+        doc = np.searchsorted(tok_off, at, side="right") - 1
+        last = tok_off[doc + 1]
+        tries = [(doc, at, np.minimum(at + n, last), False) for n in self.lengths]
+        for keep, whole in ((np.ones(len(at), bool), False), (self.content[index[at]], True)):
+            a, d = at[keep], doc[keep]
+            if len(a):
+                cuts = np.flatnonzero((np.diff(a) > gap + 1) | (np.diff(d) > 0)) + 1
+                first, final = np.r_[0, cuts], np.r_[cuts, len(a)] - 1
+                tries.append((d[first], a[first], a[final] + 1, whole))
+        # With c times a word in a passage, c * c is at least c, so sums over the words bound the norm from below.
+        w = np.where(index >= 0, self.idf[index], 0.0)
+        norm = np.r_[0.0, np.cumsum(np.where(index >= 0, w * w, self.other**2))]
+        dots = [np.r_[0.0, np.cumsum(np.where(index >= 0, w * u[index], 0.0))] for u in self.unit]
+        slack = 1e-12 * (1 + norm[-1])
+        out = []
+        for d, a, b, whole in tries:
+            for i in range(0, len(a), _BLOCK):
+                d1, a1, b1 = d[i : i + _BLOCK], a[i : i + _BLOCK], b[i : i + _BLOCK]
+                least = threshold * np.sqrt(np.maximum(norm[b1] - norm[a1] - slack, 0.0)) - slack
+                may = np.zeros(len(a1), bool)
+                for c in dots:
+                    may |= c[b1] - c[a1] >= least
+                d1, a1, b1 = d1[may], a1[may], b1[may]
+                score, k = self.best(index, a1, b1)
+                fits = score >= threshold
+                out.append((d1[fits], a1[fits], b1[fits], score[fits], k[fits], np.full(int(fits.sum()), whole)))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
 
 
 def _index(piece: pa.RecordBatch, t: Templates) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +157,8 @@ def _index(piece: pa.RecordBatch, t: Templates) -> tuple[np.ndarray, np.ndarray]
     return t.index(token_hashes(data, starts, ends, lower=True)), tok_off
 
 
-def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, gap: int = GAP, anchor_share: float = ANCHOR_SHARE) -> DataFrame:
-    """files: id, path, text. A row for each: id, path, license, score, first_word, n_words of the best passage (nulls without one), share (of the text's words in it)."""
+def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, gap: int = GAP) -> DataFrame:
+    """files: id, path, text. A row for each: id, path, license, score, first_word, n_words of the best passage (nulls without one), share (of the text's words in it, or in the longest stretch between content words that fits the same licence)."""
     t = Templates(templates)
 
     def count(batches):
@@ -127,7 +173,7 @@ def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(t.words)), pa.int32()), pa.array([n, *df.tolist()], pa.int64())], names=["i", "n"])
 
     counts = {r[0]: r[1] for r in files.select("text").mapInArrow(count, "i int, n bigint").groupBy("i").agg(F.sum("n")).collect()}
-    t.weigh(counts, counts.get(-1, 0), anchor_share)
+    t.weigh(counts, counts.get(-1, 0))
     shared = files.sparkSession.sparkContext.broadcast(t)
     id_type = files.schema["id"].dataType.simpleString()
 
@@ -136,21 +182,19 @@ def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
         for batch in batches:
             for piece in pieces(batch, "text"):
                 index, tok_off = _index(piece, m)
-                at = np.flatnonzero((index >= 0) & m.anchor[index])
                 found: list[tuple | None] = [None] * piece.num_rows
-                doc = np.searchsorted(tok_off, at, side="right") - 1
-                cuts = np.flatnonzero((np.diff(at) > gap + 1) | (np.diff(doc) > 0)) + 1
-                for run in np.split(at, cuts) if len(at) else []:
-                    d = int(np.searchsorted(tok_off, run[0], side="right") - 1)
-                    tried = [(*m.best(index[run[0] : run[-1] + 1]), int(run[0]), int(run[-1]) + 1)]
-                    if tried[0][0] < threshold:  # a notice among other anchors: windows as long as a template, from each anchor
-                        tried += [(*m.best(index[a : min(a + n, tok_off[d + 1])]), a, min(a + n, int(tok_off[d + 1]))) for a in run.tolist() for n in m.lengths]
-                    score, k, a, b = max(tried, key=lambda x: (x[0], -x[2], -x[3]))
-                    if score >= threshold and (found[d] is None or score > found[d][1]):
-                        found[d] = (m.names[k], score, a - int(tok_off[d]), b - a)
+                doc, begin, end, score, k, whole = m.passages(index, tok_off, threshold, gap)
+                # The best passage first: by cosine, then the earliest, then the shortest.
+                order = np.lexsort((end, begin, -np.round(score, 12), doc))
+                for i in order.tolist():
+                    d, name, n = int(doc[i]), m.names[k[i]], int(end[i] - begin[i])
+                    if found[d] is None:
+                        found[d] = (name, min(1.0, float(score[i])), int(begin[i] - tok_off[d]), n, n)
+                    elif whole[i] and found[d][0] == name and n > found[d][4]:
+                        found[d] = (*found[d][:4], n)
                 words = np.maximum(1, np.diff(tok_off))
                 col = lambda i, kind: pa.array([f[i] if f else None for f in found], kind)
-                share = pa.array([f[3] / int(w) if f else 0.0 for f, w in zip(found, words)], pa.float64())
+                share = pa.array([f[4] / int(w) if f else 0.0 for f, w in zip(found, words)], pa.float64())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), col(0, pa.string()), col(1, pa.float64()), col(2, pa.int64()), col(3, pa.int64()), share], names=["id", "path", "license", "score", "first_word", "n_words", "share"])
 
     return files.select("id", "path", "text").mapInArrow(scan, f"id {id_type}, path string, license string, score double, first_word bigint, n_words bigint, share double")

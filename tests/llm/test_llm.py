@@ -335,6 +335,20 @@ def test_licences(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_licences_that_most_rows_carry(spark):
+    rng = random.Random(8)
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    for name, notice in notices.items():
+        for every, n in ((3, 60), (1, 60), (1, 1), (1, 2), (1, 4)):
+            rows = [(i, f"d{i}/a.txt", " ".join([words(rng, 30), "of the", words(rng, 5), notice if i % every == 0 else "under the license of", words(rng, 30)])) for i in range(n)]
+            rows += [(n, "dir/sub/LICENSE", notice), (n + 1, "dir/sub/b/c.txt", words(rng, 9))] if n > 4 else []
+            got = {r.id: (r.effective_license, r.how) for r in license_scan.scan(spark.createDataFrame(rows, "id bigint, path string, text string")).collect()}
+            want = {i: (name, "notice") if i % every == 0 else (None, "none") for i in range(n)}
+            assert got == want | ({n: (name, "file"), n + 1: (name, "inherited")} if n > 4 else {}), (name, every, n)
+    short = spark.createDataFrame([(0, "a/b.txt", words(rng, 6) + " " + notices["Apache-2.0"] + " " + words(rng, 3)), (1, "a/c.txt", "plain")], "id bigint, path string, text string")
+    assert {r.how for r in license_scan.scan(short).collect()} == {"notice", "none"}
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     bench = words(rng, 30)
