@@ -9,7 +9,8 @@ Entropy kinds: candidates are runs of 20+ characters of the base64 alphabets wit
 A window of 20 characters slides over each candidate; counts by character of the class
 change by the one that enters and the one that leaves, and with them the sum of
 c * log2(c), so the entropy log2(w) - sum / w never needs a recount. Windows wholly inside a class
-and at or over its threshold are merged to spans (``entropy_hex``, ``entropy_base64``).
+and at or over its threshold are merged to spans (``entropy_hex``, ``entropy_base64``,
+``entropy_lower`` and ``entropy_upper`` with digits, ``entropy_alnum``); a stretch may have several kinds.
 Candidates that match the allow-list give none, nor do spans inside a base span.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans; rows
@@ -19,18 +20,26 @@ are independent, so repeated rows repeat their result; other columns pass throug
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_alnum")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Class alphabet and least entropy in bits of a window.
-CLASSES = {"entropy_hex": ("0123456789abcdefABCDEF", 3.0), "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.9)}
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Class alphabet and least entropy in bits of a window: a smaller alphabet has a lower limit, since its random windows repeat more.
+CLASSES = {
+    "entropy_hex": ("0123456789abcdefABCDEF", 3.0),
+    "entropy_base64": (_UPPER + _LOWER + _DIGITS + "+/=_-", 3.8),
+    "entropy_lower": (_LOWER + _DIGITS, 3.4),
+    "entropy_upper": (_UPPER + _DIGITS, 3.35),
+    "entropy_alnum": (_UPPER + _LOWER + _DIGITS, 3.6),
+}
 #: Harmless candidates: numbers, UUIDs, words joined by marks with a short number, alphabets and digits in order.
 ALLOW = (
     r"^[0-9=+/_-]+$",
@@ -143,7 +152,7 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, fl
             F.transform(
                 F.col("__cand"),
                 lambda c: F.transform(
-                    _hot_windows(c["value"], alphabet, least, window), lambda s: F.struct((c["start"] + s["start"]).alias("start"), F.lit(k).alias("k"), (c["start"] + s["end"]).alias("end"), F.lit(kind).alias("kind"))
+                    F.when(c["value"].rlike(f"[{re.escape(alphabet)}]{{{window}}}"), _hot_windows(c["value"], alphabet, least, window)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)")), lambda s: F.struct((c["start"] + s["start"]).alias("start"), F.lit(k).alias("k"), (c["start"] + s["end"]).alias("end"), F.lit(kind).alias("kind"))
                 ),
             )
         )

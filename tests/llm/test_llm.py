@@ -154,6 +154,18 @@ def test_secret_scan_equals_brute_force(spark):
     assert red[0] == "" and red[1] is None and red[6] == "key [SECRET] end" and len(red) == len(texts)
 
 
+def test_secret_scan_recall_on_random_keys(spark):
+    rng = random.Random(3)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"hex": digits + "abcdef", "lower": lower + digits, "base32": lower.upper() + "234567", "upper": lower.upper() + digits, "alnum": lower + lower.upper() + digits, "base64": lower + lower.upper() + digits + "+/"}
+    keys = [(k, n, "key " + "".join(rng.choice(a) for _ in range(n)) + " end") for k, a in kinds.items() for n in (20, 24, 32, 40) for _ in range(300)]
+    found = secret_scan.scan(spark.createDataFrame(keys, "kind string, n int, text string")).groupBy("kind", "n").agg(F.avg((F.size("spans") > 0).cast("double")).alias("recall"))
+    low = {(r.kind, r.n): r.recall for r in found.collect() if r.recall < (0.9 if r.n == 20 else 0.96)}
+    assert not low
+    plain = ["how_to_2_times_do_it_well", "word " * 30 + "1234567890 and 2024-11-26"]
+    assert all(not r.spans for r in secret_scan.scan(spark.createDataFrame([(t,) for t in plain], "text string")).collect())
+
+
 def test_secret_scan_of_long_texts(spark):
     rng = random.Random(9)
     some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
