@@ -11,7 +11,8 @@ change by the one that enters and the one that leaves, and with them the sum of
 c * log2(c), so the entropy log2(w) - sum / w never needs a recount. Windows wholly inside a class
 and at or over its threshold are merged to spans (``entropy_hex``, ``entropy_base64``,
 ``entropy_lower`` and ``entropy_upper`` with digits, ``entropy_alnum``); a stretch may have several kinds.
-Candidates that match the allow-list give none, nor do spans inside a base span.
+Candidates that match the allow-list give none, nor do windows that overlap a stretch of
+``ALLOW_INSIDE``, nor spans inside a base span.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans; rows
 are independent, so repeated rows repeat their result; other columns pass through.
@@ -40,13 +41,14 @@ CLASSES = {
     "entropy_upper": (_UPPER + _DIGITS, 3.35),
     "entropy_alnum": (_UPPER + _LOWER + _DIGITS, 3.6),
 }
-#: Harmless candidates: numbers, UUIDs, words joined by marks with a short number, alphabets and digits in order.
+#: Harmless candidates, each as a whole: numbers, UUIDs, words joined by marks with a short number.
 ALLOW = (
     r"^[0-9=+/_-]+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[0-9]*[/_=+-]*[A-Za-z][A-Za-z/_=+-]*[0-9]{0,4}$",
-    r"(?i)0123456789|abcdefghij|(.)\1{7}",
 )
+#: Harmless stretches inside a candidate, from the left: digits and letters in order, one character repeated. No window may overlap one.
+ALLOW_INSIDE = r"(?i:0123456789|abcdefghij)|(.)\1{7,}"
 
 
 _SPAN = "start:int,k:int,end:int,kind:string"
@@ -78,6 +80,12 @@ def _append_fold(items: Column, item: str, step) -> Column:
     return F.when(items.isNull() | (F.size(items) == 0), F.expr(f"cast(array() as {none})")).otherwise(folded)
 
 
+def _blanked(value: Column, pattern: str) -> Column:
+    """value with as many spaces in place of each match of pattern; a space is in no class."""
+    blank = F.transform(_pairs(value, pattern), lambda x: F.concat(x["gap"], F.repeat(F.lit(" "), F.coalesce(F.length(x["value"]), F.lit(0)))))
+    return F.coalesce(F.array_join(blank, ""), value)
+
+
 def _placed(pairs: Column, kind: str, ok=None) -> Column:
     """array<struct<start, k, end, kind, value>> of all matches that satisfy ok, in order."""
 
@@ -131,7 +139,7 @@ def _hot_windows(value: Column, alphabet: str, least: float, window: int) -> Col
     return F.aggregate(codes, first, judged, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, float]] = CLASSES, allow: tuple[str, ...] = ALLOW, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, float]] = CLASSES, allow: tuple[str, ...] = ALLOW, inside: str = ALLOW_INSIDE, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """docs with two arrays of struct<start, k, end, kind> added or replaced: base spans, and all spans, by start, then kind in the order of KINDS."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     work = docs.withColumns({f"__pairs_{name}": _pairs(t, pattern) for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))})
@@ -143,6 +151,7 @@ def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, fl
             "__cand": _placed(F.col("__pairs_cand"), "entropy_base64", lambda v: ~F.greatest(*[v.rlike(a) for a in allow]) if len(allow) > 1 else (~v.rlike(allow[0]) if allow else F.lit(True))),
         }
     )
+    work = work.withColumn("__cand", F.transform("__cand", lambda c: c.withField("value", _blanked(c["value"], inside))))
     strip = lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
     work = work.withColumn("__base", F.transform(F.array_sort(F.concat("__assign", "__access", "__hex")), strip))
     hot = []

@@ -166,6 +166,20 @@ def test_secret_scan_recall_on_random_keys(spark):
     assert all(not r.spans for r in secret_scan.scan(spark.createDataFrame([(t,) for t in plain], "text string")).collect())
 
 
+def test_secret_scan_beside_harmless_stretches(spark):
+    key = "q7Zt2LmX9aVb4RkE8wHs1NcYd5GfJu3PoT6iBvKx0SzD"
+    texts = ["-" * 8 + key, key + "=" * 12, "0123456789" + key, key + "ABCDEFGHIJ", key + "A" * 200 + key, "-" * 30 + "1" + "=" * 30, "0123456789abcdefghij" * 3, "AAAAAAAA1BBBBBBBB2CCCCCCCC"]
+    stretch = [[8, 52], [0, 44], [10, 54], [0, 44], [0, 44, 244, 288], [], [], []]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(df).collect()}
+    for i, want in enumerate(stretch):
+        assert sorted({x for s in found[i] if s[3] == "entropy_base64" for x in (s[0], s[2])}) == want, (i, found[i])
+        if want:
+            assert all(any(a <= s[0] and s[2] <= b for a, b in zip(want[::2], want[1::2])) for s in found[i]), (i, found[i])
+    red = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert red[0] == "-" * 8 + "[SECRET]" and red[4] == "[SECRET]" + "A" * 200 + "[SECRET]" and red[5] == texts[5]
+
+
 def test_secret_scan_of_long_texts(spark):
     rng = random.Random(9)
     some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
