@@ -212,34 +212,58 @@ def test_chat_round_trip(spark):
 
 def test_forest_recall_and_edges(spark):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(3000, 32))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 32), (5100, [float("nan")] * 32), (5150, [1.0]), (5200, x[0].tolist()), (5201, x[0].tolist())]
-    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    x = rng.normal(size=(9000, 32))
+    odd = [(5000, None), (5050, [0.0] * 32), (5100, [float("nan")] * 32), (5150, [1.0]), (5151, [-2.0]), (5200, x[0].tolist()), (5201, x[0].tolist()), (5201, x[0].tolist()), (None, [1.0]), (5250, [])]
+    rows = [(i + 10_000, v.tolist()) for i, v in enumerate(x)] + odd
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>").withColumns({"q": F.lit(1), "rank": F.lit("x"), "score": F.lit(2)})
     got = defaultdict(list)
-    for r in lsh_forest.search(df, df.filter("id % 50 = 0"), segment=1000, least=200, query_block=16).orderBy("query_id", "rank").collect():
-        got[r.query_id].append(r.vec_id)
-    assert set(got) == {i for i in range(0, 3000, 50)} | {5200}
-    assert got[0][:2] == [5200, 5201] and all(len(v) == 5 for v in got.values())
+    for r in lsh_forest.search(df, df.filter("id % 50 = 0").unionAll(df.filter("id = 5200")), segment=3000, query_block=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == {i for i in range(10_000, 19_000, 50)} | {5150, 5200}
+    assert [i for i, _ in got[10_000][:3]] == [5200, 5201, 5201] and got[5150] == [(5151, -1.0)]
+    assert all(len(v) == 5 for q, v in got.items() if q != 5150)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
-    for q in range(50, 3000, 50):
+    for q in range(50, 9000, 50):
         s = unit @ unit[q]
         s[q] = -9
-        hits += len(set(np.argsort(-s)[:5].tolist()) & set(got[q]))
-    assert hits / (59 * 5) >= 0.9
+        hits += len(set((np.argsort(-s)[:5] + 10_000).tolist()) & {i for i, _ in got[q + 10_000]})
+        assert all(v == pytest.approx(s[max(0, i - 10_000)]) for i, v in got[q + 10_000])
+    assert hits / (179 * 5) >= 0.9
     assert lsh_forest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_forest_of_very_large_and_small_numbers(spark):
+    rows = [(0, [1e200, 1e200]), (1, [2e200, 2e200]), (2, [1e-200, 0.0]), (3, [5e-324, 5e-324]), (4, [1e308, -1e308])]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    found = {r.vec_id: r.score for r in lsh_forest.search(df, df.filter("id = 0")).collect()}
+    assert found == pytest.approx({1: 1.0, 2: math.sqrt(0.5), 3: 1.0, 4: 0.0})
+
+
+def test_one_vector_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0] * 16 if i % 3 == 0 else v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)))]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    got = defaultdict(list)
+    for r in lsh_forest.search(df, df.filter("id % 50 = 0"), segment=1000).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert all(got[q] == [i for i in range(0, 18, 3) if i != q][:5] for q in range(0, 3000, 150))
+
+
 def test_synchronous_ascent_equals_brute_force():
     rng = np.random.default_rng(2)
-    strings = rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
-    strings[:40, 1] = strings[0, 1]
+    strings = rng.integers(0, 2**lsh_forest._ALL, (4, 300), dtype=np.uint32)
+    strings[1, :40] = strings[1, 0]
+    strings[:, 100:160] &= lsh_forest._HIGH[1]
     forest = lsh_forest.Forest(strings)
-    for query in (strings[0], strings[250], rng.integers(0, 2**64, 4, dtype=np.uint64)):
-        share = np.array([max(64 - (int(a) ^ int(b)).bit_length() for a, b in zip(row, query)) for row in strings])
-        for want in (1, 5, 60, 299):
-            level = max(n for n in range(65) if (share >= n).sum() >= want)
-            assert set(forest.candidates(query, want).tolist()) == set(np.flatnonzero(share >= level).tolist())
+    asked = np.stack([strings[:, 0], strings[:, 250], strings[:, 120], rng.integers(0, 2**lsh_forest._ALL, 4, dtype=np.uint32)], axis=1)
+    for want in (1, 5, 60, 299, 300):
+        got = {q: set(rows.tolist()) for q, rows in forest.candidates(asked, want)}
+        for q in range(asked.shape[1]):
+            letters = lambda s: [int(s) >> int(lsh_forest._ALL - n) for n in lsh_forest._UPTO[1:]]
+            share = np.array([max(sum(a == b for a, b in zip(letters(strings[t, i]), letters(asked[t, q]))) for t in range(4)) for i in range(300)])
+            level = max(n for n in range(len(lsh_forest.LETTERS) + 1) if (share >= n).sum() >= want)
+            assert got[q] == set(np.flatnonzero(share >= level).tolist()), (want, q)
 
 
 def test_language_model_base_and_likelihood(spark):
