@@ -49,6 +49,18 @@ def reduced(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in cols])
 
 
+def packed(df: DataFrame, **columns) -> DataFrame:
+    """``row``, a struct of all columns of df, beside ``columns`` (expressions over df): names inside the struct cannot clash with others."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unpacked(df: DataFrame, **columns) -> DataFrame:
+    """The columns in ``row``, then ``columns``, which replace those of the same name in any case."""
+    new = {c.lower() for c in columns}
+    old = [f for f in df.schema["row"].dataType.names if f.lower() not in new]
+    return df.select(*[F.col("row").getField(f).alias(f) for f in old], *[c.alias(name) for name, c in columns.items()])
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """SplitMix64 finaliser over uint64."""
     with np.errstate(over="ignore"):

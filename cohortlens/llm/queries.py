@@ -42,8 +42,8 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = mixing.draw(docs, mixing.make_plan(spark, docs))
-    taken = (F.col("__size") * F.size("__shards")).cast("bigint")
-    return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.array_join(F.col("__shards").cast("array<string>"), ",").alias("shards"))
+    taken = (F.col("size") * F.size("shards")).cast("bigint")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

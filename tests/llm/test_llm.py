@@ -303,30 +303,85 @@ def test_forward_sums_over_all_paths():
     assert start.sum() == pytest.approx(3) and moves.sum() == pytest.approx(5) and emits.sum(axis=0) == pytest.approx(np.bincount(flat, minlength=c))
 
 
+def filled(sizes, most=3):
+    """Targets by a fine bisection of the water level, apart from the operator."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total = sum(sizes.values())
+    low, high = 0.0, float(10 * total + 1)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(most * sizes[s], weight[s] * level) for s in sizes) < total else (low, level)
+    return {s: min(most * sizes[s], weight[s] * high) for s in sizes}
+
+
+def test_targets_equal_bisection():
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = {f"s{i}": rng.choice([0, 1, 10, 1000, 10**6]) * rng.randint(0, 9) for i in range(rng.randint(1, 9))} | {None: 5}
+        assert mixing.targets(sizes, mixing.cycled_weights(list(sizes))) == pytest.approx(filled(sizes), rel=1e-9, abs=1e-6)
+
+
 def test_mixing(spark, corpus):
     df, rows = corpus
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len((r[1] or "").split())
-    want = mixing.targets(dict(sizes), mixing.cycled_weights(list(sizes)))
-    assert sum(want.values()) == pytest.approx(sum(sizes.values())) and all(want[s] <= 3 * sizes[s] + 1e-6 for s in sizes)
+    want = filled(dict(sizes))
     first = mixing.draw(df, mixing.make_plan(spark, df, shards=5)).collect()
     again = mixing.draw(df.repartition(7), mixing.make_plan(spark, df.repartition(3), shards=5)).collect()
-    assert sorted(map(repr, first)) == sorted(map(repr, again))
+    assert sorted(map(repr, first)) == sorted(map(repr, again)) and len(first) == len(rows)
     taken = Counter()
     for r in first:
-        assert len(r["__shards"]) <= 3
-        taken[r.source] += r["__size"] * len(r["__shards"])
-    assert all(abs(taken[s] - want[s]) <= 60 for s in sizes)
-    mixed = mixing.mix(df, shards=5)
-    assert mixed.count() == sum(len(r["__shards"]) for r in first) and mixed.columns == [*df.columns, "__copy", "__shard"]
+        assert len(r["shards"]) <= 3 and r["target"] == pytest.approx(want[r.source]) and r["source_size"] == sizes[r.source]
+        taken[r.source] += r["size"] * len(r["shards"])
+    assert all(abs(taken[s] - want[s]) <= 90 for s in sizes)
+    names = ["row", "u", "h", "s", "block", "size", "shards", "taken", "extra", "named"]
+    odd = df.withColumns({c: F.lit("x") for c in [*names, "copy"]})
+    mixed = mixing.mix(odd, shards=5)
+    assert mixed.count() == sum(len(r["shards"]) for r in first) and mixed.columns == [*df.columns, *names, "shard", "copy"]
+    assert mixed.filter("taken = 'x' and size = 'x'").count() == mixed.count() and mixed.filter("shard > 4").count() == 0
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_repeated_rows_and_odd_sources(spark):
+    rows = [(1, "w " * 100, "a")] * 50 + [(i, "w " * 100, "b") for i in range(50)] + [(9, None, "c"), (None, "", None)] + [(7, "x " * 50_000, "d")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    sizes = {"a": 5000, "b": 5000, "c": 0, None: 0, "d": 50_000}
+    want, taken = filled(sizes), Counter()
+    got = mixing.draw(df, mixing.make_plan(spark, df)).collect()
+    for r in got:
+        taken[r.source] += r["size"] * len(r["shards"])
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= (100 if s != "d" else 50_000) for s in sizes)
+    mixed = mixing.mix(df, shards=4).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[^ ]+")))).collect()
+    assert {s: n for s, n in mixed} == {s: n for s, n in taken.items() if n}
+
+
+def test_bounds_of_the_last_copy_through_several_steps(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BINS", 4)
+    monkeypatch.setattr(mixing, "WORDS_A_BLOCK", 10)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(400)], "doc_id bigint, text string, source string")
+    plan = mixing.make_plan(spark, df, shards=9)
+    got = mixing.draw(df, plan).collect()
+    sizes, taken, shard = Counter(), Counter(), Counter()
+    for r in got:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r["size"] * len(r["shards"])
+        shard.update(r["shards"])
+    assert all(abs(taken[s] - x) <= 14 for s, x in filled(sizes).items()) and set(shard) <= set(range(9)) and len(shard) >= 8
+
+
 def test_quota_tree_is_exact():
     q = np.array([7, 0, 100, 13])
-    got = mixing.split_quotas(q, 6, np.random.default_rng(0))
-    assert got.shape == (6, 4) and (got.sum(axis=0) == q).all() and got.sum(axis=1).max() - got.sum(axis=1).min() <= 1
+    got = list(mixing.split(q, np.zeros_like(q), 0, 6, 1, 0))
+    assert sum(x[3] for x in got).tolist() == q.tolist() and [x[0] for x in got] == list(range(6))
+    assert all((a[2] + a[3] == b[2]).all() for a, b in zip(got, got[1:])) and max(x[3].sum() for x in got) - min(x[3].sum() for x in got) <= 1
+    parts = [y for a, b, start, quota in mixing.split(q, np.zeros_like(q), 0, 6, 2, 0) for y in mixing.split(quota, start, a, b, 1, 0)]
+    assert [(x[0], x[2].tolist(), x[3].tolist()) for x in got] == [(x[0], x[2].tolist(), x[3].tolist()) for x in parts]
+    for n in (1, 2, 3, 64, 1000, 4097):
+        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
 def test_toxicity_kernel_and_learning(spark):
