@@ -33,8 +33,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draws the final mix: rows by shard, with shard and copy."""
-    return mixing.mix(docs).withColumnsRenamed({"__shard": "shard", "__copy": "copy"})
+    """Draws the final mix: rows by shard, with shard and copy (added or replaced)."""
+    return mixing.mix(docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("mixture", mixture)]
