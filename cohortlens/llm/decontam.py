@@ -12,8 +12,10 @@ search itself loses none.
 
 Cases: tokens are white-space separated, ASCII letters in lower case. Null and empty
 texts or items never overlap. Repeated rows are each reported. Only doc_id, text,
-item_id are read, further columns of any name pass through ``clean`` untouched.
-Benchmarks beyond ``block_tokens`` are matched in blocks, each broadcast in turn.
+item_id are read, further columns of any name pass through ``clean`` untouched. Words
+that repeat many times in text and item are compared on all diagonals of the two, not hit by hit.
+Empty tables give no overlaps. Benchmarks beyond ``block_tokens`` are matched in blocks, each broadcast in turn: a
+scan of the texts for each 500,000 benchmark tokens.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from cohortlens.llm.common import pieces, reduced, text_bytes, token_bounds, tok
 WINDOW = 20
 WEIGHT = 6
 SPAN = 10
-#: Benchmark tokens broadcast at a time: 8 bytes a token and 16 a seed, tens of MB at most.
+#: Benchmark tokens broadcast at a time: 12 bytes a token and about 20 a seed, tens of MB at most.
 BLOCK_TOKENS = 500_000
+#: Hits expanded at a time.
+EXPAND = 1 << 19
 
 
 def choose_masks(lengths: list[int], window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -78,7 +82,7 @@ def _seeds(th: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 class SeedIndex:
-    """The seeds of one block of the benchmark."""
+    """The seeds of one block of the benchmark, sorted, those of an item side by side."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         data, off = text_bytes(pa.array([t for _, t in items], pa.string()))
@@ -86,55 +90,104 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         self.window = window
         self.th = token_hashes(data, starts, ends, lower=True)
-        self.item = np.repeat(np.arange(len(items)), np.diff(self.tok_off))
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), np.diff(self.tok_off))
         self.masks = choose_masks(np.diff(self.tok_off).tolist(), window)
         self.tables = []
         for m in self.masks:
             h = _seeds(self.th, m)
             ok = self.item[: len(h)] == self.item[m[-1] : m[-1] + len(h)] if len(h) else np.zeros(0, bool)
-            pos = np.flatnonzero(ok)
+            pos = np.flatnonzero(ok).astype(np.int32)
             order = np.argsort(h[pos], kind="stable")
             pos, h = pos[order], h[pos][order]
             sieve = np.zeros(1 << 20, dtype=bool)
             sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((m, h, pos, sieve))
+            # Where the places of one seed in one item begin, and where the items of one seed begin.
+            item = self.item[pos]
+            group = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (item[1:] != item[:-1])]).astype(np.int32) if len(h) else np.zeros(0, np.int32)
+            first = np.flatnonzero(np.r_[True, h[group][1:] != h[group][:-1]]).astype(np.int32) if len(h) else np.zeros(0, np.int32)
+            self.tables.append((m, h[group[first]], np.r_[first, len(group)], np.r_[group, len(pos)], item[group], pos, sieve))
 
-    def overlaps(self, th: np.ndarray, tok_off: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(document, item) -> (matched tokens, first token of the overlap, its length), the best of all diagonals."""
+    def diagonals(self, th: np.ndarray, tok_off: np.ndarray) -> tuple[np.ndarray, set[tuple[int, int]]]:
+        """Distinct (document, item, shift) that share a seed, but for (document, item) pairs with more hits than tokens, which are returned apart: there all diagonals are as cheap.
+
+        Hits are counted a seed and item at a time before any is expanded, and are expanded ``EXPAND`` at a time, so that words that repeat in text and benchmark take no memory.
+        """
         doc = np.repeat(np.arange(len(tok_off) - 1), np.diff(tok_off))
-        found = []
-        for m, seeds, pos, sieve in self.tables:
+        n_items, span = len(self.ids), len(th) + len(self.th) + 1
+        tokens = lambda pair: np.diff(tok_off)[pair // n_items] + np.diff(self.tok_off)[pair % n_items]
+        dense, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for m, seeds, first, group, item, pos, sieve in self.tables:
             h = _seeds(th, m)
             at = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)])
             if not len(at) or not len(seeds):
                 continue
             at = at[doc[at] == doc[at + m[-1]]]
-            lo, hi = np.searchsorted(seeds, h[at], "left"), np.searchsorted(seeds, h[at], "right")
-            n = hi - lo
-            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if len(at):
-                q = pos[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                p = np.repeat(at, n)
-                found.append(np.stack([doc[p], self.item[q], p - q], axis=1))
+            seed = np.minimum(np.searchsorted(seeds, h[at]), len(seeds) - 1)
+            hit = seeds[seed] == h[at]
+            at, seed = at[hit], seed[hit]
+            for i, j in _chunks(first[seed + 1] - first[seed]):
+                p, g = _expanded(at[i:j], first[seed[i:j]], first[seed[i:j] + 1])
+                pair, count = doc[p] * n_items + item[g], group[g + 1] - group[g]
+                pairs, inverse = np.unique(pair, return_inverse=True)
+                many = pairs[np.bincount(inverse, weights=count, minlength=len(pairs)) > tokens(pairs)]
+                dense = np.union1d(dense, many)
+                few = ~np.isin(pair, dense)
+                p, g, pair, count = p[few], g[few], pair[few], count[few]
+                for k, n in _chunks(count):
+                    q, place = _expanded(np.arange(k, n), group[g[k:n]], group[g[k:n] + 1])
+                    found = np.union1d(found, pair[q] * span + (p[q] - pos[place] + len(self.th)))
+        pair = found // span
+        keep = ~np.isin(pair, dense)
+        return np.stack([pair[keep] // n_items, pair[keep] % n_items, found[keep] % span - len(self.th)], axis=1), {(int(x // n_items), int(x % n_items)) for x in dense}
+
+    def overlaps(self, th: np.ndarray, tok_off: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(document, item) -> (matched tokens, first token of the overlap, its length), the best of all diagonals: most matched, then first."""
+        diagonals, dense = self.diagonals(th, tok_off)
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, shift in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
-            q0, q1 = max(int(self.tok_off[i]), int(tok_off[d]) - shift), min(int(self.tok_off[i + 1]), int(tok_off[d + 1]) - shift)
-            w = min(self.window, int(self.tok_off[i + 1] - self.tok_off[i]))
-            if q1 - q0 < w:
-                continue
-            same = self.th[q0:q1] == th[q0 + shift : q1 + shift]
-            sums = np.concatenate([[0], np.cumsum(same)])
-            good = np.flatnonzero(sums[w:] - sums[:-w] >= w - w // 5)
-            if len(good):
-                inside = np.zeros(len(same) + 1, dtype=np.int64)
-                np.add.at(inside, good, 1)
-                np.add.at(inside, good + w, -1)
-                inside = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & same)
-                got = (len(inside), int(q0 + shift + inside[0] - tok_off[d]), int(inside[-1] - inside[0] + 1))
-                if (d, i) not in out or (-got[0], got[1]) < (-out[d, i][0], out[d, i][1]):
-                    out[d, i] = got
+        for d, i, shift in diagonals.tolist():
+            self._match(th, tok_off, d, i, shift, out)
+        for d, i in dense:
+            for shift in range(int(tok_off[d] - self.tok_off[i + 1]) + 1, int(tok_off[d + 1] - self.tok_off[i])):
+                if (d, i) in out and out[d, i][0] == self.tok_off[i + 1] - self.tok_off[i]:
+                    break  # the whole item, and no later diagonal has it earlier
+                self._match(th, tok_off, d, i, shift, out)
         return out
 
+    def _match(self, th: np.ndarray, tok_off: np.ndarray, d: int, i: int, shift: int, out: dict) -> None:
+        """Compares document d with item i on one diagonal and notes the overlap in out if it is better."""
+        q0, q1 = max(int(self.tok_off[i]), int(tok_off[d]) - shift), min(int(self.tok_off[i + 1]), int(tok_off[d + 1]) - shift)
+        w = min(self.window, int(self.tok_off[i + 1] - self.tok_off[i]))
+        if q1 - q0 < w:
+            return
+        same = self.th[q0:q1] == th[q0 + shift : q1 + shift]
+        if np.count_nonzero(same) < max(w - w // 5, out[d, i][0] if (d, i) in out else 0):
+            return
+        sums = np.concatenate([[0], np.cumsum(same)])
+        good = np.flatnonzero(sums[w:] - sums[:-w] >= w - w // 5)
+        if len(good):
+            inside = np.zeros(len(same) + 1, dtype=np.int64)
+            np.add.at(inside, good, 1)
+            np.add.at(inside, good + w, -1)
+            inside = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & same)
+            got = (len(inside), int(q0 + shift + inside[0] - tok_off[d]), int(inside[-1] - inside[0] + 1))
+            if (d, i) not in out or (-got[0], got[1]) < (-out[d, i][0], out[d, i][1]):
+                out[d, i] = got
+
+
+def _chunks(count: np.ndarray):
+    """Ranges of entries whose counts add up to about EXPAND; a larger entry comes alone."""
+    total, i = np.cumsum(count), 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + EXPAND, side="right")))
+        yield i, j
+        i = j
+
+
+def _expanded(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x repeated, beside each place from lo to hi of it."""
+    n = (hi - lo).astype(np.int64)
+    return np.repeat(x, n), np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+
 
 def index_blocks(benchmark: DataFrame, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> Iterator[SeedIndex]:
     """Seed indexes of the benchmark, a block of bounded size at a time."""

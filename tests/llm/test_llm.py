@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -113,6 +114,35 @@ def test_decontamination_of_items_without_an_id(spark):
     assert sorted(r.doc_id for r in decontam.clean(df, bench).collect()) == [3, 4]
 
 
+def test_decontamination_of_repeated_words(spark):
+    rng = random.Random(1)
+    some = words(rng, 60).split()
+    texts = ["a " * 300, "a b " * 150, "b " * 30 + " ".join(some) + " a" * 30, " ".join(some[:25]) + " a b" * 100 + " " + " ".join(some[20:50]), "c " * 300, None, ""]
+    items = ["a " * 100, "b a " * 25, " ".join(some), "a " * 40 + " ".join(some[10:40]), "a a a"]
+
+    def best(doc, item):
+        d, t = (doc or "").split(), item.split()
+        w, out = min(20, len(t)), None
+        for shift in range(-len(t), len(d)):
+            at = [j for j in range(len(t)) if 0 <= j + shift < len(d)]
+            same = {j for j in at if d[j + shift] == t[j]}
+            inside = {j + i for j in at for i in range(w) if j + w - 1 in at and len(same & set(range(j, j + w))) >= w - w // 5} & same
+            if inside and (out is None or (-len(inside), min(inside) + shift) < (-out[0], out[1])):
+                out = (len(inside), min(inside) + shift, max(inside) - min(inside) + 1)
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in decontam.find_overlaps(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect():
+        got[r.doc_id, r.item_id].append(tuple(r)[2:])
+    want = {(i, j): [best(t, x)] * 2 for i, t in enumerate(texts) for j, x in enumerate(items) if best(t, x)}
+    assert got == want
+    index = decontam.SeedIndex([(0, "a " * 1000)])
+    th = np.full(4000, index.th[0])
+    began = time.time()
+    assert index.overlaps(th, np.array([0, 4000]))[0, 0] == (1000, 0, 1000) and time.time() - began < 5
+
+
 def secret_brute(text):
     base = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
