@@ -157,9 +157,16 @@ def shingle_sets(th: np.ndarray, tok_off: np.ndarray, n: int) -> list[np.ndarray
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column, or with "row.name" a field of the struct column row."""
+    outer, _, field = name.partition(".")
+    col = batch.column(batch.schema.get_field_index(outer))
+    return col.field(field) if field else col
+
+
+def pieces(batch: pa.RecordBatch, name: str, limit: int = 4 << 20):
     """Slices of a record batch of about limit bytes of text each (a longer row comes alone)."""
-    _, off = text_bytes(batch.column(batch.schema.get_field_index(column)))
+    _, off = text_bytes(column(batch, name))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cohortlens.llm.common import pieces, reduced, text_bytes, token_bounds, token_hashes
+from cohortlens.llm.common import column, packed, pieces, reduced, text_bytes, token_bounds, token_hashes, unpacked
 
 WINDOW = 20
 WEIGHT = 6
@@ -201,8 +201,8 @@ def index_blocks(benchmark: DataFrame, window: int = WINDOW, block_tokens: int =
             yield SeedIndex(rows, window)
 
 
-def _scan(index: SeedIndex, piece: pa.RecordBatch) -> dict[tuple[int, int], tuple[int, int, int]]:
-    data, off = text_bytes(piece.column(piece.schema.get_field_index("text")))
+def _scan(index: SeedIndex, piece: pa.RecordBatch, name: str = "text") -> dict[tuple[int, int], tuple[int, int, int]]:
+    data, off = text_bytes(column(piece, name))
     starts, ends, tok_off = token_bounds(data, off)
     return index.overlaps(token_hashes(data, starts, ends, lower=True), tok_off)
 
@@ -237,14 +237,15 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of docs, with all their columns, that overlap no item; decided row by row without a shuffle."""
+    work = packed(docs)
     for index in index_blocks(benchmark, window, block_tokens):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches, shared=shared):
             for batch in batches:
-                for piece in pieces(batch, "text"):
-                    bad = {d for d, _ in _scan(shared.value, piece)}
+                for piece in pieces(batch, "row.text"):
+                    bad = {d for d, _ in _scan(shared.value, piece, "row.text")}
                     yield piece.filter(pa.array([i not in bad for i in range(piece.num_rows)], pa.bool_())) if bad else piece
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        work = work.mapInArrow(keep, work.schema)
+    return unpacked(work)

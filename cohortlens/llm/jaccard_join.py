@@ -6,16 +6,22 @@
    target recall at the threshold. Band hashes are shuffled, and each member of a shared
    bucket is linked to the bucket's least class. The components of these links
    are candidate sets: two texts that share any band are in the same one.
-3. Within a candidate set all pairs are verified on the full n-gram sets. A set of more
-   than ``block`` classes is dealt into chunks and each pair of chunks is a task of its
-   own. A task returns counts of links and a spanning forest, never the pairs.
+3. Pairs are verified on the full n-gram sets, in one of two ways for each candidate set. All pairs of
+   the set: once for each pair, with a set's n-grams sent once for each chunk of the others. Or all
+   pairs of each shared bucket, a pair in the bucket of its first shared band only: n-grams are
+   sent once for each bucket, and sets that only chance links hold together are never
+   compared as a whole. Whichever sends fewer n-grams is taken; a set that fits a chunk is always
+   compared whole. What is more than ``block`` classes or ``GRAMS`` n-grams is dealt into chunks
+   and each pair of chunks is a task group of its own. A task returns counts of links and a
+   spanning forest, never the pairs.
 4. Components of verified links are the groups.
 
 Words are separated by ASCII white space and compared as they are. A text of fewer than n
 words has one n-gram of all its words. Texts without words (null, empty, blank) have
 no n-grams, take part in no link and form no group. Repeated rows (same text) are copies
 of one class. n-grams are compared by 64-bit hash. A doc_id may be null or repeated;
-extra columns are ignored by ``near_duplicates`` and kept by ``deduplicate``.
+extra columns of any name are ignored by ``near_duplicates`` and kept by ``deduplicate``. Of equal
+least members the one that stays may differ in extra columns only. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import materialize, mix64, pieces, reduced, shingle_sets, text_bytes, token_bounds, token_hashes
+from cohortlens.llm.common import column, materialize, mix64, packed, pieces, reduced, shingle_sets, text_bytes, token_bounds, token_hashes, unpacked
 from cohortlens.llm.components import connected_components
 
 N = 5
@@ -34,6 +40,8 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 #: Classes a task verifies against as many others.
 BLOCK = 512
+#: n-grams of a chunk, 8 bytes each, as far as whole sets allow.
+GRAMS = 2_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
@@ -45,8 +53,8 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     raise ValueError("no banding reaches this recall")
 
 
-def _sets(piece: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    data, off = text_bytes(piece.column(piece.schema.get_field_index("text")))
+def _sets(piece: pa.RecordBatch, n: int, name: str = "text") -> list[np.ndarray]:
+    data, off = text_bytes(column(piece, name))
     starts, ends, tok_off = token_bounds(data, off)
     return shingle_sets(token_hashes(data, starts, ends), tok_off, n)
 
@@ -82,16 +90,17 @@ class MinHash:
         return h.view(np.int64)
 
 
-def with_key(docs: DataFrame, n: int = N, name: str = "__key") -> DataFrame:
-    """docs with the class key of each text added; all columns pass."""
+def with_key(docs: DataFrame, n: int = N) -> DataFrame:
+    """row (all columns of docs) and key, the class key of its text."""
 
     def apply(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                keys = pa.array([_key(s) for s in _sets(piece, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*piece.columns, keys], names=[*piece.schema.names, name])
+            for piece in pieces(batch, "row.text"):
+                keys = pa.array([_key(s) for s in _sets(piece, n, "row.text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(0), keys], names=["row", "key"])
 
-    return docs.mapInArrow(apply, type(docs.schema)(docs.schema.fields + []).add(name, "binary"))
+    work = packed(docs)
+    return work.mapInArrow(apply, type(work.schema)([work.schema["row"]]).add("key", "binary"))
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -112,9 +121,10 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                             seen.clear()
                         seen[k] = True
                     out.append(mh.band_hashes(s) if fresh else None)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(keys, pa.binary()), sizes, pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bands"])
 
-    return docs.mapInArrow(apply, f"doc_id {id_type}, key binary, bands array<bigint>")
+    return docs.mapInArrow(apply, f"doc_id {id_type}, key binary, n bigint, bands array<bigint>")
 
 
 def _links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -138,14 +148,24 @@ def _links(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: floa
     return inter >= threshold * union - 1e-9
 
 
-def verify(members: list[tuple[bytes, int, int, np.ndarray]], p: int, q: int, threshold: float) -> list[tuple[bytes, bytes, int]]:
-    """members: (key, copies, chunk, n-gram set) of chunks p and q. For each linked member (key, the least key of its tree here, copies of its partners here)."""
+def verify(members: list[tuple[bytes, int, int, np.ndarray]], p: int, q: int, threshold: float, bands: np.ndarray | None = None, own: int = 0) -> list[tuple[bytes, bytes, int]]:
+    """members: (key, copies, chunk, n-gram set) of chunks p and q. For each linked member (key, the least key of its tree here, copies of its partners here).
+
+    With bands (the band hashes of each member), pairs that share a band before number ``own`` are left to that one's bucket.
+    """
     chunk = np.array([m[2] for m in members])
     copies = np.array([m[1] for m in members], dtype=np.int64)
     a, b = np.flatnonzero(chunk == p), np.flatnonzero(chunk == q)
     if not len(a) or not len(b):
         return []
-    link = _links([m[3] for m in members], a, b, threshold)
+    mine = True
+    if bands is not None:
+        mine = np.ones((len(a), len(b)), dtype=bool)
+        for j in range(own):
+            mine &= bands[a, j][:, None] != bands[b, j][None]
+        if not mine.any():
+            return []
+    link = _links([m[3] for m in members], a, b, threshold) & mine
     count = np.zeros(len(members), dtype=np.int64)
     if p == q:
         np.fill_diagonal(link, False)
@@ -173,17 +193,25 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     id_type = docs.schema["doc_id"].dataType.simpleString()
     bands, rows = choose_bands(threshold, recall)
     sig = materialize(_signatures(docs, n, bands, rows), "signatures")
-    classes = materialize(sig.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("bands").alias("bands")), "classes")
-
-    band = classes.select("key", F.explode("bands").alias("b"))
-    bucket = band.groupBy("b").agg(F.count("*").alias("c"), F.min("key").alias("least")).filter("c > 1").select(F.col("b").alias("b2"), "least")
-    edges = band.join(bucket, F.col("b") == F.col("b2")).filter("key != least").select(F.col("key").alias("u"), F.col("least").alias("v"))
-    found = connected_components(edges)
-
-    sizes = found.groupBy("root").agg(F.count("*").alias("members"))
-    chunks = F.ceil(F.col("members") / block).cast("int")
-    cand = found.join(sizes.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("node").alias("key"), "root", chunks.alias("chunks"))
-    cand = cand.join(classes.select(F.col("key").alias("k"), "rep", "copies"), F.col("key") == F.col("k")).drop("k")
+    classes = materialize(sig.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands")), "classes")
+
+    band = classes.select("key", "n", F.explode("bands").alias("b"))
+    chunks = lambda c, n: F.greatest(F.ceil(F.col(c) / block), F.ceil(F.col(n) / GRAMS)).cast("int")
+    bucket = band.groupBy("b").agg(F.count("*").alias("c"), F.sum("n").alias("bn"), F.min("key").alias("least")).filter("c > 1")
+    bucket = materialize(bucket.select(F.col("b").alias("b2"), "least", "bn", chunks("c", "bn").alias("b_chunks")), "buckets")
+    edges = band.join(bucket.select("b2", "least"), F.col("b") == F.col("b2")).filter("key != least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    found = materialize(connected_components(edges), "sets")
+
+    # n-grams sent if all pairs of a candidate set, or all pairs of its buckets, are verified.
+    known = classes.select(F.col("key").alias("k"), "rep", "copies", "n", F.col("bands").alias("hashes"))
+    cand = found.join(known, F.col("node") == F.col("k"))
+    by_set = cand.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("sn")).select(F.col("root").alias("r"), chunks("c", "sn").alias("chunks"), "sn")
+    by_bucket = bucket.join(found, F.col("least") == F.col("node")).groupBy("root").agg(F.sum(F.col("bn") * F.col("b_chunks")).alias("bucket_cost")).withColumnRenamed("root", "r3")
+    cost = by_set.join(by_bucket, F.col("r") == F.col("r3"))
+    bucketed = (F.col("chunks") > 1) & (F.col("bucket_cost") < F.col("sn") * F.col("chunks"))
+    cost = cost.select("r", "chunks", bucketed.alias("bucketed"), F.when(bucketed, F.col("bucket_cost")).otherwise(F.col("sn") * F.col("chunks")).alias("sent"))
+    cost = materialize(cost, "costs")
+    cand = cand.join(cost.drop("sent"), F.col("root") == F.col("r")).select(F.col("node").alias("key"), "root", "chunks", "bucketed", "rep", "copies", "hashes")
     cand = materialize(cand, "candidates")
 
     reps = cand.select(F.col("rep").alias("r")).distinct()
@@ -196,20 +224,22 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["k", "grams"])
 
     grams = texts.select("text").mapInArrow(sets_of, "k binary, grams array<bigint>").dropDuplicates(["k"])
-    pos = F.pmod(F.xxhash64("key"), F.col("chunks"))
-    rows_ = cand.join(grams, F.col("key") == F.col("k")).select("root", "key", "copies", "grams", pos.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    rows_ = rows_.select("root", "key", "copies", "grams", F.col("chunk").cast("int").alias("chunk"), F.least("chunk", "other").cast("int").alias("p"), F.greatest("chunk", "other").cast("int").alias("q"))
-    # Many small candidate sets share a bin; bins have about 2000 classes, whatever their number.
-    total = cand.select(F.sum("chunks")).first()[0] or 0
-    bins = int(total // 2000 + 1)
-    bins = max(bins, min(int(total), spark.sparkContext.defaultParallelism * 2), 1)
-    rows_ = rows_.withColumn("bin", F.pmod(F.xxhash64("root", "p", "q"), F.lit(bins)))
+    whole = cand.filter("not bucketed").select("root", F.lit(-1).alias("own"), F.lit(0).cast("bigint").alias("band"), "key", "copies", F.lit(None).cast("array<bigint>").alias("hashes"), "chunks")
+    parts = cand.filter("bucketed").select("*", F.posexplode("hashes").alias("own", "band")).join(bucket, F.col("band") == F.col("b2")).select("root", "own", "band", "key", "copies", "hashes", F.col("b_chunks").alias("chunks"))
+    pos = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+    rows_ = whole.unionByName(parts).withColumn("chunk", pos).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows_ = rows_.join(grams, F.col("key") == F.col("k")).select("root", "own", "band", "key", "copies", "hashes", "grams", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
+    # Small groups share a bin of about GRAMS n-grams, whatever their number.
+    sent, groups_ = cost.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("chunks"), F.lit(0))).first()
+    bins = max(int(sent // GRAMS) + 1, min(int(groups_), spark.sparkContext.defaultParallelism * 2), 1)
+    rows_ = rows_.withColumn("bin", F.pmod(F.xxhash64("root", "own", "band", "p", "q"), F.lit(bins)))
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[bytes, bytes, int]] = []
-        for (_, p, q), g in pdf.groupby(["root", "p", "q"], sort=False):
+        for (_, own, _, p, q), g in pdf.groupby(["root", "own", "band", "p", "q"], sort=False):
             g = g.sort_values("key")
-            out += verify(list(zip(g["key"], g["copies"], g["chunk"], (np.asarray(x).view(np.uint64) for x in g["grams"]))), p, q, threshold)
+            hashes = np.stack([np.asarray(x) for x in g["hashes"]]) if own >= 0 else None
+            out += verify(list(zip(g["key"], g["copies"], g["chunk"], (np.asarray(x).view(np.uint64) for x in g["grams"]))), p, q, threshold, hashes, own)
         return pd.DataFrame(out, columns=["key", "tree", "links"])
 
     verified = materialize(rows_.groupBy("bin").applyInPandas(check, "key binary, tree binary, links bigint"), "verified")
@@ -236,8 +266,8 @@ def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     """docs, all columns, with one row of each group: that of the least doc_id (null last), then the least class key. Rows without words all stay; of rows with the same doc_id and text one stays."""
     found = near_duplicates(docs, n, threshold, recall, block)
     stay = found.filter("class_key is not null").groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class_key")).alias("s"))
-    stay = stay.select(F.col("s.doc_id").alias("__id"), F.unhex("s.class_key").alias("__k"), F.lit(True).alias("__stays"))
+    stay = stay.select(F.col("s.doc_id").alias("id"), F.unhex("s.class_key").alias("k"), F.lit(True).alias("stays"))
     keyed = with_key(docs, n)
-    out = keyed.join(stay, (F.col("__key") == F.col("__k")) & keyed["doc_id"].eqNullSafe(F.col("__id")), "left")
-    words = out.filter("__key is not null and __stays").dropDuplicates(["__key"])
-    return words.unionByName(out.filter("__key is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = keyed.join(stay, (F.col("key") == F.col("k")) & F.col("row").getField("doc_id").eqNullSafe(F.col("id")), "left").filter("key is null or stays")
+    alone = F.when(F.col("key").isNull(), F.monotonically_increasing_id())  # rows without words all stay
+    return unpacked(out.withColumn("alone", alone).dropDuplicates(["key", "alone"]))

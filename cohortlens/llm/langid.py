@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import pieces, reduced, text_bytes
+from cohortlens.llm.common import column, packed, pieces, reduced, text_bytes, unpacked
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -72,6 +72,24 @@ def windows(data: np.ndarray, off: np.ndarray, size: int = WINDOW, overlap: int
     return x, doc, length
 
 
+def covered(n: np.ndarray, size: int = WINDOW, overlap: int = max(WIDTHS) - 1) -> np.ndarray:
+    """The sum of the lengths of the windows of texts of n bytes."""
+    return n + overlap * np.maximum(0, -(-(n - overlap) // (size - overlap)) - 1)
+
+
+def window_runs(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20, size: int = WINDOW, overlap: int = max(WIDTHS) - 1):
+    """The same windows, those of about ``limit`` bytes at a time, also inside a long text."""
+    step = (size - overlap) * max(1, limit // (size - overlap))
+    if len(data) <= step + overlap:
+        yield windows(data, off, size, overlap)
+        return
+    for d in range(len(off) - 1):
+        for i in range(0, max(1, int(off[d + 1] - off[d]) - overlap), step):
+            part = data[off[d] + i : min(off[d + 1], off[d] + i + step + overlap)]
+            x, doc, length = windows(part, np.array([0, len(part)]), size, overlap)
+            yield x, doc + d, length
+
+
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 6, rate: float = 0.01, seed: int = 7) -> ByteCNN:
     """Adam on cross-entropy; x: windows, y: indexes into langs. The same input gives the same network."""
     rng = np.random.default_rng(seed)
@@ -150,35 +168,28 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: in
 
 def predict(docs: DataFrame, model: ByteCNN | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All rows and columns of docs with the language and its score (0 to 1) in two columns ``names``, added or replaced."""
-    docs = docs.drop(*names)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    work = packed(docs, letter=letter)
     if model is None:
-        return docs.withColumns(dict(zip(names, (F.lit("und"), F.lit(0.0)))))
-    flagged = docs.withColumn("__letter", letter)
+        return unpacked(work, **dict(zip(names, (F.lit("und"), F.lit(0.0)))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches):
         net = shared.value
         for batch in batches:
-            for piece in pieces(batch, "text", 1 << 20):
-                data, off = text_bytes(piece.column(piece.schema.get_field_index("text")))
-                x, doc, length = windows(data, off)
-                z = net.logits(x)
+            for piece in pieces(batch, "row.text", 1 << 20):
+                data, off = text_bytes(column(piece, "row.text"))
                 total = np.zeros((piece.num_rows, len(net.langs)))
-                np.add.at(total, doc, z * length[:, None])
-                total /= np.maximum(1, np.bincount(doc, weights=length, minlength=piece.num_rows))[:, None]
+                for x, doc, length in window_runs(data, off):
+                    np.add.at(total, doc, net.logits(x) * length[:, None])
+                total /= np.maximum(1, covered(np.diff(off)))[:, None]
                 q = np.exp(total - total.max(axis=1, keepdims=True))
                 q /= q.sum(axis=1, keepdims=True)
                 best = q.argmax(axis=1)
-                has = np.asarray(piece.column(piece.schema.get_field_index("__letter")).to_pylist(), dtype=bool)
+                has = np.asarray(column(piece, "letter").to_pylist(), dtype=bool)
                 pred = [net.langs[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist())]
                 score = np.where(has, q[np.arange(len(q)), best], 0.0)
-                kept = [c for c, name in zip(piece.columns, piece.schema.names) if name != "__letter"]
-                titles = [name for name in piece.schema.names if name != "__letter"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*titles, *names])
-
-    schema = docs.schema
-    for name, kind in zip(names, ("string", "double")):
-        schema = type(schema)(schema.fields + [])  # a copy
-        schema.add(name, kind)
-    return flagged.mapInArrow(apply, schema)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["row", "lang", "score"])
+
+    schema = type(work.schema)([work.schema["row"]]).add("lang", "string").add("score", "double")
+    return unpacked(work.mapInArrow(apply, schema), **dict(zip(names, (F.col("lang"), F.col("score")))))

@@ -15,7 +15,7 @@ Candidates that match the allow-list give none, nor do windows that overlap a st
 ``ALLOW_INSIDE``, nor spans inside a base span.
 
 Positions are code points, ends exclusive. Null text counts as empty and has no spans; rows
-are independent, so repeated rows repeat their result; other columns pass through.
+are independent, so repeated rows repeat their result; an empty table gives none. Other columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.llm.common import packed, unpacked
+
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper", "entropy_alnum")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -139,38 +141,41 @@ def _hot_windows(value: Column, alphabet: str, least: float, window: int) -> Col
     return F.aggregate(codes, first, judged, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, float]] = CLASSES, allow: tuple[str, ...] = ALLOW, inside: str = ALLOW_INSIDE, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
-    """docs with two arrays of struct<start, k, end, kind> added or replaced: base spans, and all spans, by start, then kind in the order of KINDS."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    work = docs.withColumns({f"__pairs_{name}": _pairs(t, pattern) for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))})
+def _found(docs: DataFrame, window: int, classes: dict[str, tuple[str, float]], allow: tuple[str, ...], inside: str) -> DataFrame:
+    """row (all columns of docs), text, base and spans."""
+    work = packed(docs, text=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    work = work.withColumns({f"pairs_{name}": _pairs(F.col("text"), pattern) for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))})
     work = work.withColumns(
         {
-            "__assign": _placed(F.col("__pairs_assign"), "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6),
-            "__access": _placed(F.col("__pairs_access"), "access"),
-            "__hex": _placed(F.col("__pairs_hex"), "hex"),
-            "__cand": _placed(F.col("__pairs_cand"), "entropy_base64", lambda v: ~F.greatest(*[v.rlike(a) for a in allow]) if len(allow) > 1 else (~v.rlike(allow[0]) if allow else F.lit(True))),
+            "assign": _placed(F.col("pairs_assign"), "assign", lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6),
+            "access": _placed(F.col("pairs_access"), "access"),
+            "hex": _placed(F.col("pairs_hex"), "hex"),
+            "cand": _placed(F.col("pairs_cand"), "entropy_base64", lambda v: ~F.greatest(*[v.rlike(a) for a in allow]) if len(allow) > 1 else (~v.rlike(allow[0]) if allow else F.lit(True))),
         }
     )
-    work = work.withColumn("__cand", F.transform("__cand", lambda c: c.withField("value", _blanked(c["value"], inside))))
+    work = work.withColumn("cand", F.transform("cand", lambda c: c.withField("value", _blanked(c["value"], inside))))
     strip = lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end"), x["kind"].alias("kind"))
-    work = work.withColumn("__base", F.transform(F.array_sort(F.concat("__assign", "__access", "__hex")), strip))
+    work = work.withColumn("base", F.transform(F.array_sort(F.concat("assign", "access", "hex")), strip))
     hot = []
     for kind, (alphabet, least) in classes.items():
         k = KINDS.index(kind)
         spans = F.flatten(
             F.transform(
-                F.col("__cand"),
+                F.col("cand"),
                 lambda c: F.transform(
                     F.when(c["value"].rlike(f"[{re.escape(alphabet)}]{{{window}}}"), _hot_windows(c["value"], alphabet, least, window)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)")), lambda s: F.struct((c["start"] + s["start"]).alias("start"), F.lit(k).alias("k"), (c["start"] + s["end"]).alias("end"), F.lit(kind).alias("kind"))
                 ),
             )
         )
         hot.append(spans)
-    work = work.withColumn("__found", F.when(F.size("__cand") > 0, F.array_sort(F.concat(F.col("__base"), *hot))))
-    every = F.when(F.col("__found").isNotNull(), _uncovered(F.col("__found"))).otherwise(F.col("__base"))
-    work = work.withColumn("__all", every)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return work.select(*kept, F.col("__base").alias(names[0]), F.col("__all").alias(names[1]))
+    work = work.withColumn("found", F.when(F.size("cand") > 0, F.array_sort(F.concat(F.col("base"), *hot))))
+    every = F.when(F.col("found").isNotNull(), _uncovered(F.col("found"))).otherwise(F.col("base"))
+    return work.select("row", "text", "base", every.alias("spans"))
+
+
+def scan(docs: DataFrame, window: int = WINDOW, classes: dict[str, tuple[str, float]] = CLASSES, allow: tuple[str, ...] = ALLOW, inside: str = ALLOW_INSIDE, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+    """docs with two arrays of struct<start, k, end, kind> added or replaced: base spans, and all spans, by start, then kind in the order of KINDS."""
+    return unpacked(_found(docs, window, classes, allow, inside), **dict(zip(names, (F.col("base"), F.col("spans")))))
 
 
 def joined(spans: Column) -> Column:
@@ -180,22 +185,18 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs, all columns and rows, with each maximal stretch of overlapping spans in text replaced by mark, and n_chars, if there, set anew for changed texts."""
-    found = scan(docs, names=("__base_spans", "__spans"))
+    found = _found(docs, WINDOW, CLASSES, ALLOW, ALLOW_INSIDE)
 
     def step(acc: Column, s: Column) -> Column:
         cut = s["start"] >= acc["at"]  # else it overlaps the stretch before
         out = F.when(cut, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    text = F.aggregate(F.col("__spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    changed = F.size("__spans") > 0
-    new = found.withColumn("__text", F.when(changed, text).otherwise(F.col("text")))
+    text = F.aggregate(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    new = found.withColumn("new", F.when(F.size("spans") > 0, text))
     cols = []
-    for c in docs.columns:
-        if c == "text":
-            cols.append(F.col("__text").alias("text"))
-        elif c == "n_chars":
-            cols.append(F.when(changed, F.length("__text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-        else:
-            cols.append(F.col(f"`{c}`"))
+    for f in docs.schema.fields:
+        old = F.col("row").getField(f.name)
+        value = F.coalesce("new", old) if f.name == "text" else F.coalesce(F.length("new").cast(f.dataType), old) if f.name == "n_chars" else old
+        cols.append(value.alias(f.name))
     return new.select(*cols)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import pieces, reduced
+from cohortlens.llm.common import column, packed, pieces, reduced, unpacked
 
 ORDER, DECAY = 3, 0.7
 LONGEST = 24
@@ -288,23 +288,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS
 
 def score(docs: DataFrame, model: Model, keep: int = 400_000) -> DataFrame:
     """docs, all columns and rows, with score (0 to 1) added or replaced. ``keep``: distinct words whose values a task holds at a time."""
-    docs = docs.drop("score")
+    work = packed(docs)
     if model.constant is not None:
-        return docs.withColumn("score", F.lit(float(model.constant)))
+        return unpacked(work, score=F.lit(float(model.constant)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches):
         m = shared.value
         cache: dict[str, float] = {}
         for batch in batches:
-            for piece in pieces(batch, "text", 2 << 20):
-                texts = [words_of(t or "") for t in piece.column(piece.schema.get_field_index("text")).to_pylist()]
+            for piece in pieces(batch, "row.text", 2 << 20):
+                texts = [words_of(t or "") for t in column(piece, "row.text").to_pylist()]
                 fresh = sorted(set().union(*texts).difference(cache)) if texts else []
                 if len(cache) + len(fresh) > keep:
                     cache = {}
                     fresh = sorted(set().union(*texts))
                 cache.update(zip(fresh, m.values(fresh).tolist()))
                 top = np.array([max(map(cache.__getitem__, t), default=m.bias) for t in texts])
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(m.probability(top))], names=[*piece.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(m.probability(top))], names=["row", "score"])
 
-    return docs.mapInArrow(apply, type(docs.schema)(docs.schema.fields + []).add("score", "double"))
+    schema = type(work.schema)([work.schema["row"]]).add("score", "double")
+    return unpacked(work.mapInArrow(apply, schema), score=F.col("score"))

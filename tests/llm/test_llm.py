@@ -519,3 +519,88 @@ def test_chat_formatting_equals_its_sql(spark, tmp_path):
         df = queries.op4_chat_formatting(spark, folder)
         assert sorted(df.columns) == sorted(names)
         assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == want
+
+
+def chain(n, words_=40, step=9, seed=5):
+    """Texts of which each shares about half of its n-grams with the one before and little with the others."""
+    rng = random.Random(seed)
+    stream = words(rng, words_ + step * n).split()
+    return [" ".join(stream[i * step : i * step + words_]) for i in range(n)]
+
+
+def links_brute(texts):
+    sets = [shingles(t) for t in texts]
+    links, group = Counter(), list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            links[i] += 1
+            links[j] += 1
+            a, b = group[i], group[j]
+            group = [min(a, b) if g in (a, b) else g for g in group]
+    return links, group
+
+
+def test_joins_of_chained_sets_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = chain(80)
+    for _ in range(60):  # near copies hang on the chain
+        w = rng.choice(texts[:80]).split()
+        w[rng.randrange(len(w))] = "zz"
+        texts.append(" ".join(w))
+    links, group = links_brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, grams in ((8, 2_000_000), (3, 60), (1000, 2_000_000)):
+        monkeypatch.setattr(jaccard_join, "GRAMS", grams)
+        got = {r.doc_id: r for r in jaccard_join.near_duplicates(df, block=block).collect()}
+        assert [got[i].n_links for i in range(len(texts))] == [links[i] for i in range(len(texts))]
+        assert [got[i].class_id for i in range(len(texts))] == group
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUBS", 10**9)
+    edges = spark.createDataFrame([(1, i) for i in range(2, 2000)] + [(i, i + 5000) for i in range(2, 50)] + [(9000, 9001)], "u bigint, v bigint")
+    got = {r.node: r.root for r in components.connected_components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 2000)}, **{i + 5000: 1 for i in range(2, 50)}, 9000: 9000, 9001: 9000}
+
+
+CLASH = ["row", "key", "k", "id", "stays", "alone", "letter", "lang_pred", "found", "base", "cand", "pairs_hex", "new", "u", "size", "__key", "__base", "a.b", "held", "toxic"]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 30) + (" kretin" if i % 2 else "") + " token=abcdef123", "en" if i % 2 else "de") for i in range(12)] * 2
+    plain = spark.createDataFrame(rows + [(None, None, None), (None, "", None)], "doc_id long, text string, lang string")
+    odd = plain.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
+    own = lambda df, *gone: [c for c in odd.columns if c not in gone]
+
+    def kept(df, *gone):
+        assert df.columns[: len(own(df, *gone))] == own(df, *gone)
+        for r in df.collect():
+            assert all(r[c] == f"own {c}" for c in CLASH if c not in gone)
+        return df
+
+    assert kept(jaccard_join.deduplicate(odd)).count() == 12 + 2
+    assert kept(secret_scan.redact(odd)).filter("text like '%[SECRET]'").count() == 24
+    assert kept(secret_scan.scan(odd)).filter("size(spans) > 0").count() == 24
+    assert kept(langid.predict(odd, langid.fit(odd)), "lang_pred").count() == 26
+    assert kept(toxicity.score(odd, toxicity.fit([(r[1], i % 2) for i, r in enumerate(rows)]))).count() == 26
+    assert kept(decontam.clean(odd, spark.createDataFrame([(1, rows[0][1])], "item_id long, text string"))).count() == 24
+    assert kept(mixing.mix(odd.withColumn("source", F.lit("s")))).count() > 20
+    empty = odd.limit(0)
+    for df in (jaccard_join.deduplicate(empty), secret_scan.redact(empty), langid.predict(empty, None), toxicity.score(empty, toxicity.fit([])), decontam.clean(empty, empty.withColumnRenamed("doc_id", "item_id")), mixing.mix(empty.withColumn("source", F.lit("s")))):
+        assert df.count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(13)
+    long = words(rng, 200_000)
+    df = spark.createDataFrame([(1, long, "x"), (2, long + " more", "x"), (3, "a " * 300_000, "y"), (4, "z" * 500_000, "y")], "doc_id long, text string, lang string")
+    near = {r.doc_id: r for r in jaccard_join.near_duplicates(df).collect()}
+    assert near[2].class_id == 1 and near[3].n_links == 0 and near[4].class_id == 4
+    bench = spark.createDataFrame([(1, " ".join(long.split()[150_000:150_040])), (2, "a " * 500)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_overlaps(df, bench).collect()} == {(1, 1), (2, 1), (3, 2)}
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, langid.fit(df, epochs=1)).collect()}.keys() == {1, 2, 3, 4}
+    held = df.withColumn("held", F.col("doc_id") == 2)
+    assert {r.doc_id: r.n_tokens for r in hmm_lm.score(held, iterations=1).collect()} == {1: 200_001, 2: 200_002, 3: 300_001, 4: 2}
+    assert toxicity.score(df, toxicity.fit([("bad kretin", 1)] * 5 + [("fine words", 0)] * 5)).count() == 4
+    assert license_scan.scan(df.select(F.col("doc_id").alias("id"), F.lit("a/b").alias("path"), F.concat("text", F.lit(" Released under the MIT License.")).alias("text"))).filter("license = 'MIT'").count() == 4
