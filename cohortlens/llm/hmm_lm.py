@@ -4,14 +4,17 @@ Tokens: white-space separated words, ASCII letters in lower case, then one end t
 
 Model: latent states emit word classes, and a class emits its words in proportion to
 their smoothed corpus counts (c + 0.5) / (N + 0.5 (V + 1)). A word with at least
-1 / ``frequent`` of all training tokens is a class of its own (there are at most
-``frequent``), the end token is one, and the others fall into ``forms`` classes by a hash
-of their first byte, last two bytes and length. Unseen words share the mass 0.5 / (N + 0.5 (V + 1)), the same in every
+1 / limit of all training tokens is a class of its own; limit is ``frequent``, times the root of the
+number of training tokens in units of 2^20 if that is over one, so that classes grow with the corpus. The end token is a
+class, and the other words fall into ``forms`` classes by a hash of their first byte, last
+two bytes and length. Unseen words share the mass 0.5 / (N + 0.5 (V + 1)), the same in every
 state. So each state's distribution over the V + 1 types sums to one, and the
 vocabulary itself, of any size, never leaves Spark tables.
 
-Training: Baum-Welch over all training texts, cut into stretches of ``STRETCH`` tokens for the
-forward-backward passes; each task sums its expected counts, which meet in one group-by
+Training: Baum-Welch over all training texts. For the forward-backward passes they are dealt
+into stretches of ``STRETCH`` tokens, each passed with up to ``WARM`` tokens before and after it, over which alpha and beta
+forget how they began; every token and every transition is counted once, in one stretch, and starts
+at the starts of texts only. Each task sums its expected counts, which meet in one group-by
 of states * classes keys, as integers, so that sums do not depend on order.
 
 Scoring: one scaled forward recursion over each whole text.
@@ -41,10 +44,10 @@ STATES = 8
 ITERATIONS = 6
 FREQUENT = 512
 FORMS = 512
-STRETCH = 128
+STRETCH, WARM = 256, 32
 #: Stretches of one forward-backward pass; bounds its memory.
-STEP = 1024
-BLOCK_BYTES = 10 << 20
+STEP = 512
+BLOCK_BYTES = 8 << 20
 #: Tokens whose base probabilities are summed at a time.
 RUN = 1 << 18
 #: Expected counts are summed as multiples of this.
@@ -171,31 +174,47 @@ class HMM:
         return final
 
 
-def _stretches(cls: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrix of class ids (rows: stretches of each sequence) and their lengths."""
+@dataclass
+class Stretches:
+    """Rows of class ids: ``lead`` tokens before the stretch, its ``inner`` ones, and more up to ``total``; longest first."""
+
+    x: np.ndarray
+    lead: np.ndarray
+    inner: np.ndarray
+    total: np.ndarray
+    first: np.ndarray  # whether the row begins its text
+
+
+def stretches(cls: np.ndarray, off: np.ndarray, size: int = STRETCH, warm: int = WARM, step: int = STEP):
+    """The sequences off[i]:off[i + 1] dealt into stretches of ``size``, ``step`` of them at a time."""
     lens = np.diff(off)
     per = -(-lens // size)
     doc = np.repeat(np.arange(len(lens)), per)
     start = off[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * size
-    length = np.minimum(size, off[doc + 1] - start)
-    at = np.minimum(start[:, None] + np.arange(size), max(len(cls) - 1, 0))
-    return cls[at], length
+    inner = np.minimum(size, off[doc + 1] - start)
+    lead = np.minimum(warm, start - off[doc])
+    total = lead + inner + np.minimum(warm, off[doc + 1] - start - inner)
+    for i in range(0, len(doc), step):
+        order = i + np.argsort(-total[i : i + step], kind="stable")
+        at = np.minimum((start - lead)[order, None] + np.arange(int(total[order[0]])), len(cls) - 1)
+        yield Stretches(cls[at], lead[order], inner[order], total[order], start[order] == off[doc[order]])
 
 
-def expected_counts(x: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over stretches: expected starts, moves and emissions."""
+def expected_counts(s: Stretches, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over stretches: expected starts, moves and emissions of their inner tokens."""
     k, c = emit.shape
-    order = np.argsort(-length, kind="stable")
-    x, length = x[order], length[order]
-    active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right").tolist()
+    active = np.searchsorted(-s.total, -np.arange(1, s.x.shape[1] + 1), side="right").tolist()
     table = np.ascontiguousarray(emit.T)
+    usual = np.full(k, 1 / k)
+    for _ in range(50):
+        usual = usual @ move
     alphas, scales = [], []
     for t, n in enumerate(active):
-        a = (np.repeat(start[None], n, axis=0) if t == 0 else alphas[-1][:n] @ move) * table[x[:n, t]]
-        s = a.sum(axis=1, keepdims=True)
-        alphas.append(a / s)
-        scales.append(s)
-    moves, emits = np.zeros((k, k)), np.zeros((k, c))
+        a = (np.where(s.first[:n, None], start, usual) if t == 0 else alphas[-1][:n] @ move) * table[s.x[:n, t]]
+        scale = a.sum(axis=1, keepdims=True)
+        alphas.append(a / scale)
+        scales.append(scale)
+    begun, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
     gammas, seen = [], []
     beta = None
     for t in range(len(active) - 1, -1, -1):
@@ -203,17 +222,21 @@ def expected_counts(x: np.ndarray, length: np.ndarray, start: np.ndarray, move:
         b = np.ones((n, k))
         if t + 1 < len(active):
             m = active[t + 1]
-            nxt = table[x[:m, t + 1]] * beta / scales[t + 1]
+            nxt = table[s.x[:m, t + 1]] * beta / scales[t + 1]
             b[:m] = nxt @ move.T
-            moves += move * (alphas[t][:m].T @ nxt)
+            into = (t + 1 >= s.lead[:m]) & (t + 1 < s.lead[:m] + s.inner[:m])
+            moves += move * (alphas[t][:m].T @ (nxt * into[:, None]))
         beta = b
-        gammas.append(alphas[t] * b)
-        seen.append(x[:n, t])
+        inside = np.flatnonzero((t >= s.lead[:n]) & (t < s.lead[:n] + s.inner[:n]))
+        gammas.append((alphas[t] * b)[inside])
+        seen.append(s.x[inside, t])
+        if t == 0:
+            begun = (alphas[0] * b)[s.first[:n]].sum(axis=0)
     if gammas:
         g, o = np.concatenate(gammas), np.concatenate(seen)
         for j in range(k):
             emits[j] = np.bincount(o, weights=g[:, j], minlength=c)
-    return gammas[-1].sum(axis=0) if gammas else np.zeros(k), moves, emits
+    return begun, moves, emits
 
 
 def _runs(off: np.ndarray, size: int):
@@ -244,7 +267,8 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
     n_words, types = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = blocks.select(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     n, v = int(n_words + ends), int(types + (ends > 0))
-    top = sorted((bytes(r[0]), int(r[1])) for r in vocab.filter(F.col("c") * frequent >= F.lit(n)).collect()) if n else []
+    limit = int(frequent * max(1.0, (n / (1 << 20)) ** 0.5))
+    top = sorted((bytes(r[0]), int(r[1])) for r in vocab.filter(F.col("c") * limit >= F.lit(n)).collect()) if n else []
     fr = {w: i for i, (w, _) in enumerate(top)}
     c = len(fr) + FORMS + 1
     model = HMM(fr, dict(top), n, v, int(ends), np.full(states, 1 / states), np.zeros((states, states)), np.zeros((states, c)), np.zeros(c))
@@ -290,7 +314,7 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
                 learned = ~np.asarray(row["held"], dtype=bool)
                 lens = np.diff(off)
                 seq = seq[np.repeat(learned, lens)]
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(seq.astype("<u2"))], pa.binary()), pa.array([_pack(lens[learned].astype("<i8"))], pa.binary())], names=["seq", "lens"])
+                yield pa.RecordBatch.from_arrays([pa.array([_pack_ids(seq)], pa.binary()), pa.array([_pack(lens[learned].astype("<i8"))], pa.binary())], names=["seq", "lens"])
 
     learn = materialize(blocks.select("words", "ids", "lens", "held").mapInArrow(sequences, "seq binary, lens binary"), "sequences")
     for _ in range(iterations):
@@ -301,12 +325,9 @@ def train(blocks: DataFrame, vocab: DataFrame, states: int = STATES, iterations:
             total = np.zeros(k + k * k + k * c)
             for batch in batches:
                 for row in _rows(batch):
-                    seq, lens = _unpack(row["seq"], "<u2").astype(np.int32), _unpack(row["lens"], "<i8")
-                    if not len(seq):
-                        continue
-                    x, length = _stretches(seq, np.concatenate([[0], np.cumsum(lens)]), STRETCH)
-                    for j in range(0, len(x), STEP):
-                        total += np.concatenate([y.ravel() for y in expected_counts(x[j : j + STEP], length[j : j + STEP], m.start, m.move, m.emit)])
+                    seq, lens = _unpack_ids(row["seq"]).astype(np.int32), _unpack(row["lens"], "<i8")
+                    for part in stretches(seq, np.concatenate([[0], np.cumsum(lens)])):
+                        total += np.concatenate([y.ravel() for y in expected_counts(part, m.start, m.move, m.emit)])
             units = np.round(total / UNIT).astype(np.int64)
             at = np.flatnonzero(units)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(units[at], pa.int64())], names=["i", "x"])

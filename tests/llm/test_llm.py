@@ -328,11 +328,45 @@ def test_forward_sums_over_all_paths():
     for s, g in zip(seqs, got):
         total = sum(m.start[p[0]] * m.emit[p[0], s[0]] * math.prod(m.move[a, b] * m.emit[b, o] for a, b, o in zip(p, p[1:], s[1:])) for p in itertools.product(range(k), repeat=len(s)))
         assert g == pytest.approx(math.log10(total))
-    x, length = hmm_lm._stretches(flat, off, 8)
-    start, moves, emits = hmm_lm.expected_counts(x, length, m.start, m.move, m.emit)
+    (part,) = hmm_lm.stretches(flat, off, 8)
+    start, moves, emits = hmm_lm.expected_counts(part, m.start, m.move, m.emit)
     assert start.sum() == pytest.approx(3) and moves.sum() == pytest.approx(5) and emits.sum(axis=0) == pytest.approx(np.bincount(flat, minlength=c))
 
 
+def test_stretches_count_as_whole_texts():
+    rng = np.random.default_rng(4)
+    norm = lambda x: x / x.sum(axis=-1, keepdims=True)
+    k, c = 4, 30
+    start, move, emit = norm(rng.random(k)), norm(0.2 * rng.random((k, k)) + np.eye(k)), norm(rng.random((k, c)) ** 3)
+    lens = np.array([1, 700, 3, 64, 65, 257, 2000])
+    off = np.concatenate([[0], np.cumsum(lens)])
+    seq = rng.integers(0, c, off[-1]).astype(np.int32)
+    total = lambda parts: [sum(x) for x in zip(*(hmm_lm.expected_counts(p, start, move, emit) for p in parts))]
+    whole, dealt = total(hmm_lm.stretches(seq, off, 10**6)), total(hmm_lm.stretches(seq, off, 64, 32, 5))
+    for a, b in zip(whole, dealt):
+        assert a.sum() == pytest.approx(b.sum()) and np.abs(a - b).max() < 1e-3 * max(1.0, a.max())
+
+
+def test_score_sums_over_all_paths(spark):
+    rng = random.Random(6)
+    texts = [words(rng, rng.randint(0, 5)) for _ in range(40)] + ["neverseen abc", None]
+    df = spark.createDataFrame([(i, t, i % 5 == 1) for i, t in enumerate(texts)], "doc_id long, text string, held boolean").withColumn("words", F.lit(1))
+    blocks = hmm_lm.make_blocks(df.select("doc_id", "text", "held"))
+    vocab = hmm_lm.word_counts(blocks)
+    m = hmm_lm.train(blocks, vocab, states=2, iterations=2)
+    count = {bytes(r[0]): r[1] for r in vocab.collect()}
+    for r in hmm_lm.score(df, states=2, iterations=2).collect():
+        tokens = (texts[r.doc_id] or "").encode().split()
+        chance = []
+        for w in tokens:
+            cls = m.classes([w])[0]
+            inside = (count[w] + 0.5) / m.total / 10 ** m.log_class[cls] if w in count else None
+            chance.append(m.emit[:, cls] * inside if inside else np.full(2, 0.5 / m.total))
+        chance.append(m.emit[:, -1])
+        total = sum(m.start[p[0]] * chance[0][p[0]] * math.prod(m.move[a, b] * x[b] for a, b, x in zip(p, p[1:], chance[1:])) for p in itertools.product(range(2), repeat=len(chance)))
+        assert r.score == pytest.approx(math.log10(total))
+
+
 def filled(sizes, most=3):
     """Targets by a fine bisection of the water level, apart from the operator."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
