@@ -36,6 +36,10 @@ from cohortlens.llm.common import materialize, pieces, text_bytes, token_bounds,
 
 # Notices and opening words of public licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -44,19 +48,34 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC0-1.0": ("To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.", "SPDX-License-Identifier: CC0-1.0"),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"),
+    "LGPL-3.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
     "MIT": (
         "Released under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
         "SPDX-License-Identifier: MIT",
     ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"),
 }
 THRESHOLD = 0.7
 GAP = 8
+#: Licensed directories that are broadcast; more are joined by shuffle, the texts of a directory dealt over ``SALTS`` tasks.
+BROADCAST_DIRS, SALTS = 100_000, 32
 # Words too common in prose to bound a stretch of a notice.
 FUNCTION_WORDS = frozenset("a an and any are as at by for from if in is it not of on or that the this to with you your".split())
 # Words of passages compared at once.
@@ -212,7 +231,13 @@ def inherit(found: DataFrame, file_share: float = 0.8) -> DataFrame:
     dirs = dirs.select("__dir", "depth", F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/").alias("at"))
     nearest = dirs.join(licensed, "at").groupBy("__dir").agg(F.max(F.struct("depth", "at", "dir_license")).alias("x"))
     nearest = nearest.select(F.col("__dir").alias("d2"), F.col("x.at").alias("license_dir"), F.col("x.dir_license").alias("dir_license"))
-    out = found.join(nearest, F.col("__dir") == F.col("d2"), "left")
+    nearest = materialize(nearest, "directories")
+    if nearest.count() <= BROADCAST_DIRS:
+        out = found.join(F.broadcast(nearest), F.col("__dir") == F.col("d2"), "left")
+    else:
+        nearest = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = found.withColumn("salt2", F.pmod(F.xxhash64("path", F.col("id").cast("string")), F.lit(SALTS)))
+        out = salted.join(nearest, (F.col("__dir") == F.col("d2")) & (F.col("salt2") == F.col("salt")), "left")
     own = F.col("license").isNotNull()
     how = F.when(F.col("__file"), "file").when(own, "notice").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
     return out.select("id", "path", "license", "score", "first_word", "n_words", F.coalesce("license", "dir_license").alias("effective_license"), how.alias("how"), F.when(~own, F.col("license_dir")).alias("license_dir"))

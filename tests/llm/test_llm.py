@@ -638,3 +638,78 @@ def test_very_long_texts(spark):
     assert {r.doc_id: r.n_tokens for r in hmm_lm.score(held, iterations=1).collect()} == {1: 200_001, 2: 200_002, 3: 300_001, 4: 2}
     assert toxicity.score(df, toxicity.fit([("bad kretin", 1)] * 5 + [("fine words", 0)] * 5)).count() == 4
     assert license_scan.scan(df.select(F.col("doc_id").alias("id"), F.lit("a/b").alias("path"), F.concat("text", F.lit(" Released under the MIT License.")).alias("text"))).filter("license = 'MIT'").count() == 4
+
+
+def licence_brute(files):
+    """Passages and inheritance in plain Python: best cosine over windows from every template word and over stretches, then a walk up the path."""
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    bags = [(n, Counter(license_scan._words(x))) for n in sorted(license_scan.TEMPLATES) for x in license_scan.TEMPLATES[n]]
+    texts = [license_scan._words(x or "") for _, _, x in files]
+    df = Counter(w for x in texts for w in set(x) & set(t.words))
+    licences = {n: set().union(*(b for m, b in bags if m == n)) for n, _ in bags}
+    idf = {w: math.log((1 + len(files)) / (1 + df[w])) + math.log((1 + len(licences)) / (1 + sum(w in x for x in licences.values()))) + 1e-3 for w in t.words}
+    other = float(np.median(list(idf.values())))
+
+    def cosine(part, bag):
+        c = Counter(part)
+        dot = sum(c[w] * idf[w] * n * idf[w] for w, n in bag.items())
+        size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items() if w in idf) + sum(n for w, n in c.items() if w not in idf) ** 2 * other**2)
+        return dot / size / math.sqrt(sum((n * idf[w]) ** 2 for w, n in bag.items()))
+
+    found = []
+    for x in texts:
+        at = [i for i, w in enumerate(x) if w in idf]
+        tries = {(i, min(i + n, len(x)), False) for i in at for n in t.lengths}
+        for keep, whole in ((at, False), ([i for i in at if x[i] not in license_scan.FUNCTION_WORDS], True)):
+            run = []
+            for i in [*keep, 10**9]:
+                if run and i - run[-1] > license_scan.GAP + 1:
+                    tries.add((run[0], run[-1] + 1, whole))
+                    run = []
+                run.append(i)
+        scored = [(-round(s, 12), a, b, k, n, whole) for a, b, whole in tries for s, k, n in [max((cosine(x[a:b], bag), -k, name) for k, (name, bag) in enumerate(bags))] if s >= license_scan.THRESHOLD]
+        if not scored:
+            found.append(None)
+            continue
+        best = min(scored)
+        found.append((best[4], -best[0], best[1], best[2] - best[1], max([best[2] - best[1], *(b - a for _, a, b, _, n, whole in scored if whole and n == best[4])]) / max(1, len(x))))
+    dirs = {}
+    for (_, path, _), f in zip(files, found):
+        if f and path is not None and (re.search(license_scan.LICENCE_FILE, path) or f[4] >= 0.8):
+            folder = path.rpartition("/")[0]
+            dirs[folder] = min(dirs.get(folder, (1, "", "")), (-f[1], path, f[0]))
+    out = {}
+    for (i, path, _), f in zip(files, found):
+        if f:
+            out[i] = (f[0], "file" if path is not None and (re.search(license_scan.LICENCE_FILE, path) or f[4] >= 0.8) else "notice", round(f[1], 9), f[2], f[3])
+            continue
+        folder, up = (path or "").rpartition("/")[0], None
+        while path is not None and up is None:
+            up = dirs.get(folder)
+            if not folder:
+                break
+            folder = folder.rpartition("/")[0]
+        out[i] = (up[2], "inherited", None, None, None) if up else (None, "none", None, None, None)
+    return out
+
+
+def test_licences_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    notices = [x for n in sorted(license_scan.TEMPLATES) for x in license_scan.TEMPLATES[n]]
+    files = []
+    for i in range(70):
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
+        notice = rng.choice(notices).split()
+        if i % 3 == 0:
+            notice[rng.randrange(len(notice))] = "changed"
+        text = rng.choice([words(rng, 20), " ".join([words(rng, 12), *notice, words(rng, 9)]), " ".join(notice), "of the license " * 3, "", None])
+        name = rng.choice(["LICENSE", "COPYING.txt", "x.py", "y.py", "z.md"])
+        files.append((i, None if i % 17 == 0 else f"{folder}/{name}" if folder else name, text))
+    files += [(100, "a/LICENSE", notices[0]), (101, "a/b/LICENSE", notices[5]), (102, "a/b/c/k.py", "plain"), (103, "a/c/k.py", "plain"), (104, "a/b/c/k.py", "plain")]
+    df = spark.createDataFrame(files, "id bigint, path string, text string").withColumns({"license": F.lit("own"), "how": F.lit(1)})
+    want = licence_brute(files)
+    for most in (license_scan.BROADCAST_DIRS, 0):
+        monkeypatch.setattr(license_scan, "BROADCAST_DIRS", most)
+        got = {r.id: (r.effective_license, r.how, None if r.score is None else round(r.score, 9), r.first_word, r.n_words) for r in license_scan.scan(df).collect()}
+        assert got == want
+    assert Counter(x[1] for x in want.values()).keys() == {"file", "notice", "inherited", "none"}
