@@ -40,8 +40,8 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 #: Classes a task verifies against as many others.
 BLOCK = 512
-#: n-grams of a chunk, 8 bytes each, as far as whole sets allow.
-GRAMS = 2_000_000
+#: n-grams of a chunk, 8 bytes each, as far as whole sets allow, and of a bin of small groups.
+GRAMS, BIN_GRAMS = 8_000_000, 2_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
@@ -229,9 +229,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     pos = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
     rows_ = whole.unionByName(parts).withColumn("chunk", pos).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows_ = rows_.join(grams, F.col("key") == F.col("k")).select("root", "own", "band", "key", "copies", "hashes", "grams", "chunk", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"))
-    # Small groups share a bin of about GRAMS n-grams, whatever their number.
+    # Small groups share a bin of about BIN_GRAMS n-grams, whatever their number.
     sent, groups_ = cost.agg(F.coalesce(F.sum("sent"), F.lit(0)), F.coalesce(F.sum("chunks"), F.lit(0))).first()
-    bins = max(int(sent // GRAMS) + 1, min(int(groups_), spark.sparkContext.defaultParallelism * 2), 1)
+    bins = max(int(sent // BIN_GRAMS) + 1, min(int(groups_), spark.sparkContext.defaultParallelism * 2), 1)
     rows_ = rows_.withColumn("bin", F.pmod(F.xxhash64("root", "own", "band", "p", "q"), F.lit(bins)))
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
