@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def safe_divide(a: Column, b: Column, default: float | None = 0.0) -> Column:
@@ -84,3 +86,77 @@ def minutes_of(text: Column) -> Column:
     """Minutes of an interval such as 15m, 3h or 2d; null for other text."""
     n, unit = F.regexp_extract(text, r"^(\d+)[mhd]$", 1), F.regexp_extract(text, r"^\d+([mhd])$", 1)
     return F.try_to_number(n, F.lit("9999999999")).cast("bigint") * F.when(unit == "m", 1).when(unit == "h", 60).when(unit == "d", 1440)
+
+
+def round_half_even(digits: int):
+    """A column function that rounds the exact binary value to digits, halves to even, as formatting does; JVM rounding goes by the shortest decimal text instead. NaN and infinities stay."""
+
+    @F.pandas_udf(DoubleType())
+    def rounded(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: v if pd.isna(v) or v in (float("inf"), float("-inf")) else round(v, digits))
+
+    return rounded
+
+
+def round_half_away(x: Column, digits: int, step: float = 0.0) -> Column:
+    """Halves away from zero, by scaling; then to the nearest multiple of step if that is above 0."""
+    away = lambda v: F.signum(v) * F.floor(F.abs(v) + 0.5)
+    out = away(x * 10.0**digits) / 10.0**digits
+    return away(out / step) * step if step > 0 else out
+
+
+def format_float(x: Column, digits: int) -> Column:
+    """Up to ``digits`` decimals, none if the rounded value is whole; None for null."""
+    text = F.format_string(f"%.{digits}f", x)
+    whole = text.rlike(r"^-?\d+(\.0*)?$")
+    return F.when(x.isNull(), "None").when(whole, F.regexp_replace(text, r"\..*$", "")).otherwise(text)
+
+
+def parse_iso(text: Column) -> Column:
+    """Timestamp of RFC 3339 text with an offset, or of YYYY-MM-DDThh:mm with a Z; null for other text."""
+    full = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
+    minute = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}Z$"
+    return F.when(text.rlike(full), F.try_to_timestamp(F.upper(text))).when(text.rlike(minute), F.try_to_timestamp(F.regexp_replace(text, "Z$", ":00Z")))
+
+
+def day_offset(at: Column, anchor: Column) -> Column:
+    """Whole days from anchor, rounded down also before it."""
+    return F.floor((F.unix_seconds(at) - F.unix_seconds(anchor)) / 86400)
+
+
+def hours_between(later: Column, earlier: Column) -> Column:
+    return (F.unix_seconds(later) - F.unix_seconds(earlier)) / 3600.0
+
+
+def local_time(text: Column, zone: str = "Europe/Madrid", names: tuple[str, str] = ("CET", "CEST")) -> Column:
+    """1 March 2026, 09:05 CET: ISO text in a zone's own time, with its winter and summer names; other text as it is."""
+    at = parse_iso(text)
+    local = F.from_utc_timestamp(at, zone)
+    summer = F.unix_seconds(local) - F.unix_seconds(at) > 3600
+    return F.coalesce(F.concat(F.date_format(local, "d MMMM yyyy, HH:mm "), F.when(summer, names[1]).otherwise(names[0])), text)
+
+
+def first_time(at: Column) -> Column:
+    """Aggregate: the least time above 0, in seconds; null if there is none."""
+    return F.min(F.when(at > 0, at))
+
+
+def nearest_rank(values: Column, percent: int) -> Column:
+    """Of an array, the item at (percent * n - 1) // 100 in order; 0 for an empty one."""
+    n, ordered = F.size(values), F.array_sort(values)
+    at = F.floor(F.greatest(F.lit(percent) * n - 1, F.lit(0)) / 100)
+    return F.when(n > 0, F.get(ordered, F.least(at, n - 1).cast("int"))).otherwise(0)
+
+
+def jittered(thresholds: dict[str, float], day: str, course: int, share: float = 0.1) -> dict[str, float]:
+    """Thresholds moved by up to ``share`` of themselves, the same all day for a course: SplitMix64 over a digest of day, course and name."""
+    import hashlib
+
+    out = {}
+    for name, value in sorted(thresholds.items()):
+        x = int.from_bytes(hashlib.sha256(f"{day}|{course}|{name}".encode()).digest()[:8], "big")
+        x = (x + 0x9E3779B97F4A7C15) & (2**64 - 1)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & (2**64 - 1)
+        out[name] = value * (1 + share * (2 * ((x ^ (x >> 31)) / 2**64) - 1))
+    return out

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.scalar import safe_divide
-from cohortlens.operators.flags import Rule, raise_flags
+from cohortlens.functions.scalar import round_half_even, safe_divide
+from cohortlens.operators.flags import Rule, raise_flags, severity_rank
 
 
 @dataclass(frozen=True)
@@ -34,12 +35,15 @@ class Thresholds:
 
 def team_context(members: DataFrame) -> DataFrame:
     """Adds what a rule compares a member with. members: member, team, points, lines, surviving. Adds survival, team_points, team_lines, team_size, points_median (upper), lines_quarter (positional), survival_mean, survival_sd."""
-    team = Window.partitionBy("team")
     x = members.withColumn("survival", F.when(F.col("lines") > 0, safe_divide(F.col("surviving"), F.col("lines"))))
-    x = x.withColumns({"team_points": F.sum("points").over(team), "team_lines": F.sum("lines").over(team), "team_size": F.count("*").over(team), "survival_mean": F.avg("survival").over(team), "survival_sd": F.stddev_pop("survival").over(team)})
-    x = x.withColumns({"by_points": F.row_number().over(team.orderBy("points", "member")), "by_lines": F.row_number().over(team.orderBy("lines", "member"))})
-    at = lambda rank, part, c: F.max(F.when(F.col(rank) == F.floor(F.col("team_size") / part) + 1, F.col(c))).over(team)
-    return x.withColumns({"points_median": at("by_points", 2, "points"), "lines_quarter": at("by_lines", 4, "lines")}).drop("by_points", "by_lines")
+    sums = x.groupBy(F.col("team").alias("t1")).agg(F.sum("points").alias("team_points"), F.sum("lines").alias("team_lines"), F.count("*").alias("team_size"), F.avg("survival").alias("survival_mean"), F.stddev_pop("survival").alias("survival_sd"))
+    # One row a team, so joins back are broadcast where that is small; ranks need the one sorted window.
+    ranked = x.select("team", "member", "points", "lines").withColumns({k: F.row_number().over(Window.partitionBy("team").orderBy(v, "member")) for k, v in (("by_points", "points"), ("by_lines", "lines"))})
+    ranked = ranked.join(sums.select("t1", "team_size"), F.col("team").eqNullSafe(F.col("t1")))
+    at = lambda rank, part, c: F.max(F.when(F.col(rank) == F.floor(F.col("team_size") / part) + 1, F.col(c)))
+    middles = ranked.groupBy(F.col("team").alias("t2")).agg(at("by_points", 2, "points").alias("points_median"), at("by_lines", 4, "lines").alias("lines_quarter"))
+    x = x.join(sums, F.col("team").eqNullSafe(F.col("t1"))).join(middles, F.col("team").eqNullSafe(F.col("t2")))
+    return x.drop("t1", "t2")
 
 
 def banded(x: Column, low: tuple[float, float]) -> tuple[Column, Column]:
@@ -175,10 +179,89 @@ def attribute_findings(findings: DataFrame, blame: DataFrame) -> DataFrame:
     return x.withColumn("share", F.col("lines") / F.sum("lines").over(Window.partitionBy("file", "finding")))
 
 
-def hotspots(shares: DataFrame, weights: Column, least: float) -> DataFrame:
-    """Authors whose weighted blame, counted at most once for each (rule, file), reaches ``least``. shares: author, rule, file, share and what weights reads. author, weighted, n."""
-    one = shares.withColumn("w", weights).groupBy("author", "rule", "file").agg(F.least(F.sum("share"), F.lit(1.0)).alias("blame"), F.max("w").alias("w"))
-    return one.groupBy("author").agg(F.sum(F.col("blame") * F.col("w")).alias("weighted"), F.count("*").alias("n")).filter(F.col("weighted") >= least)
+#: Weight of a finding's severity in blame.
+SEVERITY_WEIGHTS = {"CRITICAL": 1.0, "ERROR": 1.0, "WARNING": 0.25, "INFO": 0.1}
+
+
+def severity_weight(severity: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in SEVERITY_WEIGHTS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, F.upper(severity)), F.lit(0.25))
+
+
+def hotspots(shares: DataFrame, by: list[str], severity: Column, extra: Column | None = None, keep: dict[str, Column] | None = None, sample: Column | None = None, top: int = 10) -> DataFrame:
+    """author, weighted (blame summed up), worst (severity) and offenders (the ``top`` groups by contribution, then by name).
+
+    A group is a finding's ``by`` columns (such as rule and file): blame in it counts at most once, times the weight
+    of its worst severity and ``extra``. shares: author, share, and what the expressions read. ``keep`` are fields of a group for offenders; of rows with the largest ``sample``, if given."""
+    first = F.struct(*[v.alias(k) for k, v in (keep or {}).items()]) if keep else F.struct(*by)
+    rank = severity_rank(severity)
+    x = shares.withColumns({"__rank": rank, "__severity": severity, "__extra": extra if extra is not None else F.lit(1.0), "__keep": first, "__sample": sample if sample is not None else F.lit(0.0)})
+    x = x.filter("__extra > 0").groupBy("author", *by).agg(
+        F.least(F.sum("share"), F.lit(1.0)).alias("blame"), F.max_by("__severity", "__rank").alias("worst"), F.max("__rank").alias("rank"), F.max("__extra").alias("extra"),
+        F.max_by("__keep", F.struct(F.coalesce("__sample", F.lit(0.0)), F.to_json("__keep"))).alias("keep"),
+    )
+    x = x.withColumn("contribution", F.col("blame") * severity_weight(F.col("worst")) * F.col("extra")).filter("contribution > 0")
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy("author").orderBy(F.desc("contribution"), *by)))
+    offender = F.struct("place", F.struct("keep.*", F.col("worst").alias("severity"), F.round("contribution", 3).alias("weight")).alias("o"))
+    out = x.groupBy("author").agg(F.sum("contribution").alias("weighted"), F.max_by("worst", "rank").alias("worst"), F.array_sort(F.collect_list(F.when(F.col("place") <= top, offender))).alias("offenders"))
+    return out.withColumn("offenders", F.col("offenders.o"))
+
+
+def _hotspot_flags(found: DataFrame, name: str, severity: Column, details: dict[str, Column]) -> DataFrame:
+    packed = F.to_json(F.struct(*[v.alias(k) for k, v in details.items()]))
+    return found.withColumn("severity", severity).filter("severity is not null").select("author", F.lit(name).alias("flag"), "severity", packed.alias("details"))
+
+
+#: Architecture rules that raise no hotspot.
+NO_HOTSPOT_RULES: tuple[str, ...] = ()
+
+
+def architecture_hotspots(shares: DataFrame, least: float = 0.0, rule_weights: dict[str, float] | None = None) -> DataFrame:
+    """ARCHITECTURE_HOTSPOT flags. shares: author, share, rule_name, rule_kind, file_path, severity. ``rule_weights``: rules that weigh other than 1; one of weight 0 or less counts for nothing."""
+    weights = {**{r: 0.0 for r in NO_HOTSPOT_RULES}, **(rule_weights or {})}
+    extra = reduce(lambda c, kv: c.when(F.col("rule_name") == kv[0], kv[1]), weights.items(), F.when(F.lit(False), 1.0)).otherwise(1.0)
+    h = hotspots(shares, ["rule_name", "file_path"], F.col("severity"), extra, {k: F.col(k) for k in ("rule_name", "rule_kind", "file_path")})
+    severity = F.when(F.col("weighted") >= least, F.when(F.col("worst").isin("CRITICAL", "INFO"), F.col("worst")).otherwise("WARNING"))
+    return _hotspot_flags(h, "ARCHITECTURE_HOTSPOT", severity, {"weighted": F.round("weighted", 3), "min_weighted": F.lit(least), "offenders": F.col("offenders")})
+
+
+def static_hotspots(shares: DataFrame, least: float = 2.0) -> DataFrame:
+    """STATIC_ANALYSIS_HOTSPOT flags. shares: author, share, analyzer, rule_id, category, file_path, severity."""
+    h = hotspots(shares, ["rule_id", "file_path"], F.col("severity"), None, {k: F.col(k) for k in ("analyzer", "rule_id", "category", "file_path")})
+    severity = F.when(F.col("weighted") >= least, F.when(F.col("worst").isin("CRITICAL", "INFO"), F.col("worst")).otherwise("WARNING"))
+    return _hotspot_flags(h, "STATIC_ANALYSIS_HOTSPOT", severity, {"weighted": F.round("weighted", 3), "min_weighted": F.lit(least), "offenders": F.col("offenders")})
+
+
+def complexity_hotspots(shares: DataFrame, warn: float, critical: float) -> DataFrame:
+    """COMPLEXITY_HOTSPOT flags: critical from ``critical`` on, or from ``warn`` on if the worst finding is. shares: author, share, rule_key, severity, file_path, method_name, measured_value. The finding with the largest measure stands for its method."""
+    keep = {k: F.col(k) for k in ("rule_key", "file_path", "method_name", "measured_value")}
+    h = hotspots(shares, ["file_path", "method_name"], F.col("severity"), None, keep, F.col("measured_value").cast("double"), 3)
+    severity = F.when((F.col("weighted") >= critical) | ((F.col("weighted") >= warn) & (F.col("worst") == "CRITICAL")), "CRITICAL").when(F.col("weighted") >= warn, "WARNING")
+    return _hotspot_flags(h, "COMPLEXITY_HOTSPOT", severity, {"score": F.round("weighted", 3), "warn_threshold": F.lit(warn), "crit_threshold": F.lit(critical), "worst_severity": F.col("worst"), "offenders": F.col("offenders")})
+
+
+def hotspot_blame(flag: Column, details: Column) -> Column:
+    """How much blame a hotspot flag's details hold; 0 for other flags and unreadable details."""
+    field = lambda name: F.coalesce(F.try_to_number(F.get_json_object(details, name), F.lit("9999999999.999999")).cast("double"), F.lit(0.0))
+    return F.when(flag == "COMPLEXITY_HOTSPOT", field("$.score")).when(flag.isin("ARCHITECTURE_HOTSPOT", "STATIC_ANALYSIS_HOTSPOT"), field("$.weighted")).otherwise(0.0)
+
+
+def last_minute(prs: DataFrame) -> DataFrame:
+    """LAST_MINUTE_PR flags, one for each pull request in that band with a member. prs: member, pr, title, url, repo, hours, merged_at, band."""
+    details = F.struct(F.col("pr").alias("pr_number"), F.col("title").alias("pr_title"), F.col("url").alias("pr_url"), "repo", round_half_even(1)(F.coalesce("hours", F.lit(0.0))).alias("hours_before_deadline"), "merged_at")
+    return prs.filter("band = 'last_minute' and member is not null").select("member", F.lit("LAST_MINUTE_PR").alias("flag"), F.lit("WARNING").alias("severity"), F.to_json(details).alias("details"))
+
+
+def dispatch(old: DataFrame, scope: DataFrame, keys: list[str], found: list[DataFrame]) -> DataFrame:
+    """The flags table after a run: those of the scopes in ``scope`` (such as a sprint or a project) are replaced by what the detectors found, others stay. All have the columns of old."""
+    kept = old.join(scope.select(*keys).distinct(), keys, "left_anti")
+    return reduce(lambda a, b: a.unionByName(b.select(*old.columns)), found, kept)
+
+
+def redetect(old: DataFrame, scope: DataFrame, keys: list[str], names: list[str], found: list[DataFrame]) -> DataFrame:
+    """As dispatch, for the flags called ``names`` only."""
+    mine = F.col("flag").isin(*names)
+    return old.filter(~mine).unionByName(dispatch(old.filter(mine), scope, keys, found))
 
 
 def rewrites(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,14 @@ def checksum(df: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
 
 
 def diff(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
-    """keys and status: ONLY-A, ONLY-B or DIFF, for rows that are not equal. Numbers may differ by ``tolerance``, absolute or relative."""
+    """keys and status: ONLY-A, ONLY-B or DIFF, for rows that are not equal; null keys match null keys. Numbers may differ by ``tolerance``, absolute or relative."""
     values = [c for c in a.columns if c not in keys]
     kinds = dict(a.dtypes)
     x = a.select(*keys, F.struct(*values).alias("a"), F.lit(True).alias("in_a"))
-    y = b.select(*keys, F.struct(*values).alias("b"), F.lit(True).alias("in_b"))
-    both = x.join(y, keys, "full")
+    y = b.select(*[F.col(k).alias(f"{k}__b") for k in keys], F.struct(*values).alias("b"), F.lit(True).alias("in_b"))
+    both = x.join(y, [F.col(k).eqNullSafe(F.col(f"{k}__b")) for k in keys], "full")
+    # A null key of a matched pair is null on both sides.
+    both = both.withColumns({k: F.coalesce(k, f"{k}__b") for k in keys})
 
     def same(c: str) -> Column:
         p, q = F.col("a")[c], F.col("b")[c]
@@ -46,11 +50,12 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 0.0) ->
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace") -> DataFrame:
-    """The merged table. policy: replace (the new row wins), ignore (the old row wins) or coalesce (new values where not null, column by column). Both sides hold each key once."""
+    """The merged table. policy: replace (the new row wins), ignore (the old row wins) or coalesce (new values where not null, column by column). Both sides hold each key once; null keys match null keys."""
     if policy in ("replace", "ignore"):
         win, lose = (new, old) if policy == "replace" else (old, new)
-        return win.unionByName(lose.join(win.select(*keys), keys, "left_anti").select(*win.columns))
-    x = old.alias("o").join(new.alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "full")
+        known = win.select(*[F.col(k).alias(f"{k}__w") for k in keys])
+        return win.unionByName(lose.join(known, [F.col(k).eqNullSafe(F.col(f"{k}__w")) for k in keys], "left_anti").select(*win.columns))
+    x = old.alias("o").join(new.alias("n"), [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys], "full")
     return x.select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns])
 
 
@@ -72,7 +77,20 @@ def purge(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]],
         if parent in gone:
             hit = tables[child].join(gone[parent].select(F.col(pc).alias("__p")).distinct(), F.col(cc) == F.col("__p"), "left_semi")
             gone[child] = gone[child].unionByName(hit) if child in gone else hit
-    return {n: t.join(gone[n].distinct(), t.columns, "left_anti") if n in gone else t for n, t in tables.items()}
+    out = {}
+    for name, table in tables.items():
+        if name in gone:  # rows are told by all their columns, nulls included
+            dead = gone[name].select(*[F.col(f"`{c}`").alias(f"{c}__g") for c in table.columns]).distinct()
+            table = table.join(dead, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}__g`")) for c in table.columns], "left_anti")
+        out[name] = table
+    return out
+
+
+def doomed_counts(tables: dict[str, DataFrame], left: dict[str, DataFrame]) -> DataFrame:
+    """What a purge would delete, without deleting: name, rows, doomed."""
+    one = lambda name: tables[name].agg(F.lit(name).alias("name"), F.count("*").alias("rows")).join(left[name].agg(F.count("*").alias("kept")))  # noqa: E731  one row each
+    every = [one(name).select("name", "rows", (F.col("rows") - F.col("kept")).alias("doomed")) for name in tables]
+    return reduce(DataFrame.unionByName, every)
 
 
 def unseen(rows: DataFrame, seen: DataFrame, keys: list[str], version: str) -> DataFrame:

@@ -22,22 +22,28 @@ def dominant(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 
 
 def previous(df: DataFrame, by: list[str], order: str, value: str, name: str = "previous") -> DataFrame:
-    """The latest earlier row's value and the change; an as-of self-join as a window."""
-    p = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumns({name: p, "delta": F.col(value) - p})
+    """The latest strictly earlier row's value (the largest of rows of the same time) and the change; an as-of self-join as windows that share one shuffle."""
+    rank = F.dense_rank().over(Window.partitionBy(*by).orderBy(order))
+    earlier = Window.partitionBy(*by).orderBy("__rank").rangeBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("__rank", rank)
+    p = F.max(F.struct("__rank", F.col(value).alias("v"))).over(earlier)["v"]
+    return x.withColumn(name, p).drop("__rank").withColumn("delta", F.col(value) - F.col(name))
 
 
 def contained(events: DataFrame, at: str, windows: DataFrame, start: str, end: str, width_days: int = 32) -> DataFrame:
-    """Each event with the first window that holds it, both ends inclusive; events in none are left out.
+    """Each event with the first window that holds it (by start, then end), both ends inclusive; events in none are left out.
 
-    Windows are spread over buckets of ``width_days`` so that the join has an equality
-    to shuffle or broadcast on, however many windows there are.
+    Windows are spread over buckets of ``width_days``; a bucket's windows are one sorted array, so that each event meets
+    one row and needs no window of its own, whatever its identity.
     """
     day = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
+    rest = [c for c in windows.columns if c not in (start, end)]
     spread = windows.withColumn("__b", F.explode(F.sequence(F.floor(day(F.col(start)) / width_days), F.floor(day(F.col(end)) / width_days))))
-    e = events.withColumns({"__b": F.floor(day(F.col(at)) / width_days), "__id": F.monotonically_increasing_id()})
-    hit = e.join(spread, "__b").filter((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
-    return dominant(hit, ["__id"], [F.col(start), F.col(end)]).drop("__b", "__id")
+    spread = spread.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*rest, F.lit(0).alias("__0")).alias("rest")))).alias("__w"))
+    e = events.withColumn("__b", F.floor(day(F.col(at)) / width_days))
+    first = F.get(F.filter("__w", lambda w: (F.col(at) >= w["s"]) & (F.col(at) <= w["e"])), F.lit(0))
+    hit = e.join(spread, "__b").withColumn("__hit", first).filter("__hit is not null")
+    return hit.select(*events.columns, F.col("__hit.s").alias(start), F.col("__hit.e").alias(end), *[F.col(f"__hit.rest.{c}").alias(c) for c in rest])
 
 
 def coverage(df: DataFrame, by: list[str], owner: str, amount: str, share: float = 0.95) -> DataFrame:

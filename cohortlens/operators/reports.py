@@ -52,3 +52,26 @@ def commit_rhythm(commits: DataFrame, key: str, at: str, size: str, later: Colum
     per = F.when(F.col("span_minutes") > 0, F.col("__sum") / F.when(F.col("span_minutes") > 0, F.col("span_minutes")))
     share = F.when(F.col("__sum") > 0, F.col("__max") / F.when(F.col("__sum") > 0, F.col("__sum")))
     return g.select(key, "n", "span_minutes", "longest_gap_minutes", per.alias("size_per_minute"), share.alias("largest_share"), ((F.col("n") > 1) & F.col("__fix")).alias("fixup"))
+
+
+def task_lines(links: DataFrame, prs: DataFrame, task: str) -> DataFrame:
+    """By task: ls (all lines of its pull requests) and weighted (each one's by its share of the task's points, evenly if they are all 0). links: pr, task, points; prs: pr, ls."""
+    x = links.join(prs, "pr")
+    total = x.groupBy(F.col(task).alias("__t")).agg(F.sum("points").alias("__points"), F.count("*").alias("__n"))
+    x = x.join(total, F.col(task) == F.col("__t"))
+    share = F.when(F.col("__points") == 0, 1.0 / F.col("__n")).otherwise(F.col("points") / F.when(F.col("__points") != 0, F.col("__points")))
+    return x.groupBy(task).agg(F.sum("ls").alias("ls"), F.sum(F.col("ls") * share).alias("weighted"))
+
+
+def findings_by_author(shares: DataFrame, rule: str) -> DataFrame:
+    """author, rule, n, critical, weight (blame summed up), worst (severity). shares: author, rule, severity, share."""
+    rank = F.when(F.col("severity") == "CRITICAL", 3).when(F.col("severity") == "WARNING", 2).otherwise(1)
+    return shares.groupBy("author", rule).agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.sum("share").alias("weight"), F.max_by("severity", rank).alias("worst"))
+
+
+def identity_map(members: DataFrame, identities: DataFrame) -> DataFrame:
+    """member, name, logins and emails (in order, comma-joined, without case), n (identities); members without any stay. identities: member, kind, value."""
+    i = identities.select(F.col("member").alias("m2"), "kind", F.lower("value").alias("value")).distinct()
+    text = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))), ",")
+    g = i.groupBy("m2").agg(text("login").alias("logins"), text("email").alias("emails"), F.count("*").alias("n"))
+    return members.join(g, F.col("member") == F.col("m2"), "left").select("member", "name", F.coalesce("logins", F.lit("")).alias("logins"), F.coalesce("emails", F.lit("")).alias("emails"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -49,37 +49,64 @@ def zscore(value: Column, by: list[str]) -> Column:
     return (value - F.avg(value).over(w)) / F.when(sd > 0, sd)
 
 
+def _joined(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of other, one row for each key; null keys are keys too."""
+    keys = {c: f"{c}__k" for c in by}
+    other = other.withColumnsRenamed(keys)
+    match = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    return df.join(other, match, how).drop(*keys.values())
+
+
 def quantiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median, upper median (item n // 2), linear p10 and p90, and the positional quarter by group."""
+    """Median, upper median (item n // 2), linear p10 and p90, and the positional quarter by group.
+
+    All come from the places in one sorted window, so no group is held in a buffer."""
     w = Window.partitionBy(*by)
     x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"))
     x = x.withColumns({"i": F.row_number().over(w.orderBy("x")) - 1, "n": F.count("*").over(w)})
     pick = lambda at: F.max(F.when(F.col("i") == at, F.col("x")))
-    return x.groupBy(*by).agg(F.median("x").alias("median"), pick(F.floor(F.col("n") / 2)).alias("upper_median"), F.percentile("x", 0.1).alias("p10"), F.percentile("x", 0.9).alias("p90"), pick(F.floor(F.col("n") / 4)).alias("quarter"))
+    parts = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    place = lambda p: p * (F.col("n") - 1)
+    found = {name: pick(F.floor(place(p))) + (pick(F.ceil(place(p))) - pick(F.floor(place(p)))) * F.max(place(p) - F.floor(place(p))) for name, p in parts.items()}
+    return x.groupBy(*by).agg(
+        found["median"].alias("median"), pick(F.floor(F.col("n") / 2)).alias("upper_median"), found["p10"].alias("p10"), found["p90"].alias("p90"), pick(F.floor(F.col("n") / 4)).alias("quarter"),
+    )
+
+
+def _medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """By group: the median under ``name``, the mean and n of the values that are not null."""
+    w = Window.partitionBy(*by)
+    x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
+    x = x.withColumns({"i": F.row_number().over(w.orderBy("x")), "n": F.count("*").over(w)})
+    middle = F.avg(F.when(F.col("i").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1), F.col("x")))
+    return x.groupBy(*by).agg(middle.alias(name), F.avg("x").alias("mean"), F.count("*").alias("n"))
 
 
 def mad_outliers(df: DataFrame, by: list[str], value: str, threshold: float = 3.0, least: int = 3) -> DataFrame:
     """All rows of groups of ``least`` rows with median, scale and z; outlier where |z| > threshold. The scale is the median absolute deviation, the mean one if that is 0; z is null if both are."""
-    med = df.groupBy(*by).agg(F.median(value).alias("median"), F.count(value).alias("n")).filter(F.col("n") >= least)
-    x = df.join(med, by).withColumn("dev", F.abs(F.col(value) - F.col("median")))
-    scale = x.groupBy(*by).agg(F.median("dev").alias("mad"), F.avg("dev").alias("mean_dev"))
-    scale = scale.select(*by, F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif("mean_dev", F.lit(0.0))).alias("scale"))
-    x = x.join(scale, by).drop("dev").withColumn("z", (F.col(value) - F.col("median")) / F.col("scale"))
+    med = _medians(df, by, value, "median").filter(F.col("n") >= least).drop("mean")
+    x = _joined(df, med, by).withColumn("dev", F.abs(F.col(value) - F.col("median")))
+    scale = _medians(x, by, "dev", "mad").select(*by, F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif("mean", F.lit(0.0))).alias("scale"))
+    x = _joined(x, scale, by).drop("dev").withColumn("z", (F.col(value) - F.col("median")) / F.col("scale"))
     return x.withColumn("outlier", F.coalesce(F.abs("z") > threshold, F.lit(False)))
 
 
 def backoff_outliers(df: DataFrame, levels: list[list[str]], value: str, least: int = 4, threshold: float = 3.0) -> DataFrame:
-    """Each row is judged in its first level of grouping with ``least`` rows; level is its place in ``levels``."""
-    out, rest = None, df
+    """Each row is judged in its first level of grouping with ``least`` rows; level is its place in ``levels``. An empty level is the whole table. Rows that no level suits stay, with null level, median, scale and z."""
+    columns, out = df.columns, None
+    whole = df.withColumn("__all", F.lit(1))
+    rest = whole
     for i, by in enumerate(levels):
-        sized = rest.join(df.groupBy(*by).agg(F.count("*").alias("__n")), by) if by else rest.crossJoin(df.agg(F.count("*").alias("__n")))
-        here = mad_outliers(df, by, value, threshold, least) if by else None
-        keys = here.select(*by, "median", "scale").distinct()
-        got = sized.filter(F.col("__n") >= least).drop("__n").join(keys, by)
+        by = by or ["__all"]
+        sized = _joined(rest, whole.groupBy(*by).agg(F.count("*").alias("__n")), by)
+        judged = mad_outliers(whole, by, value, threshold, 1).groupBy(*by).agg(F.first("median").alias("median"), F.first("scale").alias("scale"))
+        got = _joined(sized.filter(F.col("__n") >= least).drop("__n"), judged, by, "left")
         got = got.withColumn("z", (F.col(value) - F.col("median")) / F.col("scale")).withColumn("level", F.lit(i))
         out = got if out is None else out.unionByName(got)
         rest = sized.filter(F.col("__n") < least).drop("__n")
-    return out.withColumn("outlier", F.coalesce(F.abs("z") > threshold, F.lit(False)))
+    left = rest.withColumns({c: F.lit(None).cast("double") for c in ("median", "scale", "z")}).withColumn("level", F.lit(None).cast("int"))
+    out = left if out is None else out.unionByName(left)
+    return out.select(*columns, "median", "scale", "z", "level", F.coalesce(F.abs("z") > threshold, F.lit(False)).alias("outlier"))
 
 
 def trend(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -131,21 +158,19 @@ def _beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def slope_p_value(r2: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p-value of a least-squares slope, from R^2 and the number of points; null under three points or without R^2, 0 for a perfect fit."""
-    df = n.astype(float) - 2
-    ok = (df > 0) & r2.notna()
-    x = np.clip(1 - r2[ok].to_numpy(float), 0, 1)
-    out = pd.Series(np.nan, index=r2.index)
+    """Two-sided p-value of a least-squares slope, from R^2 and the number of points: 0.5 under two points, 0 for a perfect fit, which two points and equal values always have."""
+    n, x = n.astype(float), 1 - r2.astype(float)
+    out = pd.Series(np.where(n < 2, 0.5, 0.0), index=r2.index)
+    ok = (n > 2) & (x > 1e-15)
     if ok.any():
-        out[ok] = _beta_tail(x, df[ok].to_numpy() / 2, np.full(int(ok.sum()), 0.5))
+        out[ok] = _beta_tail(np.clip(x[ok].to_numpy(), 0, 1), (n[ok].to_numpy() - 2) / 2, np.full(int(ok.sum()), 0.5))
     return out
 
 
 def trajectory(df: DataFrame, by: list[str], order: str, value: str, low: float = 0.20, high: float = 0.40, p: float = 0.15) -> DataFrame:
     """trend() with p_value and class: insufficient_data under two points, steady under a variation of ``low``, growing or declining by a slope with a p-value under ``p``, sporadic over ``high``, else steady."""
     t = trend(df, by, order, value).withColumn("p_value", slope_p_value("r2", "n"))
-    t = t.withColumn("p_value", F.nanvl("p_value", F.lit(None).cast("double")))
-    sure = F.coalesce(F.col("p_value") < p, F.lit(False))
+    sure = F.col("p_value") < p
     kind = F.when(F.col("n") < 2, "insufficient_data").when(F.col("cv") < low, "steady").when((F.col("slope") > 0) & sure, "growing").when((F.col("slope") < 0) & sure, "declining").when(F.col("cv") > high, "sporadic").otherwise("steady")
     return t.withColumn("class", kind)
 

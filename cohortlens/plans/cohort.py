@@ -59,15 +59,15 @@ def calibration(t):
 
 
 @query("""
-with a as (select p_partkey as k, p_retailprice as price, p_size as size from part where p_partkey % 11 <> 0),
-b as (select p_partkey as k, p_retailprice + case when p_partkey % 5 = 0 then 0.25 else 0.003 end as price, p_size as size from part where p_partkey % 13 <> 0),
+with a as (select p_partkey as k, p_retailprice as price, p_size as size from part where p_brand <> 'Brand#13'),
+b as (select p_partkey as k, p_retailprice + case when p_type = 'ECONOMY' then 0.25 else 0.003 end as price, p_size as size from part where p_brand <> 'Brand#5'),
 j as (select coalesce(a.k, b.k) as k, a.price as ap, b.price as bp, a.size as az, b.size as bz from a full join b on a.k = b.k),
 e as (select k, 'price' as "column", ap as have, bp as want, 0.005 as tol from j union all select k, 'size', az, bz, 0.5 from j)
 select k, "column", round(have, 4) as have, round(want, 4) as want, round(abs(have - want), 6) as delta from e where abs(have - want) > tol or (have is null) <> (want is null)""")
 def parity_check(t):
-    p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
-    want = p.filter("k % 13 != 0").withColumn("price", F.col("price") + F.when(F.col("k") % 5 == 0, 0.25).otherwise(0.003))
-    found = cohort.parity(p.filter("k % 11 != 0"), want, "k", {"price": 2, "size": 0})
+    p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"), "p_brand", "p_type")
+    want = p.filter("p_brand != 'Brand#5'").withColumn("price", F.col("price") + F.when(F.col("p_type") == "ECONOMY", 0.25).otherwise(0.003))
+    found = cohort.parity(p.filter("p_brand != 'Brand#13'").drop("p_brand", "p_type"), want.drop("p_brand", "p_type"), "k", {"price": 2, "size": 0})
     return found.select("k", "column", r("have", 4).alias("have"), r("want", 4).alias("want"), r("delta", 6).alias("delta"))
 
 

@@ -143,13 +143,65 @@ def finding_attribution(t):
     return _attributed(t).select("file", "finding", "author", "lines", r("share", 6).alias("share"))
 
 
+SHARES = f"""{FINDINGS}, s as (select author, share, finding, file, case when finding like '1-%' then 'CRITICAL' when finding like '2-%' then 'WARNING' else 'INFO' end as severity from b),
+g as (select author, finding, file, least(sum(share), 1) as blame, max(severity) as severity, case max(severity) when 'CRITICAL' then 1.0 when 'WARNING' then 0.25 else 0.1 end as w, case max(severity) when 'CRITICAL' then 3 when 'WARNING' then 2 else 1 end as rank from s group by 1, 2, 3),
+c as (select *, blame * w as contribution from g),
+p as (select *, row_number() over (partition by author order by contribution desc, finding, file) as place from c)"""
+
+
+def _shares(t):
+    severity = F.when(F.col("finding").startswith("1-"), "CRITICAL").when(F.col("finding").startswith("2-"), "WARNING").otherwise("INFO")
+    return _attributed(t).select("author", "share", F.col("finding").alias("rule_id"), F.col("file").alias("file_path"), severity.alias("severity"), F.lit("lint").alias("analyzer"), F.lit("style").alias("category"))
+
+
+def _offenders(found, *names):
+    """The fields of the details that do not depend on how JSON is written."""
+    one = F.from_json("details", "struct<weighted:double,score:double,worst_severity:string,offenders:array<struct<rule_id:string,rule_name:string,rule_key:string,file_path:string,method_name:string,severity:string,weight:double>>>")
+    o = F.transform(one["offenders"], lambda x: F.concat_ws(":", *[x[n] for n in names], x["severity"]))
+    return found.select("author", "flag", "severity", r(F.coalesce(one["weighted"], one["score"]), 1).alias("weighted"), F.array_join(o, ",").alias("offenders"))
+
+
+@query(f"""
+with {SHARES}, w as (select author, sum(contribution) as weighted, max(rank) as rank, string_agg(case when place <= 10 then finding || ':' || file || ':' || severity end, ',' order by place) as offenders from p group by 1)
+select author, 'STATIC_ANALYSIS_HOTSPOT' as flag, case rank when 3 then 'CRITICAL' when 1 then 'INFO' else 'WARNING' end as severity, round(round(weighted, 3), 1) as weighted, offenders from w where weighted >= 2""")
+def static_hotspots(t):
+    return _offenders(detectors.static_hotspots(_shares(t), 2.0), "rule_id", "file_path")
+
+
 @query(f"""
-with {FINDINGS}, w as (select author, least(share, 1) * case when finding like '1-%' then 1.0 when finding like '2-%' then 0.25 else 0.1 end as w from b)
-select author, round(sum(w), 8) as weighted, count(*) as n from w group by 1 having sum(w) >= 2""")
-def hotspots(t):
-    weight = F.when(F.col("finding").startswith("1-"), 1.0).when(F.col("finding").startswith("2-"), 0.25).otherwise(0.1)
-    h = detectors.hotspots(_attributed(t).withColumn("rule", F.col("finding")), weight, 2.0)
-    return h.withColumn("weighted", r("weighted", 8))
+with {SHARES}, q as (select * exclude (place, contribution), contribution * case when finding like '5-%' then 2 else 1 end as contribution from p where finding not like '4-%'),
+z as (select *, row_number() over (partition by author order by contribution desc, finding, file) as place from q),
+w as (select author, sum(contribution) as weighted, max(rank) as rank, string_agg(case when place <= 10 then finding || ':' || file || ':' || severity end, ',' order by place) as offenders from z group by 1)
+select author, 'ARCHITECTURE_HOTSPOT' as flag, case rank when 3 then 'CRITICAL' when 1 then 'INFO' else 'WARNING' end as severity, round(round(weighted, 3), 1) as weighted, offenders from w where weighted >= 2""")
+def architecture_hotspots(t):
+    shares = _shares(t).withColumns({"rule_name": F.col("rule_id"), "rule_kind": F.lit("layer")})
+    found = detectors.architecture_hotspots(shares, 2.0, {"4-NOT SPECIFIED": 0.0, "5-LOW": 2.0})
+    return _offenders(found, "rule_name", "file_path")
+
+
+@query(f"""
+with {FINDINGS}, s as (select author, share, finding, file, author % 7 as method, case when finding like '1-%' then 'CRITICAL' when finding like '2-%' then 'WARNING' else 'INFO' end as severity from b),
+g as (select author, file, method, least(sum(share), 1) as blame, max(case severity when 'CRITICAL' then 3 when 'WARNING' then 2 else 1 end) as rank, max(finding) as finding from s group by 1, 2, 3),
+c as (select *, blame * case rank when 3 then 1.0 when 2 then 0.25 else 0.1 end as contribution, case rank when 3 then 'CRITICAL' when 2 then 'WARNING' else 'INFO' end as severity from g),
+p as (select *, row_number() over (partition by author order by contribution desc, file, method) as place from c),
+w as (select author, sum(contribution) as weighted, max(rank) as rank, string_agg(case when place <= 3 then file || ':m' || method || ':' || severity end, ',' order by place) as offenders from p group by 1)
+select author, 'COMPLEXITY_HOTSPOT' as flag, case when weighted >= 40 or rank = 3 then 'CRITICAL' else 'WARNING' end as severity, round(round(weighted, 3), 1) as weighted, offenders from w where weighted >= 5""")
+def complexity_hotspots(t):
+    shares = _shares(t).withColumns({"rule_key": F.col("rule_id"), "method_name": F.concat(F.lit("m"), (F.col("author") % 7).cast("string")), "measured_value": F.lit(1.0)})
+    return _offenders(detectors.complexity_hotspots(shares, 5.0, 40.0), "file_path", "method_name")
+
+
+@query("""
+select o_custkey as member, o_orderkey as pr, 'LAST_MINUTE_PR' as flag, cast(printf('%.1f', (epoch(date_trunc('day', o_orderdate)) + 86400 * 0.1 - epoch(o_orderdate) + o_orderkey % 5 * 1000) / 3600.0) as double) as hours from orders where o_orderpriority = '1-URGENT'""")
+def last_minute_prs(t):
+    at = F.col("o_orderdate").cast("timestamp")
+    hours = (F.unix_seconds(F.date_trunc("day", at)) + 8640 - F.unix_seconds(at) + F.col("o_orderkey") % 5 * 1000) / 3600.0
+    p = t("orders").select(
+        F.col("o_custkey").alias("member"), F.col("o_orderkey").alias("pr"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("a/b").alias("repo"), hours.alias("hours"), F.col("o_orderdate").cast("string").alias("merged_at"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "last_minute").otherwise("early").alias("band"),
+    )
+    d = F.from_json("details", "struct<pr_number:bigint,hours_before_deadline:double>")
+    return detectors.last_minute(p).select("member", d["pr_number"].alias("pr"), "flag", d["hours_before_deadline"].alias("hours"))
 
 
 @query("""
@@ -199,13 +251,13 @@ def stratified_sample(t):
 
 
 @query("""
-with a as (select p_partkey as k, p_brand || p_size as c from part where p_partkey % 9 <> 0), b as (select p_partkey as k, p_brand || (case when p_size > 40 then p_size + 1 else p_size end) as c from part where p_partkey % 8 <> 0)
+with a as (select p_partkey as k, p_brand || p_size as c from part where p_type <> 'PROMO'), b as (select p_partkey as k, p_brand || (case when p_size > 40 then p_size + 1 else p_size end) as c from part where p_type <> 'ECONOMY')
 select coalesce(a.k, b.k) as k, case when a.k is null then 'added' when b.k is null then 'removed' when a.c = b.c then 'unchanged' else 'modified' end as status from a full join b on a.k = b.k""")
 def version_diff(t):
     text = lambda size: F.concat("p_brand", size.cast("string")).alias("c")
     p, size = t("part"), F.col("p_size")
-    old = p.filter("p_partkey % 9 != 0").select(F.col("p_partkey").alias("k"), text(size))
-    return reports.version_diff(old, p.filter("p_partkey % 8 != 0").select(F.col("p_partkey").alias("k"), text(F.when(size > 40, size + 1).otherwise(size))), "k", "c")
+    old = p.filter("p_type != 'PROMO'").select(F.col("p_partkey").alias("k"), text(size))
+    return reports.version_diff(old, p.filter("p_type != 'ECONOMY'").select(F.col("p_partkey").alias("k"), text(F.when(size > 40, size + 1).otherwise(size))), "k", "c")
 
 
 @query("""
@@ -235,11 +287,11 @@ def score_agreement(t):
     return x.select("n", *[r(c, 6).alias(c) for c in ("spearman", "mae", "on_grid")])
 
 
-@query(r"""
-with w as (select doc_id, list_filter(string_split_regex(lower(left(text, 200)), '[^a-z0-9]+'), lambda x: length(x) >= 2 and x not in ('a', 'an', 'and', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with')) as w from documents)
+@query(f"""
+with w as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 2 and x not in {T.STOP_WORDS}) as w from documents)
 select doc_id, array_to_string(w, ' ') as title, cast(len(w) as bigint) as n from w""")
 def title_tokens(t):
-    w = T.title_tokens(F.left("text", F.lit(200)))
+    w = T.title_tokens(F.col("text"))
     return t("documents").select("doc_id", F.array_join(w, " ").alias("title"), F.size(w).cast("bigint").alias("n"))
 
 

@@ -22,7 +22,6 @@ TOKEN = re.compile(r'(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>"""(?:\\.
 KEYWORDS = frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public record return short static strictfp super switch synchronized this throw throws transient try void volatile while".split())
 TYPES = frozenset({"class", "interface", "enum", "record"})
 BRANCHES = frozenset({"if", "for", "while", "case", "catch", "?", "&&", "||"})
-NESTING = frozenset({"if", "for", "while", "do", "switch", "catch"})
 
 
 @dataclass(frozen=True)
@@ -100,34 +99,129 @@ def cyclomatic(tokens: list[Token]) -> int:
     return 1 + sum(x.kind in ("word", "op") and x.text in BRANCHES for x in tokens)
 
 
+class _Walk:
+    """Adds up control structures over tokens: a small descent through statements and expressions.
+
+    A structure costs one and its depth. If, loops, catch and lambdas nest what they hold (their conditions and
+    an else too, so an ``else if`` lies one deeper than its if); switch and ?: cost without nesting. Each && and || costs one."""
+
+    def __init__(self, tokens: list[Token]):
+        self.t = [x.text if x.kind in ("word", "op") else "" for x in tokens if x.kind != "comment"]
+        self.i = self.cost = self.deepest = 0
+
+    def at(self, ahead: int = 0) -> str | None:
+        return self.t[self.i + ahead] if self.i + ahead < len(self.t) else None
+
+    def enter(self, depth: int, nests: bool = True) -> int:
+        self.cost += 1 + depth
+        self.deepest = max(self.deepest, depth + nests)
+        return depth + nests
+
+    def block(self, depth: int) -> None:
+        """From { to its }."""
+        self.i += 1
+        while self.at() is not None and self.at() != "}":
+            self.statement(depth)
+        self.i += 1
+
+    def expression(self, depth: int, stops: str) -> None:
+        """Up to one of stops outside brackets, which is left."""
+        while self.at() is not None and self.at() not in tuple(stops):
+            x = self.at()
+            if x in ("(", "["):
+                self.i += 1
+                self.expression(depth, ")]")
+                self.i += 1
+            elif x == "{":
+                self.block(depth)
+            elif x in ("}", ")", "]"):
+                return
+            elif x == "->":
+                self.i += 1
+                self.deepest = max(self.deepest, depth + 1)
+                if self.at() == "{":
+                    self.block(depth + 1)
+                else:
+                    self.expression(depth + 1, stops + ",")
+            elif x == "switch":
+                self.switch(depth)
+            else:
+                wild = x == "?" and self.t[self.i - 1 : self.i] in (["<"], [","]) and self.at(1) in (">", ",", "extends", "super")
+                if x == "?" and not wild:
+                    self.enter(depth, False)
+                self.cost += x in ("&&", "||")
+                self.i += 1
+
+    def parens(self, depth: int) -> None:
+        if self.at() == "(":
+            self.i += 1
+            while self.at() is not None and self.at() != ")":
+                self.expression(depth, ");")
+                self.i += self.at() == ";"
+                if self.at() in ("}", "]"):
+                    return
+            self.i += 1
+
+    def switch(self, depth: int) -> None:
+        self.i += 1
+        self.enter(depth, False)
+        self.parens(depth)
+        if self.at() != "{":
+            return
+        self.i += 1
+        while self.at() is not None and self.at() != "}":
+            if self.at() in ("case", "default"):
+                while self.at() is not None and self.at() not in (":", "->", "}"):
+                    self.i += 1
+                self.i += self.at() in (":", "->")
+            else:
+                self.statement(depth)
+        self.i += 1
+
+    def statement(self, depth: int) -> None:
+        x = self.at()
+        if x == "{":
+            self.block(depth)
+        elif x in ("if", "for", "while", "catch"):
+            self.i += 1
+            inner = self.enter(depth)
+            self.parens(inner)
+            self.statement(inner)
+            if x == "if" and self.at() == "else":
+                self.i += 1
+                self.statement(inner)
+        elif x == "do":
+            self.i += 1
+            inner = self.enter(depth)
+            self.statement(inner)
+            if self.at() == "while":
+                self.i += 1
+                self.parens(inner)
+                self.i += self.at() == ";"
+        elif x == "switch":
+            self.switch(depth)
+        elif x in ("try", "synchronized", "finally", "else"):
+            self.i += 1
+            self.parens(depth)
+            self.statement(depth)
+        elif x in TYPES:
+            while self.at() is not None and self.at() not in ("{", ";"):
+                self.i += 1
+            if self.at() == "{":
+                self.block(depth)
+        else:
+            self.expression(depth, ";")
+            self.i += self.at() in (";", ")", "]")
+
+
 def nesting(tokens: list[Token]) -> tuple[int, int]:
-    """(deepest control nesting, cognitive complexity). A control word costs one and its depth, an else or a run of one logical operator one. An `else if` does not nest deeper."""
-    deepest = cost = depth = 0
-    blocks: list[str] = []  # the control word of each open block, empty for plain ones
-    waiting = logic = before = closed = ""
-    round_depth = 0
-    for x in tokens:
-        text = x.text if x.kind in ("word", "op") else ""
-        if text in NESTING and not (text == "while" and before == "}" and closed == "do"):
-            if not (text == "if" and before == "else"):
-                cost += 1 + depth
-            deepest, waiting, logic = max(deepest, depth + 1), text, ""
-        elif text == "else":
-            cost, waiting = cost + 1, text
-        elif text in ("&&", "||"):
-            cost, logic = cost + (text != logic), text
-        round_depth += (text == "(") - (text == ")")
-        if text == "{":
-            blocks.append(waiting)
-            depth, waiting = depth + bool(waiting), ""
-        elif text == "}" and blocks:
-            closed = blocks.pop()
-            depth -= bool(closed)
-        elif text == ";":
-            logic = ""
-            waiting = waiting if round_depth > 0 else ""
-        before = text or before
-    return deepest, cost
+    """(deepest nesting, cognitive complexity) of a method's body."""
+    walk = _Walk(tokens)
+    while walk.at() is not None:
+        before = walk.i
+        walk.statement(0)
+        walk.i += walk.i == before
+    return walk.deepest, walk.cost
 
 
 def halstead(tokens: list[Token]) -> dict[str, float]:

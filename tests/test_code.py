@@ -35,8 +35,8 @@ def test_methods(metrics):
     assert (run["start_line"], run["end_line"]) == (7, 13)
     # if, &&, ||, for, if, else-if, ?
     assert (run["cyclomatic"], run["nesting"]) == (8, 3)
-    # if 1, && and || 2, for 2, inner if 3, its else 1, else-if 1
-    assert run["cognitive"] == 10
+    # if 1, && and || 2, for 2, inner if 3, else-if 2, ?: 1
+    assert run["cognitive"] == 11
     assert (metrics["View"]["cyclomatic"], metrics["View"]["cognitive"], metrics["View"]["nesting"]) == (1, 0, 0)
 
 
@@ -61,7 +61,7 @@ def test_comments_and_findings(spark):
 
 def test_nesting_of_loops():
     assert code.nesting(code.scan("{ do { if (a) { b(); } } while (c && d); while (e) f(); }")) == (2, 1 + 2 + 1 + 1)
-    assert code.nesting(code.scan("{ if (a) b(); else if (c) { d(); } }")) == (1, 2)
+    assert code.nesting(code.scan("{ if (a) b(); else if (c) { d(); } }")) == (2, 3)
 
 
 def test_halstead():
