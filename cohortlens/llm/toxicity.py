@@ -17,7 +17,7 @@ minimised by gradient descent in the Nystroem space, and the logistic is fitted
 
 Cases: null text counts as empty; a text without strings scores as the lowest string would.
 Without toxic or without clean labelled texts each score is 0 or 1 as the labels
-say (0 if there are none). Several labels of a document: the highest counts. Repeated rows score each.
+say (0 if there are none); if no string tells the classes apart, they are 0, or the share of toxic texts if those are most. Several labels of a document: the highest counts. Repeated rows score each.
 """
 
 from __future__ import annotations
@@ -36,7 +36,12 @@ from cohortlens.llm.common import column, packed, pieces, reduced, unpacked
 ORDER, DECAY = 3, 0.7
 LONGEST = 24
 LANDMARKS = 48
+#: Labelled texts of each class that train the model, about; all other bounds of the fit are these.
 DOCS_PER_CLASS = 1500
+#: A string is toxic from so many toxic texts and such log odds on; if none is, the best that there are count.
+LEAST_TEXTS, LEAST_ODDS = 3, 2.5
+#: Toxic strings, those tried as landmarks, random clean strings, and the hardest clean ones that the SVM sees.
+POSITIVES, LANDMARK_TRIALS, NEGATIVES, HARD = 4000, 600, 12_000, 1000
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _OUTER = re.compile(r"^\W+|\W+$")
 _MARKS = re.compile(r"[\W_]+")
@@ -215,20 +220,21 @@ def fit(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, seed: in
     for bag, (_, y) in zip(bags, rows):
         df[y].update(bag)
         n[y] += 1
-    odds = {s: np.log((c + 0.1) / (n[1] + 1)) - np.log((df[0][s] + 0.1) / (n[0] + 1)) for s, c in df[1].items() if c >= 3}
-    strong = sorted((s for s, o in odds.items() if o > 2.5), key=lambda s: (-df[1][s] * odds[s], s))
+    odds = {s: np.log((c + 0.1) / (n[1] + 1)) - np.log((df[0][s] + 0.1) / (n[0] + 1)) for s, c in df[1].items()}
+    by_weight = lambda found: sorted(found, key=lambda s: (-df[1][s] * odds[s], s))
+    strong = by_weight(s for s, o in odds.items() if o > LEAST_ODDS and df[1][s] >= LEAST_TEXTS) or by_weight(s for s, o in odds.items() if o > 0)
     if not strong:
         return Model(n[1] / (n[0] + n[1]) if n[1] > n[0] else 0.0)
-    positive = strong[:4000]
+    positive = strong[:POSITIVES]
     strongset = set(positive)
     chosen: list[str] = []
-    for s in positive[:600]:
+    for s in positive[:LANDMARK_TRIALS]:
         if len(chosen) >= landmarks - 8:
             break
         if not chosen or float(Kernel(chosen)([s]).max()) < 0.5:
             chosen.append(s)
     clean = sorted(df[0])
-    negative = [clean[i] for i in np.sort(rng.permutation(len(clean))[:12000])]
+    negative = [clean[i] for i in np.sort(rng.permutation(len(clean))[:NEGATIVES])]
     near = Kernel(chosen)(negative).max(axis=1)
     chosen += [negative[i] for i in np.argsort(-near, kind="stable")[:8] if negative[i] not in strongset]
     kernel = Kernel(chosen)
@@ -254,7 +260,7 @@ def fit(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, seed: in
         alpha = (root @ w).astype(np.float32)
         rest = [s for s in clean if s not in strongset]
         hard = Expansion(kernel, alpha)(rest)
-        neg = negative + [rest[i] for i in np.argsort(-hard, kind="stable")[:1000]] * 4
+        neg = negative + [rest[i] for i in np.argsort(-hard, kind="stable")[:HARD]] * 4
     model = Model(None, Expansion(kernel, alpha), b)
     # The logistic of the texts' highest values, by Newton steps.
     everything = sorted(set().union(*bags))
