@@ -63,7 +63,8 @@ def test_shares_and_hotspots(spark):
     got = detectors.attribute_findings(f, b)
     assert [(a, round(s, 4)) for a, s in rows(got, "author", "share")] == [("x", 0.6667), ("y", 0.3333)]
     twice = got.unionByName(got).withColumn("rule", F.col("finding"))
-    assert [(a, round(w, 4), n) for a, w, n in rows(detectors.hotspots(twice, F.lit(3.0), 2.5), "author", "weighted", "n")] == [("x", 3.0, 1)]
+    found = detectors.hotspots(twice, ["rule", "file"], F.lit("CRITICAL"), F.lit(3.0))
+    assert [(a, round(w, 4), worst, len(o)) for a, w, worst, o in rows(found, "author", "weighted", "worst", "offenders")] == [("x", 3.0, "CRITICAL", 1), ("y", 2.0, "CRITICAL", 1)]
 
 
 def test_layers(spark):
@@ -101,7 +102,8 @@ def test_p_values(spark):
     df = spark.createDataFrame([(i, t * t / (t * t + d), d + 2) for i, (t, d, _) in enumerate(known)] + [(9, None, 9), (10, 0.5, 2), (11, 1.0, 5)], "i int, r2 double, n long")
     got = {r["i"]: r["p"] for r in df.select("i", stats.slope_p_value("r2", "n").alias("p")).collect()}
     assert all(abs(got[i] - p) < 2e-4 for i, (_, _, p) in enumerate(known))
-    assert all(got[i] is None or math.isnan(got[i]) for i in (9, 10)) and got[11] == 0
+    # Equal values (no R^2), two points and a perfect fit.
+    assert all(got[i] == 0 for i in (9, 10, 11))
 
 
 def test_trajectory(spark):

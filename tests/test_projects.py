@@ -274,3 +274,29 @@ def test_projects_without_code_or_measures(spark):
     got = {r.project: r for r in project.project_axes(p, m, project.cohort_bounds(m), {}).collect()}
     assert got[1].quality is None and got[1].quality_multiplier == 1.0 and got[1].size == 5.0 and got[1].complexity is None
     assert (got[2].quality_multiplier, got[2].work_base, got[4].quality_multiplier) == (0.0, 0.0, 0.0) and got[3].quality == 10.0 and got[3].size == 5.0
+
+
+def test_files(spark, tmp_path):
+    import io
+    import zipfile
+
+    from cohortlens.operators import sinks
+
+    rows = [("Team One", 7.5, "ann", 8.0, [("CRITICAL", "X|Y")]), ("Team One", 7.5, "bob", 8.0, []), ("Team One", 7.5, "cy", None, None), ("B&B", None, "dee", 3.25, [("INFO", "Z"), ("WARNING", "A")])]
+    df = spark.createDataFrame(rows, "project string, project_final double, student string, student_final double, flags array<struct<severity:string,flag:string>>")
+    files = sinks.grade_files(df)
+    names = sinks.save_files(files, str(tmp_path))
+    assert sorted(n.rsplit("/", 1)[1] for n in names) == ["b-b.md", "b-b.xlsx", "team-one.md", "team-one.xlsx"]
+    text = (tmp_path / "team-one.md").read_text()
+    assert "| 1 | ann | 8.00 |\n| 1 | bob | 8.00 |\n| – | cy | – |" in text and "| ann | CRITICAL | X\\|Y |" in text
+    assert (tmp_path / "b-b.md").read_text().index("| dee | WARNING") < (tmp_path / "b-b.md").read_text().index("| dee | INFO")
+    with zipfile.ZipFile(io.BytesIO((tmp_path / "team-one.xlsx").read_bytes())) as z:
+        assert z.testzip() is None and '<c r="B2"><v>8.0</v></c>' in z.read("xl/worksheets/sheet1.xml").decode() and "X|Y" in z.read("xl/worksheets/sheet2.xml").decode()
+    assert sinks.workbook({"a/b" * 20: (["h"], [(True,), (None,)])}) == sinks.workbook({"a/b" * 20: (["h"], [(True,), (None,)])})
+    svg = sinks.stacked_bars("T <x>", [("a", {"p": 1.0, "q": 3.0}), ("b", {})], {"p": "#123"})
+    assert "T &lt;x&gt;" in svg and svg.count("<rect") == 2 and 'fill="#888"' in svg
+    assert sinks._column(0) == "A" and sinks._column(27) == "AB"
+    t = spark.createDataFrame([("p", 1), ("q", 2)], "project string, v int")
+    sinks.save_tables({"x": t}, str(tmp_path / "out"), "project")
+    sinks.save_tables({"x": t.filter("v = 2").withColumn("v", F.lit(9))}, str(tmp_path / "out"), "project")
+    assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out/x")).select("project", "v").collect()) == [("p", 1), ("q", 9)]
