@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortlens.llm import decontam, jaccard_join, langid, mixing, secret_scan
 from cohortlens.llm.common import materialize
 
-#: Texts whose best language is less likely than this are rejected, as are those without a letter.
-MIN_LANGUAGE_SCORE = 0.3
+#: Texts whose best language is less than this many times as likely as by chance are rejected; with one language none is.
+MIN_LANGUAGE_GAIN = 1.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, hold no letter or fit no language."""
-    found = langid.predict(docs, langid.fit(docs), ("__lang", "__score"))
-    return found.filter(f"__lang != 'und' and __score >= {MIN_LANGUAGE_SCORE}").drop("__lang", "__score")
+    """Rejects texts that are null, hold no letter or fit no language. Where no text has a language to learn from, only the first two go."""
+    model = langid.fit(docs)
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    taken = {c.lower() for c in docs.columns}
+    lang, score = (next(n for n in (name + "_" * i for i in range(1, 99)) if n not in taken) for name in ("lang", "score"))
+    least = MIN_LANGUAGE_GAIN / len(model.langs) if len(model.langs) > 1 else 0.0
+    found = langid.predict(docs, model, (lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= least)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
