@@ -713,3 +713,21 @@ def test_licences_equal_brute_force(spark, monkeypatch):
         got = {r.id: (r.effective_license, r.how, None if r.score is None else round(r.score, 9), r.first_word, r.n_words) for r in license_scan.scan(df).collect()}
         assert got == want
     assert Counter(x[1] for x in want.values()).keys() == {"file", "notice", "inherited", "none"}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    rng = random.Random(15)
+    rows = [(i, words(rng, 30), None, f"s{i % 2}", 0) for i in range(12)] + [(50, None, None, None, None), (51, "", None, "s0", 0), (None, words(rng, 9), None, None, 3), (52, " 1 2 3", None, "s1", 0)]
+    odd = spark.createDataFrame(rows + rows[:2], DOC).withColumns({"lang_": F.lit("own"), "score_": F.lit("own"), "shard": F.lit("own"), "row": F.lit("own"), "a.b": F.lit("own")})
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == odd.columns and all(r["lang_"] == r["score_"] == r["a.b"] == "own" for r in now.collect())
+    # Without languages to learn from, all texts with letters stay, one of each group of copies.
+    assert sorted((r.doc_id for r in now.collect()), key=repr) == sorted([*range(12), None], key=repr)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+    assert mixed.columns == [*[c for c in odd.columns if c != "shard"], "shard", "copy"] and mixed.count() > 0
+    empty = odd.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
