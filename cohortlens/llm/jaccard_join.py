@@ -42,6 +42,8 @@ RECALL = 0.99999
 BLOCK = 512
 #: n-grams of a chunk, 8 bytes each, as far as whole sets allow, and of a bin of small groups.
 GRAMS, BIN_GRAMS = 8_000_000, 2_000_000
+#: Ids of candidates that are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 48 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 160) -> tuple[int, int]:
@@ -214,8 +216,10 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     cand = cand.join(cost.drop("sent"), F.col("root") == F.col("r")).select(F.col("node").alias("key"), "root", "chunks", "bucketed", "rep", "copies", "hashes")
     cand = materialize(cand, "candidates")
 
-    reps = cand.select(F.col("rep").alias("r")).distinct()
-    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
+    # The ids of candidates find their texts where these lie, if they are few enough to be broadcast.
+    reps = materialize(cand.select(F.col("rep").alias("r")).distinct(), "representatives")
+    bytes_ = reps.agg(F.sum(F.coalesce(F.octet_length(F.col("r").cast("string")), F.lit(0)) + 16)).first()[0] or 0
+    texts = docs.join(F.broadcast(reps) if bytes_ <= BROADCAST_BYTES else reps, F.col("doc_id").eqNullSafe(F.col("r")), "left_semi")
 
     def sets_of(batches):
         for batch in batches:
