@@ -75,7 +75,8 @@ def dot(values: Column, weights: list[float], intercept: float = 0.0) -> Column:
 
 def weighted_fusion(signals: dict[str, tuple[Column, float]], clamp_to: tuple[float, float] | None = None) -> tuple[Column, Column]:
     """(mean over the signals that are not null, weights renormalised; how many there are). Null if there is none."""
-    fit = {k: (clamp(v, *clamp_to) if clamp_to else v, w) for k, (v, w) in signals.items()}
+    # greatest and least skip nulls, so a missing signal must not reach them.
+    fit = {k: (F.when(v.isNotNull(), clamp(v, *clamp_to)) if clamp_to else v, w) for k, (v, w) in signals.items()}
     total = reduce(lambda a, b: a + b, [F.coalesce(v * w, F.lit(0.0)) for v, w in fit.values()])
     weight = reduce(lambda a, b: a + b, [F.when(v.isNull(), F.lit(0.0)).otherwise(F.lit(float(w))) for v, w in fit.values()])
     count = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v, _ in fit.values()])

@@ -97,3 +97,26 @@ def unseen(rows: DataFrame, seen: DataFrame, keys: list[str], version: str) -> D
     """Rows whose version differs from what was last seen, or that were never seen."""
     s = seen.select(*keys, F.col(version).alias("__v"))
     return rows.join(s, keys, "left").filter(~F.col(version).eqNullSafe(F.col("__v"))).drop("__v")
+
+
+def key_candidates(df: DataFrame, columns: list[list[str]]) -> DataFrame:
+    """Which sets of columns name rows: columns (comma-joined), rows, distinct, nulls (rows with a null in them), unique (no nulls and all distinct). One pass for all sets."""
+    one = []
+    for cs in columns:
+        null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cs])
+        one.append(F.struct(F.lit(",".join(cs)).alias("columns"), F.count("*").alias("rows"), F.countDistinct(F.when(~null, F.struct(*cs))).alias("distinct"), F.count_if(null).alias("nulls")))
+    x = df.agg(*[s.alias(f"c{i}") for i, s in enumerate(one)])
+    x = x.select(F.explode(F.array(*[f"c{i}" for i in range(len(one))])).alias("c")).select("c.*")
+    return x.withColumn("unique", (F.col("nulls") == 0) & (F.col("distinct") == F.col("rows")))
+
+
+def reset_scores(table: DataFrame, scope: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """table with ``columns`` set to null in the rows whose keys are in scope."""
+    inside = scope.select(*[F.col(k).alias(f"{k}__s") for k in keys]).distinct().withColumn("__in", F.lit(True))
+    x = table.join(inside, [F.col(k).eqNullSafe(F.col(f"{k}__s")) for k in keys], "left")
+    return x.select(*[F.when(F.col("__in"), F.lit(None)).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns])
+
+
+def purge_cache(cache: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """The cache without entries that nothing uses any more."""
+    return cache.join(used.select(*[F.col(k).alias(f"{k}__u") for k in keys]).distinct(), [F.col(k).eqNullSafe(F.col(f"{k}__u")) for k in keys], "left_semi")

@@ -75,3 +75,37 @@ def identity_map(members: DataFrame, identities: DataFrame) -> DataFrame:
     text = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))), ",")
     g = i.groupBy("m2").agg(text("login").alias("logins"), text("email").alias("emails"), F.count("*").alias("n"))
     return members.join(g, F.col("member") == F.col("m2"), "left").select("member", "name", F.coalesce("logins", F.lit("")).alias("logins"), F.coalesce("emails", F.lit("")).alias("emails"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def snapshot(tasks: DataFrame, prs: DataFrame) -> DataFrame:
+    """A team's table of a sprint, by member: tasks, done, points (done), prs, merged, lines. tasks: team, member, done, points; prs: member, merged, lines. Members of tasks only."""
+    a = tasks.groupBy("team", "member").agg(F.count("*").alias("tasks"), F.count_if("done").alias("done"), F.coalesce(F.sum(F.when(F.col("done"), F.col("points"))), F.lit(0)).alias("points"))
+    b = prs.groupBy(F.col("member").alias("m2")).agg(F.count("*").alias("prs"), F.count_if("merged").alias("merged"), F.sum("lines").alias("lines"))
+    x = a.join(b, F.col("member") == F.col("m2"), "left")
+    return x.select("team", "member", "tasks", "done", "points", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("prs", "merged", "lines")])
+
+
+def estimation_quality(tasks: DataFrame) -> DataFrame:
+    """By team and points: tasks, mean and spread of lines, and the ratio of that mean to the one of a single point (null without tasks of one point). tasks: team, points, lines; tasks without points are left out."""
+    g = tasks.filter("points > 0").groupBy("team", "points").agg(F.count("*").alias("tasks"), F.avg("lines").alias("mean"), F.stddev_pop("lines").alias("spread"))
+    one = g.filter("points = 1").select(F.col("team").alias("t2"), F.col("mean").alias("unit"))
+    return g.join(one, F.col("team") == F.col("t2"), "left").select("team", "points", "tasks", "mean", "spread", F.when(F.col("unit") > 0, F.col("mean") / F.col("unit")).alias("ratio"))
+
+
+def enriched(flags: DataFrame, members: DataFrame, prs: DataFrame) -> DataFrame:
+    """flags with name and, where the details name a pull request, its title and link; a flag of an unknown member keeps its id as name. flags: member, flag, severity, details (JSON); members: member, name; prs: pr, title, url."""
+    pr = F.get_json_object("details", "$.pr").cast("bigint")
+    x = flags.withColumn("pr", pr).join(members.select(F.col("member").alias("m2"), "name"), F.col("member") == F.col("m2"), "left")
+    x = x.join(prs.select(F.col("pr").alias("p2"), "title", "url"), F.col("pr") == F.col("p2"), "left")
+    return x.select("member", F.coalesce("name", F.col("member").cast("string")).alias("name"), "flag", "severity", "pr", "title", "url")
+
+
+def pending_builds(prs: DataFrame, builds: DataFrame) -> DataFrame:
+    """Merged pull requests without a build of their last commit. prs: pr, merged, sha; builds: pr, sha."""
+    return prs.filter("merged").join(builds.select(F.col("pr").alias("p2"), F.col("sha").alias("s2")).distinct(), (F.col("pr") == F.col("p2")) & (F.col("sha") == F.col("s2")), "left_anti")
+
+
+def flag_counts(flags: DataFrame, by: list[str]) -> DataFrame:
+    """critical, warning, info and total by group, and flags: the distinct names, in order, comma-joined."""
+    n = lambda s: F.count_if(F.col("severity") == s)
+    return flags.groupBy(*by).agg(n("CRITICAL").alias("critical"), n("WARNING").alias("warning"), n("INFO").alias("info"), F.count("*").alias("total"), F.array_join(F.array_sort(F.collect_set("flag")), ",").alias("flags"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import paths as P
 from cohortlens.functions import scalar as S
 from cohortlens.functions import text as T
-from cohortlens.operators import incremental, lines, planning, project, quality, reports, similarity
+from cohortlens.operators import incremental, likelihood, lines, maintenance, planning, project, quality, reports, similarity, stats
 from cohortlens.plans.queries import query, r
 
 c = F.col
@@ -599,3 +599,124 @@ select s_suppkey as member, s_name as name, string_agg('login' || l_orderkey % 3
 def identity_map(t):
     i = t("lineitem").select(c("l_suppkey").alias("member"), F.lit("login").alias("kind"), F.concat(F.lit("LOGIN"), (c("l_orderkey") % 3).cast("string")).alias("value"))
     return reports.identity_map(t("supplier").select(c("s_suppkey").alias("member"), c("s_name").alias("name")), i).select("member", "name", "logins", "n")
+
+
+@query("""
+with a as (select c_nationkey as team, o_custkey as member, count(*) as tasks, count(case when o_orderstatus = 'F' then 1 end) as done, coalesce(sum(case when o_orderstatus = 'F' then o_orderkey % 5 end), 0) as points from orders join customer on c_custkey = o_custkey group by 1, 2),
+b as (select l_suppkey as member, count(*) as prs, count(case when l_returnflag = 'A' then 1 end) as merged, sum(l_quantity) as lines from lineitem group by 1)
+select team, a.member, tasks, done, cast(points as bigint) as points, coalesce(prs, 0) as prs, coalesce(merged, 0) as merged, coalesce(lines, 0) as lines from a left join b on a.member = b.member""")
+def team_snapshot(t):
+    x = t("orders").join(t("customer"), c("o_custkey") == c("c_custkey"))
+    tasks = x.select(c("c_nationkey").alias("team"), c("o_custkey").alias("member"), (c("o_orderstatus") == "F").alias("done"), (c("o_orderkey") % 5).alias("points"))
+    prs = t("lineitem").select(c("l_suppkey").alias("member"), (c("l_returnflag") == "A").alias("merged"), c("l_quantity").alias("lines"))
+    return reports.snapshot(tasks, prs)
+
+
+@query("""
+with g as (select l_returnflag as team, l_linenumber as points, count(*) as tasks, avg(l_quantity) as mean, stddev_pop(l_quantity) as spread from lineitem where l_linenumber > 0 group by 1, 2), u as (select team, mean as unit from g where points = 1)
+select team, points, tasks, round(mean, 6) as mean, round(spread, 6) as spread, round(mean / unit, 6) as ratio from g left join u using (team)""")
+def estimation_quality(t):
+    x = reports.estimation_quality(t("lineitem").select(c("l_returnflag").alias("team"), c("l_linenumber").alias("points"), c("l_quantity").alias("lines")))
+    return x.select("team", "points", "tasks", *[r(k, 6).alias(k) for k in ("mean", "spread", "ratio")])
+
+
+@query("""
+with f as (select o_custkey as member, case when o_orderstatus = 'F' then o_orderkey end as pr, o_orderpriority as flag, 'INFO' as severity from orders)
+select member, coalesce(c_name, member::varchar) as name, flag, severity, pr, p_name as title, p_brand as url from f left join customer on c_custkey = member and c_acctbal > 0 left join part on p_partkey = pr""")
+def enriched_flags(t):
+    details = F.when(c("o_orderstatus") == "F", F.to_json(F.struct(c("o_orderkey").alias("pr")))).otherwise("not json")
+    f = t("orders").select(c("o_custkey").alias("member"), c("o_orderpriority").alias("flag"), F.lit("INFO").alias("severity"), details.alias("details"))
+    members = t("customer").filter("c_acctbal > 0").select(c("c_custkey").alias("member"), c("c_name").alias("name"))
+    return reports.enriched(f, members, t("part").select(c("p_partkey").alias("pr"), c("p_name").alias("title"), c("p_brand").alias("url")))
+
+
+@query("""
+select o_orderkey as pr from orders where o_orderstatus <> 'O' and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_suppkey = o_custkey % 10)""")
+def pending_builds(t):
+    p = t("orders").select(c("o_orderkey").alias("pr"), (c("o_orderstatus") != "O").alias("merged"), (c("o_custkey") % 10).alias("sha"))
+    return reports.pending_builds(p, t("lineitem").select(c("l_orderkey").alias("pr"), c("l_suppkey").alias("sha"))).select("pr")
+
+
+@query("""
+with f as (select l_suppkey as member, l_shipmode_ as flag, case l_returnflag when 'A' then 'CRITICAL' when 'R' then 'WARNING' else 'INFO' end as severity from (select *, 'F' || l_linenumber as l_shipmode_ from lineitem))
+select member, count(case when severity = 'CRITICAL' then 1 end) as critical, count(case when severity = 'WARNING' then 1 end) as warning, count(case when severity = 'INFO' then 1 end) as info, count(*) as total, string_agg(distinct flag, ',' order by flag) as flags from f group by 1""")
+def flag_counts(t):
+    severity = F.when(c("l_returnflag") == "A", "CRITICAL").when(c("l_returnflag") == "R", "WARNING").otherwise("INFO")
+    return reports.flag_counts(t("lineitem").select(c("l_suppkey").alias("member"), _text("l_linenumber", "F").alias("flag"), severity.alias("severity")), ["member"])
+
+
+# Likelihood of generated work, keys, caches
+
+
+@query("""
+with f as (select distinct l_suppkey as member, l_linenumber as sprint, case l_returnflag when 'A' then 'SINGLE_COMMIT_DUMP' when 'R' then 'COSMETIC_REWRITE' else 'COSMETIC_REWRITE_ACTOR' end as flag from lineitem where l_quantity > 42),
+g as (select member, sprint, 0.3 * max(case when flag = 'SINGLE_COMMIT_DUMP' then 1 else 0 end) + 0.2 * max(case when flag like 'COSMETIC%' then 1 else 0 end) as score from f group by 1, 2)
+select o_orderkey as pr, round(cast(coalesce(score, 0) as double), 6) as score from orders left join g on member = case when o_orderstatus = 'P' then null else o_custkey % 100 end and sprint = o_orderkey % 7""")
+def heuristic_scores(t):
+    flag = F.when(c("l_returnflag") == "A", "SINGLE_COMMIT_DUMP").when(c("l_returnflag") == "R", "COSMETIC_REWRITE").otherwise("COSMETIC_REWRITE_ACTOR")
+    f = t("lineitem").filter("l_quantity > 42").select(c("l_suppkey").alias("member"), c("l_linenumber").alias("sprint"), flag.alias("flag"))
+    p = t("orders").select(c("o_orderkey").alias("pr"), F.when(c("o_orderstatus") != "P", c("o_custkey") % 100).alias("author"), (c("o_orderkey") % 7).alias("sprint"))
+    return likelihood.heuristic_scores(p, f).withColumn("score", r("score", 6))
+
+
+@query("""
+with s as (select l_partkey as path, l_linenumber % 5 as k, avg(l_discount * 8) as v from lineitem where l_linenumber % 5 < 4 and l_tax > 0.02 group by 1, 2),
+w as (select path, greatest(0, least(1, v)) as v, case k when 0 then 0.4 when 1 then 0.3 when 2 then 0.2 else 0.1 end as w from s), f as (select path, sum(v * w) / sum(w) as score, count(*) as n from w group by 1)
+select path, round(score, 6) as score, case when n >= 4 then 'high' when n >= 3 then 'medium' else 'low' end as confidence, case when round(score, 9) > 0.65 then 'high' when round(score, 9) > 0.4 then 'elevated' else 'low' end as risk from f""")
+def fused_files(t):
+    s = t("lineitem").filter("l_tax > 0.02").select(c("l_partkey").alias("path"), F.concat(F.lit("s"), (c("l_linenumber") % 5).cast("string")).alias("signal"), (c("l_discount") * 8).alias("value"))
+    x = likelihood.fused_files(s, {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1})
+    risk = F.when(F.round("score", 9) > 0.65, "high").when(F.round("score", 9) > 0.4, "elevated").otherwise("low")
+    return x.select("path", r("score", 6).alias("score"), "confidence", risk.alias("risk"))
+
+
+@query(r"""
+with d as (select source as member, string_agg(text, chr(10) order by text) as text from (select distinct source, text from documents where text is not null and regexp_matches(text, '\S') and source is not null) group by 1)
+select member, cast(length(text) as bigint) as chars from d where len(regexp_extract_all(text, '\S+')) >= 100""")
+def gathered_text(t):
+    return likelihood.gathered_text(t("documents").select(c("source").alias("member"), "text")).select("member", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("""
+select 'l_orderkey' as columns, count(*) as rows, count(distinct l_orderkey) as "distinct", 0 as nulls, count(*) = count(distinct l_orderkey) as "unique" from lineitem union all
+select 'l_orderkey,l_linenumber', count(*), count(distinct (l_orderkey, l_linenumber)), 0, count(*) = count(distinct (l_orderkey, l_linenumber)) from lineitem union all
+select 'l_orderkey,l_linenumber,l_partkey', count(*), count(distinct (l_orderkey, l_linenumber, l_partkey)), 0, count(*) = count(distinct (l_orderkey, l_linenumber, l_partkey)) from lineitem""")
+def key_candidates(t):
+    x = maintenance.key_candidates(t("lineitem"), [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey"]])
+    return x.withColumn("nulls", c("nulls").cast("int"))
+
+
+@query("""
+select o_orderkey, case when o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING') then null else o_totalprice end as o_totalprice, o_orderstatus from orders""")
+def reset_scores(t):
+    scope = t("customer").filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("o_custkey"))
+    return maintenance.reset_scores(t("orders"), scope, ["o_custkey"], ["o_totalprice"]).select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+@query("select p_partkey from part where p_brand in (select p_brand from part where p_size > 45)")
+def purged_cache(t):
+    p = t("part")
+    return maintenance.purge_cache(p.select("p_partkey", "p_brand"), p.filter("p_size > 45"), ["p_brand"]).select("p_partkey")
+
+
+@query("""
+select l_suppkey as team, count(distinct l_orderkey::varchar || l_linenumber::varchar) as commits, count(distinct l_orderkey) as prs from lineitem group by 1""")
+def distinct_pairs(t):
+    return t("lineitem").groupBy(c("l_suppkey").alias("team")).agg(F.countDistinct(F.concat(c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))).alias("commits"), F.countDistinct("l_orderkey").alias("prs"))
+
+
+@query("""
+with x as (select l_orderkey, l_linenumber, l_suppkey as g, l_quantity / (l_linenumber + 1) as d from lineitem), m as (select g, median(d) as med from x group by 1), a as (select x.*, med, abs(d - med) as dev from x join m using (g)), s as (select g, median(dev) as mad from a group by 1)
+select l_orderkey, l_linenumber, g, round(d, 6) as d, round(case when mad > 0 then (d - med) / mad end, 6) as z from a join s using (g)""")
+def density_z(t):
+    x = t("lineitem").select("l_orderkey", "l_linenumber", c("l_suppkey").alias("g"), (c("l_quantity") / (c("l_linenumber") + 1)).alias("d"))
+    return stats.mad_outliers(x, ["g"], "d", 3.0, 1).select("l_orderkey", "l_linenumber", "g", r("d", 6).alias("d"), r("z", 6).alias("z"))
+
+
+@query("""
+with s as (select l_orderkey as pr, arg_max(l_quantity, (l_shipdate, l_linenumber, l_partkey, l_quantity)) as score from lineitem where l_discount > 0 group by 1)
+select o_orderkey as pr, score, vec_id from orders join s on pr = o_orderkey join embeddings on vec_id = o_orderkey where o_orderstatus <> 'P'""")
+def labelled_rows(t):
+    prs = t("orders").select(c("o_orderkey").alias("pr"), F.when(c("o_orderstatus") != "P", "text").alias("body"))
+    scores = t("lineitem").select(c("l_orderkey").alias("pr"), F.when(c("l_discount") > 0, c("l_quantity")).alias("score"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_quantity").alias("at"))
+    return likelihood.labelled(prs, scores, t("embeddings").select(c("vec_id").alias("pr"), c("vec_id"))).select("pr", "score", "vec_id")
