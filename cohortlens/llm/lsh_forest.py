@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
-TREES = 288
+TREES = 312
 #: Dimensions of the cross-polytope of each letter, powers of two; a letter takes log2(dimension) + 1 bits, 20 in all.
 LETTERS = (32, 32, 8, 8)
 SEGMENT = 16_384
