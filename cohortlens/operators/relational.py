@@ -62,10 +62,15 @@ def resolve_identity(evidence: DataFrame, entity: str, value: str, weight: Colum
 
 
 def shared_pairs(df: DataFrame, key: str, side: str) -> DataFrame:
-    """Pairs of sides (a < b) that share keys, with the number of keys. Rows are made distinct first; a key meets only the sides that hold it."""
-    d = df.select(key, side).distinct()
-    a, b = d.select(F.col(key).alias("k"), F.col(side).alias("a")), d.select(F.col(key).alias("k"), F.col(side).alias("b"))
-    return a.join(b, "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Pairs of sides (a < b) that share keys, with the number of keys.
+
+    Keys held by the same sides are counted first, so that a set of sides is paired once however many keys have it; its pairs are
+    made in two steps with a shuffle between them, so that a set of many sides is not one task's work. Null keys and sides share nothing."""
+    d = df.select(F.col(key).alias("k"), F.col(side).alias("side")).filter("k is not null and side is not null")
+    sets = d.groupBy("k").agg(F.array_sort(F.collect_set("side")).alias("sides")).filter(F.size("sides") > 1).groupBy("sides").agg(F.count("*").alias("n"))
+    left = sets.select("sides", "n", F.posexplode("sides").alias("i", "a")).repartition("a", "i")
+    pairs = left.select("n", "a", F.explode(F.slice("sides", F.col("i") + 2, F.size("sides"))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
 def graph_metrics(edges: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -79,8 +84,8 @@ def graph_metrics(edges: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return x.select(*by, "nodes", "edges", (F.col("edges") / pairs).alias("density"), (F.col("mutual") / F.col("edges")).alias("reciprocity"))
 
 
-def betweenness(edges: DataFrame, by: str, a: str, b: str) -> DataFrame:
-    """Brandes' betweenness of the directed, unweighted graph of each group, over (n - 1)(n - 2). A group is a team's graph, so it fits a task."""
+def betweenness(edges: DataFrame, by: str, a: str, b: str, most: int = 5000) -> DataFrame:
+    """Brandes' betweenness of the directed, unweighted graph of each group, over (n - 1)(n - 2). A group is a team's graph, so it fits a task; one of more than ``most`` nodes is an error, not a task without end."""
 
     def one(pdf):
         import pandas as pd
@@ -89,6 +94,8 @@ def betweenness(edges: DataFrame, by: str, a: str, b: str) -> DataFrame:
         for x, y in zip(pdf["a"], pdf["b"]):
             out.setdefault(x, set()).add(y)
             out.setdefault(y, set())
+        if len(out) > most:
+            raise ValueError(f"a graph of {len(out)} nodes; at most {most} are a team's")
         score = dict.fromkeys(out, 0.0)
         for s in out:
             order, before, count, far, queue = [], {v: [] for v in out}, dict.fromkeys(out, 0.0), {s: 0}, [s]

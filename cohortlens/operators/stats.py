@@ -175,9 +175,10 @@ def trajectory(df: DataFrame, by: list[str], order: str, value: str, low: float
     return t.withColumn("class", kind)
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean, without a window over all rows: distinct values are counted, range-partitioned and their counts summed up in two levels."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
+def average_ranks(df: DataFrame, value: str, name: str, weight: str | None = None) -> DataFrame:
+    """Ranks from 1, ties sharing their mean, without a window over all rows: distinct values are counted, range-partitioned and their counts summed up in two levels. A row stands for ``weight`` rows, if given."""
+    n = F.sum(weight) if weight else F.count("*")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(n.alias("__c"))
     width = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096)).otherwise(0)
     counts = counts.join(F.broadcast(width)).withColumn("__cell", cell).drop("lo", "hi")  # one row of bounds
@@ -190,11 +191,18 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def agreement(df: DataFrame, a: str, b: str, step: float = 0.25) -> DataFrame:
-    """One row over rows with both values: n, spearman, mean absolute difference, and the share of rows that agree on a grid of ``step``."""
-    x = df.select(a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    x = average_ranks(average_ranks(x, a, "__ra"), b, "__rb")
+    """One row over rows with both values: n, spearman, mean absolute difference, and the share of rows that agree on a grid of ``step``.
+
+    Equal pairs are counted first and ranks are joined to these counts, so a popular value is no hot key."""
+    pairs = df.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("w"))
+    x = average_ranks(average_ranks(pairs, "a", "ra", "w"), "b", "rb", "w")
     grid = lambda c: F.floor(F.col(c) / step + 0.5)
-    return x.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("spearman"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"), F.avg((grid(a) == grid(b)).cast("double")).alias("on_grid"))
+    w, total = F.col("w"), F.sum("w")
+    mean = x.agg(((total + 1) / 2).alias("m"))  # of any ranks of so many rows
+    x = x.join(F.broadcast(mean)).withColumns({"da": F.col("ra") - F.col("m"), "db": F.col("rb") - F.col("m")})  # one row
+    spread = F.sqrt(F.sum(w * F.col("da") * F.col("da")) * F.sum(w * F.col("db") * F.col("db")))
+    rho = F.when(spread > 0, F.sum(w * F.col("da") * F.col("db")) / F.when(spread > 0, spread))
+    return x.agg(F.coalesce(total, F.lit(0)).alias("n"), rho.alias("spearman"), (F.sum(w * F.abs(F.col("a") - F.col("b"))) / total).alias("mae"), (F.sum(w * (grid("a") == grid("b")).cast("double")) / total).alias("on_grid"))
 
 
 def fit_ridge(df: DataFrame, features: str, label: str, alphas: tuple[float, ...] = (0.1, 1.0, 10.0), folds: int = 5, key: str | None = None) -> dict:
