@@ -46,7 +46,7 @@ FREQUENT = 512
 FORMS = 512
 STRETCH, WARM = 256, 32
 #: Stretches of one forward-backward pass; bounds its memory.
-STEP = 512
+STEP = 2048
 BLOCK_BYTES = 8 << 20
 #: Tokens whose base probabilities are summed at a time.
 RUN = 1 << 18
@@ -201,42 +201,54 @@ def stretches(cls: np.ndarray, off: np.ndarray, size: int = STRETCH, warm: int =
 
 
 def expected_counts(s: Stretches, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over stretches: expected starts, moves and emissions of their inner tokens."""
+    """Forward-backward over stretches: expected starts, moves and emissions of their inner tokens. Passes run in single precision, sums in double."""
     k, c = emit.shape
     active = np.searchsorted(-s.total, -np.arange(1, s.x.shape[1] + 1), side="right").tolist()
-    table = np.ascontiguousarray(emit.T)
     usual = np.full(k, 1 / k)
     for _ in range(50):
         usual = usual @ move
+    table, single, back = np.ascontiguousarray(emit.T, dtype=np.float32), move.astype(np.float32), np.ascontiguousarray(move.T, dtype=np.float32)
+    x = np.ascontiguousarray(s.x.T)  # by place, then row
+    at = np.arange(len(x))[:, None]
+    inner = (at >= s.lead) & (at < s.lead + s.inner)
+    counted = inner.sum(axis=1).tolist()
     alphas, scales = [], []
     for t, n in enumerate(active):
-        a = (np.where(s.first[:n, None], start, usual) if t == 0 else alphas[-1][:n] @ move) * table[s.x[:n, t]]
+        a = np.where(s.first[:n, None], start, usual).astype(np.float32) if t == 0 else alphas[-1][:n] @ single
+        a *= table[x[t, :n]]
         scale = a.sum(axis=1, keepdims=True)
-        alphas.append(a / scale)
+        a /= scale
+        alphas.append(a)
         scales.append(scale)
     begun, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
     gammas, seen = [], []
     beta = None
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
-        b = np.ones((n, k))
+        b = np.ones((n, k), dtype=np.float32)
         if t + 1 < len(active):
             m = active[t + 1]
-            nxt = table[s.x[:m, t + 1]] * beta / scales[t + 1]
-            b[:m] = nxt @ move.T
-            into = (t + 1 >= s.lead[:m]) & (t + 1 < s.lead[:m] + s.inner[:m])
-            moves += move * (alphas[t][:m].T @ (nxt * into[:, None]))
+            beta *= table[x[t + 1, :m]]
+            beta /= scales[t + 1]
+            np.matmul(beta, back, out=b[:m])
+            if counted[t + 1]:
+                nxt = beta if counted[t + 1] == m else beta * inner[t + 1, :m, None]
+                moves += alphas[t][:m].T @ nxt
         beta = b
-        inside = np.flatnonzero((t >= s.lead[:n]) & (t < s.lead[:n] + s.inner[:n]))
-        gammas.append((alphas[t] * b)[inside])
-        seen.append(s.x[inside, t])
+        if counted[t] == n:
+            gammas.append(alphas[t] * b)
+            seen.append(x[t, :n])
+        elif counted[t]:
+            inside = np.flatnonzero(inner[t, :n])
+            gammas.append(alphas[t][inside] * b[inside])
+            seen.append(x[t, inside])
         if t == 0:
-            begun = (alphas[0] * b)[s.first[:n]].sum(axis=0)
+            begun = (alphas[0] * b)[s.first[:n]].sum(axis=0, dtype=np.float64)
     if gammas:
         g, o = np.concatenate(gammas), np.concatenate(seen)
         for j in range(k):
             emits[j] = np.bincount(o, weights=g[:, j], minlength=c)
-    return begun, moves, emits
+    return begun, move * moves, emits
 
 
 def _runs(off: np.ndarray, size: int):
