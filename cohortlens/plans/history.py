@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import blame
 from cohortlens.plans.queries import query, r
+from cohortlens.sources import paged
+from cohortlens.sources.scratch import shared_folder
+from cohortlens.streaming import identities
 
 #: The second snapshot holds all line items, the first those shipped before this day.
 CUT = "2001-08-01"
@@ -98,3 +101,83 @@ def sprint_survival(t):
     done = t("orders").filter("o_orderstatus = 'F'").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     x = blame.member_survival(prs, authors, done.select(F.col("c_nationkey").alias("member"), F.lit(1).alias("points")))
     return x.withColumns({c: r(c) for c in ("rate_raw", "rate_normalized", "density")})
+
+
+# Landed pages, and identities that add up over batches
+
+PER_PAGE = 5
+PAGED = f"""
+with p as (select o_custkey, (row_number() over (partition by o_custkey order by o_orderkey) - 1) // {PER_PAGE} + 1 as page, (row_number() over (partition by o_custkey order by o_orderkey) - 1) % {PER_PAGE} as position, o_orderkey, o_totalprice, o_orderpriority from orders),
+failed as (select o_custkey, min(page) as gap from p where position = 0 and o_orderpriority = '1-URGENT' group by 1)
+select 'customers/' || p.o_custkey as resource, page, cast(position as int) as position, o_orderkey, o_totalprice from p left join failed f on p.o_custkey = f.o_custkey where gap is null or page < gap"""
+
+
+def _landed(t) -> tuple[str, DataFrame]:
+    """(a folder of landed pages, the first pages): a customer's orders, five a page, in two landings; pages that begin with an urgent order failed."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    at = F.row_number().over(w) - 1
+    o = t("orders").select("o_custkey", F.floor(at / PER_PAGE + 1).alias("page"), (at % PER_PAGE).alias("position"), "o_orderkey", "o_orderpriority", F.to_json(F.struct("o_orderkey", "o_totalprice")).alias("item"))
+    last = F.max("page").over(Window.partitionBy("o_custkey"))
+    o = o.withColumn("last", last).groupBy("o_custkey", "page", "last").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "item"))), lambda x: x["item"]), ",").alias("items"), F.max(F.when(F.col("position") == 0, F.col("o_orderpriority"))).alias("first"))
+    url = lambda n: F.concat(F.lit("https://api.example.org/customers/"), F.col("o_custkey").cast("string"), F.lit("/orders?page="), n.cast("string"))
+    link = F.when(F.col("page") < F.col("last"), F.concat(F.lit("<"), url(F.col("page") + 1), F.lit('>; rel="next"')))
+    pages = o.select(
+        F.concat(F.lit("customers/"), F.col("o_custkey").cast("string")).alias("resource"), url(F.col("page")).alias("url"), link.alias("link"),
+        F.when(F.col("first") == "1-URGENT", 500).otherwise(200).alias("status"), F.concat(F.lit("["), F.col("items"), F.lit("]")).alias("body"), "page",
+    )
+    folder = shared_folder(pages.sparkSession)
+    for number, some in enumerate(("page > 1", "page = 1"), 1):
+        pages.filter(some).drop("page").write.parquet(f"{folder}/landing={number:06d}")
+    return folder, t("customer").select(F.concat(F.lit("customers/"), F.col("c_custkey").cast("string")).alias("resource"), F.format_string("https://api.example.org/customers/%d/orders?page=1", "c_custkey").alias("url"))
+
+
+def _orders(pages: DataFrame, starts: DataFrame) -> DataFrame:
+    got = paged.items(paged.followed(pages, starts)).withColumn("o", F.from_json("item", "o_orderkey bigint, o_totalprice double"))
+    return got.select("resource", "page", "position", "o.o_orderkey", "o.o_totalprice")
+
+
+@query(PAGED)
+def paged_source(t):
+    folder, starts = _landed(t)
+    return _orders(paged.read_pages(t("orders").sparkSession, folder), starts)
+
+
+@query(PAGED)
+def paged_stream(t):
+    """The same through the stream, which is started twice: the second start goes on behind the offset of the first."""
+    folder, starts = _landed(t)
+    spark, out = t("orders").sparkSession, shared_folder(t("orders").sparkSession)
+    for _ in range(2):
+        pages = paged.read_pages(spark, folder, stream=True)
+        pages.writeStream.format("parquet").option("path", f"{out}/pages").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return _orders(spark.read.parquet(f"{out}/pages"), starts)
+
+
+EVIDENCE = """
+with e as (select 'u' || user_id as identity, 'team ' || (cast(json_extract(props, '$.k') as bigint) // 40) as candidate, case when event_type in ('view', 'click') then 1.0 else 0.5 end as weight, ts from events),
+n as (select identity, candidate, sum(weight) as w, min(ts) as first_at, max(ts) as last_at from e group by 1, 2),
+i as (select identity, sum(w) as total, min(first_at) as first_at, max(last_at) as last_at from n group by 1),
+top as (select identity, candidate, w from n qualify row_number() over (partition by identity order by w desc, candidate) = 1)
+select identity, candidate, cast(w as double) as weight, round(w / total, 6) as confidence, w / total >= 0.42 as accepted, first_at, last_at from i join top using (identity)"""
+
+
+def _evidence(events: DataFrame) -> DataFrame:
+    team = F.concat(F.lit("team "), F.floor(F.get_json_object("props", "$.k").cast("bigint") / 40).cast("string"))
+    weight = F.when(F.col("event_type").isin("view", "click"), 1.0).otherwise(0.5)
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("identity"), team.alias("candidate"), weight.alias("weight"), F.col("ts").alias("at"))
+
+
+@query(EVIDENCE)
+def cumulative_identities(t):
+    return identities.resolve(_evidence(t("events")), 0.42).withColumn("confidence", r("confidence", 6))
+
+
+@query(EVIDENCE)
+def streamed_identities(t):
+    """The same in batches of two files, by type of event, so that each batch brings rows earlier than those seen."""
+    events = t("events")
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    events.repartition("event_type").write.partitionBy("event_type").parquet(f"{folder}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+    identities.run_to_table(_evidence(stream), f"{folder}/identities", f"{folder}/state", 0.42)
+    return identities.latest(spark.read.parquet(f"{folder}/identities")).withColumn("confidence", r("confidence", 6))
