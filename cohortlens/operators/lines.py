@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,27 +95,3 @@ def team_ownership(statements: DataFrame, by: list[str], share: float = 0.95) ->
     whole = totals.groupBy(*[F.col(b).alias(f"{b}__t") for b in by]).agg(F.sum("s").alias("total"))
     x = x.join(whole, [F.col(b).eqNullSafe(F.col(f"{b}__t")) for b in by]).filter(F.col("before") < F.ceil(F.col("total") * share))
     return x.groupBy(*by).agg(F.count("*").alias("truck_factor"), F.array_sort(F.collect_list(F.struct("i", "author"))).alias("o")).select(*by, "truck_factor", F.array_join(F.col("o.author"), ",").alias("owners"))
-
-
-def template_diff(template: DataFrame, student: DataFrame) -> DataFrame:
-    """path, status (added, modified, unchanged; files only in the template are left out) and added_lines: lines that a longest common subsequence with the template's file lacks. Both: path, text."""
-    @F.pandas_udf("bigint")
-    def beyond(old: pd.Series, new: pd.Series) -> pd.Series:
-        def count(a: list[str], b: list[str]) -> int:
-            start = 0
-            while start < min(len(a), len(b)) and a[start] == b[start]:
-                start += 1
-            a, b = a[start:], b[start:]
-            row = [0] * (len(a) + 1)
-            for y in b:
-                left = 0
-                for j, x in enumerate(a, 1):
-                    left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-            return len(b) - row[-1]
-
-        return pd.Series([count((a or "").split("\n") if a is not None else [], b.split("\n")) for a, b in zip(old, new)])
-
-    old = template.select(F.col("path").alias("p0"), F.col("text").alias("t0"))
-    x = student.filter("text is not null").join(old, F.col("path") == F.col("p0"), "left")
-    status = F.when(F.col("p0").isNull(), "added").when(F.col("t0") == F.col("text"), "unchanged").otherwise("modified")
-    return x.select("path", status.alias("status"), F.when(status == "unchanged", F.lit(0).cast("bigint")).otherwise(beyond("t0", "text")).alias("added_lines"))

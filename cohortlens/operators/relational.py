@@ -84,45 +84,6 @@ def graph_metrics(edges: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return x.select(*by, "nodes", "edges", (F.col("edges") / pairs).alias("density"), (F.col("mutual") / F.col("edges")).alias("reciprocity"))
 
 
-def betweenness(edges: DataFrame, by: str, a: str, b: str, most: int = 5000) -> DataFrame:
-    """Brandes' betweenness of the directed, unweighted graph of each group, over (n - 1)(n - 2). A group is a team's graph, so it fits a task; one of more than ``most`` nodes is an error, not a task without end."""
-
-    def one(pdf):
-        import pandas as pd
-
-        out: dict = {}
-        for x, y in zip(pdf["a"], pdf["b"]):
-            out.setdefault(x, set()).add(y)
-            out.setdefault(y, set())
-        if len(out) > most:
-            raise ValueError(f"a graph of {len(out)} nodes; at most {most} are a team's")
-        score = dict.fromkeys(out, 0.0)
-        for s in out:
-            order, before, count, far, queue = [], {v: [] for v in out}, dict.fromkeys(out, 0.0), {s: 0}, [s]
-            count[s] = 1.0
-            for v in queue:
-                order.append(v)
-                for w in sorted(out[v]):
-                    if w not in far:
-                        far[w] = far[v] + 1
-                        queue.append(w)
-                    if far[w] == far[v] + 1:
-                        count[w] += count[v]
-                        before[w].append(v)
-            part = dict.fromkeys(out, 0.0)
-            for w in reversed(order):
-                for v in before[w]:
-                    part[v] += count[v] / count[w] * (1 + part[w])
-                if w != s:
-                    score[w] += part[w]
-        scale = (len(out) - 1) * (len(out) - 2)
-        return pd.DataFrame([(pdf["g"].iloc[0], v, x / scale if scale > 0 else 0.0) for v, x in sorted(score.items())], columns=["g", "node", "betweenness"])
-
-    kind = {f.name: f.dataType.simpleString() for f in edges.schema}
-    e = edges.filter(F.col(a) != F.col(b)).select(F.col(by).alias("g"), F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    return e.groupBy("g").applyInPandas(one, f"g {kind[by]}, node {kind[a]}, betweenness double").withColumnRenamed("g", by)
-
-
 def classify_by_prefix(df: DataFrame, value: str, catalog: DataFrame) -> DataFrame:
     """df with name and category of the longest catalog prefix of ``value``, null without one. catalog: prefix, name, category, one row for each prefix. Values meet prefixes of the catalog's lengths by equality, never by comparing all pairs; the lengths are few, whatever the catalog's size."""
     lengths = F.broadcast(catalog.filter("prefix is not null").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("__lengths")))

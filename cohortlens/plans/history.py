@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators import blame
+from cohortlens.operators import blame, patience
 from cohortlens.plans.queries import query, r
 from cohortlens.sources import paged
 from cohortlens.sources.scratch import shared_folder
@@ -181,3 +181,32 @@ def streamed_identities(t):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
     identities.run_to_table(_evidence(stream), f"{folder}/identities", f"{folder}/state", 0.42)
     return identities.latest(spark.read.parquet(f"{folder}/identities")).withColumn("confidence", r("confidence", 6))
+
+
+# Template diff
+
+
+@query("""
+with l as (select l_suppkey, l_returnflag = 'R' as own, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice) as i, l_linenumber = 1 as brace from lineitem),
+first as (select l_suppkey, min(i) as moved from l where not own group by 1),
+s as (select l.*, i = moved as away from l join first using (l_suppkey)),
+numbered as (select *, sum(case when away then 0 else 1 end + case when brace then 1 else 0 end) over (partition by l_suppkey order by i) - case when brace then 1 else 0 end as no from s)
+select 's' || l_suppkey as path, 'modified' as status, count(*) filter (where own or away) as added_lines,
+  cast(sum(case when away then n when own then no else 0 end) as bigint) as added_sum, n as total_lines
+from numbered join (select l_suppkey, count(*) + count(*) filter (where l_linenumber = 1) as n from lineitem group by 1) using (l_suppkey) group by l_suppkey, n""")
+def template_changes(t):
+    """A supplier's line items are a file's lines, a brace after each first one. The student wrote returned ones anew and moved the first of the others to the end."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    x = t("lineitem").select("l_suppkey", F.row_number().over(w).alias("i"), (F.col("l_linenumber") == 1).alias("brace"), (F.col("l_returnflag") == "R").alias("own"), F.concat_ws(" ", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("line"))
+    x = x.withColumn("line", F.concat_ws(" ", "line", "i"))
+    moved = F.min(F.when(~F.col("own"), F.col("i"))).over(Window.partitionBy("l_suppkey"))
+    x = x.withColumn("away", F.col("i") == moved)
+    brace = F.when(F.col("brace"), F.array(F.lit("}"))).otherwise(F.array().cast("array<string>"))
+    text = lambda one, end: F.array_join(F.concat(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("one")))), lambda s: s["one"])), end), "\n")
+    by = x.groupBy(F.format_string("s%d", "l_suppkey").alias("path"))
+    none = F.array().cast("array<string>")
+    old = by.agg(text(F.concat(F.array("line"), brace), none).alias("text"))
+    kept = F.when(F.col("own"), F.array(F.concat(F.lit("new "), F.col("line")))).when(F.col("away"), none).otherwise(F.array("line"))
+    new = by.agg(text(F.concat(kept, brace), F.array(F.max(F.when(F.col("away"), F.col("line"))))).alias("text"))
+    found = patience.template_diff(old, new)
+    return found.select("path", "status", "added_lines", F.aggregate("added", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("added_sum"), "total_lines")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar as S
 from cohortlens.functions import text as T
-from cohortlens.operators import flags, grading, maintenance, relational, stats
+from cohortlens.operators import flags, grading, graphs, maintenance, relational, stats
 from cohortlens.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,9 +154,39 @@ def review_graph(t):
     return m.select("g", "nodes", "edges", r("density", 6).alias("density"), r("reciprocity", 6).alias("reciprocity"))
 
 
-@query()
+WAYS = f"""
+with recursive e as (select * from ({GRAPH}) where a <> b), n as (select g, a as v from e union select g, b from e),
+walk as (select g, v as s, v, 0 as d from n union select walk.g, s, b, d + 1 from walk join e on e.g = walk.g and a = v where d < 12),
+far as (select g, s, v, min(d) as d from walk group by 1, 2, 3),
+way as (select g, v as s, v, 0 as d from n union all select way.g, way.s, e.b, way.d + 1 from way join e on e.g = way.g and e.a = way.v join far on far.g = way.g and far.s = way.s and far.v = e.b and far.d = way.d + 1),
+ways as (select g, s, v, d, count(*) as paths from way group by 1, 2, 3, 4),
+through as (select x.g, x.v as node, sum(cast(x.paths * y.paths as double) / z.paths) as c from ways x join ways y on x.g = y.g and x.v = y.s join ways z on z.g = x.g and z.s = x.s and z.v = y.v and z.d = x.d + y.d
+  where x.d > 0 and y.d > 0 group by 1, 2),
+size as (select g, count(*) as n from n group by 1),
+between as (select n.g, n.v as node, round(coalesce(c, 0) / ((size.n - 1) * (size.n - 2)), 6) as betweenness from n join size on size.g = n.g left join through t on t.g = n.g and t.node = n.v)"""
+
+
+@query(f"{WAYS} select * from between")
 def betweenness(t):
-    return relational.betweenness(_graph(t), "g", "a", "b")
+    return graphs.betweenness(_graph(t), ["g"], "a", "b").withColumn("betweenness", r("betweenness", 6))
+
+
+@query(f"""{WAYS},
+team as (select c_nationkey % 5 as g, c_nationkey as node from customer union select g, v from n),
+mutual as (select g, count(*) as m from e where exists (select 1 from e f where f.g = e.g and f.a = e.b and f.b = e.a) group by 1),
+orders_of as (select c_nationkey % 5 as g, count(*) as prs, count(*) filter (where o_orderstatus <> 'O') as reviewed from orders join customer on o_custkey = c_custkey group by 1),
+degrees as (select t.g, t.node, (select count(*) from e where e.g = t.g and b = t.node) as in_degree, (select count(*) from e where e.g = t.g and a = t.node) as out_degree from team t),
+whole as (select g, count(*) as nodes, sum(out_degree) as links, bool_or(in_degree + out_degree = 0) as isolated from degrees group by 1)
+select d.g, d.node, in_degree, out_degree, round(coalesce(c, 0) / ((nodes - 1) * (nodes - 2)), 4) as betweenness, nodes, round(links / (nodes * (nodes - 1.0)), 6) as density, round(coalesce(m, 0) / cast(links as double), 6) as reciprocity, isolated, round(reviewed / cast(prs as double), 6) as coverage
+from degrees d join whole using (g) left join mutual using (g) join orders_of using (g) left join through b on b.g = d.g and b.node = d.node""")
+def collaboration_metrics(t):
+    g = (F.col("c_nationkey") % 5).alias("g")
+    reviews = _graph(t)
+    members = t("customer").select(g, F.col("c_nationkey").alias("node")).unionByName(reviews.select("g", F.col("b").alias("node"))).distinct()
+    prs = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(g, F.col("o_orderkey").alias("pr"), (F.col("o_orderstatus") != "O").alias("reviewed"))
+    x = graphs.collaboration(members, reviews, prs, ["g"])
+    x = x.select("*", F.explode(F.from_json("centrality", "map<string,struct<in_degree:bigint,out_degree:bigint,betweenness:double>>")).alias("node", "c"))
+    return x.select("g", F.col("node").cast("int"), "c.*", "nodes", *[r(c, 6).alias(c) for c in ("density", "reciprocity", "coverage")], "isolated")
 
 
 # Statistics

@@ -1,9 +1,10 @@
 """Statement blame, survival over snapshots and template diffs on cases of their own."""
 
 import random
+import time
 from collections import Counter
 
-from cohortlens.operators import blame
+from cohortlens.operators import blame, patience
 
 RUN = "repo string, path string, first bigint, last bigint, commit string, email string"
 SPAN = "repo string, path string, statement bigint, first bigint, last bigint"
@@ -65,3 +66,61 @@ def test_survival_keeps_what_was_added_first(spark):
     authors = spark.createDataFrame([("p1", "ann"), ("p2", "ann"), ("p9", "bob")], "pr string, member string")
     got = {r.member: (r.added_raw, r.surviving_raw, r.rate_raw, r.points, r.density) for r in blame.member_survival(later, authors, spark.createDataFrame([("ann", 4)], "member string, points bigint")).collect()}
     assert got == {"ann": (3, 2, 2 / 3, 4, 0.5), "bob": (0, 0, 0.0, 0, 0.0)}
+
+
+def brute_common(a, b):
+    row = [0] * (len(a) + 1)
+    for y in b:
+        left = 0
+        for i, x in enumerate(a, 1):
+            left, row[i] = row[i], left + 1 if x == y else max(row[i], row[i - 1])
+    return row[-1]
+
+
+def test_common_subsequences_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(40))] for _ in range(2))
+        n = brute_common(a, b)
+        for limit in (1 << 20, 3):
+            pairs = patience.matched(a, b, limit)
+            assert len(pairs) == patience.common_length(a, b) == n and all(a[i] == b[j] for i, j in pairs)
+            assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def test_patience_equals_brute_force_where_anchors_are_unique(spark):
+    rng = random.Random(4)
+    old, new, want = [], [], {}
+    for f in range(12):
+        a = [f"line {i}" for i in range(60)]
+        if f % 2:  # repeated lines between the unique ones
+            a = [x for line in a for x in (line, "}")]
+        b = [x for x in a if rng.random() < 0.8]
+        if f % 3 == 0:
+            rng.shuffle(b)
+        for _ in range(rng.randrange(20)):
+            b.insert(rng.randrange(len(b) + 1), f"new {rng.random()}")
+        if f % 2 and f % 3 == 0:
+            continue
+        old.append((f"f{f}", "\n".join(a)))
+        new.append((f"f{f}", "\n".join(b)))
+        want[f"f{f}"] = len(b) - brute_common(a, b)
+    old += [("same", "x\ny"), ("gone", ""), ("both empty", ""), ("none", None), ("double", "a"), ("double", "b")]
+    new += [("same", "x\ny"), ("fresh", ""), ("both empty", ""), ("none", "1\n2"), ("double", "b\n")]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r for r in patience.template_diff(frame(old), frame(new)).collect()}
+    assert {k: got[k].added_lines if k in got else 0 for k in want} == want and all(got[k].status == "modified" and len(got[k].added) == got[k].added_lines for k in want if k in got)
+    assert {k: (r.status, r.added_lines, r.total_lines) for k, r in got.items() if k not in want} == {"gone": ("template_only", 0, 0), "fresh": ("added", 1, 1), "none": ("added", 2, 2), "double": ("modified", 1, 2)}
+
+
+def test_a_long_pair_ends_in_seconds(spark):
+    rng = random.Random(9)
+    a = [rng.choice(("", "}", "    return x", f"value {i}")) for i in range(50_000)]
+    b = [x if rng.random() < 0.95 else f"changed {i}" for i, x in enumerate(a)]
+    frame = lambda x: spark.createDataFrame([("f", "\n".join(x))], "path string, text string")
+    began = time.time()
+    got = patience.template_diff(frame(a), frame(b)).first()
+    assert time.time() - began < 90 and got.added_lines == sum(x.startswith("changed") for x in b)
+    blank = ["", "}"] * 20_000
+    began = time.time()
+    assert len(patience.matched(blank, blank[1:])) == 39_999 and time.time() - began < 60

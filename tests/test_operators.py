@@ -1,12 +1,14 @@
 """Edge cases of the operators on small frames."""
 
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import scalar, text
-from cohortlens.operators import flags, grading, maintenance, relational, stats
+from cohortlens.operators import flags, grading, graphs, maintenance, relational, stats
 from cohortlens.sources import parsers
 from cohortlens.streaming import incremental
 
@@ -57,9 +59,55 @@ def test_distribute_zero_points(spark):
     assert got == [2.0, 5.0, 5.0, 6.0]
 
 
-def test_betweenness_path(spark):
-    e = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 1, 1)], "g string, a int, b int")
-    assert {r.node: r.betweenness for r in relational.betweenness(e, "g", "a", "b").collect()} == {1: 0.0, 2: 0.5, 3: 0.0}
+def brandes(links):
+    """Betweenness of a directed graph {node: set of nodes}, one source after the other."""
+    score = dict.fromkeys(links, 0.0)
+    for s in links:
+        order, before, count, far, queue = [], {v: [] for v in links}, dict.fromkeys(links, 0.0), {s: 0}, [s]
+        count[s] = 1.0
+        for v in queue:
+            order.append(v)
+            for w in links[v]:
+                if w not in far:
+                    far[w] = far[v] + 1
+                    queue.append(w)
+                if far[w] == far[v] + 1:
+                    count[w] += count[v]
+                    before[w].append(v)
+        part = dict.fromkeys(links, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                part[v] += count[v] / count[w] * (1 + part[w])
+            if w != s:
+                score[w] += part[w]
+    scale = (len(links) - 1) * (len(links) - 2)
+    return {v: x / scale if scale else 0.0 for v, x in score.items()}
+
+
+def test_betweenness(spark):
+    rng = random.Random(3)
+    rows = [("path", 1, 2), ("path", 2, 3), ("path", 2, 2), ("path", 1, 2), ("pair", 1, 2), ("nulls", None, 1)]
+    rows += [("ring", i, (i + 1) % 7) for i in range(7)] + [(None, rng.randrange(30), rng.randrange(30)) for _ in range(70)]
+    got = {(r.g, r.node): r.betweenness for r in graphs.betweenness(spark.createDataFrame(rows, "g string, a int, b int"), ["g"], "a", "b").collect()}
+    want = {}
+    for g in ("path", "pair", "ring", None):
+        links = {}
+        for _, a, b in (x for x in rows if x[0] == g and x[1] != x[2]):
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set())
+        want |= {(g, v): x for v, x in brandes(links).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and want["path", 2] == 0.5
+    assert graphs.betweenness(spark.createDataFrame([], "g string, a int, b int"), ["g"], "a", "b").count() == 0
+
+
+def test_collaboration(spark):
+    members = spark.createDataFrame([("x", "ann"), ("x", "bob"), ("x", "eve"), ("x", "zed"), ("y", "one")], "g string, node string")
+    reviews = spark.createDataFrame([("x", "ann", "bob"), ("x", "bob", "ann"), ("x", "bob", "eve")], "g string, a string, b string")
+    prs = spark.createDataFrame([("x", 1, True), ("x", 1, False), ("x", 2, False)], "g string, pr int, reviewed boolean")
+    got = graphs.collaboration(members, reviews, prs, ["g"]).collect()
+    assert [(r.g, r.nodes, r.isolated, r.coverage) for r in got] == [("x", 4, True, 0.5)]
+    assert abs(got[0].density - 0.25) < 1e-12 and abs(got[0].reciprocity - 2 / 3) < 1e-12
+    assert json.loads(got[0].centrality)["bob"] == {"in_degree": 1, "out_degree": 2, "betweenness": 0.1667}
 
 
 def test_formula(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import paths, scalar
 from cohortlens.functions import text as T
-from cohortlens.operators import detectors, incremental, lines, maintenance, planning, project, quality, relational, similarity, stats
+from cohortlens.operators import detectors, incremental, lines, maintenance, patience, planning, project, quality, relational, similarity, stats
 from cohortlens.sources import code, curriculum, inventory
 
 
@@ -111,8 +111,8 @@ def test_line_metrics(spark):
     assert sorted(map(tuple, base.collect())) == [("a", "s1", None), ("b", "s3", "base_fallback"), ("c", None, "no_base_candidate")]
     done = lines.unchanged_since(spark.createDataFrame([("a", "s2"), ("b", "s1")], "pr string, merge_sha string"), spark.createDataFrame([("a", 1, "s1"), ("a", 2, "s2"), ("b", 1, "s1"), ("b", 3, "s9")], "pr string, at int, sha string"))
     assert [r.pr for r in done.collect()] == ["a"]
-    diff = lines.template_diff(spark.createDataFrame([("a", "1\n2\n3"), ("b", "x"), ("gone", "y")], "path string, text string"), spark.createDataFrame([("a", "1\n9\n3\n4"), ("b", "x"), ("c", "n\nm")], "path string, text string"))
-    assert sorted(map(tuple, diff.collect())) == [("a", "modified", 2), ("b", "unchanged", 0), ("c", "added", 2)]
+    diff = patience.template_diff(spark.createDataFrame([("a", "1\n2\n3"), ("b", "x"), ("gone", "y")], "path string, text string"), spark.createDataFrame([("a", "1\n9\n3\n4"), ("b", "x"), ("c", "n\nm")], "path string, text string"))
+    assert sorted(map(tuple, diff.collect())) == [("a", "modified", 2, [2, 4], 4), ("c", "added", 2, [1, 2], 2), ("gone", "template_only", 0, [], 0)]
 
 
 def test_survival_collapses_equal_tuples(spark):
