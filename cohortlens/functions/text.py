@@ -15,6 +15,10 @@ INFORMAL_PHRASES = ("gonna", "wanna", "kinda", "lol", "haha", "fix stuff", "fix
 HEDGING = ("perhaps", "possibly", "might", "could", "may", "somewhat", "arguably", "likely", "unlikely", "presumably")
 PASSIVE = r"(?i)\b(?:is|are|was|were|been|being)\s+\w+ed\b"
 WORD = r"[a-zA-Z0-9]+(?:'[a-zA-Z]+)?"
+# Contractions, pictures, abbreviations of chats.
+CONTRACTION = r"(?U)\w'\w"
+EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{2702}-\x{27B0}\x{FE00}-\x{FE0F}\x{1FA00}-\x{1FA6F}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}]"
+ABBREVIATION = r"(?i)\b(?:ASAP|FYI|AFAIK|IIRC|TBH|IMO|IMHO|BTW|WIP|LGTM|PTAL|TL;DR)\b"
 
 # Titles that say nothing; those of the second list score no points.
 GENERIC_TITLES = (
@@ -132,23 +136,38 @@ def richness(text: Column) -> Column:
     return F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.greatest(F.size(t), F.lit(1))).otherwise(F.lit(0.0))
 
 
-def formality(text: Column) -> Column:
-    """0 to 1: formal against informal phrases, sentence length, passive forms and hedging words; phrases weigh more under 20 words. 0.5 without words."""
-    text = F.coalesce(text, F.lit(""))
-    low, words = F.lower(text), tokens(text)
-    n = F.size(words).cast("double")
-    hits = lambda phrases: sum((low.contains(p).cast("int") for p in phrases), F.lit(0))
-    formal, informal = hits(FORMAL_PHRASES), hits(INFORMAL_PHRASES)
+def phrase_bits(text: Column) -> Column:
+    """A bit for each formal, then each informal phrase that the text holds."""
+    low = F.lower(text)
+    bits = [F.when(low.contains(p), F.lit(1 << i)).otherwise(0).cast("bigint") for i, p in enumerate((*FORMAL_PHRASES, *INFORMAL_PHRASES))]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def formality_of(n: Column, sentence_count: Column, bits: Column, passives: Column, hedges: Column) -> Column:
+    """0 to 1: formal against informal phrases (``phrase_bits``), sentence length, passive forms and hedging words; phrases weigh more under 20 words. 0.5 without words. n: words."""
+    n = n.cast("double")
+    formal = F.bit_count(bits.bitwiseAND((1 << len(FORMAL_PHRASES)) - 1))
+    informal = F.bit_count(bits) - formal
     phrase = F.when(formal + informal > 0, formal / F.greatest(formal + informal, F.lit(1))).otherwise(F.lit(0.5))
-    length = clamp((n / F.greatest(F.size(sentences(text)), F.lit(1)) - 5) / 30, 0.0, 1.0)
+    length = clamp((n / F.greatest(sentence_count, F.lit(1)) - 5) / 30, 0.0, 1.0)
     rate = lambda count, unit: F.least(count / F.greatest(n / unit, F.lit(1.0)), F.lit(1.0))
-    passive = rate(F.regexp_count(text, F.lit(PASSIVE)), 20)
-    hedging = rate(F.size(F.filter(words, lambda w: w.isin(*HEDGING))), 30)
+    passive, hedging = rate(passives, 20), rate(hedges, 30)
     short = phrase * 0.75 + length * 0.10 + passive * 0.10 + hedging * 0.05
     long = phrase * 0.45 + length * 0.20 + passive * 0.20 + hedging * 0.15
     return F.when(n == 0, F.lit(0.5)).otherwise(clamp(F.when(n < 20, short).otherwise(long), 0.0, 1.0))
 
 
+def hedges(words: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*HEDGING)))
+
+
+def formality(text: Column) -> Column:
+    """``formality_of`` one text."""
+    text = F.coalesce(text, F.lit(""))
+    words = tokens(text)
+    return formality_of(F.size(words), F.size(sentences(text)), phrase_bits(text), F.regexp_count(text, F.lit(PASSIVE)), hedges(words))
+
+
 def is_generic_title(title: Column) -> Column:
     return F.coalesce(_any(strip(title), GENERIC_TITLES), F.lit(True))
 

@@ -31,12 +31,6 @@ def fused_files(signals: DataFrame, weights: dict[str, float], elevated: float =
     return x.select("path", "score", confidence.alias("confidence"), F.when(F.col("score") > high, "high").when(F.col("score") > elevated, "elevated").otherwise("low").alias("risk"))
 
 
-def gathered_text(messages: DataFrame, least_words: int = 100) -> DataFrame:
-    """member, text: each distinct text of a member once, in order, joined by lines; members of fewer words are left out. messages: member, text."""
-    x = messages.filter("member is not null and text is not null and trim(text) != ''").groupBy("member").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
-    return x.filter(F.regexp_count("text", F.lit(r"\S+")) >= least_words)
-
-
 def labelled(prs: DataFrame, scores: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row for each pull request with a text, a score and a vector: pr, score (the latest), vector. prs: pr, body; scores: pr, score, at; vectors: pr, vector."""
     s = scores.filter("score is not null").groupBy("pr").agg(F.max_by("score", "at").alias("score"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators import blame, patience
+from cohortlens.operators import blame, patience, profiles
 from cohortlens.plans.queries import query, r
 from cohortlens.sources import paged
-from cohortlens.sources.scratch import shared_folder
+from cohortlens.sources.scratch import shared_folder, written
 from cohortlens.streaming import identities
 
 #: The second snapshot holds all line items, the first those shipped before this day.
@@ -210,3 +210,46 @@ def template_changes(t):
     new = by.agg(text(F.concat(kept, brace), F.array(F.max(F.when(F.col("away"), F.col("line"))))).alias("text"))
     found = patience.template_diff(old, new)
     return found.select("path", "status", "added_lines", F.aggregate("added", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("added_sum"), "total_lines")
+
+
+# How members write
+
+CORPUS = r"""
+with m as (select distinct coalesce(source, '') as member, lang as period, case when n_chars < 1500 then 'commit' else 'description' end as kind, text from documents where regexp_matches(text, '\S')),
+parts as (select *, string_split_regex(text, '[.!?]+') as s from m),
+shaped as (select *, len(list_filter(s, lambda x: regexp_matches(x, '\S'))) as k, regexp_matches(s[1], '\S') as a, regexp_matches(s[len(s)], '\S') as z from parts),
+placed as (select *, case when k = 0 then 0 when a and z then 1 when a then 2 when z then 4 else 3 end as shape from shaped),
+once as (select distinct member, period, kind, text, shape from placed union all select distinct member, '*', kind, text, shape from placed),
+joined as (select member, period, string_agg(text, ' ' order by kind, shape, text) as text, coalesce(sum(len(regexp_extract_all(lower(text), '[a-zA-Z0-9]+(?:''[a-zA-Z]+)?'))) filter (where kind = 'description'), 0) / greatest(count(*) filter (where kind = 'description'), 1) as described from once group by 1, 2),
+words as (select *, lower(text) as low, regexp_extract_all(lower(text), '[a-zA-Z0-9]+(?:''[a-zA-Z]+)?') as w, len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: regexp_matches(x, '\S'))) as n_sentences from joined),
+counted as (select *, len(w) as n, len(list_filter(['furthermore', 'moreover', 'consequently', 'utilize', 'implement', 'facilitate', 'ensure', 'comprehensive', 'this pull request implements', 'this pr addresses'], lambda p: contains(low, p))) as formal,
+  len(list_filter(['gonna', 'wanna', 'kinda', 'lol', 'haha', 'fix stuff', 'fix things', '!!'], lambda p: contains(low, p))) as informal,
+  len(regexp_extract_all(text, '(?i)\b(?:is|are|was|were|been|being)\s+\w+ed\b')) as passive,
+  len(list_filter(w, lambda x: x in ('perhaps', 'possibly', 'might', 'could', 'may', 'somewhat', 'arguably', 'likely', 'unlikely', 'presumably'))) as hedge from words),
+scored as (select *, n / greatest(n_sentences, 1) as sentence_length, len(list_distinct(w)) / n as richness, case when formal + informal > 0 then formal / (formal + informal) else 0.5 end as f1, greatest(0, least(1, (n / greatest(n_sentences, 1) - 5) / 30)) as f2,
+  least(1, passive / greatest(n / 20, 1)) as f3, least(1, hedge / greatest(n / 30, 1)) as f4 from counted where n > 0),
+profile as (select *, case when n < 20 then 0.75 * f1 + 0.1 * f2 + 0.1 * f3 + 0.05 * f4 else 0.45 * f1 + 0.2 * f2 + 0.2 * f3 + 0.15 * f4 end as formality from scored)"""
+
+
+def _counts(t) -> DataFrame:
+    kind = F.when(F.col("n_chars") < 1500, "commit").otherwise("description")
+    return written(profiles.message_counts(t("documents").select(F.coalesce("source", F.lit("")).alias("member"), F.col("lang").alias("period"), kind.alias("kind"), "text")))
+
+
+@query(CORPUS + """
+select member, cast(n as bigint) as words, cast(n_sentences as bigint) as sentences, round(sentence_length, 6) as avg_sentence_length, round(list_sum(list_transform(w, lambda x: length(x))) / n, 6) as avg_word_length, round(richness, 6) as richness, round(formality, 6) as formality,
+  regexp_matches(text, '[\\p{L}\\p{N}_]''[\\p{L}\\p{N}_]') as contractions, regexp_matches(low, '\\b(?:asap|fyi|afaik|iirc|tbh|imo|imho|btw|wip|lgtm|ptal|tl;dr)\\b') as abbreviations, round(described, 6) as avg_description_length
+from profile where period = '*' and n >= 100""")
+def text_profiles(t):
+    x = profiles.profiles(_counts(t), ["member"]).drop("emoji")
+    return x.withColumns({c: r(c, 6) for c in ("avg_sentence_length", "avg_word_length", "richness", "formality", "avg_description_length")}).withColumn("words", F.col("words").cast("bigint"))
+
+
+@query(CORPUS + """
+select p.member, p.period, round(p.formality, 6) as formality, round(p.richness, 6) as richness, round(p.sentence_length, 6) as avg_sentence_length, round(p.described, 6) as avg_description_length,
+  round(0.4 * least(1, abs(p.formality - b.formality) / greatest(0.35 * b.formality, 0.1) / 3) + 0.3 * least(1, abs(p.richness - b.richness) / greatest(0.35 * b.richness, 0.1) / 3)
+    + 0.3 * least(1, abs(p.sentence_length - b.sentence_length) / greatest(0.35 * b.sentence_length, 0.1) / 3), 6) as score
+from profile p join profile b on b.member = p.member and b.period = '*' where p.period <> '*' and p.n >= 10 and b.n >= 100""")
+def writing_consistency(t):
+    x = profiles.period_consistency(_counts(t).filter("period is not null"))
+    return x.withColumns({c: r(c, 6) for c in x.columns if c not in ("member", "period")})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import paths as P
 from cohortlens.functions import scalar as S
 from cohortlens.functions import text as T
-from cohortlens.operators import incremental, likelihood, lines, maintenance, planning, project, quality, reports, similarity, stats
+from cohortlens.operators import incremental, likelihood, lines, maintenance, planning, profiles, project, quality, reports, similarity, stats
 from cohortlens.plans.queries import query, r
 
 c = F.col
@@ -674,7 +674,9 @@ def fused_files(t):
 with d as (select source as member, string_agg(text, chr(10) order by text) as text from (select distinct source, text from documents where text is not null and regexp_matches(text, '\S') and source is not null) group by 1)
 select member, cast(length(text) as bigint) as chars from d where len(regexp_extract_all(text, '\S+')) >= 100""")
 def gathered_text(t):
-    return likelihood.gathered_text(t("documents").select(c("source").alias("member"), "text")).select("member", F.length("text").cast("bigint").alias("chars"))
+    # As many characters as the texts, apart by line breaks, would have.
+    x = profiles.gathered(t("documents").select(c("source").alias("member"), "text"))
+    return x.select("member", (c("chars") + c("messages") - 1).alias("chars"))
 
 
 @query("""
