@@ -3,34 +3,64 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from cohortlens.functions.scalar import safe_divide
+from cohortlens.sources.scratch import written
 
 
-def inequality(df: DataFrame, by: list[str], value: str, least: int = 2) -> DataFrame:
-    """gini, hoover, cv, max_min_ratio of value by group; groups of under ``least`` rows are left out. All are 0 for an all-zero group; the ratio is infinite for a zero minimum under a positive maximum.
+def _joined(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of other, one row for each key; null keys are keys too."""
+    keys = {c: f"{c}__k" for c in by}
+    other = other.withColumnsRenamed(keys)
+    match = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    return df.join(other, match or F.lit(True), how).drop(*keys.values())
 
-    The rank comes from a window over each group, so a group is sorted by spilling, never gathered in one array.
-    """
-    w = Window.partitionBy(*by)
-    x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
-    x = x.withColumns({"i": F.row_number().over(w.orderBy("x")), "mu": F.avg("x").over(w)})
-    a = x.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("i")).alias("xi"), F.sum(F.abs(F.col("x") - F.col("mu"))).alias("d"), F.stddev_pop("x").alias("sd"), F.avg("x").alias("mu"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
+
+def positions(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """by, x, c, before, n: each distinct value that is not null with its rows, the rows of its group below it, and those of the whole group. A row stands for ``weight`` rows, if given.
+
+    Distinct values are counted, then dealt out by range of (by, x), so that a group, however large, takes as many cells as it
+    needs. A sum inside the cell and one over a group's cells (as many as there are tasks, at most) give the place; no
+    window holds a group. The cells are written, as sums over both must see the same ones."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x")).agg((F.sum(weight) if weight else F.count("*")).alias("c"))
+    dealt = written(counts.repartitionByRange(*by, "x").withColumn("cell", F.spark_partition_id()))
+    cells = dealt.groupBy(*by, "cell").agg(F.sum("c").alias("cn"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    below = F.sum("cn").over(group.orderBy("cell")) - F.col("cn")
+    cells = cells.select(*by, "cell", below.alias("below"), F.sum("cn").over(group).alias("n"))
+    inside = F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("x")) - F.col("c")
+    x = _joined(dealt.withColumn("inside", inside), cells, [*by, "cell"])
+    return x.select(*by, "x", "c", (F.col("below") + F.col("inside")).alias("before"), "n")
+
+
+def _at(place: Column) -> Column:
+    """Aggregate over ``positions``: the value at a place (from 0) of the sorted group."""
+    return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("c")), F.col("x")))
+
+
+def inequality(df: DataFrame, by: list[str], value: str, least: int = 2) -> DataFrame:
+    """gini, hoover, cv, max_min_ratio of value by group; groups of under ``least`` rows are left out. All are 0 for an all-zero group; the ratio is infinite for a zero minimum under a positive maximum."""
+    p = positions(df.select(*by, F.col(value).cast("double").alias("__x")), by, "__x")
+    c, x = F.col("c"), F.col("x")
+    # c equal values take the places before + 1 to before + c.
+    places = c * F.col("before") + c * (c + 1) / 2
+    a = p.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(c * x).alias("s"), F.sum(x * places).alias("xi"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    mean = a.select(*by, (F.col("s") / F.col("n")).alias("mu"))
+    off = x - F.col("mu")
+    spread = _joined(p, mean, by).groupBy(*by).agg(F.sum(c * F.abs(off)).alias("d"), F.sum(c * off * off).alias("ss"), F.first("mu").alias("mu"))
     n, s = F.col("n"), F.col("s")
-    return a.filter(n >= least).select(
+    return _joined(a, spread, by).filter(n >= least).select(
         *by,
         n.alias("n"),
         safe_divide(2 * F.col("xi") - (n + 1) * s, n * s).alias("gini"),
         safe_divide(F.col("d"), 2 * s).alias("hoover"),
-        safe_divide(F.col("sd"), F.col("mu")).alias("cv"),
+        safe_divide(F.sqrt(F.col("ss") / n), F.col("mu")).alias("cv"),
         F.when((F.col("lo") == 0) & (F.col("hi") > 0), F.lit(float("inf"))).when(F.col("hi") == 0, F.lit(0.0)).otherwise(F.col("hi") / F.when(F.col("lo") != 0, F.col("lo"))).alias("max_min_ratio"),
     )
 
@@ -49,37 +79,21 @@ def zscore(value: Column, by: list[str]) -> Column:
     return (value - F.avg(value).over(w)) / F.when(sd > 0, sd)
 
 
-def _joined(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """df with the columns of other, one row for each key; null keys are keys too."""
-    keys = {c: f"{c}__k" for c in by}
-    other = other.withColumnsRenamed(keys)
-    match = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
-    return df.join(other, match, how).drop(*keys.values())
-
-
 def quantiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median, upper median (item n // 2), linear p10 and p90, and the positional quarter by group.
-
-    All come from the places in one sorted window, so no group is held in a buffer."""
-    w = Window.partitionBy(*by)
-    x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"))
-    x = x.withColumns({"i": F.row_number().over(w.orderBy("x")) - 1, "n": F.count("*").over(w)})
-    pick = lambda at: F.max(F.when(F.col("i") == at, F.col("x")))
-    parts = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    """Median, upper median (item n // 2), linear p10 and p90, and the positional quarter by group."""
     place = lambda p: p * (F.col("n") - 1)
-    found = {name: pick(F.floor(place(p))) + (pick(F.ceil(place(p))) - pick(F.floor(place(p)))) * F.max(place(p) - F.floor(place(p))) for name, p in parts.items()}
-    return x.groupBy(*by).agg(
-        found["median"].alias("median"), pick(F.floor(F.col("n") / 2)).alias("upper_median"), found["p10"].alias("p10"), found["p90"].alias("p90"), pick(F.floor(F.col("n") / 4)).alias("quarter"),
+    low, high = (lambda p: _at(F.floor(place(p)))), (lambda p: _at(F.ceil(place(p))))
+    found = {name: low(p) + (high(p) - low(p)) * F.max(place(p) - F.floor(place(p))) for name, p in {"median": 0.5, "p10": 0.1, "p90": 0.9}.items()}
+    return positions(df, by, value).groupBy(*by).agg(
+        found["median"].alias("median"), _at(F.floor(F.col("n") / 2)).alias("upper_median"), found["p10"].alias("p10"), found["p90"].alias("p90"), _at(F.floor(F.col("n") / 4)).alias("quarter"),
     )
 
 
 def _medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """By group: the median under ``name``, the mean and n of the values that are not null."""
-    w = Window.partitionBy(*by)
-    x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x"))
-    x = x.withColumns({"i": F.row_number().over(w.orderBy("x")), "n": F.count("*").over(w)})
-    middle = F.avg(F.when(F.col("i").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1), F.col("x")))
-    return x.groupBy(*by).agg(middle.alias(name), F.avg("x").alias("mean"), F.count("*").alias("n"))
+    p = positions(df.select(*by, F.col(value).cast("double").alias("__x")), by, "__x")
+    middle = (_at(F.floor((F.col("n") - 1) / 2)) + _at(F.floor(F.col("n") / 2))) / 2
+    return p.groupBy(*by).agg(middle.alias(name), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
 
 
 def mad_outliers(df: DataFrame, by: list[str], value: str, threshold: float = 3.0, least: int = 3) -> DataFrame:
@@ -129,42 +143,54 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return safe_divide(F.sum(value * w), F.sum(w), None)
 
 
-def _beta_tail(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction, on the side where that converges."""
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series ten steps up, where it holds to 14 digits, then down by the recurrence."""
+    up = 10
+    z = x + up
+    # Coefficients of Stirling's series, from Bernoulli numbers.
+    series = reduce(lambda a, b: a + b, [F.lit(c) / F.pow(z, k) for c, k in ((1 / 12, 1), (-1 / 360, 3), (1 / 1260, 5), (-1 / 1680, 7), (1 / 1188, 9))])
+    steps = reduce(lambda a, b: a * b, [x + k for k in range(up)])
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """Regularised incomplete beta function by its continued fraction, folded over as many terms as a and b need (some roots of them), on the side where it converges."""
     swap = x > (a + 1) / (a + b + 2)
-    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
-    tiny = 1e-300
-    f = c = np.ones_like(x)
-    d = np.zeros_like(x)
-    for i in range(300):
-        m = i // 2
-        if i == 0:
-            term = np.ones_like(x)
-        elif i % 2 == 0:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 + term * d
-        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-        c = 1 + term / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        f = f * c * d
-    log_gamma = np.vectorize(math.lgamma, otypes=[float])
-    with np.errstate(divide="ignore"):
-        front = np.exp(a * np.log(x) + b * np.log1p(-x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / a
-    part = np.where(x <= 0, 0.0, front * (f - 1))
-    return np.where(swap, 1 - part, part)
-
-
-@F.pandas_udf(DoubleType())
-def slope_p_value(r2: pd.Series, n: pd.Series) -> pd.Series:
+    named = F.struct(F.when(swap, 1 - x).otherwise(x).alias("x"), F.when(swap, b).otherwise(a).alias("a"), F.when(swap, a).otherwise(b).alias("b"))
+
+    def part(v: Column) -> Column:
+        x, a, b = v["x"], v["a"], v["b"]
+        safe = lambda y: F.when(F.abs(y) < 1e-300, 1e-300).otherwise(y)
+
+        def step(at: Column, i: Column) -> Column:
+            m = F.floor(i / 2).cast("double")
+            term = F.when(i == 0, 1.0).when(i % 2 == 0, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+            d, c = 1 / safe(1 + term * at["d"]), safe(1 + term / at["c"])
+            return F.struct((at["f"] * c * d).alias("f"), c.alias("c"), d.alias("d"))
+
+        terms = F.sequence(F.lit(0), (80 + 8 * F.sqrt(F.greatest(a, b))).cast("int"))
+        start = F.struct(F.lit(1.0).alias("f"), F.lit(1.0).alias("c"), F.lit(0.0).alias("d"))
+        f = F.aggregate(terms, start, step, lambda at: at["f"] - 1)
+        front = F.exp(a * F.log(x) + b * F.log1p(-x) + log_gamma(a + b) - log_gamma(a) - log_gamma(b)) / a
+        return F.when(x <= 0, 0.0).otherwise(front * f)
+
+    # The arguments are computed once, in a list of one.
+    tail = F.transform(F.array(named), part)[0]
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(swap, 1 - tail).otherwise(tail)
+
+
+def t_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t; NaN without degrees of freedom or for a t that isn't finite."""
+    df, bad = df.cast("double"), F.isnan(t) | (F.abs(t) == float("inf")) | (df <= 0)
+    return F.when(bad, float("nan")).otherwise(incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5)))
+
+
+def slope_p_value(r2: Column | str, n: Column | str) -> Column:
     """Two-sided p-value of a least-squares slope, from R^2 and the number of points: 0.5 under two points, 0 for a perfect fit, which two points and equal values always have."""
-    n, x = n.astype(float), 1 - r2.astype(float)
-    out = pd.Series(np.where(n < 2, 0.5, 0.0), index=r2.index)
-    ok = (n > 2) & (x > 1e-15)
-    if ok.any():
-        out[ok] = _beta_tail(np.clip(x[ok].to_numpy(), 0, 1), (n[ok].to_numpy() - 2) / 2, np.full(int(ok.sum()), 0.5))
-    return out
+    r2, n = (F.col(v) if isinstance(v, str) else v for v in (r2, n))
+    n, x = n.cast("double"), 1 - r2.cast("double")
+    tail = incomplete_beta(F.least(x, F.lit(1.0)), (n - 2) / 2, F.lit(0.5))
+    return F.when(n < 2, 0.5).when((n > 2) & (x > 1e-15), tail).otherwise(0.0)
 
 
 def trajectory(df: DataFrame, by: list[str], order: str, value: str, low: float = 0.20, high: float = 0.40, p: float = 0.15) -> DataFrame:
@@ -176,18 +202,9 @@ def trajectory(df: DataFrame, by: list[str], order: str, value: str, low: float
 
 
 def average_ranks(df: DataFrame, value: str, name: str, weight: str | None = None) -> DataFrame:
-    """Ranks from 1, ties sharing their mean, without a window over all rows: distinct values are counted, range-partitioned and their counts summed up in two levels. A row stands for ``weight`` rows, if given."""
-    n = F.sum(weight) if weight else F.count("*")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(n.alias("__c"))
-    width = counts.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    cell = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096)).otherwise(0)
-    counts = counts.join(F.broadcast(width)).withColumn("__cell", cell).drop("lo", "hi")  # one row of bounds
-    cells = counts.groupBy("__cell").agg(F.sum("__c").alias("__n"))  # at most 4097 rows
-    cells = cells.select("__cell", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__cell")) - F.col("__n")).alias("__before"))
-    inside = F.sum("__c").over(Window.partitionBy("__cell").orderBy(value))
-    ranks = counts.join(F.broadcast(cells), "__cell").withColumn("__up", inside)
-    ranks = ranks.select(F.col(value).alias("__v"), (F.col("__before") + F.col("__up") - (F.col("__c") - 1) / 2).alias(name))
-    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
+    """Ranks from 1, ties sharing their mean, without a window over all rows. A row stands for ``weight`` rows, if given."""
+    p = positions(df, [], value, weight).select(F.col("x").alias("__v"), (F.col("before") + (F.col("c") + 1) / 2).alias(name))
+    return df.join(p, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
 def agreement(df: DataFrame, a: str, b: str, step: float = 0.25) -> DataFrame:

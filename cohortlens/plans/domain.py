@@ -272,7 +272,18 @@ def commit_rhythm(t):
 # Scores, text and resolution
 
 
-@query()
+TAIL = "lgamma(a + b) - lgamma(a + 1) - lgamma(b) + a * ln(x) + b * ln(1 - x)"
+
+
+@query(f"""
+with m as (select o_custkey, strftime(o_orderdate, '%Y-%m') as month, sum(o_totalprice) as v from orders group by 1, 2),
+i as (select o_custkey, v, row_number() over (partition by o_custkey order by month) - 1 as i from m),
+t as (select o_custkey, count(*) as n, case when count(*) > 1 then regr_slope(v, i) end as slope, case when count(*) > 1 then coalesce(regr_r2(v, i), 1) end as r2, stddev_pop(v) / avg(v) as cv from i group by 1),
+s as (select *, 1 - r2 > (n / 2.0) / ((n - 1) / 2.0 + 2) as swap from t),
+k as (select *, case when swap then r2 else 1 - r2 end as x, case when swap then 0.5 else (n - 2) / 2.0 end as a, case when swap then (n - 2) / 2.0 else 0.5 end as b from s),
+p as (select *, case when n < 2 then 0.5 when n = 2 or 1 - r2 <= 1e-15 then 0 else exp({TAIL}) * list_sum(list_transform(range(400), lambda j: exp(lgamma(a + b + j) - lgamma(a + b) - lgamma(a + 1 + j) + lgamma(a + 1) + j * ln(x)))) end as tail from k),
+q as (select o_custkey, n, slope, cv, case when n > 2 and 1 - r2 > 1e-15 and swap then 1 - tail else tail end as p_value from p)
+select o_custkey, n, case when n < 2 then 'insufficient_data' when cv < 0.2 then 'steady' when slope > 0 and p_value < 0.15 then 'growing' when slope < 0 and p_value < 0.15 then 'declining' when cv > 0.4 then 'sporadic' else 'steady' end as "class", round(p_value, 6) as p_value from q""")
 def trajectory_class(t):
     m = t("orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("o_totalprice").alias("v"))
     return stats.trajectory(m, ["o_custkey"], "month", "v").select("o_custkey", "n", "class", r("p_value", 6).alias("p_value"))

@@ -106,6 +106,29 @@ def test_p_values(spark):
     assert all(got[i] == 0 for i in (9, 10, 11))
 
 
+def test_gamma_and_t(spark):
+    x = [0.01, 0.5, 1.0, 1.5, 2.0, 7.3, 100.0, 12345.5, 1e7]
+    got = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").select(stats.log_gamma(F.col("x")).alias("y")).collect()]
+    assert np.allclose(got, [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+    cases = [(1.0, 1.0, 0.5), (-2.0, 4.0, 0.116117), (0.5, 1e6, 0.617075), (30.0, 9.0, 2.4e-10), (float("inf"), 3.0, None), (1.0, 0.0, None)]
+    p = [r.p for r in spark.createDataFrame([(t, d) for t, d, _ in cases], "t double, d double").select(stats.t_p_value(F.col("t"), F.col("d")).alias("p")).collect()]
+    assert all(math.isnan(v) if want is None else abs(v - want) < 2e-6 for v, (_, _, want) in zip(p, cases))
+
+
+def test_positions_of_skewed_groups(spark):
+    rng = np.random.default_rng(2)
+    rows_ = [("hot", float(v)) for v in rng.integers(0, 500, 4000)] + [("few", 1.0), ("few", 1.0), ("few", 3.0), (None, 2.0), ("hot", 1e300), ("none", None)]
+    df = spark.createDataFrame(rows_, "g string, v double").repartition(7)
+    want = {}
+    for g in ("hot", "few", None):
+        v = sorted(x for k, x in rows_ if k == g)
+        want |= {(g, x): (v.count(x), sum(y < x for y in set(v) for _ in range(v.count(y))) if len(v) < 9 else int(np.searchsorted(v, x)), len(v)) for x in set(v)}
+    got = {(r.g, r.x): (r.c, r.before, r.n) for r in stats.positions(df, ["g"], "v").collect()}
+    assert got == want
+    ranks = {r.v: r.k for r in stats.average_ranks(df.filter("g = 'few'"), "v", "k").collect()}
+    assert ranks == {1.0: 1.5, 3.0: 3.0}
+
+
 def test_trajectory(spark):
     series = {"up": [1.0, 2.0, 3.1, 4.0], "down": [4.0, 3.0, 2.1, 1.0], "flat": [5.0, 5.0, 5.1, 5.0], "wild": [1.0, 9.0, 1.0, 8.0], "one": [3.0]}
     df = spark.createDataFrame([(k, i, v) for k, x in series.items() for i, v in enumerate(x)], "k string, i int, v double")
