@@ -2,9 +2,11 @@
 
 Documents of a source fall into 2^n blocks by the low bits of a hash. Each source gets a target in
 words by water-filling its weight under a cap of ``most`` times its size. Whole repeats of the
-source take every block; the rest of the target takes the first blocks of a last copy
-and, of the block after them, a share of its hash range, so that the words taken come near the target. As
-blocks are numbered by hash, the first ones are a random draw.
+source take every block; the rest of the target takes some blocks of a last copy. Of a source
+of ``LEAST_BLOCKS`` blocks at most (so of one with few documents, whatever their sizes) these are
+the blocks whose words together come nearest to the rest; of a larger source the first blocks
+and, of the block after them, a share of its hash range. As blocks are numbered by hash, the first ones are a
+random draw.
 
 The draws (block, copy) of each source are exact quotas. A binary tree over the output shards
 splits the vector of quotas at each node by one multivariate-hypergeometric draw, so every
@@ -14,7 +16,7 @@ source's draws in permuted order, and rows are shuffled inside their shard by ha
 The driver splits the top of the tree, for at most ``GROUPS`` groups of shards; the
 rest, and the draws of each shard, are made in a task for each group. A permutation is
 computed for a place at a time, so nothing is sorted. The driver holds a row for each
-source and ``BINS`` at most of each source for the bounds of its last copy; blocks grow with the
+source and ``BINS`` rows at most of each source for the bounds of its last copy; blocks grow with the
 corpus without limit, and plan rows are joined by shuffle beyond ``BROADCAST_ROWS``. Up to
 10^9 draws of blocks can be split; ``WORDS_A_BLOCK`` is to be raised beyond 10^14 words.
 
@@ -39,10 +41,12 @@ from cohortlens.llm.common import materialize, packed, unpacked
 
 WORDS_A_BLOCK = 200_000
 WORDS_A_SHARD = 4_000_000
-#: Blocks of a source that has as many documents, however few words.
+#: Blocks of a source that has a quarter as many documents, however few words; fewer documents get four blocks each.
 LEAST_BLOCKS = 64
 #: Bins by which the bounds of a last copy are searched, at each step.
 BINS = 1024
+#: Steps in which sums of blocks are told apart where the nearest is chosen.
+STEPS = 65_536
 GROUPS = 256
 #: Quotas that the driver holds: groups times sources.
 QUOTAS = 2_000_000
@@ -179,6 +183,39 @@ def _search(rows: DataFrame, left: dict[int, float], blocks: dict[int, int], spa
     return out
 
 
+def nearest(words: list[int], rest: float, steps: int = STEPS) -> list[int]:
+    """Places of words whose sum comes nearest to rest, as far as ``steps`` units of the whole sum tell: all sums that can be reached are bits of a number."""
+    unit = max(1.0, sum(words) / steps)
+    scaled = [round(w / unit) for w in words]
+    reached = [1]
+    for w in scaled:
+        reached.append(reached[-1] | reached[-1] << w)
+    at = max(0, round(rest / unit))
+    below, above = (reached[-1] & (2 << at) - 1).bit_length() - 1, reached[-1] >> at
+    total = below
+    if above and (above & -above).bit_length() - 1 < at - below:
+        total = at + (above & -above).bit_length() - 1
+    out = []
+    for i in range(len(words) - 1, -1, -1):
+        if not reached[i] >> total & 1:
+            out.append(i)
+            total -= scaled[i]
+    return out[::-1]
+
+
+def _choose(rows: DataFrame, left: dict[int, float], blocks: dict[int, int], spark: SparkSession) -> dict[int, tuple[int, list[int]]]:
+    """For each source number in left: how many of its blocks the last copy takes, and its blocks with these first."""
+    table = _small(spark.createDataFrame([(s,) for s in left], "s2 int"), len(left))
+    words = {s: [0] * blocks[s] for s in left}
+    for s, b, w in rows.join(table, F.col("s") == F.col("s2")).groupBy("s", "block").agg(F.sum("size")).collect():
+        words[s][b] = int(w)
+    out = {}
+    for s, rest in left.items():
+        taken = nearest(words[s], rest)
+        out[s] = len(taken), taken + sorted(set(range(blocks[s])) - set(taken))
+    return out
+
+
 def make_plan(spark: SparkSession, docs: DataFrame, weights: dict | None = None, most: float = 3.0, shards: int | None = None, seed: int = 17) -> Plan:
     light = materialize(_keyed(docs, seed).select("source", "size", "h"), "sizes")
     numbered = _numbered(light, _repeated(light), seed)
@@ -188,14 +225,19 @@ def make_plan(spark: SparkSession, docs: DataFrame, weights: dict | None = None,
     weights = weights or cycled_weights(list(sizes))
     target = targets(sizes, weights, most)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    blocks = {i: 1 << max(0, max(-(-sizes[s] // WORDS_A_BLOCK), min(LEAST_BLOCKS, counts[s])) - 1).bit_length() for i, s in enumerate(order)}
+    blocks = {i: 1 << max(0, max(-(-sizes[s] // WORDS_A_BLOCK), min(LEAST_BLOCKS, 4 * counts[s])) - 1).bit_length() for i, s in enumerate(order)}
     table = [(s, sizes[s], float(target[s]), blocks[i], i) for i, s in enumerate(order)]
     sources = spark.createDataFrame(table, "source string, source_size bigint, target double, blocks bigint, s int")
 
     whole = {i: min(int(most), int(target[s] // sizes[s])) if sizes[s] else 0 for i, s in enumerate(order)}
     left = {i: target[s] - whole[i] * sizes[s] for i, s in enumerate(order) if whole[i] < most and target[s] > whole[i] * sizes[s]}
-    last = _search(_blocked(numbered, sources, len(order)), left, blocks, spark) if left else {}
-    draws = np.array([whole[i] * blocks[i] + (last[i][0] + (last[i][1] > 0) if i in last else 0) for i in range(len(order))], dtype=np.int64)
+    few = {i: v for i, v in left.items() if blocks[i] <= LEAST_BLOCKS}
+    rows = _blocked(numbered, sources, len(order))
+    chosen = _choose(rows, few, blocks, spark) if few else {}
+    last = _search(rows, left, blocks, spark) if (left := {i: v for i, v in left.items() if i not in few}) else {}
+    more = {i: full + (cut > 0) for i, (full, cut) in last.items()} | {i: n for i, (n, _) in chosen.items()}
+    draws = np.array([whole[i] * blocks[i] + more.get(i, 0) for i in range(len(order))], dtype=np.int64)
+    places = {i: np.array(x, dtype=np.int64) for i, (_, x) in chosen.items()}
 
     n = shards or max(1, -(-sum(sizes.values()) // WORDS_A_SHARD))
     groups = max(1, min(n, GROUPS, QUOTAS // max(1, len(order))))
@@ -209,10 +251,11 @@ def make_plan(spark: SparkSession, docs: DataFrame, weights: dict | None = None,
                 for shard, _, begin, size in split(np.asarray(quota, np.int64), np.asarray(start, np.int64), a, b, 1, seed):
                     for s in np.flatnonzero(size).tolist():
                         index = permuted(np.arange(begin[s], begin[s] + size[s]), lengths[s], seed + s)
-                        yield pd.DataFrame({"s": s, "block": index % count[s], "copy": index // count[s], "shard": shard})
+                        block = index % count[s]
+                        yield pd.DataFrame({"s": s, "block": places[s][block] if s in places else block, "copy": index // count[s], "shard": shard})
 
     dealt = spark.createDataFrame(top, "a int, b int, start array<bigint>, quota array<bigint>").repartition(max(1, len(top))).mapInPandas(deal, "s int, block bigint, copy bigint, shard int")
-    copies = spark.createDataFrame([(i, whole[i], *last.get(i, (0, 0))) for i in range(len(order))], "s2 int, whole bigint, full bigint, cut bigint")
+    copies = spark.createDataFrame([(i, whole[i], *last.get(i, (-1, 0))) for i in range(len(order))], "s2 int, whole bigint, full bigint, cut bigint")
     dealt = dealt.join(_small(copies, len(order)), F.col("s") == F.col("s2"))
     made = dealt.groupBy("s", "block").agg(
         F.array_sort(F.collect_list(F.when(F.col("copy") < F.col("whole"), F.struct("copy", "shard")))).alias("w"),

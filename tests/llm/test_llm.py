@@ -421,9 +421,36 @@ def test_mixing_of_repeated_rows_and_odd_sources(spark):
     assert {s: n for s, n in mixed} == {s: n for s, n in taken.items() if n}
 
 
+def test_sums_nearest_to_the_rest():
+    rng = random.Random(2)
+    for n in (0, 1, 5, 12):
+        words = [rng.randrange(1, 500) for _ in range(n)]
+        sums = {sum(c) for k in range(n + 1) for c in itertools.combinations(words, k)}
+        for rest in (0, 17.4, 800, 1e9):
+            got = mixing.nearest(words, rest)
+            assert len(set(got)) == len(got) and abs(sum(words[i] for i in got) - rest) == min(abs(x - rest) for x in sums)
+    big = [rng.randrange(10**9) for _ in range(64)]
+    assert abs(sum(big[i] for i in mixing.nearest(big, 1.2e10)) - 1.2e10) < 0.001 * sum(big)
+
+
+def test_sources_of_few_documents_meet_their_targets(spark):
+    rng = random.Random(12)
+    rows = [(20 * d + s, "w " * rng.randrange(10, 600), f"src{s:02}") for s in range(20) for d in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = filled(dict(sizes))
+    for r in mixing.draw(df, mixing.make_plan(spark, df)).collect():
+        taken[r.source] += r["size"] * len(r["shards"])
+    off = [abs(taken[s] - want[s]) / want[s] for s in sizes]
+    assert max(off) < 0.06 and sum(off) / len(off) < 0.015
+
+
 def test_bounds_of_the_last_copy_through_several_steps(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BINS", 4)
     monkeypatch.setattr(mixing, "WORDS_A_BLOCK", 10)
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 4)
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(mixing, "GROUPS", 3)
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(400)], "doc_id bigint, text string, source string")
