@@ -318,13 +318,15 @@ def strip_comments(source: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
 
 
+#: Lines folded into one array at a time; arrays of chunks are joined once, so no line is copied over and over.
+CHUNK = 256
+
+
 def code_lines(lines: Column, path: Column) -> Column:
     """array<struct<i, line>> of the lines, from 0, that are neither blank nor comment, trimmed: // and /* */ in .java files, <!-- --> in .xml files. A comment left open goes on over the lines that follow."""
     kind = F.lower(F.substring_index(path, ".", -1))
     java, xml = kind == "java", kind == "xml"
     none = F.expr("cast(array() as array<struct<i:int,line:string>>)")
-    first = F.struct(F.lit(0).alias("i"), F.lit(False).alias("open"), none.alias("out"))
-
     def step(acc: Column, raw: Column) -> Column:
         line = strip(raw)
         closes = (java & line.endswith("*/")) | (xml & line.endswith("-->"))
@@ -334,7 +336,16 @@ def code_lines(lines: Column, path: Column) -> Column:
         kept = F.concat(acc["out"], F.array(F.struct(acc["i"].alias("i"), line.alias("line"))))
         return F.struct((acc["i"] + 1).alias("i"), F.coalesce(still, F.lit(False)).alias("open"), F.when((line == "") | F.coalesce(comment, F.lit(False)), acc["out"]).otherwise(kept).alias("out"))
 
-    return F.aggregate(F.coalesce(lines, F.expr("cast(array() as array<string>)")), first, step, lambda acc: acc["out"])
+    def take(acc: Column, chunk: Column) -> Column:
+        begin = F.struct(acc["i"].alias("i"), acc["open"].alias("open"), none.alias("out"))
+        # Folded once, in a list of one.
+        done = F.array(F.aggregate(chunk, begin, step))
+        return F.transform(done, lambda v: F.struct(v["i"].alias("i"), v["open"].alias("open"), F.concat(acc["outs"], F.array(v["out"])).alias("outs")))[0]
+
+    known = F.coalesce(lines, F.expr("cast(array() as array<string>)"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(known) / CHUNK).cast("int")), lambda k: F.slice(known, k * CHUNK + 1, F.lit(CHUNK)))
+    first = F.struct(F.lit(0).alias("i"), F.lit(False).alias("open"), F.expr("cast(array() as array<array<struct<i:int,line:string>>>)").alias("outs"))
+    return F.aggregate(chunks, first, take, lambda acc: F.flatten(acc["outs"]))
 
 
 def finding_id(tool: Column, rule: Column, path: Column, line: Column, message: Column) -> Column:
