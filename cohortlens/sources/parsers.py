@@ -21,7 +21,7 @@ def sarif(df: DataFrame, text: str) -> DataFrame:
     run = df.select(*rest, F.explode(F.from_json(F.col(text), SARIF_SCHEMA)["runs"]).alias("run"))
     r = run.select(*rest, F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
     rule = F.coalesce(F.col("r.ruleId"), F.get(F.col("rules.id"), F.col("r.ruleIndex")))
-    default = F.element_at(F.filter("rules", lambda x: x["id"] == rule), 1)["defaultConfiguration"]["level"]
+    default = F.get(F.filter("rules", lambda x: x["id"] == rule), F.lit(0))["defaultConfiguration"]["level"]
     level = F.coalesce(F.col("r.level"), F.when(F.size("rules") > 0, default), F.lit("warning"))
     at = F.get(F.col("r.locations"), F.lit(0))["physicalLocation"]
     severity = F.when(level == "error", "CRITICAL").when(level == "warning", "WARNING").otherwise("INFO")
