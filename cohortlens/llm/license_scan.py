@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,8 @@ BROADCAST_DIRS, SALTS = 100_000, 32
 FUNCTION_WORDS = frozenset("a an and any are as at by for from if in is it not of on or that the this to with you your".split())
 # Words of passages compared at once.
 _BLOCK = 1 << 16
+#: Words over which running sums are held at once: 8 bytes a word and template.
+_RANGE = 1 << 16
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)(\.[^/]*)?$"
 _BETWEEN = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 
@@ -143,31 +146,64 @@ class Templates:
         at = np.flatnonzero(index >= 0)
         doc = np.searchsorted(tok_off, at, side="right") - 1
         last = tok_off[doc + 1]
-        tries = [(doc, at, np.minimum(at + n, last), False) for n in self.lengths]
-        for keep, whole in ((np.ones(len(at), bool), False), (self.content[index[at]], True)):
-            a, d = at[keep], doc[keep]
-            if len(a):
-                cuts = np.flatnonzero((np.diff(a) > gap + 1) | (np.diff(d) > 0)) + 1
-                first, final = np.r_[0, cuts], np.r_[cuts, len(a)] - 1
-                tries.append((d[first], a[first], a[final] + 1, whole))
-        # With c times a word in a passage, c * c is at least c, so sums over the words bound the norm from below.
-        w = np.where(index >= 0, self.idf[index], 0.0)
-        norm = np.r_[0.0, np.cumsum(np.where(index >= 0, w * w, self.other**2))]
-        dots = [np.r_[0.0, np.cumsum(np.where(index >= 0, w * u[index], 0.0))] for u in self.unit]
-        slack = 1e-12 * (1 + norm[-1])
-        out = []
-        for d, a, b, whole in tries:
+        out: list[list] = [[] for _ in range(len(self.lengths) + 2)]
+
+        def keep(k: int, d: np.ndarray, a: np.ndarray, b: np.ndarray, norm: np.ndarray, dots: Iterable[np.ndarray], whole: bool) -> None:
+            """Adds the passages a to b that fit, of those whose bound (norm and dots of each) allows it."""
+            slack = 1e-12 * (1 + np.abs(norm).max(initial=0))
+            least, may = threshold * np.sqrt(np.maximum(norm - slack, 0.0)) - slack, np.zeros(len(a), bool)
+            for x in dots:
+                may |= x >= least
+            d, a, b = d[may], a[may], b[may]
+            score, best = self.best(index, a, b)
+            fits = score >= threshold
+            out[k].append((d[fits], a[fits], b[fits], score[fits], best[fits], np.full(int(fits.sum()), whole)))
+
+        # Passages of a template's length: sums run over the words of a block only.
+        i = 0
+        while i < len(at):
+            j = max(i + 1, min(i + _BLOCK, int(np.searchsorted(at, at[i] + _RANGE))))
+            lo, hi = int(at[i]), int(min(at[j - 1] + self.lengths[-1], len(index)))
+            norm, dots = self._running(index[lo:hi])
+            for k, n in enumerate(self.lengths):
+                a1, b1 = at[i:j], np.minimum(at[i:j] + n, last[i:j])
+                keep(k, doc[i:j], a1, b1, norm[b1 - lo] - norm[a1 - lo], (c[b1 - lo] - c[a1 - lo] for c in dots), False)
+            i = j
+        # Stretches, however long: sums are kept at their ends only.
+        for k, (some, whole) in enumerate(((np.ones(len(at), bool), False), (self.content[index[at]], True)), len(self.lengths)):
+            a, d = at[some], doc[some]
+            if not len(a):
+                continue
+            cuts = np.flatnonzero((np.diff(a) > gap + 1) | (np.diff(d) > 0)) + 1
+            first, final = np.r_[0, cuts], np.r_[cuts, len(a)] - 1
+            d, a, b = d[first], a[first], a[final] + 1
             for i in range(0, len(a), _BLOCK):
-                d1, a1, b1 = d[i : i + _BLOCK], a[i : i + _BLOCK], b[i : i + _BLOCK]
-                least = threshold * np.sqrt(np.maximum(norm[b1] - norm[a1] - slack, 0.0)) - slack
-                may = np.zeros(len(a1), bool)
-                for c in dots:
-                    may |= c[b1] - c[a1] >= least
-                d1, a1, b1 = d1[may], a1[may], b1[may]
-                score, k = self.best(index, a1, b1)
-                fits = score >= threshold
-                out.append((d1[fits], a1[fits], b1[fits], score[fits], k[fits], np.full(int(fits.sum()), whole)))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
+                a1, b1 = a[i : i + _BLOCK], b[i : i + _BLOCK]
+                norm, dots = self._sums(index, a1, b1)
+                keep(k, d[i : i + _BLOCK], a1, b1, norm, dots, whole)
+        found = [x for one in out for x in one]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, np.int64) for _ in range(6))
+
+    def _running(self, index: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Running sums over words, 0 first: of what bounds the norm, and of each template's products. With c times a word in a passage, c * c is at least c, so sums over the words bound the norm from below."""
+        known = index >= 0
+        w = np.where(known, self.idf[index], 0.0)
+        norm = np.r_[0.0, np.cumsum(np.where(known, w * w, self.other**2))]
+        return norm, [np.r_[0.0, np.cumsum(np.where(known, w * u[index], 0.0))] for u in self.unit]
+
+    def _sums(self, index: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same sums over index[begin:end] of each passage, added up block by block of words; passages are disjoint and in order."""
+        norm, dots = np.zeros(len(begin)), np.zeros((len(self.unit), len(begin)))
+        for lo in range(int(begin[0]), int(end[-1]), _RANGE):
+            hi = min(lo + _RANGE, int(end[-1]))
+            i, j = int(np.searchsorted(end, lo, side="right")), int(np.searchsorted(begin, hi))
+            if i < j:
+                a, b = np.maximum(begin[i:j], lo) - lo, np.minimum(end[i:j], hi) - lo
+                n, c = self._running(index[lo:hi])
+                norm[i:j] += n[b] - n[a]
+                for k, x in enumerate(c):
+                    dots[k, i:j] += x[b] - x[a]
+        return norm, dots
 
 
 def _index(piece: pa.RecordBatch, t: Templates) -> tuple[np.ndarray, np.ndarray]:

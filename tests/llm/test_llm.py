@@ -667,6 +667,23 @@ def test_very_long_texts(spark):
     assert license_scan.scan(df.select(F.col("doc_id").alias("id"), F.lit("a/b").alias("path"), F.concat("text", F.lit(" Released under the MIT License.")).alias("text"))).filter("license = 'MIT'").count() == 4
 
 
+def test_licence_sums_of_blocks_equal_whole_sums(monkeypatch):
+    rng = random.Random(5)
+    t = license_scan.Templates(license_scan.TEMPLATES)
+    t.weigh({i: i % 5 for i in range(len(t.words))}, 50)
+    index = np.array([rng.choice((-1, -1, rng.randrange(len(t.words)))) for _ in range(5000)])
+    bounds = np.array(sorted(rng.sample(range(5001), 60)))
+    begin, end = bounds[::2], bounds[1::2]
+    norm, dots = t._running(index)
+    off = np.array([0, 1700, 1700, 5000])
+    whole = t.passages(index, off, 0.1, 8)
+    monkeypatch.setattr(license_scan, "_RANGE", 97)
+    monkeypatch.setattr(license_scan, "_BLOCK", 31)
+    got = t._sums(index, begin, end)
+    assert np.allclose(got[0], norm[end] - norm[begin]) and np.allclose(got[1], [c[end] - c[begin] for c in dots])
+    assert len(whole[0]) > 50 and all(np.allclose(a, b) for a, b in zip(whole, t.passages(index, off, 0.1, 8)))
+
+
 def licence_brute(files):
     """Passages and inheritance in plain Python: best cosine over windows from every template word and over stretches, then a walk up the path."""
     t = license_scan.Templates(license_scan.TEMPLATES)
