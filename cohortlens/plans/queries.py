@@ -384,9 +384,10 @@ def tier_pivot(t):
 with w as (select doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9]+(?:''[a-zA-Z]+)?') as w, trim(regexp_replace(text, '\s+', ' ', 'g')) as c from documents)
 select doc_id, len(w) as n_words, round(case when len(w) > 0 then len(list_distinct(w)) / len(w) else 0 end, 6) as richness, length(c) as n_chars, sha256(c) as digest from w""")
 def text_profile(t):
-    w = T.tokens(F.col("text"))
-    c = T.collapse(F.col("text"))
-    return t("documents").select("doc_id", F.size(w).cast("bigint").alias("n_words"), r(T.richness(F.col("text")), 6).alias("richness"), F.length(c).cast("bigint").alias("n_chars"), F.sha2(c, 256).alias("digest"))
+    # Words and the collapsed text are named once, and used from there.
+    x = t("documents").select("doc_id", T.tokens(F.col("text")).alias("w"), T.collapse(F.col("text")).alias("c"))
+    richness = S.safe_divide(F.size(F.array_distinct("w")), F.size("w"))
+    return x.select("doc_id", F.size("w").cast("bigint").alias("n_words"), r(richness, 6).alias("richness"), F.length("c").cast("bigint").alias("n_chars"), F.sha2("c", 256).alias("digest"))
 
 
 @query("""
