@@ -65,18 +65,19 @@ def inequality(df: DataFrame, by: list[str], value: str, least: int = 2) -> Data
     )
 
 
-def zscore_minmax(value: Column, by: list[str]) -> Column:
-    """z-score in the group, then scaled to 0..1 over it; 0.5 in a constant group. Scaling undoes the z-score's own scale, so one window suffices."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return F.when(hi == lo, F.lit(0.5)).otherwise((value - lo) / F.when(hi != lo, hi - lo))
-
-
-def zscore(value: Column, by: list[str]) -> Column:
-    """(x - mean) / population deviation; null where the deviation is 0."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(value).over(w)
-    return (value - F.avg(value).over(w)) / F.when(sd > 0, sd)
+def scaled(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """df with <value>_scaled for each of values: its z-score in the group, scaled to 0..1 over it; 0.5 in a constant group. Scaling undoes the z-score's own scale, so a group's extremes suffice; they are joined, so no group is one task's window."""
+    ends = df.groupBy(*by).agg(*[f(v).alias(f"__{name}_{v}") for v in values for name, f in (("lo", F.min), ("hi", F.max))])
+    x = _joined(df, ends, by)
+    place = lambda v: (F.col(v) - F.col(f"__lo_{v}")) / F.when(F.col(f"__hi_{v}") != F.col(f"__lo_{v}"), F.col(f"__hi_{v}") - F.col(f"__lo_{v}"))
+    return x.select(*df.columns, *[F.when(F.col(f"__hi_{v}") == F.col(f"__lo_{v}"), F.lit(0.5)).otherwise(place(v)).alias(f"{v}_scaled") for v in values])
+
+
+def zscores(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """df with <value>_z for each of values: (x - mean) / population deviation in the group; null where the deviation is 0."""
+    moments = df.groupBy(*by).agg(*[f(v).alias(f"__{name}_{v}") for v in values for name, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+    x = _joined(df, moments, by)
+    return x.select(*df.columns, *[((F.col(v) - F.col(f"__mu_{v}")) / F.when(F.col(f"__sd_{v}") > 0, F.col(f"__sd_{v}"))).alias(f"{v}_z") for v in values])
 
 
 def quantiles(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -212,9 +212,10 @@ def contribution_composite(t):
     x = t("supplier").join(t("lineitem"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
     x = x.groupBy(F.col("s_nationkey").alias("g"), "s_suppkey", "s_acctbal").agg(F.count("l_orderkey").alias("lines"), F.coalesce(F.sum("l_quantity"), F.lit(0.0)).alias("qty"))
     parts = {"s_acctbal": 0.4, "lines": 0.35, "qty": 0.25}
-    c = sum(w * stats.zscore_minmax(F.col(k), ["g"]) for k, w in parts.items())
-    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc(F.round("c", 9)), "s_suppkey"))
-    return x.withColumn("c", c).select("g", "s_suppkey", r("c", 6).alias("composite"), rank.cast("bigint").alias("rank"))
+    x = stats.scaled(x, ["g"], list(parts)).withColumn("c", sum(w * F.col(f"{k}_scaled") for k, w in parts.items()))
+    # A place in the order of (composite, supplier) is the rank.
+    ranked = stats.positions(x.withColumn("key", F.struct((-F.round("c", 9)).alias("minus"), "s_suppkey", "c")), ["g"], "key")
+    return ranked.select("g", "x.s_suppkey", r("x.c", 6).alias("composite"), (F.col("before") + 1).cast("bigint").alias("rank"))
 
 
 @query("""

@@ -178,3 +178,12 @@ def test_rewrite_and_similarity_flags(spark):
     assert rows(detectors.rewrite_flags(found), "subject", "flag") == [("x", "COSMETIC_REWRITE_VICTIM"), ("y", "COSMETIC_REWRITE_ACTOR")]
     pairs = spark.createDataFrame([(1, 2, 5)], "a int, b int, shared long")
     assert rows(detectors.similarity_flags(pairs), "subject", "other", "shared") == [("PROJECT_1", "PROJECT_2", 5), ("PROJECT_2", "PROJECT_1", 5)]
+
+
+def test_scaled_groups(spark):
+    rows_ = [("a", 1.0, 5), ("a", 2.0, 5), ("a", 4.0, None), ("b", 7.0, 1), (None, 0.0, 1), (None, 10.0, 3)]
+    df = spark.createDataFrame(rows_, "g string, x double, y int")
+    got = {(r.g, r.x): (r.x_scaled, r.y_scaled) for r in stats.scaled(df, ["g"], ["x", "y"]).collect()}
+    assert got == {("a", 1.0): (0.0, 0.5), ("a", 2.0): (1 / 3, 0.5), ("a", 4.0): (1.0, 0.5), ("b", 7.0): (0.5, 0.5), (None, 0.0): (0.0, 0.0), (None, 10.0): (1.0, 1.0)}
+    z = {(r.g, r.x): r.x_z for r in stats.zscores(df, ["g"], ["x"]).collect()}
+    assert z["b", 7.0] is None and (z[None, 0.0], z[None, 10.0]) == (-1.0, 1.0) and abs(sum(v for (g, _), v in z.items() if g == "a")) < 1e-12
