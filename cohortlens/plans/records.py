@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import axes, detectors, incremental, lines, maintenance
 from cohortlens.plans.queries import VERSIONS, _versions, query, r
-from cohortlens.sources import parsers
+from cohortlens.sources import curriculum, parsers
 
 #: A total order of an order's line items.
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
@@ -283,3 +283,22 @@ def project_diagnostics(t):
     x = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     severity = F.when(F.col("l_returnflag") == "R", "CRITICAL").when(F.col("l_returnflag") == "A", "WARNING").otherwise("INFO")
     return axes.project_diagnostics(t("nation").select(F.col("n_nationkey").alias("project")), tasks, x.select(F.col("s_nationkey").alias("project"), severity.alias("severity")), x.select(F.col("s_nationkey").alias("project"), F.col("p_type").alias("name")))
+
+
+# What files use beyond a course
+
+
+@query(f"""
+with x as (select 'p' || l_partkey || '.java' as path, row_number() over (partition by l_partkey order by l_orderkey, {ORDER}) as line, l_returnflag as f, 'org.junit.T' || l_suppkey as v, l_linenumber as i from lineitem),
+found as (select path, 'test_framework' as kind, 'HIGH' as severity, v as value, line from x where f = 'R' union all select path, 'test_framework', 'HIGH', 'Mock', line from x where f = 'A' and i < 4
+  union all select path, 'design_patterns', 'MEDIUM', 'getInstance', line from x where f = 'N'
+  union all select path, 'unlisted_import', 'LOW', v, line from x where f = 'R' and v not in (select 'org.junit.T' || s_suppkey from supplier where s_acctbal > 5000)
+  union all select path, 'unlisted_annotation', 'LOW', 'Mock', line from x where f = 'A' and i < 4)
+select path, kind, severity, value, cast(min(line) as integer) as line from found group by all""")
+def beyond_curriculum(t):
+    """A part's line items are the lines of a file: an import, an annotation (Entity, which is taught, or Mock) or a call."""
+    line = F.when(F.col("l_returnflag") == "R", F.format_string("import org.junit.T%d;", "l_suppkey")).when(F.col("l_returnflag") == "A", F.when(F.col("l_linenumber") < 4, "@Mock").otherwise("@Entity")).otherwise("  x = Helper.getInstance();")
+    files = _joined(t("lineitem"), "l_partkey", ["l_orderkey", *COLUMNS], line).select(F.format_string("p%d.java", "l_partkey").alias("path"), "text")
+    allowed = t("supplier").filter("s_acctbal > 5000").select(F.lit("import").alias("category"), F.format_string("org.junit.T%d", "s_suppkey").alias("value"))
+    taught = t("region").select(F.lit("annotation").alias("category"), F.lit("Entity").alias("value"))
+    return curriculum.beyond_curriculum(files, allowed.unionByName(taught))

@@ -239,6 +239,9 @@ def test_curriculum(spark):
     bad = {(r.kind, r.severity, r.value): r.line for r in curriculum.beyond_curriculum(spark.createDataFrame([("A.java", src)], "path string, text string"), allowed).collect()}
     assert bad[("test_framework", "HIGH", "org.junit.Test")] == 2 and bad[("advanced_java", "HIGH", "stream")] == 7 and bad[("unlisted_import", "LOW", "x.y.Z")] == 3 and bad[("unlisted_annotation", "LOW", "Weird")] == 5
     assert ("unlisted_import", "LOW", "java.util.List") not in bad and ("unlisted_import", "LOW", "java.lang.Math") not in bad and ("unlisted_annotation", "LOW", "Override") not in bad
+    more = "import org.junitx.A;\nimport dagger;\nimport a.CompletableFuture;\nclass A extends MyError {\nclass B extends ListAdapter implements UserFactory, Ok {\n x.toMono(); y.getInstance(); @Singleton z.streams();"
+    told = {(r.kind, r.value) for r in curriculum.beyond_curriculum(spark.createDataFrame([("B.java", more)], "path string, text string"), allowed).filter("severity != 'LOW'").collect()}
+    assert told == {("dependency_injection", "dagger"), ("advanced_java", "a.CompletableFuture"), ("error_handling_sophistication", "MyError"), ("design_patterns", "ListAdapter"), ("design_patterns", "UserFactory"), ("reactive", "toMono"), ("design_patterns", "getInstance"), ("dependency_injection", "Singleton")}
     score = curriculum.curriculum_score(spark.createDataFrame([("a", "HIGH"), ("a", "LOW"), *[("b", "HIGH")] * 9], "path string, severity string"))
     assert {r.path: r.score for r in score.collect()} == {"a": pytest.approx(0.3), "b": 1.0}
 
