@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Path pieces of files that belong to no layer.
 NO_LAYER = ("/test/", "/tests/", "/androidtest/", "/build/", "/.gradle/", "/generated/", "/build-output/")
@@ -88,26 +86,25 @@ def without_file_scheme(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^file:(//)?", "")
 
 
-@F.pandas_udf(StringType())
-def relative_path(root: pd.Series, path: pd.Series) -> pd.Series:
-    """path below root with . and .. resolved as text; null if it lies outside or one is null. A relative path starts at root."""
+def _segments(path: Column) -> Column:
+    """The names of a path, from left to right, with . and .. resolved as text; .. at the top stays there."""
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(done: Column, name: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name.isin("", "."), done).otherwise(F.concat(done, F.array(name)))
+
+    return F.aggregate(F.split(F.translate(path, "\\", "/"), "/"), none, step)
 
-    def parts(p: str) -> list[str]:
-        out: list[str] = []
-        for x in p.replace("\\", "/").split("/"):
-            if x == "..":
-                out = out[:-1]
-            elif x not in ("", "."):
-                out.append(x)
-        return out
-
-    def one(r: str | None, p: str | None) -> str | None:
-        if r is None or p is None:
-            return None
-        base, full = parts(r), parts(p if p.startswith(("/", "\\")) else f"{r}/{p}")
-        return "/".join(full[len(base) :]) if full[: len(base)] == base else None
-
-    return pd.Series([one(r, p) for r, p in zip(root, path)])
+
+def relative_path(root: Column | str, path: Column | str) -> Column:
+    """path below root with . and .. resolved as text; null if it lies outside or one is null. A relative path starts at root."""
+    root, path = (F.col(x) if isinstance(x, str) else x for x in (root, path))
+    absolute = F.when(path.startswith("/") | path.startswith("\\"), path).otherwise(F.concat(root, F.lit("/"), path))
+    base, full = _segments(root), _segments(absolute)
+    below = F.slice(full, F.size(base) + 1, F.greatest(F.size(full) - F.size(base), F.lit(0)))
+    inside = F.slice(full, F.lit(1), F.size(base)) == base
+    return F.when(root.isNotNull() & path.isNotNull() & inside, F.array_join(below, "/"))
 
 
 def line_anchor(start: Column, end: Column) -> Column:

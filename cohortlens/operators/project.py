@@ -152,6 +152,37 @@ def final_grades(projects: DataFrame, students: DataFrame, gamma: float, decimal
     return x.select("project", "student", round_half_away(F.col("p"), decimals, step).alias("project_final"), round_half_away(grade, decimals, step).alias("student_final"))
 
 
+def grade_steps(projects: DataFrame, students: DataFrame, gamma: float) -> DataFrame:
+    """project, student (null: the project), step, value: everything on the way to the unrounded grades of ``final_grades``, which takes the same tables, in long form.
+
+    Steps of a project: work_base, quality_multiplier, ai_factor, extra (a point at most), raw, curved. Steps of a student:
+    share, scaled (the project's grade by the root of the share), penalty, criticals (points lost), final.
+    """
+    extra = F.least(F.col("extra_tech") / 10, F.lit(1.0))
+    p = projects.withColumns({"extra": extra, "raw": F.col("work_base") * F.col("ai_factor") * F.col("quality_multiplier") + extra})
+    p = p.withColumn("curved", curved(F.col("raw"), gamma))
+    s = students.join(p.select("project", "curved"), "project").withColumns({
+        "share": F.coalesce(F.col("share").cast("double"), F.lit(0.0)),
+        "penalty": F.coalesce(F.col("penalty").cast("double"), F.lit(0.0)),
+        "criticals": 0.5 * F.coalesce("criticals", F.lit(0)),
+    })
+    s = s.withColumn("scaled", F.col("curved") * F.sqrt(F.least("share", F.lit(1.5))))
+    s = s.withColumn("final", clamp(F.col("scaled") - F.col("penalty") - F.col("criticals"), 0.0, 10.0))
+
+    def steps(x: DataFrame, *names: str) -> DataFrame:
+        return x.select("project", "student", F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.col(k).cast("double").alias("value")) for k in names])).alias("s")).select("project", "student", "s.*")
+
+    none = p.withColumn("student", F.lit(None).cast(students.schema["student"].dataType))
+    return steps(none, "work_base", "quality_multiplier", "ai_factor", "extra", "raw", "curved").unionByName(steps(s, "share", "scaled", "penalty", "criticals", "final"))
+
+
+def charged_students(students: DataFrame) -> DataFrame:
+    """project (null: the cohort), students, charged (with a penalty above 0), share: in one pass over both levels. students: project, penalty."""
+    x = students.filter("project is not null").groupingSets([["project"], []], "project")
+    x = x.agg(F.count("*").alias("students"), F.count_if(F.coalesce(F.col("penalty") > 0, F.lit(False))).alias("charged"))
+    return x.select("project", "students", "charged", safe_divide(F.col("charged"), F.col("students")).alias("share"))
+
+
 def review_route(grade: Column, missing: Column, criticals: Column, pass_mark: float = 5.0, margin: float = 0.25) -> Column:
     """Where a grade goes: block (inputs missing), manual (critical flags, or within a margin of the pass mark), else release."""
     return F.when(missing, "block").when((F.coalesce(criticals, F.lit(0)) > 0) | (F.abs(grade - pass_mark) < margin), "manual").otherwise("release")

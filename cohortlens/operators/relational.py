@@ -33,13 +33,19 @@ def previous(df: DataFrame, by: list[str], order: str, value: str, name: str = "
 def contained(events: DataFrame, at: str, windows: DataFrame, start: str, end: str, width_days: int = 32) -> DataFrame:
     """Each event with the first window that holds it (by start, then end), both ends inclusive; events in none are left out.
 
-    Windows are spread over buckets of ``width_days``; a bucket's windows are one sorted array, so that each event meets
-    one row and needs no window of its own, whatever its identity.
+    A window that ends no later than one before it in that order is never first, so of a bucket's windows only those
+    that reach further than all before them are kept: many overlapping windows leave few. A bucket's windows are one
+    sorted array, so that each event meets one row and needs no window of its own, whatever its identity. Windows with a
+    null or reversed end hold nothing.
     """
     day = lambda c: F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
     rest = [c for c in windows.columns if c not in (start, end)]
-    spread = windows.withColumn("__b", F.explode(F.sequence(F.floor(day(F.col(start)) / width_days), F.floor(day(F.col(end)) / width_days))))
-    spread = spread.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*rest, F.lit(0).alias("__0")).alias("rest")))).alias("__w"))
+    one = F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*rest, F.lit(0).alias("__0")).alias("rest"))
+    buckets = F.sequence(F.floor(day(F.col(start)) / width_days), F.floor(day(F.col(end)) / width_days))
+    spread = windows.filter(F.col(start) <= F.col(end)).select(F.explode(buckets).alias("__b"), one.alias("w"))
+    before = Window.partitionBy("__b").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    spread = spread.withColumn("reach", F.max("w.e").over(before)).filter("reach is null or w.e > reach")
+    spread = spread.groupBy("__b").agg(F.array_sort(F.collect_list("w")).alias("__w"))
     e = events.withColumn("__b", F.floor(day(F.col(at)) / width_days))
     first = F.get(F.filter("__w", lambda w: (F.col(at) >= w["s"]) & (F.col(at) <= w["e"])), F.lit(0))
     hit = e.join(spread, "__b").withColumn("__hit", first).filter("__hit is not null")

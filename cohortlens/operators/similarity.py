@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.paths import layer_of, repo_type
 from cohortlens.functions.scalar import format_float
 from cohortlens.operators.stats import mad_outliers
 
@@ -31,6 +32,31 @@ def dominant_layers(counts: DataFrame, by: list[str], share: float = 0.25) -> Da
     return c.filter((F.col("n") >= F.ceil(F.col("total") * share)) | (F.col("place") == 1)).select(*by, "layer", "place")
 
 
+def pr_signatures(links: DataFrame, statements: DataFrame, commits: DataFrame, lines: DataFrame, survival: DataFrame) -> DataFrame:
+    """What is known of each pull request of a finished task other than a user story: pr, repo, layer_counts (map of layer to surviving statements; empty without), lat, ld, ls, surviving (each null without a row, else summed over sprints) and action.
+
+    links: pr, repo, type, status; statements: path, commit; commits: pr, sha; lines: pr, lat, ld, ls; survival: pr, surviving.
+    A statement counts for each pull request that holds its commit. Statements are counted by commit and path before they
+    meet commits, so a commit of very many statements is a row for each of its files. The stack, and so the layers, comes
+    from the repository's name. Null paths, commits and pull requests count nowhere.
+    """
+    wanted = (F.col("type").isNull() | (F.col("type") != "USER_STORY")) & (F.col("status") == "DONE") & F.col("pr").isNotNull()
+    prs = links.filter(wanted).groupBy("pr").agg(F.max("repo").alias("repo"))
+    n = statements.filter("path is not null and commit is not null").groupBy("commit", "path").agg(F.count("*").alias("n"))
+    n = n.join(commits.select(F.col("pr").alias("p2"), "sha"), F.col("commit") == F.col("sha"))
+    n = n.groupBy("p2", "path").agg(F.sum("n").alias("n")).join(prs, F.col("p2") == F.col("pr"))
+    n = n.groupBy("p2", layer_of(F.col("path"), repo_type(F.col("repo"))).alias("layer")).agg(F.sum("n").alias("n")).filter("layer is not null")
+    layers = n.groupBy("p2").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "n")))).alias("layer_counts"))
+    total = lambda *names: [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in names]
+    changed = lines.groupBy(F.col("pr").alias("p3")).agg(*total("lat", "ld", "ls"))
+    alive = survival.groupBy(F.col("pr").alias("p4")).agg(*total("surviving"))
+    x = prs
+    for part, key in ((layers, "p2"), (changed, "p3"), (alive, "p4")):
+        x = x.join(part, F.col("pr") == F.col(key), "left").drop(key)
+    known = F.coalesce("layer_counts", F.expr("cast(map() as map<string,bigint>)")).alias("layer_counts")
+    return x.select("pr", "repo", known, "lat", "ld", "ls", "surviving", pr_action(F.col("lat"), F.col("ld")).alias("action"))
+
+
 def tasks_of(links: DataFrame, layers: DataFrame) -> DataFrame:
     """Finished tasks with a pull request, all of theirs merged: project, task, points, action, statements (weighted), layer counts summed up in ``layers`` (pr, layer, n): layer_counts (map). links: project, task, points, done, pr, merged, weight, lat, ld, statements."""
     x = links.filter("done")

@@ -83,9 +83,10 @@ def interval_containment(t):
     return relational.contained(e, "at", w, "s", "e").groupBy(F.date_format("s", "yyyy-MM-dd").alias("window_start")).agg(F.count("*").alias("n"))
 
 
-@query("select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders)")
+@query("select doc_id, source from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
 def orphans_anti_join(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+    """Documents without labels."""
+    return t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")

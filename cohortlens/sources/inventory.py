@@ -49,6 +49,19 @@ def inventory(files: DataFrame) -> DataFrame:
     return sums.select("repo", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys])).alias("m")).select("repo", "m.key", "m.value")
 
 
+def class_averages(methods: DataFrame) -> DataFrame:
+    """repo, key, value: mean complexity of the methods of controllers and of fragments, and mean statements of the endpoints of controllers; 0 without any. methods: repo, class_kind (controller, fragment or other), complexity, statements, endpoint (boolean; null: no)."""
+    mean = lambda value, of: F.coalesce(F.avg(F.when(of, F.col(value))), F.lit(0.0)).cast("double")
+    kind = F.col("class_kind")
+    means = {
+        "avg_cc_per_controller": mean("complexity", kind == "controller"),
+        "avg_cc_per_fragment": mean("complexity", kind == "fragment"),
+        "avg_statements_per_endpoint": mean("statements", (kind == "controller") & F.col("endpoint")),
+    }
+    x = methods.groupBy("repo").agg(*[v.alias(k) for k, v in means.items()])
+    return x.unpivot("repo", list(means), "key", "value")
+
+
 def new_dependencies(used: DataFrame, baseline: DataFrame) -> DataFrame:
     """repo, stack, coordinate of dependencies that the stack's baseline lacks."""
     return used.select("repo", "stack", "coordinate").distinct().join(baseline.select("stack", "coordinate").distinct(), ["stack", "coordinate"], "left_anti")
