@@ -108,3 +108,47 @@ def attribute_scores(lines: DataFrame, author: str, file: str, amount: str, scor
     s = scores.filter(F.col(score).isNotNull()).select(F.col(file).alias("__f"), F.col(score).alias("__s"))
     g = own.join(s, F.col(file) == F.col("__f")).groupBy(author).agg(F.count("*").alias("files"), F.sum("__n").alias("lines"), F.sum(F.col("__n") * F.col("__s")).alias("__x"))
     return g.select(author, "files", "lines", safe_divide(F.col("__x"), F.col("lines"), None).alias("score"))
+
+
+# Anchors of metrics without one in the specification. Each end is a number or (weight, default); ceilings of the breaches of architecture count twice.
+DEFAULT_ANCHORS = {
+    "documentation_raw": (0.0, ("doc_max", 6.0)),
+    "code_quality_raw": (("mi_floor", 50.0), ("mi_ceiling", 85.0)),
+    "cc_pct": (0.0, 100.0),
+    "mutation_score": (0.0, 1.0),
+    "survival_raw": (("surv_floor", 0.5), ("surv_ceiling", 0.95)),
+    "arch_weighted": (0.0, ("arch_norm", 4.0)),
+    "violation_density": (0.0, ("density_ceiling", 5.0)),
+    "production_loc": (0.0, ("prod_loc_ceiling", 50_000.0)),
+    "production_statement_count": (0.0, ("prod_stmt_ceiling", 15_000.0)),
+}
+# Inventory metrics that share a ceiling, by its weight and default.
+INVENTORY_ANCHORS = {
+    ("inventory_count_ceiling", 50.0): ("endpoint_count", "controller_count", "entity_count", "repository_count", "fragment_count", "activity_count", "viewmodel_count", "room_database_count"),
+    ("inventory_depth_ceiling", 30.0): ("custom_query_count", "scheduled_task_count", "observe_call_count", "nav_dispatch_count", "reactive_state_field_count"),
+    ("inventory_density_ceiling", 10.0): ("reactive_wiring_density", "nav_dispatch_density", "avg_cc_per_controller", "avg_cc_per_fragment", "avg_statements_per_endpoint"),
+}
+
+
+def resolved_anchors(samples: DataFrame, specs: DataFrame, weights: DataFrame) -> DataFrame:
+    """samples with floor, ceiling and origin of its key's anchors in its specification: spec, else weights (named ones, else their defaults), else unit (0 to 1).
+
+    samples: spec, key and more; specs: spec, key, floor, ceiling; weights: spec, name, value. Rules are a small table, so
+    any number of specifications is resolved by joins. A null key or specification has unit anchors, or those of no named weights.
+    """
+    rules = [(k, *[v if isinstance(v, tuple) else (None, v) for v in ends]) for k, ends in DEFAULT_ANCHORS.items()]
+    rules += [(k, (None, 0.0), ceiling) for ceiling, keys in INVENTORY_ANCHORS.items() for k in keys]
+    schema = "rule string, f struct<name:string,value:double>, c struct<name:string,value:double>"
+    table = F.broadcast(samples.sparkSession.createDataFrame(rules, schema))  # the fixed rules above
+    own = specs.groupBy(F.col("spec").alias("s1"), F.col("key").alias("k1")).agg(F.max(F.struct("floor", "ceiling")).alias("own"))
+    named = weights.filter("name is not null and value is not null").groupBy(F.col("spec").alias("s2")).agg(F.map_from_entries(F.collect_set(F.struct("name", F.col("value").cast("double")))).alias("w"))
+    x = samples.join(own, (F.col("spec") == F.col("s1")) & (F.col("key") == F.col("k1")), "left")
+    x = x.join(named, F.col("spec") == F.col("s2"), "left").join(table, F.col("key") == F.col("rule"), "left")
+    end = lambda e: F.coalesce(F.when(F.col(e)["name"].isNotNull(), F.get(F.map_values(F.map_filter("w", lambda k, _: k == F.col(e)["name"])), F.lit(0))), F.col(e)["value"])
+    twice = F.when(F.col("key") == "arch_weighted", 2.0).otherwise(1.0)
+    return x.select(
+        *samples.columns,
+        F.when(F.col("own").isNotNull(), F.col("own.floor")).otherwise(F.coalesce(end("f"), F.lit(0.0))).cast("double").alias("floor"),
+        F.when(F.col("own").isNotNull(), F.col("own.ceiling")).otherwise(F.coalesce(end("c") * twice, F.lit(1.0))).cast("double").alias("ceiling"),
+        F.when(F.col("own").isNotNull(), "spec").when(F.col("rule").isNotNull(), "weights").otherwise("unit").alias("origin"),
+    )

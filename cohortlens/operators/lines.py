@@ -79,6 +79,29 @@ def student_survival(prs: DataFrame, authors: DataFrame, points: DataFrame) -> D
     return x.select("member", "added", "surviving", safe_divide(F.col("surviving"), F.col("added"), 1.0).alias("rate"), safe_divide(F.col("surviving"), F.col("points"), None).alias("density"))
 
 
+def member_line_totals(links: DataFrame, lines: DataFrame, roster: DataFrame) -> DataFrame:
+    """team, member, period, ls, ld, points, ls_per_point (0 without points), and total_ls, total_ld, total_points, total_per_point summed up over periods so far.
+
+    A pull request's lines are split over the finished tasks of a team in a period, by their points, evenly if these are all 0;
+    a pull request shared by two teams counts whole in each. links: task, pr, member, period, points, type, status; lines: pr,
+    period, ls, ld; roster: member, team. Shares are summed up as one aggregate joined back, so no window holds all
+    tasks of a pull request.
+    """
+    keep = (F.col("type").isNull() | (F.col("type") != "USER_STORY")) & (F.col("status") == "DONE")
+    x = links.filter(keep).select("pr", "member", "period", F.coalesce(F.col("points").cast("double"), F.lit(0.0)).alias("points"))
+    x = x.join(lines.select("pr", "period", "ls", "ld"), ["pr", "period"]).join(roster.select("member", "team"), "member")
+    key = ["team", "period", "pr"]
+    whole = x.groupBy(*[F.col(k).alias(f"{k}_") for k in key]).agg(F.sum("points").alias("all"), F.count("*").alias("n"))
+    x = x.join(whole, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key])
+    weight = F.when(F.col("all") > 0, F.col("points") / F.when(F.col("all") > 0, F.col("all"))).otherwise(1.0 / F.col("n"))
+    part = lambda c: F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * weight).alias(c)
+    one = x.groupBy("team", "member", "period").agg(part("ls"), part("ld"), F.sum("points").alias("points"))
+    w = Window.partitionBy("team", "member").orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = one.withColumns({f"total_{c}": F.sum(c).over(w) for c in ("ls", "ld", "points")})
+    per = lambda a, b: safe_divide(F.when(F.col(b) > 0, F.col(a)).otherwise(0.0), F.col(b))
+    return one.withColumns({"ls_per_point": per("ls", "points"), "total_per_point": per("total_ls", "total_points")})
+
+
 def file_owners(statements: DataFrame, by: list[str]) -> DataFrame:
     """Each file's dominant author (most statements, then the smaller name) with all its statements: by, file, author, statements. statements: by, file, author (without case)."""
     n = statements.filter("author is not null").groupBy(*by, "file", F.lower("author").alias("author")).agg(F.count("*").alias("n"))

@@ -49,6 +49,49 @@ def diff(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 0.0) ->
     return both.select(*keys, status.alias("status")).filter("status is not null")
 
 
+def compare(a: dict[str, DataFrame], b: dict[str, DataFrame], ignore: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Two stores table by table: name, rows_a, rows_b, status (OK, COUNT, CHECKSUM, ONLY-A or ONLY-B). Columns in ``ignore`` don't count. Each table is read once and summed up where it lies; no rows of the two sides meet."""
+    ignore = ignore or {}
+
+    def sums(tables: dict[str, DataFrame], side: str) -> DataFrame:
+        one = [checksum(df, ignore.get(name, ())).select(F.lit(name).alias(f"name_{side}"), F.col("n_rows").alias(f"rows_{side}"), F.col("digest").alias(f"digest_{side}")) for name, df in tables.items()]
+        return reduce(DataFrame.unionByName, one)
+
+    x = sums(a, "a").join(sums(b, "b"), F.col("name_a") == F.col("name_b"), "full")
+    status = F.when(F.col("name_b").isNull(), "ONLY-A").when(F.col("name_a").isNull(), "ONLY-B")
+    status = status.when(F.col("rows_a") != F.col("rows_b"), "COUNT").when(F.col("digest_a") != F.col("digest_b"), "CHECKSUM").otherwise("OK")
+    count = lambda side: F.when(F.col(f"name_{side}").isNotNull() & F.col("name_a").isNotNull() & F.col("name_b").isNotNull(), F.col(f"rows_{side}")).alias(f"rows_{side}")
+    return x.select(F.coalesce("name_a", "name_b").alias("name"), count("a"), count("b"), status.alias("status"))
+
+
+def cell_diffs(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float = 0.0, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """keys, column, a, b: each cell that differs between rows of the same keys, both values as text (null: null). Nulls equal nulls, NaN equals NaN; numbers may differ by ``tolerance``, absolute or relative. Rows of one side only are for ``diff``."""
+    values = [c for c in a.columns if c not in {*keys, *ignore} and c in b.columns]
+    kinds = dict(a.dtypes)
+    x = a.select(*keys, F.struct(*values).alias("a"))
+    y = b.select(*[F.col(k).alias(f"{k}__b") for k in keys], F.struct(*values).alias("b"))
+    both = x.join(y, [F.col(k).eqNullSafe(F.col(f"{k}__b")) for k in keys])
+
+    def cell_of(c: str) -> Column:
+        p, q = F.col("a")[c], F.col("b")[c]
+        same = p.eqNullSafe(q)
+        if tolerance and kinds[c] in ("double", "float"):
+            same = same | F.coalesce(F.abs(p - q) <= tolerance * F.greatest(F.lit(1.0), F.abs(p), F.abs(q)), F.lit(False))
+        return F.when(~same, F.struct(F.lit(c).alias("column"), p.cast("string").alias("a"), q.cast("string").alias("b")))
+
+    cells = F.array_compact(F.array(*[cell_of(c) for c in values]))
+    return both.select(*keys, F.explode(cells).alias("d")).select(*keys, "d.*")
+
+
+def remove_missing(old: DataFrame, scopes: DataFrame, listed: DataFrame, scope: str, key: str) -> DataFrame:
+    """old without rows of the scopes (such as sprints) fetched anew whose key is no longer listed there; a scope that lists none loses all its rows, others keep theirs. scopes: scope; listed: scope, key."""
+    there = listed.select(F.col(scope).alias("__s"), F.col(key).alias("__k")).distinct()
+    fetched = scopes.select(F.col(scope).alias("__f")).distinct()
+    gone = old.join(fetched, F.col(scope) == F.col("__f"), "left_semi").select(F.col(scope).alias("__s"), F.col(key).alias("__k")).distinct()
+    gone = gone.join(there.withColumnsRenamed({"__s": "__s2", "__k": "__k2"}), F.col("__s").eqNullSafe(F.col("__s2")) & F.col("__k").eqNullSafe(F.col("__k2")), "left_anti")
+    return old.join(gone, F.col(scope).eqNullSafe(F.col("__s")) & F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], policy: str = "replace") -> DataFrame:
     """The merged table. policy: replace (the new row wins), ignore (the old row wins) or coalesce (new values where not null, column by column). Both sides hold each key once; null keys match null keys."""
     if policy in ("replace", "ignore"):
