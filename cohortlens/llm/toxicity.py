@@ -278,18 +278,22 @@ def fit(rows: list[tuple[str | None, int]], landmarks: int = LANDMARKS, seed: in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, docs_per_class: int = DOCS_PER_CLASS) -> list[tuple[str | None, int]]:
-    """At most about docs_per_class labelled texts of each class, chosen by a hash of doc_id."""
+    """At most about docs_per_class labelled texts of each class, chosen by a hash of doc_id. Rows that share a doc_id count
+    as texts of their own, equal ones once; where that makes more than docs_per_class, they are chosen by a hash of the row."""
     marked = reduced(labels, "doc_id", "toxic").filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").distinct()
     marked = marked.join(ids, "doc_id", "left_semi")
-    n = {int(r[0] > 0): 0 for r in ()} | {0: 0, 1: 0}
-    for y, c in marked.groupBy((F.col("toxic") > 0).cast("int")).count().collect():
-        n[y] = c
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
-    share = F.when(F.col("toxic") > 0, docs_per_class / max(1, n[1])).otherwise(docs_per_class / max(1, n[0]))
-    sample = marked.filter(draw < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", (F.col("toxic") > 0).cast("int")).collect()
-    return [tuple(r) for r in rows]
+    toxic = (F.col("toxic") > 0).cast("int")
+    by_class = lambda df: {0: 0, 1: 0} | dict(df.groupBy(toxic).count().collect())
+    draw = lambda *key: F.pmod(F.xxhash64(*key), F.lit(1_000_000)) / 1_000_000
+    share = lambda n: F.when(F.col("toxic") > 0, docs_per_class / max(1, n[1])).otherwise(docs_per_class / max(1, n[0]))
+    sample = marked.filter(draw(F.col("doc_id").cast("string"), F.lit("toxicity")) < share(by_class(marked)))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about two times docs_per_class ids
+    n = by_class(rows)
+    if max(n.values()) > 2 * docs_per_class:
+        rows = rows.dropDuplicates(["doc_id", "text"])
+        rows = rows.filter(draw(F.col("doc_id").cast("string"), "text", F.lit("toxicity rows")) < share(by_class(rows)))
+    return [tuple(r) for r in rows.select("text", toxic).collect()]
 
 
 def score(docs: DataFrame, model: Model, keep: int = 400_000) -> DataFrame:
