@@ -391,8 +391,9 @@ _METHODS = """m as (select l_orderkey as pr, l_linenumber as n, cast(l_quantity
 
 
 def _methods(t):
+    # SQL's cast rounds halves to the even number, as rint does.
     return t("lineitem").select(
-        c("l_orderkey").alias("pr"), c("l_linenumber").alias("n"), c("l_quantity").cast("int").alias("cyclomatic"), F.round(c("l_discount") * 200).cast("int").alias("cognitive"), F.round(c("l_extendedprice") / 1000).cast("int").alias("loc"), c("l_suppkey").alias("member"),
+        c("l_orderkey").alias("pr"), c("l_linenumber").alias("n"), F.rint("l_quantity").cast("int").alias("cyclomatic"), F.rint(c("l_discount") * 200).cast("int").alias("cognitive"), F.rint(c("l_extendedprice") / 1000).cast("int").alias("loc"), c("l_suppkey").alias("member"),
         F.year("l_shipdate").cast("bigint").alias("sprint"), F.when(c("l_returnflag") == "R", "a/FooTest.java").otherwise("a/Foo.java").alias("path"), (F.nullif("l_tax", F.lit(0.0)) * 1000).alias("maintainability"),
     )
 
