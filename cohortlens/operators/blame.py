@@ -26,12 +26,8 @@ def blame_runs(lines: DataFrame) -> DataFrame:
     return x.groupBy(*FILE, "commit", "email", "island").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")).drop("island")
 
 
-def overlaps(spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Each span (repo, path, statement, first, last) with each run (repo, path, first, last, commit, email) it shares lines with: repo, path, statement, commit, email, lines, at (the first shared line).
-
-    Both are cut at the bounds of buckets of lines and meet by equality of file and bucket; the pieces' shared lines are
-    added up again, so no pair is met twice and no pair outside a bucket is looked at.
-    """
+def _met(spans: DataFrame, runs: DataFrame, bucket: int) -> DataFrame:
+    """A row for each piece of a span that meets a piece of a run: repo, path, statement, b, commit, email, shared (lines), at (the first of them). Both are cut at the bounds of buckets of lines and meet by equality of file and bucket."""
 
     def cut(df: DataFrame, first: str, last: str) -> DataFrame:
         number = lambda c: F.floor(c / bucket)
@@ -41,26 +37,32 @@ def overlaps(spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFra
     s = cut(spans.select(*STATEMENT, "first", "last"), "s1", "s2").select(*STATEMENT, "b", "s1", "s2")
     r = cut(runs.select(*FILE, "first", "last", "commit", "email"), "r1", "r2").select(*FILE, "b", "r1", "r2", "commit", "email")
     met = s.join(r, [*FILE, "b"]).filter("s1 <= r2 and r1 <= s2")
-    shared = F.least("s2", "r2") - F.greatest("s1", "r1") + 1
-    return met.groupBy(*STATEMENT, "commit", "email").agg(F.sum(shared).cast("bigint").alias("lines"), F.min(F.greatest("s1", "r1")).cast("bigint").alias("at"))
+    return met.select(*STATEMENT, "b", "commit", "email", (F.least("s2", "r2") - F.greatest("s1", "r1") + 1).alias("shared"), F.greatest("s1", "r1").alias("at"))
+
+
+def overlaps(spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Each span (repo, path, statement, first, last) with each run (repo, path, first, last, commit, email) it shares lines with: repo, path, statement, commit, email, lines, at (the first shared line).
+
+    The pieces' shared lines are added up again, so no pair is met twice and no pair outside a bucket is looked at.
+    """
+    return _met(spans, runs, bucket).groupBy(*STATEMENT, "commit", "email").agg(F.sum("shared").cast("bigint").alias("lines"), F.min("at").cast("bigint").alias("at"))
 
 
 def statement_blame(spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """repo, path, statement, commit and email (each the one with most lines of the statement, ties to the lesser), unanimous (one author only), lines (blamed ones). Statements without a blamed line are left out.
+    """repo, path, statement, commit and email (each the one with most lines of the statement, ties to the lesser), unanimous (one author only), lines (blamed ones). Statements without a blamed line are left out. Lines without an author's address vote as such.
 
-    Votes by commit and by author are grouping sets of one aggregate. Lines without an author's address vote as such.
+    Votes are added up where a bucket's pieces have met; a bucket's votes for a statement are then one row, which is dealt
+    out by statement once. All that follows is counted there, so a statement's votes are one task's rows.
     """
-    votes = overlaps(spans, runs, bucket).withColumn("email", F.coalesce("email", F.lit("")))
-    by = votes.groupingSets([[*map(F.col, STATEMENT), F.col("commit")], [*map(F.col, STATEMENT), F.col("email")]], *STATEMENT, "commit", "email")
-    n = by.agg(F.sum("lines").alias("n"), F.grouping("email").alias("is_commit"))
-    most = lambda value, kind: F.min(F.when(F.col("is_commit") == kind, F.struct((-F.col("n")).alias("minus"), F.col(value).alias("v"))))["v"]
-    out = n.groupBy(*STATEMENT).agg(
-        most("commit", 1).alias("commit"),
-        F.nullif(most("email", 0), F.lit("")).alias("email"),
-        (F.sum(F.when(F.col("is_commit") == 0, 1)) == 1).alias("unanimous"),
-        F.sum(F.when(F.col("is_commit") == 0, F.col("n"))).alias("lines"),
-    )
-    return out
+    votes = _met(spans, runs, bucket).withColumn("email", F.coalesce("email", F.lit("")))
+    votes = votes.groupBy(*STATEMENT, "b", "commit", "email").agg(F.sum("shared").cast("bigint").alias("n"))
+    votes = votes.groupBy(*STATEMENT, "b").agg(F.collect_list(F.struct("commit", "email", "n")).alias("votes"))
+    votes = votes.select(*STATEMENT, "votes").repartition(*STATEMENT).select(*STATEMENT, F.explode("votes").alias("v")).select(*STATEMENT, "v.*")
+    total = lambda by: F.sum("n").over(Window.partitionBy(*STATEMENT, by))
+    most = lambda by: F.min(F.struct((-F.col(f"by_{by}")).alias("minus"), F.col(by).alias("v")))["v"]
+    return votes.withColumn("by_commit", total("commit")).withColumn("by_email", total("email")).groupBy(*STATEMENT).agg(
+        most("commit").alias("commit"), F.nullif(most("email"), F.lit("")).alias("email"), (F.min("email") == F.max("email")).alias("unanimous"), F.sum("n").alias("lines"),
+    )
 
 
 def identity_keys(identities: DataFrame) -> DataFrame:

@@ -33,6 +33,14 @@ def test_statement_blame_equals_votes_by_line(spark):
         assert {(r.path, r.statement): (r.commit, r.email, r.unanimous, r.lines) for r in got} == want and len(got) == len(want)
 
 
+def test_votes_are_dealt_out_once(spark):
+    """Spans and runs are shuffled to meet, their votes once more; more deals filled the disks."""
+    found = blame.statement_blame(spark.createDataFrame([("r", "f", 1, 1, 300), ("r", "f", 1, 400, 401)], SPAN), spark.createDataFrame([("r", "f", 1, 150, "b", "x"), ("r", "f", 151, 401, "a", None)], RUN))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Exchange") <= 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + found._jdf.queryExecution().executedPlan().toString().count("Exchange SinglePartition") <= 3
+    assert [tuple(r) for r in found.collect()] == [("r", "f", 1, "a", None, False, 302)]
+
+
 def test_runs_of_lines(spark):
     lines = [("r", "f", n, c, "a@x") for n, c in ((1, "p"), (2, "p"), (3, "q"), (4, "p"), (6, "p"), (6, "p"))] + [("r", "f", None, "p", "a@x")]
     got = blame.blame_runs(spark.createDataFrame(lines, "repo string, path string, line_no bigint, commit string, email string")).collect()
