@@ -67,3 +67,11 @@ def test_member_line_totals(spark):
         ("a", 2): (5.0, 0.0, 0.0, 0.0, 35.0, 35 / 3), ("b", 2): (5.0, 0.0, 0.0, 0.0, 15.0, 15.0),
     }
     assert lines.member_line_totals(links.filter(F.lit(False)), measured, roster).collect() == []
+
+
+def test_stores_are_dealt_out_by_many_keys(spark):
+    """By tax, a table's rows went to five tasks, however many they were."""
+    from cohortlens.plans.catalog import QUERIES
+
+    plan = QUERIES["compared_stores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
