@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.paths import layer_of, repo_type
 from cohortlens.functions.scalar import format_float
-from cohortlens.operators.stats import mad_outliers
+from cohortlens.operators.stats import joined_by_size, mad_outliers
+from cohortlens.sources.scratch import written
 
 #: Any value of a part of a group's key.
 ANY = "*"
@@ -76,11 +77,13 @@ def peer_groups(keys: DataFrame, least: int = 4, most: int = 3) -> DataFrame:
     wide = F.array(key(True, True, 0), key(True, False, 1), key(False, True, 2), key(False, False, 3))
     x = keys.filter(F.col("place") <= most).select("project", "task", "place", F.explode(wide).alias("k")).select("project", "task", "place", "k.*")
     group = ["project", "stack", "layer", "action"]
-    sizes = x.select(*group, "task").distinct().groupBy(*[F.col(g).alias(f"{g}_") for g in group]).agg(F.count("*").alias("size"))
-    x = x.join(sizes, [F.col(g) == F.col(f"{g}_") for g in group]).filter(F.col("size") >= least)
+    known = " and ".join(f"{g} is not null" for g in group)
+    large = lambda df: df.filter(known).groupBy(*group).agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    x = joined_by_size(x, large(x.select(*group, "task").distinct()), group, "size")
+    # Written, as their number by group is counted first and then joined.
     chosen = x.groupBy("project", "task", "place").agg(F.min_by(F.struct("stack", "layer", "action"), "level").alias("k")).select("project", "task", "k.*").distinct()
-    left = chosen.groupBy(*[F.col(g).alias(f"{g}_") for g in group]).agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    return chosen.join(left, [F.col(g) == F.col(f"{g}_") for g in group]).select(*group, "task")
+    chosen = written(chosen)
+    return joined_by_size(chosen, large(chosen), group, "size").select(*group, "task")
 
 
 def group_outliers(members: DataFrame, threshold: float = 2.5) -> DataFrame:
@@ -90,8 +93,9 @@ def group_outliers(members: DataFrame, threshold: float = 2.5) -> DataFrame:
     judged = mad_outliers(x.filter("density is not null").select(*group, "task", "density"), group, "density", threshold, 3)
     judged = judged.select(*[F.col(g).alias(f"{g}_") for g in group], F.col("task").alias("task_"), "median", "z", "outlier")
     x = x.join(judged, [F.col(g) == F.col(f"{g}_") for g in [*group, "task"]], "left").drop(*[f"{g}_" for g in [*group, "task"]])
-    best = members.groupBy(*[F.col(g).alias(f"{g}_") for g in group]).agg(F.max_by("task", F.struct(F.coalesce("statements", F.lit(-1.0)), F.coalesce("points", F.lit(-1.0)), -F.col("task"))).alias("representative"))
-    x = x.join(best, [F.col(g) == F.col(f"{g}_") for g in group]).drop(*[f"{g}_" for g in group])
+    known = " and ".join(f"{g} is not null" for g in group)
+    best = members.filter(known).groupBy(*group).agg(F.max_by("task", F.struct(F.coalesce("statements", F.lit(-1.0)), F.coalesce("points", F.lit(-1.0)), -F.col("task"))).alias("representative"), F.count("*").alias("__size"))
+    x = joined_by_size(x, best, group, "__size").drop("__size")
     outlier = F.coalesce("outlier", F.lit(False))
     reason = F.concat(F.lit("stmts/pt="), format_float(F.col("density"), 2), F.lit(" vs median="), format_float(F.col("median"), 2), F.format_string(" (z=%+.1f)", "z"))
     return x.withColumns({"outlier": outlier, "reason": F.when(outlier, reason)})

@@ -22,6 +22,21 @@ def _joined(df: DataFrame, other: DataFrame, by: list[str], how: str = "inner")
     return df.join(other, match or F.lit(True), how).drop(*keys.values())
 
 
+def joined_by_size(df: DataFrame, other: DataFrame, by: list[str], size: str) -> DataFrame:
+    """As _joined, where ``size`` of other tells how many rows of df a key has. Keys of a thousandth of all rows or more, so a thousand of them at most, are broadcast, and their rows are dealt out by a hash of the row: no group, however large, is one task's rows."""
+    other = written(other.withColumn("__none", F.lit(0).cast("bigint")))
+    total = other.agg(F.sum(size)).first()[0] or 0
+    frequent = F.col(size) * 1000 >= F.lit(total)
+    value = F.struct(*[c for c in other.columns if c not in (*by, "__none")])
+    hot = other.filter(frequent).select(*[F.col(c).alias(f"{c}__h") for c in by], value.alias("__hot"))
+    cold = other.filter(~frequent).select(*[F.col(c).alias(f"{c}__k") for c in by], "__none", value.alias("__cold"))
+    x = df.join(F.broadcast(hot), [F.col(c).eqNullSafe(F.col(f"{c}__h")) for c in by], "left")
+    row = [c for c, kind in df.dtypes if "map<" not in kind]
+    x = x.withColumn("__deal", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*row), F.lit(997)) + 1).otherwise(F.lit(0)).cast("bigint"))
+    x = x.join(cold, [*[F.col(c).eqNullSafe(F.col(f"{c}__k")) for c in by], F.col("__deal") == F.col("__none")], "left").withColumn("__found", F.coalesce("__hot", "__cold"))
+    return x.filter("__found is not null").select(*df.columns, "__found.*")
+
+
 def positions(df: DataFrame, by: list[str], value: str, weight: str | None = None) -> DataFrame:
     """by, x, c, before, n: each distinct value that is not null with its rows, the rows of its group below it, and those of the whole group. A row stands for ``weight`` rows, if given.
 
@@ -100,9 +115,9 @@ def _medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
 def mad_outliers(df: DataFrame, by: list[str], value: str, threshold: float = 3.0, least: int = 3) -> DataFrame:
     """All rows of groups of ``least`` rows with median, scale and z; outlier where |z| > threshold. The scale is the median absolute deviation, the mean one if that is 0; z is null if both are."""
     med = _medians(df, by, value, "median").filter(F.col("n") >= least).drop("mean")
-    x = _joined(df, med, by).withColumn("dev", F.abs(F.col(value) - F.col("median")))
-    scale = _medians(x, by, "dev", "mad").select(*by, F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif("mean", F.lit(0.0))).alias("scale"))
-    x = _joined(x, scale, by).drop("dev").withColumn("z", (F.col(value) - F.col("median")) / F.col("scale"))
+    x = joined_by_size(df, med, by, "n").withColumn("dev", F.abs(F.col(value) - F.col("median")))
+    scale = _medians(x, by, "dev", "mad").select(*by, F.coalesce(F.nullif("mad", F.lit(0.0)), F.nullif("mean", F.lit(0.0))).alias("scale"), F.col("n").alias("__size"))
+    x = joined_by_size(x, scale, by, "__size").drop("dev", "__size").withColumn("z", (F.col(value) - F.col("median")) / F.col("scale"))
     return x.withColumn("outlier", F.coalesce(F.abs("z") > threshold, F.lit(False)))
 
 

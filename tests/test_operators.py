@@ -169,3 +169,18 @@ def test_stream_merge_is_incremental(spark, tmp_path):
         q = incremental.merge_batches(stream, str(tmp_path / "ck"), lambda b, i: seen.append(b.count()))
         q.awaitTermination()
     assert sum(seen) == 5
+
+
+def test_rows_of_a_large_group_are_dealt_out(spark):
+    """A group of most rows was one task's rows of a join."""
+    rows = [("large", i) for i in range(4000)] + [(None, i) for i in range(50)] + [(f"g{i}", i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    sizes = df.groupBy("g").agg(F.count("*").alias("size")).filter("g is null or g != 'g7'")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = stats.joined_by_size(df, sizes, ["g"], "size").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = [(g, x, {"large": 4000, None: 50}.get(g, 1)) for g, x in rows if g != "g7"]
+    assert sorted(map(repr, ((r.g, r.x, r.size) for r in got))) == sorted(map(repr, want))
