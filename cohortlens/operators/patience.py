@@ -8,13 +8,15 @@
    rows of bits would take too much memory.
 
 Lines are compared by a 64-bit hash and their length. Where all lines of a file are unique, or only lines between anchors
-repeat, the result is a longest common subsequence; else it can match fewer lines, as patience does. A null text is a file that isn't there;
+repeat, the result is a longest common subsequence; else it can match fewer lines, as patience does. A round carries on
+only lines that can still be matched. A null text is a file that isn't there;
 an empty one has one empty line. A path given more than once counts once (its greatest text).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,50 +105,71 @@ def matched(a: list, b: list, limit: int = ROW_BYTES) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """path, no (from 1), hash, length: a row for each line of ``path, text``."""
-    one = files.filter("text is not null").groupBy("path").agg(F.max("text").alias("text"))
-    return one.select("path", F.posexplode(F.split("text", "\n"))).select("path", (F.col("pos") + 1).alias("no"), F.xxhash64("col").alias("hash"), F.length("col").alias("length"))
+LINE = ("hash", "length")
+#: A line of the template (side 0) or of the student's file (side 1), not matched yet; or an anchor (i, no) of side 1.
+STATE = ("path", "side", "no", "segment", *LINE, "i")
 
 
-LINE = ("hash", "length")
+def _sides(files: DataFrame) -> DataFrame:
+    """path, side, no, hash, length, whole (hash of the file's text) of both texts (path, old, new), written: they are made and read once."""
+    one = files.groupBy("path").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    texts = F.array(*[F.struct(F.lit(side).alias("side"), F.col(name).alias("text")) for side, name in enumerate(("old", "new"))])
+    each = one.select("path", F.explode(texts).alias("t")).filter("t.text is not null")
+    each = each.select("path", "t.side", F.xxhash64("t.text").alias("whole"), F.posexplode(F.split("t.text", "\n")))
+    return written(each.select("path", "side", (F.col("pos") + 1).alias("no"), F.xxhash64("col").alias("hash"), F.length("col").alias("length"), "whole"))
 
 
-def _new_anchors(old: DataFrame, new: DataFrame) -> DataFrame:
-    once = lambda df, name: df.groupBy("path", "segment", *LINE).agg(F.count("*").alias("n"), F.min("no").alias(name)).filter("n = 1").drop("n")
-    met = once(old, "i").join(once(new, "j"), ["path", "segment", *LINE]).select("path", "segment", "i", "j")
+def _both(template: DataFrame, student: DataFrame) -> DataFrame:
+    old, new = (x.filter("text is not null").groupBy(F.col("path").alias(k)).agg(F.max("text").alias(name)) for x, k, name in ((template, "p0", "old"), (student, "p1", "new")))
+    return old.join(new, F.col("p0") == F.col("p1"), "full").select(F.coalesce("p0", "p1").alias("path"), "old", "new")
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        return pdf.iloc[longest_increasing(pdf["j"].tolist())][["path", "i", "j"]]
 
-    # Segments follow each other on both sides, so a file's longest run is made of its segments' ones.
-    return met.groupBy("path").applyInPandas(keep, "path string, i int, j int")
+def _files(sides: DataFrame) -> DataFrame:
+    """path, old, new (numbers of lines, null where the file isn't there), same (whether both texts are equal)."""
+    of = lambda side, v: F.when(F.col("side") == side, v)
+    x = sides.groupBy("path").agg(F.max(of(0, F.col("no"))).alias("old"), F.max(of(1, F.col("no"))).alias("new"), F.max(of(0, F.col("whole"))).alias("w0"), F.max(of(1, F.col("whole"))).alias("w1"))
+    return x.select("path", "old", "new", F.coalesce((F.col("old") == F.col("new")) & (F.col("w0") == F.col("w1")), F.lit(False)).alias("same"))
 
 
-def _cut(side: DataFrame, anchors: DataFrame, at: str) -> DataFrame:
-    """Lines that are no anchors, with the number of anchors before them in their file as segment."""
-    found = anchors.select(F.col("path").alias("p2"), F.col(at).alias("at"))
-    x = side.join(found, (F.col("path") == F.col("p2")) & (F.col("no") == F.col("at")), "left")
-    before = F.sum(F.when(F.col("at").isNotNull(), 1).otherwise(0)).over(Window.partitionBy("path").orderBy("no"))
-    return x.withColumn("segment", before.cast("int")).filter("at is null").select("path", "segment", "no", *LINE)
+def _round(state: DataFrame) -> DataFrame:
+    """New anchors, and the lines that can still be matched: those that repeat, on both sides of the segments cut by the anchors."""
+    dealt = state.filter("i is null").drop("i").repartition("path")
+    of = lambda side, v: F.when(F.col("side") == side, v)
+    once = dealt.groupBy("path", "segment", *LINE).agg(F.count(of(0, F.col("no"))).alias("a"), F.count(of(1, F.col("no"))).alias("b"), F.min(of(0, F.col("no"))).alias("i"), F.min(of(1, F.col("no"))).alias("j"))
+    met = once.filter("a = 1 and b = 1").select("path", "i", "j")
 
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        return pdf.iloc[longest_increasing(pdf["j"].tolist())][["path", "i", "j"]]
 
-def aligned(template: DataFrame, student: DataFrame, rounds: int = 30) -> DataFrame:
-    """path, i, j: lines of the template's file that are matched with lines of the student's. Both: path, text."""
-    old_lines, new_lines = written(lines(template)), written(lines(student))
-    both = old_lines.select("path").distinct().join(new_lines.select("path").distinct(), "path")
-    old_all, new_all = (x.join(both, "path", "left_semi") for x in (old_lines, new_lines))
-    old, new = (x.withColumn("segment", F.lit(0)) for x in (old_all, new_all))
-    anchors = None
+    # Segments follow each other on both sides, so a file's longest run is made of its segments' ones.
+    anchors = met.groupBy("path").applyInPandas(keep, "path string, i int, j int")
+    ends = anchors.select("path", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("no")), F.struct(F.lit(1).alias("side"), F.col("j").alias("no")))).alias("e"), "i")
+    # A met line that is no anchor crosses one (else the run could be longer), so its two ends part into other segments.
+    same = Window.partitionBy("path", "segment", *LINE)
+    repeats = dealt.withColumns({"a": F.count(of(0, F.col("no"))).over(same), "b": F.count(of(1, F.col("no"))).over(same)}).filter("a > 0 and b > 0 and a + b > 2").drop("a", "b")
+    x = repeats.unionByName(ends.select("path", "e.side", "e.no", "i"), allowMissingColumns=True).repartition("path")
+    # A segment bears the template's line number of the anchor before it.
+    x = x.withColumn("before", F.max("i").over(Window.partitionBy("path", "side").orderBy("no")))
+    x = x.filter("i is null or side = 1").withColumn("segment", F.when(F.col("i").isNull(), F.greatest("segment", "before")))
+    x = x.withColumns({"least": F.min("side").over(same), "most": F.max("side").over(same)})
+    return x.filter("i is not null or least != most").select(*STATE)
+
+
+def _aligned(sides: DataFrame, rounds: int = 30) -> DataFrame:
+    """path, i, j: matched lines. sides: path, side, no, hash, length, of files that both have."""
+    state = sides.withColumns({"segment": F.lit(0), "i": F.lit(None).cast("int")}).select(*STATE)
+    found = []
     for _ in range(rounds):
-        more = written(_new_anchors(old, new))
+        state = written(_round(state))
+        more = state.filter("i is not null")
         if not more.limit(1).count():
             break
-        anchors = more if anchors is None else written(anchors.unionByName(more))
-        old, new = _cut(old_all, anchors, "i"), _cut(new_all, anchors, "j")
-        shared = written(old.select("path", "segment").distinct().join(new.select("path", "segment").distinct(), ["path", "segment"]))
-        old, new = (written(x.join(shared, ["path", "segment"], "left_semi")) for x in (old, new))
+        found.append(more.select("path", "i", F.col("no").alias("j")))
+    left = state.filter("i is null")
+    # What repeats is small but takes time to compare, so the number of tasks doesn't follow its bytes. Columns of their own for each side; a cogroup mixes up those that both have from one table.
+    tasks = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    old, new = (left.filter(F.col("side") == side).select(*[F.col(c).alias(c) for c in ("path", "segment", "no", *LINE)]).repartition(tasks, "path") for side in (0, 1))
 
     def rest(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         sides = []
@@ -162,21 +185,30 @@ def aligned(template: DataFrame, student: DataFrame, rounds: int = 30) -> DataFr
             out += [(key[0], one[i][0], two[j][0]) for i, j in matched([v for _, v in one], [v for _, v in two])]
         return pd.DataFrame(out, columns=["path", "i", "j"])
 
-    left = old.groupBy("path").cogroup(new.groupBy("path")).applyInPandas(rest, "path string, i int, j int")
-    return left if anchors is None else anchors.unionByName(left)
+    rest_of = old.groupBy("path").cogroup(new.groupBy("path")).applyInPandas(rest, "path string, i int, j int")
+    return reduce(DataFrame.unionByName, found, rest_of)
+
+
+def aligned(template: DataFrame, student: DataFrame, rounds: int = 30) -> DataFrame:
+    """path, i, j: lines of the template's file that are matched with lines of the student's. Both: path, text."""
+    sides = _sides(_both(template, student))
+    return _aligned(sides.join(_files(sides).filter("old is not null and new is not null").select("path"), "path", "left_semi"), rounds)
 
 
 def template_diff(template: DataFrame, student: DataFrame) -> DataFrame:
     """path, status (added, modified, template_only; files without an added line are left out), added_lines (how many of the student's lines the template lacks), added (their numbers), total_lines. Both: path, text."""
-    old, new = (x.filter("text is not null").groupBy("path").agg(F.max("text").alias("text")) for x in (template, student))
-    pairs = old.select(F.col("path").alias("p0"), F.col("text").alias("t0")).join(new, F.col("p0") == F.col("path"))
-    changed = written(pairs.filter("t0 != text").select("path"))
-    pick = lambda x: x.join(changed, "path", "left_semi")
-    found = aligned(pick(old), pick(new)).select(F.col("path").alias("p2"), "j")
-    alone = new.join(old.select("path"), "path", "left_anti").select("path")
-    of = changed.withColumn("status", F.lit("modified")).unionByName(alone.withColumn("status", F.lit("added")))
-    n = lines(new).select("path", "no").join(of, "path").join(found, (F.col("path") == F.col("p2")) & (F.col("no") == F.col("j")), "left")
-    out = n.groupBy("path", "status").agg(F.array_sort(F.collect_list(F.when(F.col("j").isNull(), F.col("no")))).alias("added"), F.count("*").alias("total_lines"))
+    return text_changes(_both(template, student))
+
+
+def text_changes(texts: DataFrame) -> DataFrame:
+    """The same of files with both texts in a row: path, old, new."""
+    sides = _sides(texts)
+    files = written(_files(sides))
+    changed = files.filter("old is not null and new is not null and not same").select("path")
+    found = _aligned(sides.join(changed, "path", "left_semi")).groupBy(F.col("path").alias("p2")).agg(F.collect_list("j").alias("js"))
+    of = files.filter("new is not null and not same").join(found, F.col("path") == F.col("p2"), "left")
+    none = F.expr("cast(array() as array<int>)")
+    out = of.select("path", F.when(F.col("old").isNull(), "added").otherwise("modified").alias("status"), F.array_except(F.sequence(F.lit(1), "new"), F.coalesce("js", none)).alias("added"), F.col("new").cast("bigint").alias("total_lines"))
     out = out.select("path", "status", F.size("added").cast("bigint").alias("added_lines"), "added", "total_lines").filter("added_lines > 0")
-    gone = old.join(new.select("path"), "path", "left_anti").select("path", F.lit("template_only").alias("status"), F.lit(0).cast("bigint").alias("added_lines"), F.expr("cast(array() as array<int>)").alias("added"), F.lit(0).cast("bigint").alias("total_lines"))
+    gone = files.filter("new is null").select("path", F.lit("template_only").alias("status"), F.lit(0).cast("bigint").alias("added_lines"), none.alias("added"), F.lit(0).cast("bigint").alias("total_lines"))
     return out.unionByName(gone)

@@ -4,6 +4,8 @@ import random
 import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cohortlens.operators import blame, patience
 
 RUN = "repo string, path string, first bigint, last bigint, commit string, email string"
@@ -132,3 +134,22 @@ def test_a_long_pair_ends_in_seconds(spark):
     blank = ["", "}"] * 20_000
     began = time.time()
     assert len(patience.matched(blank, blank[1:])) == 39_999 and time.time() - began < 60
+
+
+def test_template_diff_makes_texts_once_and_carries_on_only_what_repeats(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            made.add(len(x))
+            yield x
+
+    old = "\n".join(f"a{i}\n}}" for i in range(50))
+    new = "\n".join([*(f"a{i}\n}}" for i in range(1, 50)), "a0", "own"])
+    frame = lambda text: spark.createDataFrame([("f", text), ("g", "same")], "path string, text string")
+    got = patience.template_diff(frame(old), frame(new).mapInPandas(count, "path string, text string")).collect()
+    assert [(r.path, r.status, r.added_lines, r.added, r.total_lines) for r in got] == [("f", "modified", 2, [99, 100], 100)]
+    assert made.value == 2
+    both = spark.createDataFrame([("f", old, new)], "path string, old string, new string")
+    left = patience._round(patience._sides(both).withColumns({"segment": F.lit(0), "i": F.lit(None).cast("int")})).collect()
+    assert len([r for r in left if r.i is not None]) == 49 and {r.length for r in left if r.i is None} == {1}
