@@ -187,3 +187,20 @@ def test_scaled_groups(spark):
     assert got == {("a", 1.0): (0.0, 0.5), ("a", 2.0): (1 / 3, 0.5), ("a", 4.0): (1.0, 0.5), ("b", 7.0): (0.5, 0.5), (None, 0.0): (0.0, 0.0), (None, 10.0): (1.0, 1.0)}
     z = {(r.g, r.x): r.x_z for r in stats.zscores(df, ["g"], ["x"]).collect()}
     assert z["b", 7.0] is None and (z[None, 0.0], z[None, 10.0]) == (-1.0, 1.0) and abs(sum(v for (g, _), v in z.items() if g == "a")) < 1e-12
+
+
+def test_findings_are_looked_up_without_sorting_the_lines(spark):
+    f = spark.createDataFrame([("a", "x", 1, 2)], "file string, finding string, start int, end int")
+    b = spark.createDataFrame([("a", 1, "u"), ("a", 2, "v"), ("a", 3, "v")], "file string, line int, author string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = detectors.attribute_findings(f, b)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        found = detectors.hotspots(got.withColumn("rule", F.col("finding")), ["rule", "file"], F.lit("CRITICAL"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # All groups are made after the shares have been dealt out by author.
+        assert "SortAggregate" not in plan[plan.index("REPARTITION_BY_COL") :]
+        assert {r.author: r.weighted for r in found.collect()} == {"u": 0.5, "v": 0.5}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
