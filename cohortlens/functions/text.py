@@ -130,6 +130,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.!?]+"), strip), lambda s: s != "")
 
 
+def sentence_count(text: Column) -> Column:
+    """How many ``sentences`` there are, without making them: each starts at its first mark that is no white space."""
+    return F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*"))
+
+
 def richness(text: Column) -> Column:
     """Distinct words by words; 0 without words."""
     t = tokens(text)
@@ -165,7 +170,7 @@ def formality(text: Column) -> Column:
     """``formality_of`` one text."""
     text = F.coalesce(text, F.lit(""))
     words = tokens(text)
-    return formality_of(F.size(words), F.size(sentences(text)), phrase_bits(text), F.regexp_count(text, F.lit(PASSIVE)), hedges(words))
+    return formality_of(F.size(words), sentence_count(text), phrase_bits(text), F.regexp_count(text, F.lit(PASSIVE)), hedges(words))
 
 
 def is_generic_title(title: Column) -> Column:

@@ -33,10 +33,11 @@ d as (select doc_id, n, case when formal + informal > 0 then formal / (formal +
   least(1, passive / greatest(n / 20, 1)) as p, least(1, hedge / greatest(n / 30, 1)) as h from b)
 select doc_id, round(case when n = 0 then 0.5 when n < 20 then k * 0.75 + l * 0.1 + p * 0.1 + h * 0.05 else k * 0.45 + l * 0.2 + p * 0.2 + h * 0.15 end, 6) as formality from d""")
 def formality_scores(t):
-    # Tokens are named once; as an expression they would be made for their number and again for hedging words.
+    # Tokens and counts are named once; as expressions they would be made wherever the formula names them.
     x = t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("w", T.tokens(c("text")))
-    parts = F.size("w"), F.size(T.sentences(c("text"))), T.phrase_bits(c("text")), F.regexp_count("text", F.lit(T.PASSIVE)), T.hedges(c("w"))
-    return x.select("doc_id", r(T.formality_of(*parts), 6).alias("formality"))
+    parts = {"n": F.size("w"), "s": T.sentence_count(c("text")), "bits": T.phrase_bits(c("text")), "passives": F.regexp_count("text", F.lit(T.PASSIVE)), "hedged": T.hedges(c("w"))}
+    x = x.select("doc_id", *[v.alias(k) for k, v in parts.items()])
+    return x.select("doc_id", r(T.formality_of(*[c(k) for k in parts]), 6).alias("formality"))
 
 
 def _matches(patterns, column):

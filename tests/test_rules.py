@@ -95,3 +95,16 @@ def test_replies(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(replies)], "i int, r string").select("i", judge.json_object("r").alias("o"), judge.judge_flags(F.col("r")).alias("f")).orderBy("i").collect()
     assert [r.o for r in df][:4] == ['{"flags": []}', '{"a": {"b": 1}}', None, None]
     assert [None if r.f is None else [tuple(x) for x in r.f] for r in df] == [[], None, None, None, [("dead_code", "WARNING", "s", None, "x"), ("other", "INFO", "t", None, None)], None, None]
+
+
+def test_sentences_are_counted_as_made_and_formality_looks_once(spark):
+    from pyspark.sql import functions as F
+
+    from cohortlens.functions import text as T
+    from cohortlens.plans.catalog import QUERIES
+
+    odd = ["", " ", "...", "a", "a. b", " \n. b !\t?c . .", "x\n\ny...z ", ". ."]
+    x = spark.createDataFrame([(t,) for t in odd], "text string")
+    assert all(r.a == r.b for r in x.select(T.sentence_count(F.col("text")).alias("a"), F.size(T.sentences(F.col("text"))).alias("b")).collect())
+    plan = QUERIES["formality_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("furthermore") == 1
