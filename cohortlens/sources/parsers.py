@@ -19,7 +19,9 @@ def sarif(df: DataFrame, text: str) -> DataFrame:
     """A row for each result of SARIF 2.1.0 texts: all columns of df but the text, then tool, rule, severity, message, path, start_line, end_line. Malformed text gives none."""
     rest = [c for c in df.columns if c != text]
     run = df.select(*rest, F.explode(F.from_json(F.col(text), SARIF_SCHEMA)["runs"]).alias("run"))
-    r = run.select(*rest, F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
+    # A run's parts are named before its results are told apart, so that no row of them holds the run.
+    run = run.select(*rest, F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.col("run.results").alias("results"))
+    r = run.select(*rest, "tool", "rules", F.explode("results").alias("r"))
     rule = F.coalesce(F.col("r.ruleId"), F.get(F.col("rules.id"), F.col("r.ruleIndex")))
     default = F.get(F.filter("rules", lambda x: x["id"] == rule), F.lit(0))["defaultConfiguration"]["level"]
     level = F.coalesce(F.col("r.level"), F.when(F.size("rules") > 0, default), F.lit("warning"))

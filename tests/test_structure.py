@@ -78,3 +78,13 @@ def test_class_averages(spark):
         ("r", "avg_cc_per_controller"): 2.0, ("r", "avg_cc_per_fragment"): 0.0, ("r", "avg_statements_per_endpoint"): 5.0,
         ("q", "avg_cc_per_controller"): 0.0, ("q", "avg_cc_per_fragment"): 0.0, ("q", "avg_statements_per_endpoint"): 0.0,
     }
+
+
+def test_no_result_of_a_report_holds_the_whole_run(spark):
+    from cohortlens.sources import parsers
+
+    text = '{"runs": [{"tool": {"driver": {"name": "t", "rules": [{"id": "a", "defaultConfiguration": {"level": "error"}}]}}, "results": [{"ruleId": "a"}, {"ruleIndex": 0, "level": "note"}]}]}'
+    found = parsers.sarif(spark.createDataFrame([("b", text), ("bad", "{")], "batch string, text string"), "text")
+    assert sorted((r.batch, r.tool, r.rule, r.severity) for r in found.collect()) == [("b", "t", "a", "CRITICAL"), ("b", "t", "a", "INFO")]
+    last = found._jdf.queryExecution().optimizedPlan().toString()
+    assert last.count("Generate explode") == 2 and "run#" not in last[: last.index("Generate explode")]
