@@ -88,3 +88,14 @@ def test_no_result_of_a_report_holds_the_whole_run(spark):
     assert sorted((r.batch, r.tool, r.rule, r.severity) for r in found.collect()) == [("b", "t", "a", "CRITICAL"), ("b", "t", "a", "INFO")]
     last = found._jdf.queryExecution().optimizedPlan().toString()
     assert last.count("Generate explode") == 2 and "run#" not in last[: last.index("Generate explode")]
+
+
+def test_diagnosed_rows_meet_by_a_hash_of_wide_keys(spark):
+    from cohortlens.operators import axes
+
+    key = "named_struct('a', id, 'b', cast(id as string)) as pr"
+    prs = spark.range(3).selectExpr(key, "'r' as repo", "id as number", "5 as additions")
+    lines = lambda most: spark.range(most).selectExpr(key, "id as lat", "id as lar", "id as ls")
+    got = axes.line_diagnostics(prs, lines(2), lines(3))
+    assert {r.pr.a: r.problem for r in got.collect()} == {0: "no_lines", 1: None, 2: "not_stored"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 4
