@@ -303,3 +303,17 @@ def test_files(spark, tmp_path):
     sinks.save_tables({"x": t}, str(tmp_path / "out"), "project")
     sinks.save_tables({"x": t.filter("v = 2").withColumn("v", F.lit(9))}, str(tmp_path / "out"), "project")
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out/x")).select("project", "v").collect()) == [("p", 1), ("q", 9)]
+
+
+def test_files_are_searched_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(path):
+        made.add(1)
+        return "import x.y.Z;\n@Mock a.getInstance();\nimport a.B;\nimport x.y.Z;"
+
+    files = spark.range(3).select(F.format_string("p%d", "id").alias("path")).withColumn("text", F.udf(text)("path"))
+    allowed = spark.createDataFrame([("import", "a.*"), ("annotation", "Entity")], "category string, value string")
+    got = sorted(map(tuple, curriculum.beyond_curriculum(files, allowed).filter("path = 'p1'").collect()))
+    assert got == [("p1", "design_patterns", "MEDIUM", "getInstance", 2), ("p1", "test_framework", "HIGH", "Mock", 2), ("p1", "unlisted_annotation", "LOW", "Mock", 2), ("p1", "unlisted_import", "LOW", "x.y.Z", 1)]
+    assert made.value == 3
