@@ -3,7 +3,8 @@
 Evidence (identity, candidate, weight, at) is added to a state by identity. Weights are whole billionths, so sums don't
 depend on the order, and first and last times are extremes: any batching, late rows included, ends in what one pass over
 all evidence gives. The state holds a number for each candidate seen and the best one so far; as evidence only grows, a
-batch looks at the candidates it names and at that one, not at all.
+batch looks at the candidates it names, at that one and at a few, not at all. Identities are rows to the processor, not
+frames, and one with few candidates costs one read and one write of the state a batch.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 UNIT = 1_000_000_000
+#: Candidates of an identity held beside its best one; further ones are entries of a map, read and written one by one.
+FEW = 16
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = "identity string, candidate string, weight double, confidence double, accepted boolean, first_at timestamp_ntz, last_at timestamp_ntz"
 
@@ -42,24 +45,40 @@ class Resolver(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.units = handle.getMapState("units", "candidate string", "units bigint")
-        self.best = handle.getValueState("best", "candidate string, units bigint, total bigint, first_at timestamp_ntz, last_at timestamp_ntz")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        x = pd.concat(rows)
-        added = x.groupby("candidate")["units"].sum()
-        first, last, total = x["first_at"].min(), x["last_at"].max(), int(added.sum())
+        self.best = handle.getValueState("best", "candidate string, units bigint, total bigint, first_at timestamp_ntz, last_at timestamp_ntz, few array<string>, few_units array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        added: dict[str, int] = {}
+        firsts, lasts = [], []
+        for x in rows:
+            added[x.candidate] = added.get(x.candidate, 0) + x.units
+            if x.first_at is not None:
+                firsts.append(x.first_at)
+                lasts.append(x.last_at)
+        total = sum(added.values())
         top: tuple[int, str] | None = None
-        if self.best.exists():
-            candidate, units, before, first0, last0 = self.best.get()
-            top, total = (-units, candidate), total + before
-            first, last = min(first, pd.Timestamp(first0)), max(last, pd.Timestamp(last0))
+        few: dict[str, int] = {}
+        before = self.best.get()
+        if before is not None:
+            candidate, units, sum_before, first0, last0, names, counts = before
+            top, total = (-units, candidate), total + sum_before
+            few = dict(zip(names, counts))
+            if first0 is not None:
+                firsts.append(first0)
+                lasts.append(last0)
         for candidate, more in added.items():
-            now = int(more) + (self.units.getValue((candidate,))[0] if self.units.containsKey((candidate,)) else 0)
-            self.units.updateValue((candidate,), (now,))
+            # Room is never given back, so a candidate that finds room can't be in the map.
+            if candidate in few or len(few) < FEW:
+                now = few[candidate] = few.get(candidate, 0) + more
+            else:
+                known = self.units.getValue((candidate,))
+                now = more + (known[0] if known else 0)
+                self.units.updateValue((candidate,), (now,))
             top = min(top, (-now, candidate)) if top and top[1] != candidate else (-now, candidate)
-        self.best.update((top[1], -top[0], total, first.to_pydatetime(), last.to_pydatetime()))
+        first, last = min(firsts, default=None), max(lasts, default=None)
+        self.best.update((top[1], -top[0], total, first, last, list(few), list(few.values())))
         share = -top[0] / total
-        yield pd.DataFrame({"identity": [key[0]], "candidate": [top[1]], "weight": [-top[0] / UNIT], "confidence": [share], "accepted": [share >= self.least], "first_at": [first], "last_at": [last]})
+        yield Row(identity=key[0], candidate=top[1], weight=-top[0] / UNIT, confidence=share, accepted=share >= self.least, first_at=first, last_at=last)
 
     def close(self) -> None:
         pass
@@ -68,7 +87,7 @@ class Resolver(StatefulProcessor):
 def resolved_stream(stream: DataFrame, least: float = 0.7) -> DataFrame:
     """Each identity that a batch names, as it stands after the batch (update mode). The session's state store must be RocksDB (``PROVIDER``)."""
     keyed = partial_sums(evidence(stream)).groupBy("identity")
-    return keyed.transformWithStateInPandas(Resolver(least), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    return keyed.transformWithState(Resolver(least), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
 
 
 def resolve(df: DataFrame, least: float = 0.7) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cohortlens.sources import paged
@@ -78,3 +79,52 @@ def test_any_batching_gives_the_same_identities(spark, tmp_path):
         got = identities.latest(spark.read.parquet(str(tmp_path / f"out{k}")))
         assert sorted(map(str, got.select("identity", "candidate", "weight", "confidence", "accepted", "first_at", "last_at").collect())) == want
         assert got.filter(F.col("identity") == "tie").first().candidate == "s1"
+
+
+class _Counted:
+    """A state handle in memory that counts reads and writes."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def getMapState(self, name, *schema):
+        return self
+
+    getValueState = getMapState
+
+    def _done(self, x=None):
+        self.calls += 1
+        return x
+
+    def exists(self):
+        return self._done(self.value is not None)
+
+    def get(self):
+        return self._done(self.value)
+
+    def update(self, value):
+        self.value = self._done(value)
+
+    def containsKey(self, key):
+        return self._done(key in self.map)
+
+    def getValue(self, key):
+        return self._done(self.map.get(key))
+
+    def updateValue(self, key, value):
+        self.map[key] = self._done(value)
+
+
+def test_an_identity_costs_one_read_and_one_write_a_batch():
+    # 20 candidates, more than lie beside the best one; the last gains most, times may be missing.
+    one, handle, at = identities.Resolver(0.2), _Counted(), datetime(2026, 1, 1)
+    one.init(handle)
+    evidence = Row("identity", "candidate", "units", "first_at", "last_at")
+    few = [evidence("u", f"c{i:02d}", identities.UNIT, None, None) for i in range(3)]
+    (x,) = one.handleInputRows(("u",), iter(few), None)
+    assert handle.calls == 2 and (x.candidate, x.weight, x.first_at, x.accepted) == ("c00", 1.0, None, True)
+    many = [evidence("u", f"c{i:02d}", identities.UNIT, at, at + timedelta(days=i)) for i in range(20)]
+    list(one.handleInputRows(("u",), iter(many), None))
+    (x,) = one.handleInputRows(("u",), iter([evidence("u", "c19", 2 * identities.UNIT, at, at)]), None)
+    assert (x.candidate, x.weight, x.first_at, x.last_at) == ("c19", 3.0, at, at + timedelta(days=19)) and x.confidence == 3 / 25
+    assert len(handle.map) == 20 - identities.FEW
