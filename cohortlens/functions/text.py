@@ -106,7 +106,7 @@ LAYER_WORDS = {
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def collapse(text: Column) -> Column:
@@ -332,8 +332,7 @@ def code_lines(lines: Column, path: Column) -> Column:
     kind = F.lower(F.substring_index(path, ".", -1))
     java, xml = kind == "java", kind == "xml"
     none = F.expr("cast(array() as array<struct<i:int,line:string>>)")
-    def step(acc: Column, raw: Column) -> Column:
-        line = strip(raw)
+    def step(acc: Column, line: Column) -> Column:
         closes = (java & line.endswith("*/")) | (xml & line.endswith("-->"))
         opens = (java & line.startswith("/*")) | (xml & line.startswith("<!--"))
         comment = acc["open"] | opens | (java & (line.startswith("//") | line.startswith("*")))
@@ -348,7 +347,8 @@ def code_lines(lines: Column, path: Column) -> Column:
         return F.transform(done, lambda v: F.struct(v["i"].alias("i"), v["open"].alias("open"), F.concat(acc["outs"], F.array(v["out"])).alias("outs")))[0]
 
     known = F.coalesce(lines, F.expr("cast(array() as array<string>)"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(known) / CHUNK).cast("int")), lambda k: F.slice(known, k * CHUNK + 1, F.lit(CHUNK)))
+    # A chunk's lines are trimmed before they are folded: in the fold a line would be trimmed wherever a condition names it.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(known) / CHUNK).cast("int")), lambda k: F.transform(F.slice(known, k * CHUNK + 1, F.lit(CHUNK)), strip))
     first = F.struct(F.lit(0).alias("i"), F.lit(False).alias("open"), F.expr("cast(array() as array<array<struct<i:int,line:string>>>)").alias("outs"))
     return F.aggregate(chunks, first, take, lambda acc: F.flatten(acc["outs"]))
 

@@ -305,6 +305,13 @@ def test_files(spark, tmp_path):
     assert sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out/x")).select("project", "v").collect()) == [("p", 1), ("q", 9)]
 
 
+def test_lines_are_trimmed_once(spark):
+    df = spark.createDataFrame([("A.java", ["\t a; \x0b", " \r", "/* x", "y */", "b;"])], "p string, l array<string>").select(T.code_lines(F.col("l"), F.col("p")).alias("c"))
+    assert [tuple(x) for x in df.first().c] == [(0, "a;"), (4, "b;")]
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") + plan.count("trim(") == 1
+
+
 def test_files_are_searched_once(spark):
     made = spark.sparkContext.accumulator(0)
 
