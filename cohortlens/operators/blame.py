@@ -48,21 +48,44 @@ def overlaps(spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFra
     return _met(spans, runs, bucket).groupBy(*STATEMENT, "commit", "email").agg(F.sum("shared").cast("bigint").alias("lines"), F.min("at").cast("bigint").alias("at"))
 
 
+def intervals(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """Spans (repo, path, statement, first, last) and runs (repo, path, first, last, commit, email) as rows of one frame, without what the other kind has: repo, path, first, last, is_run, statement, commit, email."""
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    place = [*FILE, F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last")]
+    s = spans.select(*place, F.lit(False).alias("is_run"), "statement", none(runs, "commit"), none(runs, "email"))
+    return s.unionByName(runs.select(*place, F.lit(True).alias("is_run"), none(spans, "statement"), "commit", "email"))
+
+
+def blamed(lines: DataFrame, bucket: int = BUCKET, by: tuple[str, ...] = FILE, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The blame of each statement, of spans and runs as ``intervals`` has them: ``by``, statement, commit, email, unanimous, lines as in ``statement_blame``, and the columns ``kept`` of the statement's span. Without a column email, email and unanimous are not asked for.
+
+    ``by`` begins with the file; what follows (a snapshot, say) keeps several histories of a file apart. Rows that lie
+    together by file, or by repository, are not shuffled: a bucket's spans get its runs from a window, and all votes are
+    counted where they were cast. So a file's rows are one task's (sorted, not held), and a bucket's runs one row's:
+    a line has one commit, so these are no more than the bucket has lines.
+    """
+    statement, voters = [*by, "statement"], [c for c in ("commit", "email") if c in lines.columns]
+    number = lambda c: F.floor(F.col(c) / bucket)
+    x = lines.filter("repo is not null and path is not null and first is not null and last >= first").withColumn("b", F.explode(F.sequence(number("first"), number("last"))))
+    x = x.withColumns({"first": F.greatest("first", F.col("b") * bucket), "last": F.least("last", F.col("b") * bucket + bucket - 1)})
+    x = x.withColumn("runs", F.collect_list(F.when(F.col("is_run"), F.struct("first", "last", *voters))).over(Window.partitionBy(*by, "b"))).filter("not is_run")
+    x = x.select(*statement, *kept, "first", "last", F.explode("runs").alias("r")).filter("first <= r.last and r.first <= last")
+    votes = x.select(*statement, *kept, *[F.col(f"r.{c}").alias(c) for c in voters], (F.least("last", "r.last") - F.greatest("first", "r.first") + 1).alias("n"))
+    if "email" in voters:
+        votes = votes.withColumn("email", F.coalesce("email", F.lit("")))
+    for c in voters:
+        votes = votes.withColumn(f"by_{c}", F.sum("n").over(Window.partitionBy(*statement, c)))
+    most = lambda of: F.min(F.struct((-F.col(f"by_{of}")).alias("minus"), F.col(of).alias("v")))["v"]
+    authors = [F.nullif(most("email"), F.lit("")).alias("email"), (F.min("email") == F.max("email")).alias("unanimous")] if "email" in voters else []
+    return votes.groupBy(*statement).agg(most("commit").alias("commit"), *authors, F.sum("n").alias("lines"), *[F.first(c).alias(c) for c in kept])
+
+
 def statement_blame(spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """repo, path, statement, commit and email (each the one with most lines of the statement, ties to the lesser), unanimous (one author only), lines (blamed ones). Statements without a blamed line are left out. Lines without an author's address vote as such.
 
-    Votes are added up where a bucket's pieces have met; a bucket's votes for a statement are then one row, which is dealt
-    out by statement once. All that follows is counted there, so a statement's votes are one task's rows.
+    Spans and runs are dealt out by file once; nothing is shuffled after that.
     """
-    votes = _met(spans, runs, bucket).withColumn("email", F.coalesce("email", F.lit("")))
-    votes = votes.groupBy(*STATEMENT, "b", "commit", "email").agg(F.sum("shared").cast("bigint").alias("n"))
-    votes = votes.groupBy(*STATEMENT, "b").agg(F.collect_list(F.struct("commit", "email", "n")).alias("votes"))
-    votes = votes.select(*STATEMENT, "votes").repartition(*STATEMENT).select(*STATEMENT, F.explode("votes").alias("v")).select(*STATEMENT, "v.*")
-    total = lambda by: F.sum("n").over(Window.partitionBy(*STATEMENT, by))
-    most = lambda by: F.min(F.struct((-F.col(f"by_{by}")).alias("minus"), F.col(by).alias("v")))["v"]
-    return votes.withColumn("by_commit", total("commit")).withColumn("by_email", total("email")).groupBy(*STATEMENT).agg(
-        most("commit").alias("commit"), F.nullif(most("email"), F.lit("")).alias("email"), (F.min("email") == F.max("email")).alias("unanimous"), F.sum("n").alias("lines"),
-    )
+    return blamed(intervals(spans, runs).repartition(*FILE), bucket)
 
 
 def identity_keys(identities: DataFrame) -> DataFrame:
@@ -89,8 +112,13 @@ def stale_repos(before: DataFrame, now: DataFrame) -> DataFrame:
 
 def refreshed_blame(stored: DataFrame, before: DataFrame, now: DataFrame, spans: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """The blame of all repositories in ``now`` (repo, head): stored rows where the head is that of ``before``, computed anew elsewhere; spans and runs of other repositories are not joined. What is stored of repositories that ``now`` lacks goes."""
+    return refreshed(stored, before, now, intervals(spans, runs), bucket)
+
+
+def refreshed(stored: DataFrame, before: DataFrame, now: DataFrame, lines: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``refreshed_blame`` of spans and runs as ``intervals`` has them."""
     stale = stale_repos(before, now)
-    fresh = statement_blame(spans.join(stale, "repo", "left_semi"), runs.join(stale, "repo", "left_semi"), bucket)
+    fresh = blamed(lines.join(stale, "repo", "left_semi"), bucket)
     kept = stored.join(now.select("repo"), "repo", "left_semi").join(stale, "repo", "left_anti")
     return kept.select(*fresh.columns).unionByName(fresh)
 
@@ -98,11 +126,26 @@ def refreshed_blame(stored: DataFrame, before: DataFrame, now: DataFrame, spans:
 KINDS = ("raw", "normalized", "methods")
 
 
+def surviving_at(fingerprints: DataFrame, commits: DataFrame, times: list[str]) -> DataFrame:
+    """By pull request with a commit, for each of ``times``: raw_* (statements blamed on its commits), normalized_* and methods_* (distinct fingerprints of these), 0 without any. fingerprints: commit, normalized, method, and for each of ``times`` a column of the number of such statements; commits: pr, sha.
+
+    Fingerprints go to their commits once and to the pull request once, whatever the number of times; both kinds are
+    counted there as rows of their own, which distinct counts of two columns would shuffle in three copies.
+    """
+    of = commits.filter("pr is not null and sha is not null").select("pr", "sha").repartition("sha").distinct()
+    x = of.join(fingerprints.select("commit", "normalized", "method", *times), F.col("sha") == F.col("commit"), "left").select("pr", "normalized", "method", *times).repartition("pr")
+    value = [F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in (("normalized", "normalized"), ("methods", "method"))]
+    x = x.select("pr", F.explode(F.array(*value)).alias("v"), *times).groupBy("pr", "v.kind", "v.value").agg(*[F.sum(c).alias(c) for c in times])
+    count = lambda kind, n: F.coalesce(F.sum(F.when(F.col("kind") == kind, n)), F.lit(0)).cast("bigint")
+    raw = [count("normalized", F.col(c)).alias(f"raw_{c}") for c in times]
+    distinct = [count(kind, (F.col("value").isNotNull() & (F.col(c) > 0)).cast("int")).alias(f"{kind}_{c}") for kind in KINDS[1:] for c in times]
+    return x.groupBy("pr").agg(*raw, *distinct)
+
+
 def surviving(fingerprints: DataFrame, commits: DataFrame) -> DataFrame:
     """By pull request with a commit: raw (statements blamed on its commits), normalized and methods (distinct fingerprints of these), 0 without any. fingerprints: commit, normalized, method; commits: pr, sha."""
-    of = commits.filter("pr is not null and sha is not null").select("pr", "sha").distinct()
-    count = [F.count("commit").alias("raw"), F.countDistinct("normalized").alias("normalized"), F.countDistinct("method").alias("methods")]
-    return of.join(fingerprints.select("commit", "normalized", "method"), F.col("sha") == F.col("commit"), "left").groupBy("pr").agg(*count)
+    x = surviving_at(fingerprints.select("commit", "normalized", "method", F.lit(1).alias("now")), commits, ["now"])
+    return x.select("pr", *[F.col(f"{k}_now").alias(k) for k in KINDS])
 
 
 def measured_again(now: DataFrame, before: DataFrame | None = None) -> DataFrame:

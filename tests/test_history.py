@@ -43,6 +43,33 @@ def test_votes_are_dealt_out_once(spark):
     assert [tuple(r) for r in found.collect()] == [("r", "f", 1, "a", None, False, 302)]
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_spans_and_runs_are_shuffled_once(spark):
+    """What lies together by file is blamed where it lies; each further shuffle of all line items filled the disks."""
+    spans, runs = spark.createDataFrame([("r", "f", 1, 1, 300), (None, "f", 1, 1, 9)], SPAN), spark.createDataFrame([("r", "f", 1, 500, "a", None), (None, "f", 1, 9, "b", "x")], RUN)
+    found = blame.statement_blame(spans, runs)
+    assert shuffles(found) == 1 and [tuple(r) for r in found.collect()] == [("r", "f", 1, "a", None, True, 300)]
+
+
+def test_snapshots_are_blamed_apart_and_keep_columns(spark):
+    rows = [("r", "f", at, 1, 9, run, None if run else 1, c if run else None, None if run else f"print {at}") for at, c in (("old", "a"), ("now", "b")) for run in (True, False)]
+    lines = spark.createDataFrame(rows, "repo string, path string, at string, first bigint, last bigint, is_run boolean, statement bigint, commit string, print string")
+    got = blame.blamed(lines.repartition("repo"), 4, (*blame.FILE, "at"), ("print",))
+    assert shuffles(got) == 1 and {(r.at, r.statement, r.commit, r.lines, r["print"]) for r in got.collect()} == {("old", 1, "a", 9, "print old"), ("now", 1, "b", 9, "print now")} and "email" not in got.columns
+
+
+def test_fingerprints_go_to_pull_requests_once(spark):
+    commits = spark.createDataFrame([("p1", "a"), ("p1", "b"), ("p1", "b"), ("p2", "c"), (None, "a")], "pr string, sha string")
+    prints = spark.createDataFrame([("a", "n1", "m1", 1, 1), ("b", "n1", None, 1, 0), ("b", "n2", "m1", 0, 1), ("x", "n9", "m9", 1, 1)], "commit string, normalized string, method string, old int, now int")
+    got = blame.surviving_at(prints, commits, ["old", "now"])
+    assert {r.pr: tuple(r)[1:] for r in got.collect()} == {"p1": (2, 2, 1, 2, 1, 1), "p2": (0,) * 6}
+    one = blame.surviving(prints, commits)
+    assert "Expand" not in one._jdf.queryExecution().executedPlan().toString() and shuffles(one) <= 3
+
+
 def test_runs_of_lines(spark):
     lines = [("r", "f", n, c, "a@x") for n, c in ((1, "p"), (2, "p"), (3, "q"), (4, "p"), (6, "p"), (6, "p"))] + [("r", "f", None, "p", "a@x")]
     got = blame.blame_runs(spark.createDataFrame(lines, "repo string, path string, line_no bigint, commit string, email string")).collect()
